@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hilbert, mixing, packing, simhash
+from . import hilbert, line_dedup, mixing, packing, simhash
 from .common import table
 
 
@@ -22,6 +23,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -38,7 +44,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_source_mixing": op5_source_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
