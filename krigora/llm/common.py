@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OWN_DIRS: list[tuple[SparkSession, str]] = []
 
@@ -93,12 +94,10 @@ def with_arrow(df: DataFrame, add, columns: str, drop: tuple[str, ...] = ()) ->
 
     ``columns`` is the DDL of the added columns; an added name replaces an equal one of ``df``.
     """
-    new = [c.strip().rsplit(" ", 1) for c in columns.split(",")]
-    gone = {n.lower() for n, _ in new} | {d.lower() for d in drop}
+    new = T.StructType.fromDDL(columns).fields
+    gone = {f.name.lower() for f in new} | {d.lower() for d in drop}
     keep = [(i, f) for i, f in enumerate(df.schema.fields) if f.name.lower() not in gone]
-    schema = df.select(*[F.col(f"`{f.name}`") for _, f in keep]).schema
-    for n, kind in new:
-        schema = schema.add(n, kind)
+    schema = T.StructType([f for _, f in keep] + new)
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

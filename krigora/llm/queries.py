@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, line_dedup, mixing, packing, quality_rules, simhash
-from .common import table
+from . import gam_quality, hilbert, langid, line_dedup, mixing, packing, quality_rules, simhash
+from .common import fold, table
+
+
+def op1_gam_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gam_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +31,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_centroid_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs.where(fold("doc_id", 3) != 1)))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -45,10 +54,12 @@ def tokenizer_path(name: str) -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_gam_quality": op1_gam_quality,
     "op2_quality_rules": op2_quality_rules,
     "op3_hilbert_sharding": op3_hilbert_sharding,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_source_mixing": op5_source_mixing,
+    "op6_centroid_langid": op6_centroid_langid,
     "op7_line_dedup": op7_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
