@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gam_quality, hilbert, langid, line_dedup, mixing, packing, quality_rules, simhash
+from . import embedding_dedup, gam_quality, hilbert, langid, line_dedup, mixing, packing, quality_rules, simhash
 from .common import fold, table
 
 
@@ -41,6 +41,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_source_mixing": op5_source_mixing,
     "op6_centroid_langid": op6_centroid_langid,
     "op7_line_dedup": op7_line_dedup,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
