@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, gam_quality, hilbert, langid, line_dedup, mixing, packing, quality_rules, simhash
+from . import embedding_dedup, gam_quality, hilbert, langid, line_dedup, mixing, packing, pii, quality_rules, simhash
 from .common import fold, table
 
 
@@ -45,6 +45,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_centroid_langid": op6_centroid_langid,
     "op7_line_dedup": op7_line_dedup,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_personal_data": op9_personal_data,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
