@@ -127,7 +127,7 @@ def dropped_lines(rows: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     probes = _lines(rows, min_chars).join(hot, ["a", "b"], "left").where(F.col("hot").isNull() | (F.col("hot_last") != F.col("id")))
     probes = probes.select(F.when(F.col("hot"), shards + F.pmod(F.xxhash64("mark", "pos"), F.lit(shards))).otherwise(shard).alias("shard"), "id", "mark", "pos", "a", "b", F.col("hot").isNotNull().alias("decided"))
     dropped = probes.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInPandas(_probe, "id long, mark long, pos int")
-    return dropped.groupBy("id", "mark").agg(F.collect_list("pos").alias("drops"))
+    return dropped.groupBy("id", "mark").agg(F.collect_set("pos").alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col: str = "doc_id", text_col: str = "text", with_row: bool = False) -> DataFrame:

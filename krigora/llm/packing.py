@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_bytes, text_bytes, written
 
@@ -192,13 +193,14 @@ def pack(pieces: DataFrame, length: int = 4096, group_rows: int = 20_000, slack:
     """
     rows = written(pieces.withColumn("part", F.lit(0).cast("long")), "pack-pieces")
     schema = rows.drop("part").schema
+    packed_schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("done", T.BooleanType())])
     out = rows.where(F.col("length") >= length).select(*schema.names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = rows.where(F.col("length") < length)
     for k in range(rounds):
         n = rest.count()
         groups, last = max(1, -(-n // group_rows)), k == rounds - 1 or n <= group_rows
         dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(k), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
-        packed = dealt.groupBy("part").applyInPandas(_pack_group(length, slack, last, k << 56), rows.schema.add("sequence_id", "long").add("offset", "long").add("done", "boolean"))
+        packed = dealt.groupBy("part").applyInPandas(_pack_group(length, slack, last, k << 56), packed_schema)
         packed = written(packed, "pack-round")
         out = out.unionByName(packed.where("done").select(*schema.names, "sequence_id", "offset"))
         if last:
