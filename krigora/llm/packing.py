@@ -7,9 +7,12 @@ Bins that stay underfull give their pieces back, and fewer groups pack those aga
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,49 +24,79 @@ from pyspark.sql import types as T
 from .common import by_bytes, text_bytes, written
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: Latin letters: one token run for the vocabulary's splitter, so a boundary lies before ASCII punctuation (but for the
+#: apostrophe, which may join), and nothing to normalise but their case.
+_BEFORE_MARK = re.compile(rb"(?:(?<=[A-Za-z])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))(?=[!-&(-/:-@\[-`{-~])")
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes the UTF-8 bytes of the lower-case Latin letters: bytes without a printable
+    character of their own get the code points from 256 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    name = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+    return {c: "".join(name[b] for b in chr(c).encode()) for c in [*range(97, 123), *range(0xDF, 0x100)]}
+
+
+_BYTE_LETTERS = _byte_letters()
 _WORDS: dict[str, _WordIds] = {}
 
 
 class _WordIds:
-    """Token ids by word: ASCII white space always ends a token in this kind of vocabulary, so words tokenise alone."""
+    """Token ids by word: white space always ends a token in this kind of vocabulary, so words tokenise alone.
+
+    So does the place between an ASCII letter and the punctuation after it, and capitals are lowered by the tokenizer anyway;
+    texts that may hold a special token (with "<|") are left as they are. The table keeps its most used words when it is full.
+    """
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 800_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.clear()
-
-    def clear(self) -> None:
         self.code: dict[bytes, int] = {}
-        self.flat, self.size = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-
-    def add(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        self.flat, self.at, self.n, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, words: list[bytes]) -> None:
+        texts = [w.decode() for w in words]
+        plain, model = [_LATIN.fullmatch(t) is not None for t in texts], self.tokenizer.model
+        other = iter([e.ids for e in self.tokenizer.encode_batch([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False)])
+        # A word of letters is one run for the vocabulary's model; the steps before it would only cost time.
+        got = [[x.id for x in model.tokenize(t.lower().translate(_BYTE_LETTERS))] if p else next(other) for t, p in zip(texts, plain, strict=True)]
         lens = np.fromiter(map(len, got), np.int64, len(got))
-        first, many, k = len(self.code), int(lens.sum()), len(got)
-        while self.size + many > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + k > len(self.at):
-            self.at, self.n = (np.concatenate([a, np.zeros_like(a)]) for a in (self.at, self.n))
-        self.flat[self.size : self.size + many] = np.fromiter((i for ids in got for i in ids), np.uint32, many)
-        self.at[first : first + k] = self.size + np.cumsum(lens) - lens
-        self.n[first : first + k] = lens
-        self.size += many
-        self.code.update(zip(words, range(first, first + k), strict=True))
-
-    def ids(self, text: bytes) -> np.ndarray:
-        words = text.split()
+        self.code.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(lens) - lens])
+        self.n = np.concatenate([self.n, lens])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))])
+
+    def _shrink(self) -> None:
+        keep = np.flatnonzero(self.used >= max(2, np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]))[: self.most // 2]
+        names = list(self.code)
+        self.code = {names[k]: i for i, k in enumerate(keep.tolist())}
+        self.flat = self.flat[_runs(self.at[keep], self.n[keep])]
+        self.n, self.used = self.n[keep], self.used[keep] // 2
+        self.at = np.cumsum(self.n) - self.n
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's ids end."""
+        split = [(t if b"<|" in t else _BEFORE_MARK.sub(b" ", t).lower()).split() for t in texts]
+        words = list(chain.from_iterable(split))
         if len(self.code) > self.most:
-            self.clear()
-        if new := [w for w in dict.fromkeys(words) if w not in self.code]:
-            self.add(new)
+            self._shrink()
+        if new := set(words).difference(self.code):
+            self._add(list(new))
         codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        self.used += np.bincount(codes, minlength=len(self.used))
+        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
         lens = self.n[codes]
-        ends = np.cumsum(lens)
-        if not len(ends):
-            return np.zeros(0, np.uint32)
-        return self.flat[np.repeat(self.at[codes] - ends + lens, lens) + np.arange(ends[-1])]
+        return self.flat[_runs(self.at[codes], lens)], np.concatenate([[0], np.cumsum(lens)])[ends]
+
+
+def _runs(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[0], at[0] + 1, ... (n[0] of them), at[1], ..."""
+    ends = np.cumsum(n)
+    return np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -78,8 +111,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: in
             for part in by_bytes(b, 4 << 20):
                 data, off = text_bytes(part.column(1))
                 raw, out, kept = data.tobytes(), [], []
-                for doc, lo, hi in zip(part.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
-                    ids = np.append(words.ids(raw[lo:hi]), np.uint32(end_id)).astype("<u4")
+                flat, ends = words.ids([raw[a:z] for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+                for doc, lo, hi in zip(part.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    ids = np.append(flat[lo:hi], np.uint32(end_id)).astype("<u4")
                     for k, at in enumerate(range(0, len(ids), length)):
                         cut = ids[at : at + length]
                         out.append((doc, k, at, len(cut), zlib.crc32(cut.tobytes())))
