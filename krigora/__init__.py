@@ -1 +1,15 @@
 """Gaussian-process analytics on Spark DataFrames."""
+
+import os
+
+# Spark's tasks share the cores; a linear-algebra library that starts a thread per core in each of them only waits.
+for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")
+
+
+def attach(spark):
+    """Lets the session's Python workers find this package where it lies; on a cluster ship it with --py-files instead."""
+    root, env = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    return spark

@@ -1,10 +1,452 @@
-"""All registered queries of the Gaussian-process engine and their SQL."""
+"""All registered queries of the Gaussian-process engine and their SQL, each over its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from krigora.functions import kernels as K
+from krigora.operators import covariance as C
+from krigora.operators import linalg as L
+from krigora.operators import metrics, mixture
+from krigora.operators.gp import GaussianProcess, grouped_posterior
+from krigora.plans import training
+from krigora.sources import points as P
+from krigora.streaming import appends
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+LENGTHS = [1.5, 2.0]
+HYPER = [2.0, 1.5, 1.0]
+NOISE = 0.25
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c: Column, digits: int = 6) -> Column:
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def _suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return P.points(_table(spark, d, "supplier"), "s_suppkey", [F.col("s_nationkey") / 5.0, (F.col("s_suppkey") % 10) / 3.0], F.col("s_acctbal") / 1000.0, F.lit(NOISE))
+
+
+def _nations(spark: SparkSession, d: str) -> DataFrame:
+    return P.points(_table(spark, d, "nation"), "n_nationkey", [F.col("n_nationkey") / 5.0, F.col("n_regionkey")])
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return P.points(_table(spark, d, "part"), "p_partkey", [F.col("p_size") / 50.0, F.col("p_retailprice") / 2000.0], F.col("p_retailprice") / 1000.0)
+
+
+# --- kernels: every supplier against every nation (25 rows)
+
+_PAIRS = f"""WITH s AS (SELECT s_suppkey AS i, s_nationkey / 5.0::DOUBLE AS a1, (s_suppkey % 10) / 3.0::DOUBLE AS a2 FROM supplier),
+n AS (SELECT n_nationkey::BIGINT AS j, n_nationkey / 5.0::DOUBLE AS b1, n_regionkey::DOUBLE AS b2 FROM nation),
+p AS (SELECT i, j, a1, a2, b1, b2, sqrt(((a1 - b1) / {LENGTHS[0]}) ** 2 + ((a2 - b2) / {LENGTHS[1]}) ** 2) AS d FROM s, n)
+"""
+_D = K.distance
+_W = "least(d, 1)"
+_G = "(0.7 * exp(-(({0}1 - 1) ** 2 + ({0}2 - 1) ** 2) / 4) + 0.3 * exp(-(({0}1 - 3) ** 2 + ({0}2 - 2) ** 2) / 4))"
+_SL = "(least(CASE WHEN d = 0 THEN 1e-5 ELSE d END / 2.5, 1))"
+KERNELS: dict[str, tuple[Callable, str]] = {
+    "squared_exponential": (lambda d, a, b: K.squared_exponential(d, 0.8), "exp(-d * d / (2 * 0.64))"),
+    "squared_exponential_robust": (lambda d, a, b: K.squared_exponential_robust(d, 0.9), "exp(-d * d * 0.81)"),
+    "exponential": (lambda d, a, b: K.exponential(d, 0.8), "exp(-d / 0.8)"),
+    "exponential_robust": (lambda d, a, b: K.exponential_robust(d, 0.9), "exp(-d * 0.81)"),
+    "matern_3_2": (lambda d, a, b: K.matern_3_2(d, 0.8), "(1 + sqrt(3) * d / 0.8) * exp(-sqrt(3) * d / 0.8)"),
+    "matern_3_2_robust": (lambda d, a, b: K.matern_3_2_robust(d, 0.9), "(1 + sqrt(3) * d * 0.81) * exp(-sqrt(3) * d * 0.81)"),
+    "matern_3_2_slope": (lambda d, a, b: K.matern_3_2_slope(d, 0.5), "-3 * d * 0.5 * exp(-sqrt(3) * d)"),
+    "matern_5_2": (lambda d, a, b: K.matern_5_2(d, 0.8), "(1 + sqrt(5) * d / 0.8 + 5 * d * d / (3 * 0.64)) * exp(-sqrt(5) * d / 0.8)"),
+    "matern_5_2_robust": (lambda d, a, b: K.matern_5_2_robust(d, 0.9), "(1 + sqrt(5) * d * 0.81 + 5 * d * d * 3 * 0.6561) * exp(-sqrt(5) * d * 0.81)"),
+    "sparse_log": (lambda d, a, b: K.sparse_log(d, 2.5), f"sqrt(2) / (3 * sqrt(pi())) * (3 * {_SL} ** 2 * ln({_SL} / (1 + sqrt(1 - {_SL} ** 2))) + (2 * {_SL} ** 2 + 1) * sqrt(1 - {_SL} ** 2))"),
+    "periodic": (lambda d, a, b: K.periodic(d, 0.8, 1.3), "exp(-2 / 0.64 * sin(pi() * d / 1.3) ** 2)"),
+    "linear": (lambda d, a, b: K.linear(a[0], b[0], 0.5, 2.0, 0.3), "0.5 + 2 * ((a1 - 0.3) * (b1 - 0.3))"),
+    "polynomial": (lambda d, a, b: K.polynomial(a[0] * b[0] + a[1] * b[1], 3), "(1 + a1 * b1 + a2 * b2) ** 3"),
+    "dot_product": (lambda d, a, b: 0.5 + a[0] * (2.0 * b[0] + 0.3 * b[1]) + a[1] * (0.3 * b[0] + b[1]), "0.5 + a1 * (2 * b1 + 0.3 * b2) + a2 * (0.3 * b1 + b2)"),
+    "wendland": (lambda d, a, b: K.wendland(d), f"(1 - {_W}) ** 8 * (32 * {_W} ** 3 + 25 * {_W} ** 2 + 8 * {_W} + 1)"),
+    "bump": (lambda d, a, b: K.bump(d, 2.0, 1.5, 0.9), "CASE WHEN 1 - d * d / 4 > 0 THEN 0.9 * exp(-1.5 / (1 - d * d / 4) + 1.5) ELSE 0 END"),
+    "non_stationary": (lambda d, a, b: K.radial_sum(a, [[1.0, 1.0], [3.0, 2.0]], [0.7, 0.3], 4.0) * K.radial_sum(b, [[1.0, 1.0], [3.0, 2.0]], [0.7, 0.3], 4.0), f"{_G.format('a')} * {_G.format('b')}"),
+    "default": (lambda d, a, b: K.default_kernel(a, b, HYPER), "2 * (1 + sqrt(3) * sqrt(((a1 - b1) / 1.5) ** 2 + (a2 - b2) ** 2)) * exp(-sqrt(3) * sqrt(((a1 - b1) / 1.5) ** 2 + (a2 - b2) ** 2))"),
+    "distance": (lambda d, a, b: d, "d"),
+    "normal_density": (lambda d, a, b: K.normal_density(a[0], b[0], F.lit(0.5)), "exp(-(a1 - b1) ** 2 / (2 * 0.5)) / sqrt(2 * pi() * 0.5)"),
+}
+
+
+def _kernel_query(name: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        pairs = C.cross_covariance(_suppliers(spark, d), _nations(spark, d), lambda a, b: F.struct(KERNELS[name][0](_D(a, b, LENGTHS), a, b).alias("v")).getField("v"), 2)
+        return pairs.select("i", "j", _r(F.col("v")).alias("v"))
+
+    return run
+
+
+for _name, (_, _sql) in KERNELS.items():
+    QUERIES[f"kernel_{_name}"] = _kernel_query(_name)
+    ORACLE_SQL[f"kernel_{_name}"] = f"{_PAIRS} SELECT i, j, round(v, 6) + 0.0::DOUBLE AS v FROM (SELECT i, j, ({_sql})::DOUBLE AS v FROM p) WHERE v <> 0"
+
+# --- covariance
+
+_SELF = """WITH s AS (SELECT s_suppkey AS i, s_nationkey / 5.0::DOUBLE AS a1, (s_suppkey % 10) / 3.0::DOUBLE AS a2 FROM supplier),
+k AS (SELECT s.i, t.i AS j, 2 * (1 + sqrt(3) * d) * exp(-sqrt(3) * d) + CASE WHEN s.i = t.i THEN 0.25 ELSE 0 END AS v FROM
+  (SELECT s.i, t.i AS j, sqrt(((s.a1 - t.a1) / 1.5) ** 2 + (s.a2 - t.a2) ** 2) AS d FROM s, s t) x JOIN s ON s.i = x.i JOIN s t ON t.i = x.j)
+"""
+
+
+def _kernel(a, b):
+    return K.default_kernel(a, b, HYPER)
+
+
+@_query(_SELF + "SELECT i, j, round(v, 6) AS v FROM k WHERE i <= j")
+def covariance_half(spark: SparkSession, d: str) -> DataFrame:
+    """K + V of the suppliers, the triangle i <= j."""
+    return C.with_noise(C.half_covariance(_suppliers(spark, d), _kernel, 2), NOISE).select("i", "j", _r(F.col("v")).alias("v"))
+
+
+@_query(_SELF + "SELECT count(*) FILTER (WHERE i = j)::BIGINT AS n, count(*)::BIGINT AS nnz, round(sum(v) FILTER (WHERE i = j), 4) AS trace, round(sqrt(sum(v * v)), 4) AS frobenius FROM k")
+def covariance_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    half = C.with_noise(C.half_covariance(_suppliers(spark, d), _kernel, 2), NOISE)
+    return C.fingerprint(half).select("n", F.col("nnz").cast("long").alias("nnz"), _r(F.col("trace"), 4).alias("trace"), _r(F.col("frobenius"), 4).alias("frobenius"))
+
+
+_BALL = """WITH s AS (SELECT p_partkey AS i, p_size / 50.0::DOUBLE AS a1, p_retailprice / 2000.0::DOUBLE AS a2 FROM part),
+k AS (SELECT i, j, 1.5 * (1 - d) ** 8 * (32 * d ** 3 + 25 * d * d + 8 * d + 1) AS v FROM
+  (SELECT s.i, t.i AS j, sqrt(((s.a1 - t.a1) / 0.03) ** 2 + ((s.a2 - t.a2) / 0.003) ** 2) AS d FROM s JOIN s t ON s.i <= t.i AND abs(s.a1 - t.a1) <= 0.03 AND abs(s.a2 - t.a2) <= 0.003) WHERE d < 1)
+"""
+
+
+def _ball(spark: SparkSession, d: str) -> DataFrame:
+    return C.ball_join(_parts(spark, d), [0.03, 0.003], 2, 1.5)
+
+
+@_query(_BALL + "SELECT i, j, round(v, 6) AS v FROM k")
+def covariance_ball_join(spark: SparkSession, d: str) -> DataFrame:
+    """Compactly supported covariance of all parts through the grid join."""
+    return _ball(spark, d).select("i", "j", _r(F.col("v")).alias("v"))
+
+
+@_query(_BALL + ", f AS (SELECT i, j, v FROM k UNION ALL SELECT j, i, v FROM k WHERE i < j) SELECT f.i, round(sum(f.v * p.p_size), 4) AS v FROM f JOIN part p ON p.p_partkey = f.j GROUP BY f.i")
+def covariance_matrix_vector(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").cast("double").alias("v"))
+    return C.matrix_vector(_ball(spark, d), sizes).select("i", _r(F.col("v"), 4).alias("v"))
+
+
+@_query()
+def sparse_solve(spark: SparkSession, d: str) -> DataFrame:
+    """(K + V) a = y - mean over all parts: ball join in Spark, preconditioned conjugate gradients on its nonzeros while they
+    fit one machine, else the same iteration on tables."""
+    pts = _parts(spark, d)
+    half = C.with_noise(_ball(spark, d), NOISE)
+    n, mean = pts.agg(F.count("*"), F.avg("y")).first()
+    nnz = half.count()
+    if C.solve_mode(n, 2 * nnz) == "spark_cg":
+        return L.spark_conjugate_gradient(half, pts.select(F.col("pt_id").alias("i"), (F.col("y") - mean).alias("v"))).select("i", _r(F.col("v"), 4).alias("alpha"))
+    got, rows = half.toPandas(), pts.select("pt_id", "y").toPandas().sort_values("pt_id")
+    ids = rows["pt_id"].to_numpy()
+    a = L.Coo(np.searchsorted(ids, got["i"]), np.searchsorted(ids, got["j"]), got["v"].to_numpy(), len(ids))
+    x = L.conjugate_gradient(a, rows["y"].to_numpy() - mean, precondition=L.block_jacobi(a))
+    return spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "i long, alpha double").select("i", _r(F.col("alpha"), 4).alias("alpha"))
+
+
+# --- prior, sources, tasks
+
+
+@_query("SELECT round(avg(s_acctbal / 1000), 6) AS mean, round((avg(abs(s_acctbal / 1000)) / 100) ** 2, 8) AS noise, round(var_pop(s_acctbal / 1000) / 100, 6) AS low, round(var_pop(s_acctbal / 1000) * 10, 6) AS high FROM supplier")
+def prior_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """Default prior mean, noise variance and bounds of the signal variance."""
+    y = F.col("y")
+    return _suppliers(spark, d).agg(_r(F.avg(y)).alias("mean"), _r(F.pow(F.avg(F.abs(y)) / 100, F.lit(2)), 8).alias("noise"), _r(F.var_pop(y) / 100).alias("low"), _r(F.var_pop(y) * 10).alias("high"))
+
+
+@_query("SELECT doc_id AS pt_id, 0::INT AS task, quality::DOUBLE AS y FROM labels WHERE quality IS NOT NULL UNION ALL SELECT doc_id, 1, toxic::DOUBLE FROM labels WHERE toxic IS NOT NULL")
+def multi_task_points(spark: SparkSession, d: str) -> DataFrame:
+    return P.unpivot_tasks(_table(spark, d, "labels"), "doc_id", [F.col("doc_id")], [F.col("quality"), F.col("toxic")]).select("pt_id", "task", "y")
+
+
+@_query("WITH n AS (SELECT n_nationkey, n_regionkey, count(*) OVER () AS c FROM nation) SELECT (n_nationkey + t * c)::BIGINT AS flat_id, n_nationkey::BIGINT AS pred_id, t::INT AS task FROM n, (VALUES (0), (1), (2)) v(t)")
+def task_grid(spark: SparkSession, d: str) -> DataFrame:
+    n = _nations(spark, d).withColumnRenamed("pt_id", "pred_id")
+    return P.task_grid(n, n.count(), [0, 1, 2]).select(F.col("flat_id").cast("long").alias("flat_id"), "pred_id", "task")
+
+
+@_query("SELECT i * 25 + j AS pred_id, round(i / 39.0 * 2 - 1, 6) AS a, round(j / 24.0 * 3, 6) AS b FROM range(40) x(i), range(25) y(j)")
+def prediction_grid(spark: SparkSession, d: str) -> DataFrame:
+    return P.plane_grid(spark, [-1.0, 0.0], [1.0, 3.0], 40, 25).select("pred_id", _r(F.get("x", 0)).alias("a"), _r(F.get("x", 1)).alias("b"))
+
+
+# --- likelihood and posterior: one elimination of [[K + V, B], [B', D]] in SQL
+
+_ELIMINATE = """WITH RECURSIVE mu AS (SELECT avg(s_acctbal / 1000) AS m, count(*) AS n FROM supplier),
+u AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS r, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2, s_acctbal / 1000 - m AS y, 0 AS kind, s_suppkey AS id FROM supplier, mu
+  UNION ALL SELECT n + 1, 0, 0, 0, 1, 0 FROM mu
+  UNION ALL SELECT n + 1 + row_number() OVER (ORDER BY n_nationkey), n_nationkey / 5.0::DOUBLE, n_regionkey::DOUBLE, 0, 2, n_nationkey FROM nation, mu),
+e AS (SELECT a.r AS i, b.r AS j, CASE WHEN a.kind = 1 AND b.kind = 1 THEN 0 WHEN a.kind = 1 THEN b.y WHEN b.kind = 1 THEN a.y
+    ELSE 2 * (1 + sqrt(3) * sqrt(((a.x1 - b.x1) / 1.5) ** 2 + (a.x2 - b.x2) ** 2)) * exp(-sqrt(3) * sqrt(((a.x1 - b.x1) / 1.5) ** 2 + (a.x2 - b.x2) ** 2))
+      + CASE WHEN a.kind = 0 AND a.r = b.r THEN 0.25 ELSE 0 END END AS v FROM u a, u b),
+f AS (SELECT i, list(v::DOUBLE ORDER BY j) AS row FROM e GROUP BY i),
+g AS (SELECT 0::BIGINT AS it, 0.0::DOUBLE AS ld, list(row ORDER BY i) AS m FROM f
+  UNION ALL SELECT it + 1, ld + ln(m[1][1]), list_transform(m[2:], lambda row: list_transform(range(2, len(row) + 1), lambda c: row[c] - row[1] * m[1][c] / m[1][1])) FROM g WHERE it < (SELECT n FROM mu)),
+z AS (SELECT ld, m FROM g WHERE it = (SELECT n FROM mu))
+"""
+
+
+def _model(spark: SparkSession, d: str) -> GaussianProcess:
+    return GaussianProcess(_suppliers(spark, d), HYPER)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return gp_posterior(spark, d)
+
+
+@_query(_ELIMINATE + "SELECT id::BIGINT AS pred_id, round(mu.m - z.m[1][r - n], 5) AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2")
+def gp_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """Posterior mean and variance at every nation of a GP over all suppliers."""
+    got = _model(spark, d).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
+@_query(_ELIMINATE + "SELECT round(-0.5 * (-z.m[1][1] + ld + n * ln(2 * pi())), 4) AS log_likelihood, round(ld, 4) AS logdet, round(-z.m[1][1], 4) AS quadratic FROM z, mu")
+def gp_log_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    gp = _model(spark, d)
+    row = (gp.log_likelihood(), L.logdet(gp.factor), float((gp.y - gp.mean) @ gp.alpha))
+    return spark.createDataFrame([row], "log_likelihood double, logdet double, quadratic double").select(*[_r(F.col(c), 4).alias(c) for c in ("log_likelihood", "logdet", "quadratic")])
+
+
+@_query()
+def gp_posterior_gradient(spark: SparkSession, d: str) -> DataFrame:
+    got = _model(spark, d).predict_gradient(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    return got.select("pred_id", "direction", _r(F.col("dm"), 3).alias("dm"), _r(F.col("dv"), 3).alias("dv"))
+
+
+@_query()
+def gp_likelihood_gradient(spark: SparkSession, d: str) -> DataFrame:
+    g = _model(spark, d).likelihood_gradient()
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "parameter int, slope double").select("parameter", _r(F.col("slope"), 3).alias("slope"))
+
+
+@_query()
+def gp_information(spark: SparkSession, d: str) -> DataFrame:
+    """Entropy, mutual information, total correlation and relative information entropy at the nations."""
+    gp = _model(spark, d)
+    q = np.array([r["x"] for r in _nations(spark, d).orderBy("pt_id").collect()])
+    own = gp.posterior(q)
+    row = (gp.entropy(q), gp.mutual_information(q), gp.total_correlation(q), gp.relative_information_entropy(q), gp.divergence_from(q, own[0], own[1] + 0.1 * np.eye(len(q))))
+    names = ("entropy", "mutual_information", "total_correlation", "relative_entropy", "kl")
+    return spark.createDataFrame([tuple(map(float, row))], ", ".join(f"{n} double" for n in names)).select(*[_r(F.col(n), 3).alias(n) for n in names])
+
+
+@_query()
+def gp_events_scored(spark: SparkSession, d: str) -> DataFrame:
+    """A model over the suppliers scores every event: prediction as a job over a large table."""
+    ask = _table(spark, d, "events").select(F.col("event_id").alias("pred_id"), F.array((F.col("user_id") % 25) / 5.0, F.least(F.abs("value"), F.lit(300.0)) / 100.0).alias("x"))
+    return _model(spark, d).predict(ask).select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
+@_query()
+def gp_per_nation(spark: SparkSession, d: str) -> DataFrame:
+    """One GP per nation over its suppliers, all at once."""
+    s = _table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.array((F.col("s_suppkey") % 100) / 20.0).alias("x"), (F.col("s_acctbal") / 1000.0).alias("y"))
+    n = _table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.explode(F.array(*[F.lit(k) for k in range(5)])).alias("k"))
+    return grouped_posterior(s, "nation", n.select("nation", F.col("k").cast("long").alias("pred_id"), F.array(F.col("k").cast("double")).alias("x")), [1.0, 1.0]).select("nation", "pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
+# --- metrics: orders against the mean and variance of their priority
+
+_SCORED = """WITH g AS (SELECT o_orderpriority AS p, avg(o_totalprice / 1000) AS m, var_pop(o_totalprice / 1000) AS v FROM orders GROUP BY 1),
+r AS (SELECT o_totalprice / 1000 AS y, m, v, (o_totalprice / 1000 - m) / sqrt(v) AS z, 1.959963984540054 * sqrt(v) AS h FROM orders JOIN g ON p = o_orderpriority)
+"""
+
+
+def _cdf_sql(z: str) -> str:
+    a = f"abs({z})"
+    up, down = (f"{c[0]}" for c in (metrics.NORMAL_ABOVE, metrics.NORMAL_BELOW))
+    for c in metrics.NORMAL_ABOVE[1:]:
+        up = f"({up} * {a} + {c}::DOUBLE)"
+    for c in metrics.NORMAL_BELOW[1:]:
+        down = f"({down} * {a} + {c}::DOUBLE)"
+    return f"(CASE WHEN {z} > 0 THEN 1 - exp(-{z} * {z} / 2) * {up} / {down} ELSE exp(-{z} * {z} / 2) * {up} / {down} END)"
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    o = _table(spark, d, "orders").select(F.col("o_orderpriority").alias("p"), (F.col("o_totalprice") / 1000).alias("y"))
+    return o.join(o.groupBy("p").agg(F.avg("y").alias("m"), F.var_pop("y").alias("v")), "p")
+
+
+@_query(
+    _SCORED + f""", c AS (SELECT *, sqrt(v) * (z * (2 * {_cdf_sql('z')} - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi())) AS s FROM r)
+SELECT round(avg(s), 5) AS crps, round(stddev_pop(s), 5) AS crps_std, round(sqrt(avg((y - m) ** 2)), 5) AS rmse, round(sqrt(avg((y - m) ** 2)) / (max(y) - min(y)), 5) AS nrmse,
+round(avg(0.5 * ln(2 * pi() * v) + 0.5 * (y - m) ** 2 / v), 5) AS nlpd, round(1 - sum((y - m) ** 2) / (var_pop(y) * count(y)), 5) AS r2,
+round(avg(CASE WHEN y >= m - h AND y <= m + h THEN 1.0::DOUBLE ELSE 0 END), 5) AS picp, round(avg(2 * h), 5) AS mpiw,
+round(avg(2 * h + 2 / 0.05 * (greatest(m - h - y, 0) + greatest(y - m - h, 0))), 4) AS interval_score, round(avg(abs(y - m)), 5) AS mae, round(avg(abs((y - m) / y)), 5) AS mape FROM c"""
+)
+def metric_scores(spark: SparkSession, d: str) -> DataFrame:
+    got = metrics.scores(_scored(spark, d))
+    return got.select(*[_r(F.col(c), 4 if c == "interval_score" else 5).alias(c) for c in got.columns])
+
+
+@_query(_SCORED + f"SELECT round(k / 20.0, 10)::DOUBLE AS level, round(avg(CASE WHEN 2 * {_cdf_sql('abs(z)')} - 1 <= round(k / 20.0, 10) THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM r, range(1, 20) t(k) GROUP BY k")
+def metric_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.coverage_curve(_scored(spark, d)).select("level", _r(F.col("coverage")).alias("coverage"))
+
+
+# --- distributional data: customers' balances by nation
+
+_MOMENTS = "m AS (SELECT c_nationkey AS station, count(*)::BIGINT AS n, avg(c_acctbal) AS mean, var_pop(c_acctbal) AS variance FROM customer GROUP BY 1)"
+
+
+def _balances(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "customer").select(F.col("c_nationkey").alias("station"), F.col("c_acctbal").alias("value"))
+
+
+@_query(f"WITH {_MOMENTS} SELECT station, n, round(mean, 4) AS mean, round(variance, 2) AS variance FROM m")
+def station_moments(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.station_moments(_balances(spark, d), "station", "value").select("station", "n", _r(F.col("mean"), 4).alias("mean"), _r(F.col("variance"), 2).alias("variance"))
+
+
+@_query(f"WITH {_MOMENTS} SELECT station, k::INT AS k, round(mean + (k - 1) * sqrt(variance), 4) AS mean, round(variance, 2) AS variance FROM m, range(3) t(k)")
+def mixture_first_components(spark: SparkSession, d: str) -> DataFrame:
+    got = mixture.first_components(mixture.station_moments(_balances(spark, d), "station", "value"), 3)
+    return got.select("station", "k", _r(F.col("mean"), 4).alias("mean"), _r(F.col("variance"), 2).alias("variance"))
+
+
+@_query(
+    f"""WITH {_MOMENTS}, d AS (SELECT k, exp(-(c_acctbal - (mean + (k - 1) * sqrt(variance))) ** 2 / (2 * variance)) / sqrt(2 * pi() * variance) / 3 AS p, c_custkey AS id FROM customer JOIN m ON station = c_nationkey, range(3) t(k)),
+r AS (SELECT k, p / sum(p) OVER (PARTITION BY id) AS q FROM d) SELECT k::INT AS k, round(avg(q), 6) AS weight FROM r GROUP BY k"""
+)
+def mixture_em_step(spark: SparkSession, d: str) -> DataFrame:
+    b = _balances(spark, d)
+    w = mixture.em_weights(b, mixture.first_components(mixture.station_moments(b, "station", "value"), 3), [1 / 3] * 3)
+    return spark.createDataFrame(list(enumerate(w)), "k int, weight double").select("k", _r(F.col("weight")).alias("weight"))
+
+
+@_query(f"WITH {_MOMENTS} SELECT station, round(mean - 0.3 * sqrt(variance), 3) AS mean, round(variance + variance * (0.5 + 0.2 - 0.3 * 0.3), 1) AS variance FROM m")
+def mixture_moments(spark: SparkSession, d: str) -> DataFrame:
+    comp = mixture.first_components(mixture.station_moments(_balances(spark, d), "station", "value"), 3)
+    weight = F.element_at(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)), F.col("k") + 1)
+    return mixture.mixture_moments(comp.withColumn("weight", weight)).select("station", _r(F.col("mean"), 3).alias("mean"), _r(F.col("variance"), 1).alias("variance"))
+
+
+_DENSITY = """WITH c AS (SELECT c_nationkey AS station, least(greatest(floor((c_acctbal + 1000) / 550), 0), 19)::INT AS bin FROM customer WHERE c_acctbal IS NOT NULL),
+n AS (SELECT station, bin, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT station, count(*) AS total FROM c GROUP BY 1),
+f AS (SELECT t.station, b::INT AS bin, greatest(coalesce(n.n, 0) / (total * 550.0::DOUBLE), 1e-12) AS raw FROM t CROSS JOIN range(20) r(b) LEFT JOIN n ON n.station = t.station AND n.bin = b),
+p AS (SELECT station, bin, raw / (sum(raw) OVER (PARTITION BY station) * 550) AS density FROM f)
+"""
+
+
+def _densities(spark: SparkSession, d: str) -> DataFrame:
+    return P.histogram_density(_balances(spark, d), "station", "value", -1000.0, 10_000.0, 20)
+
+
+@_query(_DENSITY + "SELECT station, bin, round(density, 9) AS density FROM p")
+def station_densities(spark: SparkSession, d: str) -> DataFrame:
+    return _densities(spark, d).select("station", "bin", _r(F.col("density"), 9).alias("density"))
+
+
+@_query(
+    _DENSITY + """, q AS (SELECT bin, avg(density) AS other FROM p GROUP BY bin), x AS (SELECT station, density, other, sum((density - other) * 550) OVER (PARTITION BY station ORDER BY p.bin) AS gap FROM p JOIN q ON p.bin = q.bin)
+SELECT station, round(sum(density * (ln(density) - ln(other)) * 550), 6) AS kl, round(-ln(sum(sqrt(density * other) * 550)), 6) AS bhattacharyya, round(sum(abs(gap) * 550), 4) AS wasserstein FROM x GROUP BY station"""
+)
+def density_distances(spark: SparkSession, d: str) -> DataFrame:
+    p = _densities(spark, d)
+    got = mixture.density_distances(p, p.groupBy("bin").agg(F.avg("density").alias("density")), 550.0)
+    return got.select("station", _r(F.col("kl")).alias("kl"), _r(F.col("bhattacharyya")).alias("bhattacharyya"), _r(F.col("wasserstein"), 4).alias("wasserstein"))
+
+
+@_query(
+    """WITH a AS (SELECT c_acctbal AS at, 1 AS a FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT s_acctbal, 0 FROM supplier),
+g AS (SELECT at, sum(a) AS a, sum(1 - a) AS b FROM a GROUP BY at),
+s AS (SELECT sum(a) OVER (ORDER BY at) / sum(a) OVER () - sum(b) OVER (ORDER BY at) / sum(b) OVER () AS gap, lead(at) OVER (ORDER BY at) - at AS width FROM g)
+SELECT round(sum(2 * gap * gap * width), 4) AS energy_distance FROM s"""
+)
+def energy_distance(spark: SparkSession, d: str) -> DataFrame:
+    a = _table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_acctbal").alias("b"))
+    return mixture.energy_distance(a, _table(spark, d, "supplier").select(F.col("s_acctbal").alias("b")), "b").select(_r(F.col("energy_distance"), 4).alias("energy_distance"))
+
+
+@_query()
+def station_mixtures(spark: SparkSession, d: str) -> DataFrame:
+    """A three-part mixture with fixed weights for every nation."""
+    got = mixture.station_mixtures(_balances(spark, d), "station", "value", [0.3, 0.4, 0.3])
+    return got.select("station", "k", "weight", _r(F.col("mean"), 1).alias("mean"), _r(F.col("variance"), 0).alias("variance"))
+
+
+# --- training and streams
+
+
+def _objective(gp: GaussianProcess) -> Callable[[np.ndarray], float]:
+    def loss(h: np.ndarray) -> float:
+        try:
+            return -gp.log_likelihood(h)
+        except ValueError:
+            return 1e12
+
+    return loss
+
+
+class _Data:
+    """What an objective needs of a model, without its session: travels to the executors."""
+
+    def __init__(self, gp: GaussianProcess) -> None:
+        self.x, self.y, self.noise, self.mean, self.kernel = gp.x, gp.y, gp.noise, gp.mean, gp.kernel
+
+    log_likelihood = GaussianProcess.log_likelihood
+
+
+def _trained(spark: SparkSession, hyper: np.ndarray, loss: float) -> DataFrame:
+    return spark.createDataFrame([(k, float(v), float(loss)) for k, v in enumerate(hyper)], "parameter int, value double, loss double")
+
+
+@_query()
+def train_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """Adam, then quasi-Newton steps, kept only if the likelihood is better."""
+    gp, b = _model(spark, d), training.default_bounds(_suppliers(spark, d), 2)
+    loss, slope = _objective(gp), lambda h: -gp.likelihood_gradient(h)
+    first = training.adam(slope, HYPER, b, 0.05, 20)
+    best = training.keep_if_better(loss, np.array(HYPER), training.quasi_newton(loss, slope, first, b, 15))
+    return _trained(spark, best, loss(best))
+
+
+@_query()
+def train_evolution(spark: SparkSession, d: str) -> DataFrame:
+    gp, b = _model(spark, d), training.default_bounds(_suppliers(spark, d), 2)
+    loss = _objective(_Data(gp))
+    best = training.evolution(spark, loss, b, 16, 6)
+    return _trained(spark, best, loss(best))
+
+
+@_query()
+def train_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Parallel Metropolis chains over the hyperparameters."""
+    gp, b = _model(spark, d), training.default_bounds(_suppliers(spark, d), 2)
+    loss = _objective(_Data(gp))
+    return training.trace_summary(training.chains(spark, lambda h: -loss(h), HYPER, b, 4, 200), 3)
+
+
+@_query()
+def train_bayesian(spark: SparkSession, d: str) -> DataFrame:
+    gp, b = _model(spark, d), training.default_bounds(_suppliers(spark, d), 2)
+    loss = _objective(gp)
+    best, _ = training.bayesian(loss, b, 25)
+    return _trained(spark, best, loss(best))
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events GROUP BY 1")
+def stream_window_moments(spark: SparkSession, d: str) -> DataFrame:
+    """The hourly moments of the event stream, as the stream's query computes them over the whole table."""
+    got = appends.window_moments(_table(spark, d, "events"), "ts", "value")
+    return got.select("start", "n", _r(F.col("mean")).alias("mean"), _r(F.col("variance"), 4).alias("variance"))
