@@ -190,7 +190,7 @@ def grouped_posterior(points: DataFrame, group: str, queries: DataFrame, hyper:
     """
     hyper = list(hyper)
 
-    def solve(key, pts: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, pts: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(ask):
             return pd.DataFrame({group: [], "pred_id": [], "m": [], "v": []})
         q = np.array(ask["x"].tolist(), float)

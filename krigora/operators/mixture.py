@@ -56,7 +56,7 @@ def station_mixtures(samples: DataFrame, station: str, value: str, weights: Sequ
     """
     w = np.array(weights, float)
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y = np.sort(pdf["value"].to_numpy(float))
         mean, var = np.quantile(y, (np.arange(len(w)) + 0.5) / len(w)), np.full(len(w), max(y.var(), 1e-9))
         for _ in range(rounds):

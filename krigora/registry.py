@@ -84,7 +84,7 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "non_stationary": (lambda d, a, b: K.radial_sum(a, [[1.0, 1.0], [3.0, 2.0]], [0.7, 0.3], 4.0) * K.radial_sum(b, [[1.0, 1.0], [3.0, 2.0]], [0.7, 0.3], 4.0), f"{_G.format('a')} * {_G.format('b')}"),
     "default": (lambda d, a, b: K.default_kernel(a, b, HYPER), "2 * (1 + sqrt(3) * sqrt(((a1 - b1) / 1.5) ** 2 + (a2 - b2) ** 2)) * exp(-sqrt(3) * sqrt(((a1 - b1) / 1.5) ** 2 + (a2 - b2) ** 2))"),
     "distance": (lambda d, a, b: d, "d"),
-    "normal_density": (lambda d, a, b: K.normal_density(a[0], b[0], F.lit(0.5)), "exp(-(a1 - b1) ** 2 / (2 * 0.5)) / sqrt(2 * pi() * 0.5)"),
+    "normal_density": (lambda d, a, b: K.normal_density(a[0], b[0], F.lit(0.5)), "exp(-1 * (a1 - b1) ** 2 / (2 * 0.5)) / sqrt(2 * pi() * 0.5)"),
 }
 
 
@@ -325,7 +325,7 @@ def mixture_first_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH {_MOMENTS}, d AS (SELECT k, exp(-(c_acctbal - (mean + (k - 1) * sqrt(variance))) ** 2 / (2 * variance)) / sqrt(2 * pi() * variance) / 3 AS p, c_custkey AS id FROM customer JOIN m ON station = c_nationkey, range(3) t(k)),
+    f"""WITH {_MOMENTS}, d AS (SELECT k, exp(-1 * (c_acctbal - (mean + (k - 1) * sqrt(variance))) ** 2 / (2 * variance)) / sqrt(2 * pi() * variance) / 3 AS p, c_custkey AS id FROM customer JOIN m ON station = c_nationkey, range(3) t(k)),
 r AS (SELECT k, p / sum(p) OVER (PARTITION BY id) AS q FROM d) SELECT k::INT AS k, round(avg(q), 6) AS weight FROM r GROUP BY k"""
 )
 def mixture_em_step(spark: SparkSession, d: str) -> DataFrame:
@@ -368,9 +368,9 @@ def density_distances(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """WITH a AS (SELECT c_acctbal AS at, 1 AS a FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT s_acctbal, 0 FROM supplier),
-g AS (SELECT at, sum(a) AS a, sum(1 - a) AS b FROM a GROUP BY at),
-s AS (SELECT sum(a) OVER (ORDER BY at) / sum(a) OVER () - sum(b) OVER (ORDER BY at) / sum(b) OVER () AS gap, lead(at) OVER (ORDER BY at) - at AS width FROM g)
+    """WITH a AS (SELECT c_acctbal AS pos, 1 AS a FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT s_acctbal, 0 FROM supplier),
+g AS (SELECT pos, sum(a) AS a, sum(1 - a) AS b FROM a GROUP BY pos),
+s AS (SELECT sum(a) OVER (ORDER BY pos) / sum(a) OVER () - sum(b) OVER (ORDER BY pos) / sum(b) OVER () AS gap, lead(pos) OVER (ORDER BY pos) - pos AS width FROM g)
 SELECT round(sum(2 * gap * gap * width), 4) AS energy_distance FROM s"""
 )
 def energy_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -445,8 +445,8 @@ def train_bayesian(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, best, loss(best))
 
 
-@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS variance FROM events GROUP BY 1")
+@_query("SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(var_pop(value), 3) AS variance FROM events GROUP BY 1")
 def stream_window_moments(spark: SparkSession, d: str) -> DataFrame:
     """The hourly moments of the event stream, as the stream's query computes them over the whole table."""
     got = appends.window_moments(_table(spark, d, "events"), "ts", "value")
-    return got.select("start", "n", _r(F.col("mean")).alias("mean"), _r(F.col("variance"), 4).alias("variance"))
+    return got.select(F.unix_timestamp("start").alias("start"), "n", _r(F.col("mean")).alias("mean"), _r(F.col("variance"), 3).alias("variance"))
