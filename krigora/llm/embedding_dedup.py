@@ -89,51 +89,86 @@ def search_plan(n: int, dim: int, threshold: float, recall: float, n_probes: int
     return int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(meet, 1e-3), 0.999)))), hashes
 
 
-def _bucket_links(threshold: float, dim: int):
-    """Arrow batches (cell, side, rep, vector), sorted by cell -> pairs; a cell's rows of side 1 meet those of side 2, rows of
-    side 0 meet each other."""
-
-    def unit(rows: np.ndarray) -> np.ndarray:
-        x = rows.astype(np.float64)
-        return x / np.linalg.norm(x, axis=-1, keepdims=True)
-
-    def alike(reps: np.ndarray, side: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
-        """Pairs of one large cell, a block of rows at a time."""
-        first, second = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(reps)),) * 2
-        out = []
-        for at in range(0, len(first), 1024):
-            i, j = np.nonzero(x[first[at : at + 1024]] @ x[second].T >= threshold)
-            out.append(np.stack([reps[first[at : at + 1024][i]], reps[second[j]]]))
-        return out
-
-    def solve(cell: np.ndarray, side: np.ndarray, reps: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest position reachable from each of ``n`` positions over the pairs (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _bucket_links(threshold: float, tables: int, hashes: int, n_probes: int):
+    """Arrow batches (cell, side, tab, bucket, rep, members, vector), sorted by cell -> (u, v, n): for a class u that has links
+    here, the members of the classes it links with for the first time and a class v of its component.
+
+    A cell's rows of side 1 meet those of side 2, rows of side 0 meet each other. A pair that meets in several buckets counts in
+    the first of them, which its two vectors tell without a look at the others, so pairs need not be gathered to be told apart.
+    """
+
+    def first_here(x: np.ndarray, a: np.ndarray, b: np.ndarray, tab: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Whether a pair of rows of ``x`` has no bucket in common before this one."""
+        here = np.ones(len(a), bool)
+        for t in range(int(tab.max(initial=-1)) + 1):
+            keys = probes(x, t, hashes, n_probes)
+            same = keys[a][:, :, None] == keys[b][:, None, :]
+            here &= ~((tab > t) & same.any((1, 2)))
+            least = np.where(same, keys[a][:, :, None], np.iinfo(np.int64).max).min((1, 2))
+            here &= (tab != t) | (least == bucket)
+        return here
+
+    def solve(cell, side, tab, bucket, reps, members, vectors) -> Iterator[pa.RecordBatch]:
+        x = vectors.astype(np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
         start = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1])
         size = np.diff(np.concatenate([start, [len(cell)]]))
-        found = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def take(i: np.ndarray, j: np.ndarray) -> None:
+            """Counts the pairs (rows i and j) and keeps a link of each row to its component here."""
+            if not len(i):
+                return
+            rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            a, b = at[: len(i)], at[len(i) :]
+            n = np.zeros(len(rows), np.int64)
+            for s in range(0, len(i), 100_000):
+                k = slice(s, s + 100_000)
+                own = first_here(x[rows], a[k], b[k], tab[i[k]], bucket[i[k]])
+                np.add.at(n, a[k][own], members[j[k]][own])
+                np.add.at(n, b[k][own], members[i[k]][own])
+            out.append((reps[rows], reps[rows[_roots(len(rows), a, b)]], n))
+
         for n in np.unique(size[(size > 1) & (size <= 48)]).tolist():
             at = start[size == n][:, None] + np.arange(n)
             for part in np.array_split(at, -(-at.size // 16_384)):
-                x = unit(vectors[part])
-                near = np.matmul(x, x.transpose(0, 2, 1)) >= threshold
+                near = np.matmul(x[part], x[part].transpose(0, 2, 1)) >= threshold
                 near &= (side[part][:, :, None] == 0) | (side[part][:, :, None] != side[part][:, None, :])
-                k, i, j = np.nonzero(near & np.triu(np.ones((n, n), bool), 1))
-                found.append(np.stack([reps[part[k, i]], reps[part[k, j]]]))
+                near &= np.triu(np.ones((n, n), bool), 1) & (reps[part][:, :, None] != reps[part][:, None, :])
+                k, i, j = np.nonzero(near)
+                take(part[k, i], part[k, j])
         for a, n in zip(start[size > 48].tolist(), size[size > 48].tolist(), strict=True):
-            found += alike(reps[a : a + n], side[a : a + n], unit(vectors[a : a + n]))
-        if not found:
-            return
-        pairs = np.concatenate(found, 1)
-        pairs = pairs[:, pairs[0] != pairs[1]]
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-        if pairs.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["u", "v"])
+            all_rows = np.arange(a, a + n)
+            split = side[a : a + n].any()
+            first, second = (all_rows[side[a : a + n] == 1], all_rows[side[a : a + n] == 2]) if split else (all_rows, all_rows)
+            for s in range(0, len(first), 512):
+                i, j = np.nonzero(x[first[s : s + 512]] @ x[second].T >= threshold)
+                i, j = first[s : s + 512][i], second[j]
+                keep = reps[i] != reps[j] if split else i < j
+                take(i[keep], j[keep])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["u", "v", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).flatten().to_numpy().reshape(b.num_rows, -1))
+            rows = (*(b.column(k).to_numpy() for k in range(6)), b.column(6).flatten().to_numpy().reshape(b.num_rows, -1))
             last = np.searchsorted(rows[0], rows[0][-1])  # rows of the last cell may go on in the next batch
             if last or (held and held[-1][0][-1] != rows[0][-1]):
                 done = [*held, tuple(r[:last] for r in rows)]
@@ -147,24 +182,26 @@ def _bucket_links(threshold: float, dim: int):
 
 
 def links(distinct: DataFrame, threshold: float = 0.9, recall: float = 0.995, n_probes: int = 3, block_rows: int = 2000, plan: tuple[int, int] | None = None) -> DataFrame:
-    """(u, v), u < v: pairs of classes (rep, vector) that share a bucket and have cosine >= ``threshold``, each once."""
+    """(u, v, n) rows for classes (rep, members, vector): n sums to the members of all classes that share a bucket with u and have
+    cosine >= ``threshold``; the pairs (u, v) connect the components. No pair of a class is a row, so a large group of near
+    copies stays linear in its rows."""
     lengths = [(r["dim"], r["n"]) for r in distinct.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").collect()]
     out = None
     for dim, n in lengths:  # vectors of another length have no cosine with these
         tables, hashes = plan or search_plan(n, dim, threshold, recall, n_probes)
-        own = distinct.where(F.size("vector") == dim).select("rep", "vector")
-        dealt = written(own.mapInArrow(_deal(tables, hashes, n_probes), "rep long, tab int, bucket long"), "buckets")
+        own = distinct.where(F.size("vector") == dim).select("rep", "members", "vector")
+        dealt = written(own.select("rep", "vector").mapInArrow(_deal(tables, hashes, n_probes), "rep long, tab int, bucket long"), "buckets")
         sizes = dealt.groupBy("tab", "bucket").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block_rows))
         shared = dealt.join(sizes, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         # Every two blocks of a bucket meet in one cell, and each block meets itself in one.
         met = shared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         cell = F.xxhash64("tab", "bucket", F.least("block", "other"), F.greatest("block", "other"))
         side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-        full = met.select(cell.alias("cell"), side.alias("side"), "rep").join(own, "rep").select("cell", "side", "rep", "vector")
+        full = met.select(cell.alias("cell"), side.alias("side"), "tab", "bucket", "rep").join(own, "rep").select("cell", "side", "tab", "bucket", "rep", "members", "vector")
         ready = full.repartition(4 * shuffle_partitions(distinct.sparkSession), "cell").sortWithinPartitions("cell")
-        part = ready.mapInArrow(_bucket_links(threshold, dim), "u long, v long").distinct()
+        part = ready.mapInArrow(_bucket_links(threshold, tables, hashes, n_probes), "u long, v long, n long")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else distinct.sparkSession.createDataFrame([], "u long, v long")
+    return out if out is not None else distinct.sparkSession.createDataFrame([], "u long, v long, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, **search) -> DataFrame:
@@ -181,9 +218,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     good = rows.where("fine").select("vec_id", "vector")
     distinct = written(classes(good), "vector-classes")
     found = written(links(distinct, threshold, **search), "vector-links")
-    both = found.unionByName(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = both.join(distinct.select(F.col("rep").alias("v"), "members"), "v").groupBy("u").agg(F.sum("members").alias("others"))
-    roots = components(found)
+    degree = found.groupBy("u").agg(F.sum("n").alias("others"))
+    roots = components(found.select("u", "v"))
     solved = distinct.join(degree, F.col("rep") == F.col("u"), "left").join(roots, F.col("rep") == F.col("node"), "left")
     solved = solved.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
     done = good.select("vec_id", F.xxhash64("vector").alias("h1"), F.xxhash64(F.lit(3), "vector").alias("h2")).join(solved, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
