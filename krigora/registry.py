@@ -445,8 +445,8 @@ def train_bayesian(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, best, loss(best))
 
 
-@_query("SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(var_pop(value), 3) AS variance FROM events GROUP BY 1")
+@_query("SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start, count(*)::BIGINT AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation FROM events GROUP BY 1")
 def stream_window_moments(spark: SparkSession, d: str) -> DataFrame:
     """The hourly moments of the event stream, as the stream's query computes them over the whole table."""
     got = appends.window_moments(_table(spark, d, "events"), "ts", "value")
-    return got.select(F.unix_timestamp("start").alias("start"), "n", _r(F.col("mean")).alias("mean"), _r(F.col("variance"), 3).alias("variance"))
+    return got.select(F.unix_timestamp("start").alias("start"), "n", _r(F.col("mean")).alias("mean"), _r(F.sqrt("variance")).alias("deviation"))
