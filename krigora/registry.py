@@ -146,6 +146,29 @@ def covariance_matrix_vector(spark: SparkSession, d: str) -> DataFrame:
     return C.matrix_vector(_ball(spark, d), sizes).select("i", _r(F.col("v"), 4).alias("v"))
 
 
+@_query(_SELF.replace("CASE WHEN s.i = t.i THEN 0.25 ELSE 0 END", "0") + "SELECT i, j, round(v, 6) AS v FROM k WHERE i <= j")
+def covariance_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The suppliers of the second half arrive later: old triangle, cross block and new triangle make the whole covariance."""
+    s = _suppliers(spark, d)
+    half = s.agg(F.max("pt_id")).first()[0] // 2
+    old, new = s.where(F.col("pt_id") <= half), s.where(F.col("pt_id") > half)
+    whole = C.stacked(C.half_covariance(old, _kernel, 2), C.cross_covariance(old, new, _kernel, 2), C.half_covariance(new, _kernel, 2))
+    return whole.select("i", "j", _r(F.col("v")).alias("v"))
+
+
+@_query()
+def sparse_logdet(spark: SparkSession, d: str) -> DataFrame:
+    """Random estimate of log|K + V| over all parts, its variance, and a MINRES solve of the same system."""
+    pts = _parts(spark, d)
+    rows, got = pts.select("pt_id", "y").toPandas().sort_values("pt_id"), C.with_noise(_ball(spark, d), NOISE).toPandas()
+    ids = rows["pt_id"].to_numpy()
+    a = L.Coo(np.searchsorted(ids, got["i"]), np.searchsorted(ids, got["j"]), got["v"].to_numpy(), len(ids))
+    y = rows["y"].to_numpy() - rows["y"].mean()
+    x = L.minres(a, y, 1e-8)
+    estimate, variance = L.random_logdet(a, len(ids), 16, 25)
+    return spark.createDataFrame([(estimate, variance, float(np.linalg.norm(a @ x - y)))], "logdet double, variance double, residual double")
+
+
 @_query()
 def sparse_solve(spark: SparkSession, d: str) -> DataFrame:
     """(K + V) a = y - mean over all parts: ball join in Spark, preconditioned conjugate gradients on its nonzeros while they
@@ -227,6 +250,27 @@ def gp_log_likelihood(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([row], "log_likelihood double, logdet double, quadratic double").select(*[_r(F.col(c), 4).alias(c) for c in ("log_likelihood", "logdet", "quadratic")])
 
 
+@_query(_ELIMINATE + "SELECT a.id::BIGINT AS i, b.id::BIGINT AS j, round(z.m[a.r - n][b.r - n], 5) + 0.0::DOUBLE AS s FROM u a, u b, mu, z WHERE a.kind = 2 AND b.kind = 2 AND a.id <= b.id")
+def gp_posterior_covariance(spark: SparkSession, d: str) -> DataFrame:
+    """Posterior covariance of all pairs of nations."""
+    ask = _nations(spark, d).orderBy("pt_id").collect()  # 25 prediction points
+    s = _model(spark, d).posterior(np.array([r["x"] for r in ask]))[1]
+    rows = [(a["pt_id"], b["pt_id"], float(s[i, j])) for i, a in enumerate(ask) for j, b in enumerate(ask) if a["pt_id"] <= b["pt_id"]]
+    return spark.createDataFrame(rows, "i long, j long, s double").select("i", "j", _r(F.col("s"), 5).alias("s"))
+
+
+@_query()
+def gp_multi_task(spark: SparkSession, d: str) -> DataFrame:
+    """Two outputs of every supplier as one model: the task is a further coordinate."""
+    s = _table(spark, d, "supplier")
+    long = P.unpivot_tasks(s, "s_suppkey", [F.col("s_nationkey") / 5.0, (F.col("s_suppkey") % 10) / 3.0], [F.col("s_acctbal") / 1000.0, F.abs(F.col("s_acctbal")) / 1000.0])
+    pts = long.select((F.col("pt_id") * 2 + F.col("task")).alias("pt_id"), "x", "y").withColumn("noise_var", F.lit(NOISE))
+    n = _nations(spark, d).withColumnRenamed("pt_id", "pred_id")
+    ask = P.task_grid(n, n.count(), [0, 1])
+    got = GaussianProcess(pts, [*HYPER, 0.8]).predict(ask.select("flat_id", "x"), "flat_id")
+    return got.select("flat_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
 @_query()
 def gp_posterior_gradient(spark: SparkSession, d: str) -> DataFrame:
     got = _model(spark, d).predict_gradient(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
@@ -378,6 +422,30 @@ def energy_distance(spark: SparkSession, d: str) -> DataFrame:
     return mixture.energy_distance(a, _table(spark, d, "supplier").select(F.col("s_acctbal").alias("b")), "b").select(_r(F.col("energy_distance"), 4).alias("energy_distance"))
 
 
+@_query(f"WITH {_MOMENTS} SELECT a.station AS a, b.station AS b, round(sqrt((a.mean - b.mean) ** 2 + (sqrt(a.variance) - sqrt(b.variance)) ** 2), 4) AS w2 FROM m a JOIN m b ON a.station < b.station")
+def station_wasserstein(spark: SparkSession, d: str) -> DataFrame:
+    """2-Wasserstein distance of every two nations' normal summaries (25 rows)."""
+    m = mixture.station_moments(_balances(spark, d), "station", "value")
+    a, b = (m.select(F.col("station").alias(k), F.col("mean").alias(f"m{k}"), F.col("variance").alias(f"v{k}")) for k in "ab")
+    w2 = mixture.gaussian_w2_squared(F.col("ma"), F.col("va"), F.col("mb"), F.col("vb"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", _r(F.sqrt(w2), 4).alias("w2"))
+
+
+_PROFILE = "list_sort(list_transform({0}, lambda x: (x::DOUBLE ** 2 + 0.01) / list_sum(list_transform({0}, lambda y: y::DOUBLE ** 2 + 0.01))))"
+
+
+@_query(
+    f"""WITH f AS (SELECT label, min(vec_id) AS first FROM embeddings GROUP BY label), g AS (SELECT f.label, e.embedding AS c FROM f JOIN embeddings e ON e.vec_id = f.first),
+p AS (SELECT vec_id, {_PROFILE.format("e.embedding")} AS a, {_PROFILE.format("g.c")} AS b FROM embeddings e JOIN g ON g.label = e.label)
+SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda k: abs(a[k] - b[k]))) / 64, 6) AS v FROM p"""
+)
+def profile_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Distance of the sorted, normalised energy profiles of every vector and its label's first one."""
+    e = _table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double") * x.cast("double") + 0.01).alias("p"))
+    first = e.groupBy("label").agg(F.min_by("p", "vec_id").alias("c"))
+    return e.join(first, "label").select("vec_id", _r(K.sorted_profile_distance(F.col("p"), F.col("c"))).alias("v"))
+
+
 @_query()
 def station_mixtures(spark: SparkSession, d: str) -> DataFrame:
     """A three-part mixture with fixed weights for every nation."""
