@@ -153,16 +153,16 @@ def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
 def swap_search(bins: list[list[int]], lengths: np.ndarray, room: int, donors: int = 64, rounds: int = 4) -> list[list[int]]:
     """Exchange pieces between underfull bins while the sum of squared fills grows; bins that end empty are left out.
 
-    The emptiest ``donors`` bins give: each fuller bin takes a piece of theirs that fits (move), or gives one or two of its own
+    The emptiest ``donors`` bins give: each fuller bin, the fullest first, takes a piece of theirs that fits (move), or gives one or two of its own
     for a longer one that still fits. All exchanges move fill from an emptier to a fuller bin, so squared fill rises each time.
     """
     n = [int(x) for x in lengths]
     for _ in range(rounds):
         fill = [sum(n[i] for i in b) for b in bins]
         under = sorted((b for b in range(len(bins)) if 0 < fill[b] < room), key=lambda b: fill[b])
-        givers, takers = under[:donors], under[donors:] or under[1:]
         if len(under) < 2:
             break
+        givers = set(under[:donors])
         home = {i: b for b in givers for i in bins[b]}
         pool = sorted((n[i], i) for i in home)
         changed = False
@@ -181,7 +181,9 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, room: int, donors: i
             fill[taker] += d
             fill[giver] -= d
 
-        for t in reversed(takers):
+        for t in reversed(under):
+            if t in givers:  # from now on it takes
+                pool[:] = [p for p in pool if home[p[1]] != t]
             while fill[t] < room and pool:
                 slack, best = room - fill[t], None
                 own = bins[t][:24]
