@@ -33,9 +33,11 @@ _LOCAL_END = re.compile(r"[^A-Za-z0-9._%+-]")
 
 #: Spans that only the method may add.
 _LOOSE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}[ ]?(?:\(at\)|\[at\]|\{at\})[ ]?[A-Za-z0-9-]{1,63}(?:[ ]?(?:\(dot\)|\[dot\]|\{dot\}|\.)[ ]?[A-Za-z0-9-]{1,63})+", re.I)
+_DIGITS = re.compile(r"[0-9]+")
 _LOOSE_PHONE = re.compile(r"(?<![\w+.(-])(?:00[1-9][0-9]{0,2}[ .-])?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
 
-#: Gazetteers and context words.
+#: Gazetteers and context words, and how the digits of a card are grouped.
+_CARD_GROUPS = ((4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3))
 _TOP_DOMAINS = frozenset("com org net edu gov io info biz de fr es uk it eu us ch at be nl pl pt se".split())
 _DIAL_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "54", "55", "61", "81", "82", "86", "91")
 _CONTEXT = {
@@ -77,8 +79,8 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m.group().replace(" ", "").replace("-", "")
-            if 14 <= len(digits) <= 19:
-                (good if luhn(digits) else failed).append((m.start(), 2, m.end()))
+            if len(digits) >= 14:
+                (good if len(digits) <= 19 and luhn(digits) else failed).append((m.start(), 2, m.end()))
     if "+" in text:
         for m in _PHONE.finditer(text):
             n = sum("0" <= c <= "9" for c in m.group())
@@ -108,9 +110,39 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
     return (1 if base else 0, structure, gazetteer, context, counter, boundary)
 
 
+def inner_spans(text: str, start: int, kind: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """What a match that failed may hold, where numbers stand side by side: the longest phone number that begins it and ends
+    before a space, and the cards among its groups of digits (one group, or grouped as cards are)."""
+    runs = [(m.start(), m.end()) for m in _DIGITS.finditer(text, start, end)]
+    if kind == 3:
+        n, best = 0, None
+        for s, e in runs:
+            n += e - s
+            if n > 15:
+                break
+            if n >= 10 and text[e : e + 1] == " ":
+                best = e
+        if best and best < end:
+            yield start, 3, best
+    elif kind == 2:
+        k = 0
+        while k < len(runs):
+            wide = next((g for g in _CARD_GROUPS if tuple(e - s for s, e in runs[k : k + len(g)]) == g), (0,))
+            n = sum(wide) or runs[k][1] - runs[k][0]
+            s, e = runs[k][0], runs[k + len(wide) - 1][1]
+            if 14 <= n <= 19 and (s, e) != (start, end) and luhn(text[s:e].replace(" ", "").replace("-", "")):
+                yield s, 2, e
+                k += len(wide)
+            else:
+                k += 1
+
+
 def proposed_spans(text: str, base: list[tuple[int, int, int]], failed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans beside the base ones, which they don't overlap; among themselves the leftmost stays."""
-    more = list(failed)
+    more = []
+    for f in failed:
+        inner = list(inner_spans(text, *f))
+        more += inner or [f] * (f[1] != 2 or sum("0" <= c <= "9" for c in text[f[0] : f[2]]) <= 19)
     if "at" in text or "AT" in text or "At" in text:
         more += [(m.start(), 0, m.end()) for m in _LOOSE_EMAIL.finditer(text)] if any(b in text for b in "([{") else []
     more += [(m.start(), 3, m.end()) for m in _LOOSE_PHONE.finditer(text)]

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("krigora.llm")
-from krigora.llm import embedding_dedup, line_dedup, mixing, packing, pii, queries, quality_rules, simhash
+from krigora.llm import embedding_dedup, langid, line_dedup, mixing, packing, pii, queries, quality_rules, simhash
 from krigora.llm.common import written
 
 from ..compare import assert_same
@@ -183,6 +183,20 @@ def test_added_spans(spark):
     assert (got["n_added"].loc[:8] == 1).all() and "email:12:" in got.loc[3, "spans"] and got.loc[9, "spans"] == ""
 
 
+def test_numbers_side_by_side(spark):
+    """A base match that runs over two numbers fails; the method finds the numbers in it."""
+    card, ip = "4012888888881881", "10.1.2.3"
+    rows = [(i, f"call +49 30 1234567{i} or use {card} on {ip}") for i in range(20)]
+    rows += [(20, f"call +1 (269) 555-3296 {card} now"), (21, f"pay 4012 8888 8888 1881 {card} now"), (22, f"at +1 (826) 555-4081 {ip} now"), (23, "see 12 34 56 78 90 12 34 56 78 90 12 34 56 now"), (24, "1" * 100_000)]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")["spans"]
+    assert got[20] == "phone:5:22,card:23:39" and got[21] == "card:4:23,card:24:40" and got[22] == "phone:3:20,ip:21:29"
+    assert got[23] == "" and got[24] == ""
+
+
+def test_letters():
+    assert langid.has_letter("7 é") and langid.has_letter("語") and not any(map(langid.has_letter, (None, "", "12 ² ½ _!", "\n")))
+
+
 def _components(fps, limit):
     label = np.arange(len(fps))
     for i in range(len(fps)):
