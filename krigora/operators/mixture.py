@@ -99,17 +99,3 @@ def gaussian_w2_squared(m1: Column, v1: Column, m2: Column, v2: Column) -> Colum
     """Squared 2-Wasserstein distance of two normal distributions."""
     d, s = m1 - m2, F.sqrt(v1) - F.sqrt(v2)
     return d * d + s * s
-
-
-def energy_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """2 E|A-B| - E|A-A'| - E|B-B'| of two samples, from ranks: no pairs are formed.
-
-    On the line it equals twice the integral of the squared gap between the distribution functions.
-    """
-    both = a.select(F.col(value).alias("at"), F.lit(1).alias("in_a")).unionByName(b.select(F.col(value).alias("at"), F.lit(0).alias("in_a"))).where(F.col("at").isNotNull())
-    steps = both.groupBy("at").agg(F.sum("in_a").alias("a"), F.sum(1 - F.col("in_a")).alias("b"))
-    order = W.orderBy("at")
-    whole = W.partitionBy()
-    upto = lambda c: F.sum(c).over(order) / F.sum(c).over(whole)
-    gaps = steps.select((upto("a") - upto("b")).alias("gap"), (F.lead("at").over(order) - F.col("at")).alias("width"))
-    return gaps.agg(F.coalesce(F.sum(2.0 * F.col("gap") * F.col("gap") * F.col("width")), F.lit(0.0)).alias("energy_distance"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from krigora.functions import kernels as K
 from krigora.operators import covariance as C
 from krigora.operators import linalg as L
-from krigora.operators import metrics, mixture
+from krigora.operators import metrics, mixture, samples
 from krigora.operators.gp import GaussianProcess, grouped_posterior
 from krigora.plans import training
 from krigora.sources import points as P
@@ -419,7 +419,7 @@ SELECT round(sum(2 * gap * gap * width), 4) AS energy_distance FROM s"""
 )
 def energy_distance(spark: SparkSession, d: str) -> DataFrame:
     a = _table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_acctbal").alias("b"))
-    return mixture.energy_distance(a, _table(spark, d, "supplier").select(F.col("s_acctbal").alias("b")), "b").select(_r(F.col("energy_distance"), 4).alias("energy_distance"))
+    return samples.energy_distance(a, _table(spark, d, "supplier").select(F.col("s_acctbal").alias("b")), "b").select(_r(F.col("energy_distance"), 4).alias("energy_distance"))
 
 
 @_query(f"WITH {_MOMENTS} SELECT a.station AS a, b.station AS b, round(sqrt((a.mean - b.mean) ** 2 + (sqrt(a.variance) - sqrt(b.variance)) ** 2), 4) AS w2 FROM m a JOIN m b ON a.station < b.station")
@@ -453,6 +453,43 @@ def station_mixtures(spark: SparkSession, d: str) -> DataFrame:
     return got.select("station", "k", "weight", _r(F.col("mean"), 1).alias("mean"), _r(F.col("variance"), 0).alias("variance"))
 
 
+_TWO = """WITH a AS (SELECT s_suppkey AS i, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2 FROM supplier),
+b AS (SELECT n_nationkey::BIGINT AS i, n_nationkey / 5.0::DOUBLE AS x1, n_regionkey::DOUBLE AS x2 FROM nation),
+aa AS (SELECT sqrt((p.x1 - q.x1) ** 2 + (p.x2 - q.x2) ** 2) AS d FROM a p JOIN a q ON p.i < q.i), bb AS (SELECT sqrt((p.x1 - q.x1) ** 2 + (p.x2 - q.x2) ** 2) AS d FROM b p JOIN b q ON p.i < q.i),
+ab AS (SELECT sqrt((p.x1 - q.x1) ** 2 + (p.x2 - q.x2) ** 2) AS d FROM a p, b q), n AS (SELECT count(*)::DOUBLE AS n FROM a), m AS (SELECT count(*)::DOUBLE AS m FROM b)
+"""
+
+
+@_query(_TWO + "SELECT round(2 * (SELECT sum(d) FROM ab) / (n * m) - 2 * (SELECT sum(d) FROM aa) / n ** 2 - 2 * (SELECT sum(d) FROM bb) / m ** 2, 6) AS energy_distance FROM n, m")
+def energy_distance_points(spark: SparkSession, d: str) -> DataFrame:
+    """Energy distance of suppliers and nations as points of a plane."""
+    return spark.createDataFrame([(samples.energy_distance_points(_suppliers(spark, d), _nations(spark, d), 2),)], "v double").select(_r(F.col("v")).alias("energy_distance"))
+
+
+@_query(_TWO + "SELECT round(2 * (SELECT sum(exp(-0.5 * d * d)) FROM aa) / (n * (n - 1)) + 2 * (SELECT sum(exp(-0.5 * d * d)) FROM bb) / (m * (m - 1)) - 2 * (SELECT sum(exp(-0.5 * d * d)) FROM ab) / (n * m), 6) AS mmd FROM n, m")
+def mean_discrepancy(spark: SparkSession, d: str) -> DataFrame:
+    """Unbiased squared maximum mean discrepancy of suppliers and nations."""
+    return spark.createDataFrame([(samples.mmd_rbf(_suppliers(spark, d), _nations(spark, d), 2, 0.5),)], "v double").select(_r(F.col("v")).alias("mmd"))
+
+
+_ALONG = samples.directions(16, 2).round(6).tolist()
+
+
+@_query(
+    f"""WITH u AS (SELECT * FROM (VALUES {", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for k, (a, b) in enumerate(_ALONG))}) t(line, u1, u2)),
+c AS (SELECT line, (c_acctbal / 1000) * u1 + (c_nationkey / 5.0::DOUBLE) * u2 AS pos, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS a FROM customer, u WHERE c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL AND c_mktsegment IS NOT NULL),
+g AS (SELECT line, pos, sum(a) AS a, sum(1 - a) AS b FROM c GROUP BY ALL),
+s AS (SELECT line, sum(a) OVER w / sum(a) OVER (PARTITION BY line) - sum(b) OVER w / sum(b) OVER (PARTITION BY line) AS gap, lead(pos) OVER w - pos AS width FROM g WINDOW w AS (PARTITION BY line ORDER BY pos)),
+l AS (SELECT line, sum(abs(gap) * width) AS w1 FROM s GROUP BY line) SELECT round(avg(w1), 6) AS sliced_wasserstein FROM l"""
+)
+def sliced_wasserstein(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of one segment against the others, as points of a plane, over 16 random directions."""
+    c = _table(spark, d, "customer").where("c_acctbal IS NOT NULL AND c_nationkey IS NOT NULL")
+    pts = c.select("c_mktsegment", F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey") / 5.0).alias("x"))
+    got = samples.sliced_wasserstein(pts.where("c_mktsegment = 'BUILDING'"), pts.where("c_mktsegment <> 'BUILDING'"), _ALONG)
+    return got.select(_r(F.col("sliced_wasserstein")).alias("sliced_wasserstein"))
+
+
 # --- training and streams
 
 

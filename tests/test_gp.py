@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from krigora.functions import kernels as K
 from krigora.operators import covariance as C
 from krigora.operators import linalg as L
-from krigora.operators import metrics, mixture
+from krigora.operators import metrics, mixture, samples
 from krigora.operators.gp import GaussianProcess, block, gaussian_entropy, grouped_posterior, kl_divergence
 from krigora.plans import training
 from krigora.sources import points as P
@@ -177,7 +177,31 @@ def test_mixtures(spark):
     a, b = df.where("station = 1"), df.where("station = 2").withColumn("value", F.col("value") + 1)
     p, q = (np.array([r.value for r in d.collect()]) for d in (a, b))
     pairs = lambda u, v: np.abs(u[:, None] - v[None]).mean()
-    assert np.isclose(mixture.energy_distance(a, b, "value").first()[0], 2 * pairs(p, q) - pairs(p, p) - pairs(q, q), atol=1e-9)
+    assert np.isclose(samples.energy_distance(a, b, "value").first()[0], 2 * pairs(p, q) - pairs(p, p) - pairs(q, q), atol=1e-9)
+
+
+def test_two_samples(spark):
+    rng = np.random.default_rng(4)
+    p, q = rng.normal(size=(60, 3)).round(1), rng.normal(0.5, 2, size=(45, 3)).round(1)
+    a, b = _points(spark, p), _points(spark, q)
+    d = lambda x, y: np.linalg.norm(x[:, None] - y[None], axis=2)
+    assert np.isclose(samples.energy_distance_points(a, b, 3), 2 * d(p, q).mean() - d(p, p).mean() - d(q, q).mean())
+    k = lambda x, y: np.exp(-0.3 * d(x, y) ** 2)
+    want = (k(p, p).sum() - 60) / (60 * 59) + (k(q, q).sum() - 45) / (45 * 44) - 2 * k(p, q).mean()
+    assert np.isclose(samples.mmd_rbf(a, b, 3, 0.3), want)
+    both = np.concatenate([p, q])
+    assert np.isclose(samples.median_gamma(a, b, 3), 1 / (2 * np.median(d(both, both)[np.triu_indices(105, 1)] ** 2)), rtol=0.05)
+    u = samples.directions(5, 3)
+    w1 = []
+    for x in u:
+        s, t = np.sort(p @ x), np.sort(q @ x)
+        at = np.sort(np.concatenate([s, t]))
+        gap = np.searchsorted(s, at[:-1], "right") / 60 - np.searchsorted(t, at[:-1], "right") / 45
+        w1.append((np.abs(gap) * np.diff(at)).sum())
+    assert np.isclose(samples.sliced_wasserstein(a, b, u.tolist()).first()[0], np.mean(w1))
+    assert samples.sliced_wasserstein(a.limit(0), b.limit(0), u.tolist()).first()[0] is None
+    with pytest.raises(ValueError):
+        samples.mmd_rbf(a.limit(1), b, 3, 0.3)
 
 
 def test_training_finds_the_optimum(spark):
