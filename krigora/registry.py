@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from krigora.functions import kernels as K
 from krigora.operators import covariance as C
 from krigora.operators import linalg as L
-from krigora.operators import metrics, mixture, samples
+from krigora.operators import metrics, mixture, mixture_points, samples
 from krigora.operators.gp import GaussianProcess, grouped_posterior
 from krigora.plans import training
 from krigora.sources import points as P
@@ -490,6 +490,38 @@ def sliced_wasserstein(spark: SparkSession, d: str) -> DataFrame:
     return got.select(_r(F.col("sliced_wasserstein")).alias("sliced_wasserstein"))
 
 
+# --- customers' balances and ages as points of a plane, by nation
+
+
+def _customer_points(spark: SparkSession, d: str) -> DataFrame:
+    c = _table(spark, d, "customer").where("c_acctbal IS NOT NULL")
+    return c.select(F.col("c_nationkey").alias("station"), F.array(F.col("c_acctbal") / 1000, (F.col("c_custkey") % 10) / 3.0).alias("x"))
+
+
+@_query(
+    """WITH p AS (SELECT c_custkey AS id, c_nationkey AS s, c_acctbal / 1000 AS x1, (c_custkey % 10) / 3.0::DOUBLE AS x2 FROM customer WHERE c_acctbal IS NOT NULL),
+m AS (SELECT s, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) + 1 AS v1, var_pop(x2) + 1 AS v2 FROM p GROUP BY s),
+d AS (SELECT id, k, exp(-1 * (x1 - m1 - (k - 1) * sqrt(v1)) ** 2 / (2 * v1)) / sqrt(2 * pi() * v1) * exp(-1 * (x2 - m2 - (k - 1) * sqrt(v2)) ** 2 / (2 * v2)) / sqrt(2 * pi() * v2) / 3 AS p FROM p JOIN m ON p.s = m.s, range(3) t(k)),
+r AS (SELECT k, p / sum(p) OVER (PARTITION BY id) AS q FROM d) SELECT k::INT AS k, round(avg(q), 6) AS weight FROM r GROUP BY k"""
+)
+def mixture_points_em_step(spark: SparkSession, d: str) -> DataFrame:
+    """One step for the common weights of three components per nation, spread around its moments."""
+    p = _customer_points(spark, d)
+    axis = lambda f, k: f(F.get("x", k))
+    m = p.groupBy("station").agg(F.array(axis(F.avg, 0), axis(F.avg, 1)).alias("m"), F.array(axis(F.var_pop, 0) + 1, axis(F.var_pop, 1) + 1).alias("variance"))
+    comp = m.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn("mean", F.zip_with("m", "variance", lambda a, v: a + (F.col("k") - 1) * F.sqrt(v)))
+    w = mixture_points.em_weights(p, comp.select("station", "k", "mean", "variance"), [1 / 3] * 3, 2)
+    return spark.createDataFrame(list(enumerate(w)), "k int, weight double").select("k", _r(F.col("weight")).alias("weight"))
+
+
+@_query()
+def mixture_points_aligned(spark: SparkSession, d: str) -> DataFrame:
+    """A mixture of two parts per nation, numbered alike along the shortest tree over the nations."""
+    comp = mixture_points.station_mixtures(_customer_points(spark, d), 2)
+    tree = mixture_points.station_tree(_nations(spark, d).select(F.col("pt_id").cast("int").alias("station"), "x"))
+    return mixture_points.aligned_along(comp, tree).select("station", "k", _r(F.col("weight"), 3).alias("weight"), F.transform("mean", lambda v: _r(v, 2)).alias("mean"))
+
+
 # --- training and streams
 
 

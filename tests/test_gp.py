@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from krigora.functions import kernels as K
 from krigora.operators import covariance as C
 from krigora.operators import linalg as L
-from krigora.operators import metrics, mixture, samples
+from krigora.operators import metrics, mixture, mixture_points, samples
 from krigora.operators.gp import GaussianProcess, block, gaussian_entropy, grouped_posterior, kl_divergence
 from krigora.plans import training
 from krigora.sources import points as P
@@ -204,6 +204,26 @@ def test_two_samples(spark):
         samples.mmd_rbf(a.limit(1), b, 3, 0.3)
 
 
+def test_mixtures_of_points(spark):
+    rng = np.random.default_rng(6)
+    at = np.array([[-3.0, 1.0], [4.0, -2.0]])
+    rows = [(s, [float(v) for v in at[k] + s + rng.normal(0, 0.5, 2)]) for s in range(3) for k in (0, 1) for _ in range(200 + 200 * k)]
+    df = spark.createDataFrame([*rows, (1, None), (1, [float("nan"), 1.0])], "station int, x array<double>")
+    comp = mixture_points.station_mixtures(df, 2)
+    got = comp.orderBy("station", "k").toPandas()
+    for s in range(3):
+        assert np.allclose(np.stack(got[got.station == s]["mean"]), at + s, atol=0.15) and np.allclose(got[got.station == s]["weight"], [1 / 3, 2 / 3], atol=0.01)
+    w = mixture_points.em_weights(df.where("x IS NOT NULL AND NOT isnan(x[0])"), comp, [0.5, 0.5], 2)
+    assert np.allclose(w, [1 / 3, 2 / 3], atol=0.01)
+    turned = comp.withColumn("k", F.when(F.col("station") == 2, 1 - F.col("k")).otherwise(F.col("k")).cast("int"))
+    places = spark.createDataFrame([(0, [0.0]), (1, [1.0]), (2, [2.5])], "station int, x array<double>")
+    tree = mixture_points.station_tree(places)
+    assert tree == [(1, 0), (1, 2)]
+    for fixed in (mixture_points.aligned_along(turned, tree), mixture_points.aligned_to(turned, 0)):
+        assert fixed.orderBy("station", "k").toPandas()["weight"].round(6).tolist() == got["weight"].round(6).tolist()
+    assert mixture_points.best_order(np.array([[5.0, 1.0, 9.0], [1.0, 5.0, 9.0], [9.0, 9.0, 0.0]])) == [1, 0, 2]
+
+
 def test_training_finds_the_optimum(spark):
     bounds = np.array([[0.01, 10.0], [0.1, 100.0]])
     f = lambda h: float(((np.log(h) - [0.0, np.log(10.0)]) ** 2).sum())
