@@ -7,6 +7,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from krigora.functions.kernels import distance, wendland
 from krigora.sources.points import coordinates
@@ -67,6 +68,13 @@ def ball_join(points: DataFrame, lengths: Sequence[float], dims: int, amplitude:
     return pairs.withColumn("d", d).where("d < 1").select("i", "j", (amplitude * wendland(F.col("d"))).alias("v"))
 
 
+def grid_blocks(points: DataFrame, lengths: Sequence[float], dims: int, most: int = 256) -> DataFrame:
+    """(i, block): the points of a cell of the ball join's grid, in runs of at most ``most`` points along the coordinates."""
+    cells = [F.floor(F.get(F.col("x"), k) / lengths[k]) for k in range(min(dims, 3))]
+    run = F.floor((F.row_number().over(W.partitionBy(*cells).orderBy("x", "pt_id")) - 1) / most)
+    return points.select(F.col("pt_id").alias("i"), F.concat_ws(":", *cells, run).alias("block"))
+
+
 def with_noise(half: DataFrame, noise: DataFrame | float) -> DataFrame:
     """K + V for a diagonal V: one number, or a table (i, noise)."""
     if isinstance(noise, DataFrame):

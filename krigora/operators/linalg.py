@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .covariance import matrix_vector
+from .covariance import mirrored
 
 
 class NotPositiveDefinite(ValueError):
@@ -105,9 +106,11 @@ def conjugate_gradient(a, b: np.ndarray, x0: np.ndarray | None = None, precondit
     r = b - a @ x
     z = precondition(r) if precondition else r
     p, rz, stop = z.copy(), r @ z, tol * np.linalg.norm(b)
-    for _ in range(most):
+    for k in range(most + 1):
         if np.linalg.norm(r) <= stop:
             break
+        if k == most:
+            raise RuntimeError(f"conjugate gradients are at a residual of {np.linalg.norm(r):.3g} after {most} iterations, not at {stop:.3g}")
         ap = a @ p
         step = rz / (p @ ap)
         x += step * p
@@ -169,25 +172,64 @@ def random_logdet(a, n: int, probes: int = 32, degree: int = 30, seed: int = 0)
     return float(np.mean(got)), float(np.var(got, ddof=1) / probes) if probes > 1 else 0.0
 
 
-def spark_conjugate_gradient(half: DataFrame, rhs: DataFrame, tol: float = 1e-6, most: int = 200) -> DataFrame:
+def row_products(full: DataFrame, vectors: DataFrame, names: list[str]) -> DataFrame:
+    """``vectors`` (i, names...) with each column also as ``k_<name>``, the matrix times it; ``full`` has both triangles."""
+    side = vectors.select(F.col("i").alias("j"), *names)
+    got = full.join(side, "j").groupBy("i").agg(*[F.sum(F.col("v") * F.col(c)).alias(f"k_{c}") for c in names])
+    return vectors.join(got, "i", "left").fillna(0.0, [f"k_{c}" for c in names])
+
+
+def spark_block_inverses(half: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Triangle i <= j of the inverses of the diagonal blocks of ``half``; blocks: (i, block) with few rows each."""
+    own = half.join(blocks, "i").join(blocks.select(F.col("i").alias("j"), F.col("block").alias("other")), "j").where(F.col("block") == F.col("other"))
+
+    def invert(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(pdf["i"].to_numpy())
+        a, b = np.searchsorted(ids, pdf["i"]), np.searchsorted(ids, pdf["j"])
+        m = np.zeros((len(ids), len(ids)))
+        m[a, b] = m[b, a] = pdf["v"].to_numpy()
+        low = forward(cholesky(m), np.eye(len(ids)))
+        r, c = np.triu_indices(len(ids))
+        return pd.DataFrame({"i": ids[r], "j": ids[c], "v": (low.T @ low)[r, c]})
+
+    return own.select("i", "j", "v", "block").groupBy("block").applyInPandas(invert, half.select("i", "j", "v").schema)
+
+
+def spark_conjugate_gradient(half: DataFrame, rhs: DataFrame, tol: float = 1e-8, most: int = 10_000, blocks: DataFrame | None = None) -> DataFrame:
     """(i, v) solution of K x = rhs with K and all vectors as tables: for systems no single machine holds.
 
-    Each iteration is one matrix-vector join and two sums; state is written to the shared folder so lineage stays short.
+    Each iteration is one matrix-vector join and two sums, and one more join if ``blocks`` (i, block) gives a block-Jacobi
+    preconditioner; state is written to the shared folder so lineage stays short. Raises if ``tol`` is not met.
     """
     from krigora.sources.store import written
 
-    dot = lambda c: float(c.first()[0] or 0.0)
-    state = written(rhs.select("i", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.col("v").alias("p")), "cg")
-    rr = dot(state.agg(F.sum(F.col("r") * F.col("r"))))
-    stop = tol * tol * rr
-    for _ in range(most):
-        if rr <= stop:
-            break
-        ap = matrix_vector(half, state.select("i", F.col("p").alias("v"))).withColumnRenamed("v", "ap")
-        both = written(state.join(ap, "i", "left").fillna(0.0, ["ap"]), "cg")
-        step = rr / dot(both.agg(F.sum(F.col("p") * F.col("ap"))))
-        moved = both.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("ap")).alias("r"), "p")
-        new = dot(moved.agg(F.sum(F.col("r") * F.col("r"))))
-        state = written(moved.select("i", "x", "r", (F.col("r") + (new / rr) * F.col("p")).alias("p")), "cg")
-        rr = new
+    inverse = written(mirrored(spark_block_inverses(half, blocks)).repartition("i"), "cg-blocks") if blocks is not None else None
+    full = written(mirrored(half.select("i", "j", "v")).repartition("i"), "cg-matrix")
+
+    def conditioned(rows: DataFrame) -> DataFrame:
+        """Adds z, the preconditioner times r."""
+        if inverse is None:
+            return rows.withColumn("z", F.col("r"))
+        return row_products(inverse, rows, ["r"]).withColumnRenamed("k_r", "z")
+
+    def sums(rows: DataFrame) -> tuple[float, float]:
+        return tuple(float(c or 0.0) for c in rows.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("z"))).first())
+
+    state = written(conditioned(rhs.select("i", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.lit(0.0).alias("p"))), "cg")
+    rr, rz = sums(state)
+    stop, turn, left = tol * tol * rr, 0.0, most
+    while rr > stop:
+        if not left:
+            raise RuntimeError(f"conjugate gradients are at {(rr / stop) ** 0.5 * tol:.3g} of the right side after {most} iterations, not at {tol:g}")
+        left -= 1
+        state = state.select("i", "x", "r", (F.col("z") + turn * F.col("p")).alias("p"))
+        both = written(row_products(full, state, ["p"]), "cg")
+        bend = float(both.agg(F.sum(F.col("p") * F.col("k_p"))).first()[0])
+        if not bend > 0:
+            raise NotPositiveDefinite(f"p'Kp is {bend:.3g} in conjugate gradients")
+        moved = both.select("i", (F.col("x") + rz / bend * F.col("p")).alias("x"), (F.col("r") - rz / bend * F.col("k_p")).alias("r"), "p")
+        state = written(conditioned(moved), "cg")
+        old = rz
+        rr, rz = sums(state)
+        turn = rz / old
     return state.select("i", F.col("x").alias("v"))

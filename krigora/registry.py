@@ -22,6 +22,7 @@ ORACLE_SQL: dict[str, str] = {}
 LENGTHS = [1.5, 2.0]
 HYPER = [2.0, 1.5, 1.0]
 NOISE = 0.25
+BALL = [0.03, 0.003]
 
 
 def _query(sql: str | None = None):
@@ -131,7 +132,7 @@ k AS (SELECT i, j, 1.5 * (1 - d) ** 8 * (32 * d ** 3 + 25 * d * d + 8 * d + 1) A
 
 
 def _ball(spark: SparkSession, d: str) -> DataFrame:
-    return C.ball_join(_parts(spark, d), [0.03, 0.003], 2, 1.5)
+    return C.ball_join(_parts(spark, d), BALL, 2, 1.5)
 
 
 @_query(_BALL + "SELECT i, j, round(v, 6) AS v FROM k")
@@ -172,13 +173,14 @@ def sparse_logdet(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def sparse_solve(spark: SparkSession, d: str) -> DataFrame:
     """(K + V) a = y - mean over all parts: ball join in Spark, preconditioned conjugate gradients on its nonzeros while they
-    fit one machine, else the same iteration on tables."""
+    fit one machine, else the same iteration to the same tolerance on tables."""
     pts = _parts(spark, d)
     half = C.with_noise(_ball(spark, d), NOISE)
     n, mean = pts.agg(F.count("*"), F.avg("y")).first()
     nnz = half.count()
     if C.solve_mode(n, 2 * nnz) == "spark_cg":
-        return L.spark_conjugate_gradient(half, pts.select(F.col("pt_id").alias("i"), (F.col("y") - mean).alias("v"))).select("i", _r(F.col("v"), 4).alias("alpha"))
+        rhs = pts.select(F.col("pt_id").alias("i"), (F.col("y") - mean).alias("v"))
+        return L.spark_conjugate_gradient(half, rhs, blocks=C.grid_blocks(pts, BALL, 2)).select("i", _r(F.col("v"), 4).alias("alpha"))
     got, rows = half.toPandas(), pts.select("pt_id", "y").toPandas().sort_values("pt_id")
     ids = rows["pt_id"].to_numpy()
     a = L.Coo(np.searchsorted(ids, got["i"]), np.searchsorted(ids, got["j"]), got["v"].to_numpy(), len(ids))

@@ -68,6 +68,23 @@ def test_solvers_agree(spark, data):
         L.cholesky(-np.eye(3))
 
 
+def test_solver_on_tables_meets_the_local_tolerance_or_raises(spark, data, monkeypatch):
+    x, y = data
+    pts = _points(spark, x, y)
+    half = C.with_noise(C.ball_join(pts, [0.6, 0.6], 2), 0.1)
+    rhs = pts.select(F.col("pt_id").alias("i"), F.col("y").alias("v"))
+    got = half.toPandas()
+    dense = np.zeros((40, 40))
+    dense[got["i"], got["j"]] = dense[got["j"], got["i"]] = got["v"]
+    blocks = C.grid_blocks(pts, [0.6, 0.6], 2, most=16)
+    table = {r.i: r.v for r in L.spark_conjugate_gradient(half, rhs, blocks=blocks).collect()}
+    assert np.linalg.norm(dense @ [table[i] for i in range(40)] - y) <= 1.01e-8 * np.linalg.norm(y)
+    with pytest.raises(RuntimeError):
+        L.spark_conjugate_gradient(half, rhs, most=1)
+    with pytest.raises(RuntimeError):
+        L.conjugate_gradient(dense, y, most=2)
+
+
 def test_appends_extend_factor_and_inverse(data):
     x, _ = data
     k = block(x, x, [1.0, 0.5, 0.5]) + 0.1 * np.eye(40)
