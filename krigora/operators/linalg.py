@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -166,9 +166,7 @@ def random_logdet(a, n: int, probes: int = 32, degree: int = 30, seed: int = 0)
             old = basis[-1]
             beta.append(size)
             basis.append(u / size)
-        m = len(alpha)
-        w, vec = np.linalg.eigh(np.diag(alpha) + np.diag(beta[: m - 1], 1) + np.diag(beta[: m - 1], -1))
-        got.append(n * float((vec[0] ** 2 * np.log(np.maximum(w, 1e-300))).sum()))
+        got.append(quadrature(alpha, beta[: len(alpha) - 1], n))
     return float(np.mean(got)), float(np.var(got, ddof=1) / probes) if probes > 1 else 0.0
 
 
@@ -179,6 +177,44 @@ def row_products(full: DataFrame, vectors: DataFrame, names: list[str]) -> DataF
     return vectors.join(got, "i", "left").fillna(0.0, [f"k_{c}" for c in names])
 
 
+def quadrature(alpha: Sequence[float], beta: Sequence[float], n: int) -> float:
+    """n times e1' log(T) e1 of the tridiagonal T from a Lanczos run."""
+    w, vec = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+    return n * float((vec[0] ** 2 * np.log(np.maximum(w, 1e-300))).sum())
+
+
+def spark_random_logdet(half: DataFrame, rows: DataFrame, probes: int = 32, degree: int = 30, seed: int = 0) -> tuple[float, float]:
+    """``random_logdet`` with K and the probes as tables: rows (i) of signs by hash, one join and two sums a step for all probes.
+
+    Only the tridiagonal coefficients reach the driver. A probe whose Krylov space is exhausted goes on as zeros.
+    """
+    from krigora.sources.store import written
+
+    full = written(mirrored(half.select("i", "j", "v")).repartition("i"), "lanczos-matrix")
+    n, v, old = rows.count(), [f"v{k}" for k in range(probes)], [f"o{k}" for k in range(probes)]
+    sign = lambda k: F.when(F.xxhash64("i", F.lit(seed), F.lit(k)) % 2 == 0, F.lit(n**-0.5)).otherwise(F.lit(-(n**-0.5)))
+    state = rows.select("i", *[sign(k).alias(c) for k, c in enumerate(v)], *[F.lit(0.0).alias(c) for c in old])
+    alpha, beta, live = [[] for _ in v], [[] for _ in v], [True] * probes
+    for step in range(min(degree, n)):
+        u = row_products(full, state, v)
+        last = [b[-1] if b and on else 0.0 for b, on in zip(beta, live, strict=True)]
+        u = written(u.select("i", *v, *[(F.col(f"k_{c}") - b * F.col(o)).alias(o) for c, o, b in zip(v, old, last, strict=True)]), "lanczos")
+        a = u.agg(*[F.sum(F.col(c) * F.col(o)) for c, o in zip(v, old, strict=True)]).first()
+        rest = [F.col(o) - float(x) * F.col(c) for c, o, x in zip(v, old, a, strict=True)]
+        size = [float(x) ** 0.5 for x in u.agg(*[F.sum(r * r) for r in rest]).first()]
+        for k in range(probes):
+            if live[k]:
+                alpha[k].append(float(a[k]))
+                live[k] = size[k] >= 1e-10
+                if live[k] and step < min(degree, n) - 1:
+                    beta[k].append(size[k])
+        if not any(live):
+            break
+        state = u.select("i", *[(r / s if on else F.lit(0.0)).alias(c) for r, s, on, c in zip(rest, size, live, v, strict=True)], *[F.col(c).alias(o) for c, o in zip(v, old, strict=True)])
+    got = [quadrature(x, y, n) for x, y in zip(alpha, beta, strict=True)]
+    return float(np.mean(got)), float(np.var(got, ddof=1) / probes) if probes > 1 else 0.0
+
+
 def spark_block_inverses(half: DataFrame, blocks: DataFrame) -> DataFrame:
     """Triangle i <= j of the inverses of the diagonal blocks of ``half``; blocks: (i, block) with few rows each."""
     own = half.join(blocks, "i").join(blocks.select(F.col("i").alias("j"), F.col("block").alias("other")), "j").where(F.col("block") == F.col("other"))

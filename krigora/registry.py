@@ -15,6 +15,7 @@ from krigora.operators import metrics, mixture, mixture_points, samples
 from krigora.operators.gp import GaussianProcess, grouped_posterior
 from krigora.plans import training
 from krigora.sources import points as P
+from krigora.sources.store import written
 from krigora.streaming import appends
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,15 +160,15 @@ def covariance_appended(spark: SparkSession, d: str) -> DataFrame:
 
 @_query()
 def sparse_logdet(spark: SparkSession, d: str) -> DataFrame:
-    """Random estimate of log|K + V| over all parts, its variance, and a MINRES solve of the same system."""
+    """Random estimate of log|K + V| over all parts, its variance, and the residual of a solve of the same system, all on tables."""
     pts = _parts(spark, d)
-    rows, got = pts.select("pt_id", "y").toPandas().sort_values("pt_id"), C.with_noise(_ball(spark, d), NOISE).toPandas()
-    ids = rows["pt_id"].to_numpy()
-    a = L.Coo(np.searchsorted(ids, got["i"]), np.searchsorted(ids, got["j"]), got["v"].to_numpy(), len(ids))
-    y = rows["y"].to_numpy() - rows["y"].mean()
-    x = L.minres(a, y, 1e-8)
-    estimate, variance = L.random_logdet(a, len(ids), 16, 25)
-    return spark.createDataFrame([(estimate, variance, float(np.linalg.norm(a @ x - y)))], "logdet double, variance double, residual double")
+    half = written(C.with_noise(_ball(spark, d), NOISE), "sparse-matrix")
+    mean = pts.agg(F.avg("y")).first()[0]
+    rhs = pts.select(F.col("pt_id").alias("i"), (F.col("y") - mean).alias("v"))
+    x = L.spark_conjugate_gradient(half, rhs, blocks=C.grid_blocks(pts, BALL, 2))
+    gap = C.matrix_vector(half, x).join(rhs.withColumnRenamed("v", "y"), "i").agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("y"), 2)))).first()[0]
+    estimate, variance = L.spark_random_logdet(half, rhs.select("i"), 16, 25)
+    return spark.createDataFrame([(estimate, variance, float(gap))], "logdet double, variance double, residual double")
 
 
 @_query()

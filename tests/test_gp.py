@@ -85,6 +85,15 @@ def test_solver_on_tables_meets_the_local_tolerance_or_raises(spark, data, monke
         L.conjugate_gradient(dense, y, most=2)
 
 
+def test_logdet_on_tables(spark, data):
+    half = C.with_noise(C.ball_join(_points(spark, data[0]), [0.6, 0.6], 2), 0.1)
+    got = half.toPandas()
+    dense = np.zeros((40, 40))
+    dense[got["i"], got["j"]] = dense[got["j"], got["i"]] = got["v"]
+    estimate, variance = L.spark_random_logdet(half, spark.range(40).withColumnRenamed("id", "i"), probes=16, degree=8)
+    assert abs(estimate - np.linalg.slogdet(dense)[1]) < 5 * np.sqrt(variance) + 0.1
+
+
 def test_appends_extend_factor_and_inverse(data):
     x, _ = data
     k = block(x, x, [1.0, 0.5, 0.5]) + 0.1 * np.eye(40)
