@@ -5,19 +5,23 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 _OWN_DIRS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, else one below the warehouse (tests)."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir; unset, one below the warehouse, but only in local mode."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return conf or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
@@ -29,21 +33,44 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
         atexit.register(_clean)
     _OWN_DIRS.append((spark, path))
     df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended already; the folder is scratch
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _clean() -> None:
     for spark, path in _OWN_DIRS:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may have ended already; the folder is scratch
-            return
+        _delete(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``written`` made and nothing reads any more."""
+    _delete(df.sparkSession, df.folder)
+
+
+def running_total(df: DataFrame, order: list[str], value: str) -> DataFrame:
+    """``df`` with ``before``, the sum of ``value`` over all rows that come earlier in ``order``, without a one-task window.
+
+    Rows are dealt to ranges of the order; the totals of the ranges (one row each) are summed first, then each range by itself.
+    """
+    parts = shuffle_partitions(df.sparkSession)
+    dealt = written(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(F.sum(value).alias("_total"))  # at most ``parts`` rows
+    ahead = totals.select(F.col("_range").alias("_at"), F.coalesce(F.sum("_total").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(ahead), F.col("_range") == F.col("_at")).withColumn("before", F.col("_ahead") + inside).drop("_range", "_at", "_ahead")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the input; one that lies in fewer splits than there are cores (a small file) is dealt to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

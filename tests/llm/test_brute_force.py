@@ -234,6 +234,64 @@ def test_gray_index_and_hot_buckets(spark, bucket_rows):
     assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want))
 
 
+def _alike(texts, similarity=0.8):
+    """Components of texts by the Jaccard similarity of their five-word shingles, all pairs."""
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = np.arange(len(sets))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if len(a & b) >= similarity * len(a | b):
+                label[label == label[i]] = min(label[i], label[j])
+                label[label == label[j]] = label[i] = min(label[i], label[j])
+    for i in range(len(label)):
+        while label[label[i]] != label[i]:
+            label[i] = label[label[i]]
+    return label
+
+
+def test_alike_texts(spark):
+    """Families of edited texts at similarities about 0.8, against all pairs; recall of the links is stated in the README."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for f in range(60):
+        base = rng.integers(0, 3000, 160)
+        for k in range(6):
+            t = base.copy()
+            at = rng.choice(160, rng.integers(0, 5), replace=False)
+            t[at] = rng.integers(3000, 9000, len(at))
+            rows.append((len(rows), " ".join(f"w{x}" for x in t)))
+    rows += [(len(rows) + k, t) for k, t in enumerate([None, "", " \n", "one two", "One  two", "one three"])]
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _gone long, node int")
+    want = _alike([t for _, t in rows])
+    for blocks in (512, 2):
+        got = dict(simhash.similar_texts(df, block_rows=blocks).select("doc_id", "component_id").collect())
+        mine = np.array([got[k] for k in range(len(rows))])
+        assert (mine >= want).all() and (mine == want).mean() > 0.97
+        assert mine[360:].tolist() == [360, 360, 360, 363, 363, 365]
+    kept = simhash.keep_first(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(mine.tolist()))
+
+
+def test_index_prunes_whole_groups():
+    rng = np.random.default_rng(3)
+    f = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    f = np.unique(np.concatenate([f, f[:50] ^ np.uint64(5)]))
+    index = simhash.GrayIndex(f)
+    found = sum(len(i) for i, _ in index.links(2))
+    assert found == sum(int((np.bitwise_count(f[i + 1 :] ^ f[i]) <= 2).sum()) for i in range(len(f))) >= 50
+    assert index.visited < len(f) ** 2 / 8 and index.pruned > 0.4 * len(f) ** 2
+    wide = rng.integers(0, 2**63, (500, 2), dtype=np.uint64)
+    wide = np.concatenate([wide, wide[:200] ^ np.uint64(0b1011)])
+    order, label = simhash.bucket_roots(wide, 6)
+    roots = np.empty(len(wide), np.int64)
+    roots[order] = order[label]
+    assert all(roots[k] == roots[500 + k] for k in range(200)) and len(set(roots.tolist())) == 500
+
+
 def test_pipeline(spark, docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     kept = {r.doc_id for r in queries.op2_quality_rules(spark, SF).where("kept").collect()}
@@ -246,10 +304,9 @@ def test_pipeline(spark, docs):
                 holders[key(x)].add(d)
     gone = {k: max(v) for k, v in holders.items() if len(v) >= 5}
     texts = {d: "\n".join(x for x in t.split("\n") if gone.get(key(x), d) == d) for d, t in texts.items()}
-    ids = np.array(sorted(texts))
-    fps = np.array([simhash.fingerprint(texts[d].encode()) for d in ids], np.uint64)
-    first = ids[_components(fps, 2)]
-    texts = {d: texts[d] for d, c in zip(ids.tolist(), first.tolist(), strict=True) if d == c}
+    ids = sorted(texts)
+    first = _alike([texts[d] for d in ids])
+    texts = {d: texts[d] for k, d in enumerate(ids) if first[k] == k}
     source = dict(zip(docs["doc_id"], docs["source"], strict=True))
     size = {d: len(WORD.findall(t)) for d, t in texts.items()}
     total, by = Counter(), defaultdict(list)

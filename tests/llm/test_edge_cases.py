@@ -8,11 +8,11 @@ pytest.importorskip("krigora.llm")
 from krigora.llm import embedding_dedup, gam_quality, hilbert, langid, line_dedup, mixing, packing, pii, quality_rules, simhash
 from krigora.llm.queries import tokenizer_path
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, part int, size int, fp string, key string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, id long, part int, size int, fp string, key string, _gone int, node int"
 
 
 def _docs(spark, rows):
-    return spark.createDataFrame([(*r, "x", 1, 2, 3, "y", "z") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, "x", 1, 2, 3, "y", "z", 4, 5) for r in rows], SCHEMA)
 
 
 def _rows():
@@ -95,3 +95,18 @@ def test_vectors(spark):
     assert got[9] == [(1, 9, True)] and got[10] == [(1, 9, False)]
     assert all(got[k] == [(0, k, True)] for k in (4, 5, 6, 7, 8, 11)) and got[None] == [(0, None, True)]
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("rows", [_rows(), [], [(None, None, None, None, None)] * 2])
+def test_pipeline_stages(spark, tmp_path, rows):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = _docs(spark, rows)
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == _docs(spark, []).columns
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    packed = pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()
+    assert sum(r.piece == 0 for r in packed) == spark.read.parquet(f"{tmp_path}/documents.parquet").count()
+    _docs(spark, rows).write.parquet(f"{tmp_path}/in/documents.parquet")
+    again = pipeline.run(spark, f"{tmp_path}/in").collect()
+    assert sorted((r.doc_id or 0, r.piece) for r in again) == sorted((r.doc_id or 0, r.piece) for r in packed)
