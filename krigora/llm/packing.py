@@ -1,8 +1,9 @@
-"""Packing tokenised documents into sequences: best fit, then swap-based local search between underfull bins.
+"""Packing tokenised documents into sequences: swap-based local search between underfull bins.
 
-Pieces are dealt by hash to groups of bounded size. In a group, best-fit decreasing fills bins; then underfull bins exchange
-pieces (move, one for one, two for one), each exchange raising the sum of squared fills, until the emptiest bins are empty.
-Bins that stay underfull give their pieces back, and fewer groups pack those again, down to a single small group.
+Pieces are dealt by hash to groups of bounded size. In a group, bins are filled one after the other as the pieces come; then
+underfull bins exchange pieces (move, one for one, two for one), each exchange raising the sum of squared fills, until as many
+bins are empty as can be or no exchange is left; in the latter case best-fit decreasing is tried as a start too. Bins that stay underfull give their pieces back, and fewer groups pack those
+again, as long as that leaves fewer of them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -150,25 +151,44 @@ def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
     return bins
 
 
-def swap_search(bins: list[list[int]], lengths: np.ndarray, room: int, donors: int = 64, rounds: int = 4) -> list[list[int]]:
+def next_fit(lengths: np.ndarray, room: int) -> list[list[int]]:
+    """Bins filled one after the other in the order of the pieces."""
+    bins: list[list[int]] = []
+    left = -1
+    for i, n in enumerate(lengths.tolist()):
+        if n > left:
+            bins.append([])
+            left = room
+        bins[-1].append(i)
+        left -= n
+    return bins
+
+
+def swap_search(bins: list[list[int]], lengths: np.ndarray, room: int, donors: int = 64, log: list[int] | None = None) -> list[list[int]]:
     """Exchange pieces between underfull bins while the sum of squared fills grows; bins that end empty are left out.
 
-    The emptiest ``donors`` bins give: each fuller bin, the fullest first, takes a piece of theirs that fits (move), or gives one or two of its own
-    for a longer one that still fits. All exchanges move fill from an emptier to a fuller bin, so squared fill rises each time.
+    The emptiest bins give (at first ``donors`` or as many as the room left could empty): each fuller bin, the fullest first,
+    takes a piece of theirs that fits (move), or gives one or two of its own for a longer one that still fits. All exchanges
+    move fill from an emptier to a fuller bin, so squared fill rises each time. When a sweep changes nothing four times as many
+    bins give, until all do. Ends when no fewer bins could hold the pieces, or after a sweep of all bins without an exchange.
+    ``log`` gets the number of pieces given back in each exchange (0: a move).
     """
     n = [int(x) for x in lengths]
-    for _ in range(rounds):
+    need = -(-sum(n[i] for b in bins for i in b) // room)
+    while True:
+        bins = [b for b in bins if b]
         fill = [sum(n[i] for i in b) for b in bins]
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < room), key=lambda b: fill[b])
-        if len(under) < 2:
+        under = sorted((b for b in range(len(bins)) if fill[b] < room), key=lambda b: fill[b])
+        if len(under) < 2 or len(bins) <= need:
             break
-        givers = set(under[:donors])
+        width = max(donors, sum(room - fill[b] for b in under) // room + 8)
+        givers = set(under[:width])
         home = {i: b for b in givers for i in bins[b]}
         pool = sorted((n[i], i) for i in home)
         changed = False
 
         def exchange(taker: int, give: list[int], item: tuple[int, int]) -> None:
-            pool.remove(item)
+            del pool[bisect_left(pool, item)]
             giver = home.pop(item[1])
             bins[giver].remove(item[1])
             bins[taker].append(item[1])
@@ -180,18 +200,19 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, room: int, donors: i
             d = item[0] - sum(n[g] for g in give)
             fill[taker] += d
             fill[giver] -= d
+            if log is not None:
+                log.append(len(give))
 
         for t in reversed(under):
             if t in givers:  # from now on it takes
-                pool[:] = [p for p in pool if home[p[1]] != t]
+                for i in bins[t]:
+                    del pool[bisect_left(pool, (n[i], i))]
             while fill[t] < room and pool:
                 slack, best = room - fill[t], None
-                own = bins[t][:24]
-                tries = [(0, [])] + [(n[a], [a]) for a in own] + [(n[a] + n[b], [a, b]) for x, a in enumerate(own) for b in own[x + 1 :]]
-                for given, give in tries:
+                for given, give in _gives(bins[t], n):
                     k = bisect_right(pool, (given + slack, 1 << 62)) - 1
                     # Givers that have become fuller than the taker are no gain.
-                    while k >= 0 and pool[k][0] > given and (home[pool[k][1]] == t or fill[home[pool[k][1]]] > fill[t]):
+                    while k >= 0 and pool[k][0] > given and fill[home[pool[k][1]]] > fill[t]:
                         k -= 1
                     if k >= 0 and pool[k][0] > given and (best is None or pool[k][0] - given > best[0]):
                         best = (pool[k][0] - given, give, pool[k])
@@ -201,16 +222,37 @@ def swap_search(bins: list[list[int]], lengths: np.ndarray, room: int, donors: i
                     break
                 exchange(t, best[1], best[2])
                 changed = True
-        bins = [b for b in bins if b]
         if not changed:
-            break
-    return [b for b in bins if b]
+            if width >= len(under):
+                break
+            donors = 4 * width
+    return bins
+
+
+def _gives(own: list[int], n: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """What a bin can give: nothing, one piece of each length, two pieces of each two lengths; with their tokens."""
+    yield 0, []
+    once: dict[int, int] = {}
+    twice: dict[int, int] = {}
+    for i in own:
+        (twice if n[i] in once else once)[n[i]] = i
+    each = list(once.items())
+    for a, i in each:
+        yield a, [i]
+    for x, (a, i) in enumerate(each):
+        if a in twice:
+            yield 2 * a, [i, twice[a]]
+        for b, j in each[x + 1 :]:
+            yield a + b, [i, j]
 
 
 def _pack_group(length: int, slack: int, last: bool, id_base: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("uid", kind="stable")
         lens = pdf["length"].to_numpy()
-        bins = swap_search(best_fit(lens, length), lens, length)
+        bins = swap_search(next_fit(lens, length), lens, length)
+        if len(bins) > -(-lens.sum() // length):  # a better start may leave the exchanges fewer bins
+            bins = min(bins, swap_search(best_fit(lens, length), lens, length), key=len)
         seq, offset, done = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
         for k, b in enumerate(bins):
             at = np.cumsum(lens[b])
@@ -220,34 +262,36 @@ def _pack_group(length: int, slack: int, last: bool, id_base: int):
     return pack
 
 
-def pack(pieces: DataFrame, length: int = 4096, group_rows: int = 20_000, slack: int = 4, rounds: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, length: int = 4096, group_rows: int = 20_000, slack: int = 4) -> DataFrame:
     """Rows of ``pieces`` (doc_id, piece, start, length, ids_crc32) plus sequence_id and offset.
 
     Every sequence holds at most ``length`` tokens at gapless offsets. Pieces of full length are sequences as they are. A group
-    packs about ``group_rows`` pieces; sequences that lack more than ``slack`` tokens are packed anew with those of other groups,
-    ``rounds`` times at most, and the last round keeps what it has. An empty table gives no rows; equal rows are packed one by one.
+    packs about ``group_rows`` pieces; sequences that lack more than ``slack`` tokens are packed anew with those of other
+    groups, until one group holds them all or a round frees less than a tenth of them; that round's are kept as they are. An
+    empty table gives no rows; equal rows (null ids too) are packed one by one and dealt to groups by a number of their own.
     """
-    rows = written(pieces.withColumn("part", F.lit(0).cast("long")), "pack-pieces")
-    schema = rows.drop("part").schema
+    rows = written(pieces.withColumn("uid", F.monotonically_increasing_id()).withColumn("part", F.lit(0).cast("long")), "pack-pieces")
+    schema = rows.drop("part", "uid").schema
     packed_schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("done", T.BooleanType())])
-    out = rows.where(F.col("length") >= length).select(*schema.names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = rows.where(F.col("length") < length)
-    for k in range(rounds):
+    out = rows.where(F.col("length") >= length).select(*schema.names, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest, before = rows.where(F.col("length") < length), None
+    for k in count():
         n = rest.count()
-        groups, last = max(1, -(-n // group_rows)), k == rounds - 1 or n <= group_rows
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(k), "doc_id", "piece", "ids_crc32"), F.lit(groups)))
+        groups, last = max(1, -(-n // group_rows)), n <= group_rows or (before is not None and n > 0.9 * before)
+        dealt = rest.withColumn("part", F.pmod(F.xxhash64(F.lit(k), "uid"), F.lit(groups)))
         packed = dealt.groupBy("part").applyInPandas(_pack_group(length, slack, last, k << 56), packed_schema)
         packed = written(packed, "pack-round")
         out = out.unionByName(packed.where("done").select(*schema.names, "sequence_id", "offset"))
         if last:
-            break
-        rest = packed.where("NOT done").select(*rows.columns)
-    return out
+            return out
+        rest, before = packed.where("NOT done").select(*rows.columns), n
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` as sequences of at most ``length`` tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Only documents longer than ``length`` are cut. Null ids are kept; extra columns are ignored.
+    Only documents longer than ``length`` are cut, whatever their length. A null or empty text is the end id alone; null ids
+    are kept; ties go by the order in which rows were numbered; repeated rows are packed each; extra columns are ignored; an
+    empty table gives no rows.
     """
     return pack(token_pieces(docs, tokenizer, length, end_id, id_col, text_col), length, **options)
