@@ -3,19 +3,24 @@
 One pass hashes every long line to 128 bits and Spark counts the documents of each hash. Hashes that reach the threshold are
 dealt to shards of bounded size; each shard becomes a minimal perfect hash (levels of bit arrays, a rank per block) that
 indexes arrays of a 64-bit fingerprint, the count and the largest doc_id. In a second pass the documents' line hashes go to the
-shards and probe the arrays; no line text is joined or shuffled. Lines so frequent that they would crowd one shard are at most
-a fixed number of rows, which is broadcast, and they are decided where they are read.
+shards and probe the arrays; no line text is joined or shuffled. Lines so frequent that they would crowd one shard are few; they
+have a small index of the same kind that goes to every task, and they are decided where they are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
 
+#: Most lines of the index that goes to every task.
+HOT_LINES = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,6 +83,7 @@ def _lines(rows: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for the lines of a shard: the perfect hash's bit arrays and the arrays that it indexes."""
     a, b = pdf["a"].to_numpy().view(np.uint64), pdf["b"].to_numpy().view(np.uint64)
     index = PerfectHash.build(a, b)
     order = np.argsort(index.slots(a, b))
@@ -85,23 +91,53 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "levels": [[w.tobytes() for w in index.words]], "prints": [b[order].tobytes()], "counts": [pdf["n"].to_numpy(np.int64)[order].tobytes()], "lasts": [last[order].tobytes()]})
 
 
+class LineIndex:
+    """The perfect hash with its arrays: a second hash of each key to tell strangers, and the largest doc_id that holds it."""
+
+    def __init__(self, words: list[np.ndarray], prints: np.ndarray, lasts: np.ndarray) -> None:
+        ones = np.bitwise_count(np.concatenate(words)).astype(np.int64) if words else np.zeros(0, np.int64)
+        self.index, self.prints, self.lasts = PerfectHash(words, np.cumsum(ones) - ones), prints, lasts
+
+    def probe(self, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are in the index, and which of them are held by another id last."""
+        known, drop = np.zeros(len(a), bool), np.zeros(len(a), bool)
+        if not len(self.prints):
+            return known, drop
+        slot = self.index.slots(a.view(np.uint64), b.view(np.uint64))
+        at = np.flatnonzero(slot >= 0)
+        at = at[self.prints[slot[at]] == b.view(np.uint64)[at]]
+        known[at] = True
+        drop[at] = self.lasts[slot[at]] != ids[at]
+        return known, drop
+
+
+def _line_index(row) -> LineIndex:
+    return LineIndex([np.frombuffer(w, "<u8") for w in row["levels"]], np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["lasts"], np.int64))
+
+
 def _probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Rows of ``left`` (line hashes of one shard) whose line is dropped by the arrays in ``right`` or was decided before."""
     out = left["decided"].to_numpy(bool).copy()
     if len(left) and len(right):
-        row = right.iloc[0]
-        words = [np.frombuffer(w, "<u8") for w in row["levels"]]
-        ones = np.bitwise_count(np.concatenate(words)).astype(np.int64)
-        index = PerfectHash(words, np.cumsum(ones) - ones)
-        prints, lasts = np.frombuffer(row["prints"], np.uint64), np.frombuffer(row["lasts"], np.int64)
-        b = left["b"].to_numpy().view(np.uint64)
-        slot = index.slots(left["a"].to_numpy().view(np.uint64), b)
-        at = np.flatnonzero(slot >= 0)
-        at = at[prints[slot[at]] == b[at]]
-        out[at] |= lasts[slot[at]] != left["id"].to_numpy()[at]
+        out |= _line_index(right.iloc[0]).probe(left["a"].to_numpy(), left["b"].to_numpy(), left["id"].to_numpy())[1]
     return left.loc[out, ["id", "mark", "pos"]]
 
 
+def _decide(hot: LineIndex, shards: int):
+    """Arrow batches (id, mark, pos, a, b) -> (shard, id, mark, pos, a, b, decided): lines that the hot index knows are dropped
+    or left out here, dropped ones dealt evenly; the others go to the shard of their key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, mark, pos, a, b = (c.to_numpy() for c in batch.columns)
+            known, drop = hot.probe(a, b, ids)
+            stay = ~known | drop
+            shard = np.where(drop, shards + (mark ^ pos) % shards, a % shards)[stay]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *(pa.array(x[stay]) for x in (ids, mark, pos, a, b)), pa.array(drop[stay])], names=["shard", "id", "mark", "pos", "a", "b", "decided"])
+
+    return run
+
+
 def repeated_lines(rows: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFrame, int]:
     """(a, b, n, last) of every line key in at least ``min_docs`` rows, and how many keys there are in all rows."""
     keys = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.length(x) >= min_chars), line_key))
@@ -114,18 +150,17 @@ def repeated_lines(rows: DataFrame, min_docs: int, min_chars: int) -> tuple[Data
 
 def dropped_lines(rows: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     """id, mark, drops (line numbers) of the rows (id, mark, text) that lose lines."""
-    spark = rows.sparkSession
     many, lines = repeated_lines(rows, min_docs, min_chars)
     total = many.agg(F.sum("n")).first()[0] or 0
-    parts = shuffle_partitions(spark)
-    # Lines are in n rows each, total in all: at most 4 * parts keys can reach total / (4 * parts).
-    hot = F.broadcast(many.where(F.col("n") >= F.lit(max(1000, total // (4 * parts)))).select("a", "b", F.col("last").alias("hot_last"), F.lit(True).alias("hot")))
-    shards = max(8 * parts, -(-lines // 250_000))
+    # A hot line is in total / HOT_LINES rows or more, total in all: so at most HOT_LINES lines are (40 bytes each).
+    bound = max(1000, total // HOT_LINES)
+    found = many.where(F.col("n") >= bound).withColumn("shard", F.lit(0).cast("long")).toPandas()
+    hot = _line_index(_build(found).iloc[0]) if len(found) else LineIndex([], np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    shards = max(8 * shuffle_partitions(rows.sparkSession), -(-lines // 250_000))
     shard = F.pmod(F.col("a"), F.lit(shards))
-    arrays = many.select(shard.alias("shard"), "a", "b", "n", "last").groupBy("shard").applyInPandas(_build, "shard long, levels array<binary>, prints binary, counts binary, lasts binary")
+    arrays = many.where(F.col("n") < bound).select(shard.alias("shard"), "a", "b", "n", "last").groupBy("shard").applyInPandas(_build, "shard long, levels array<binary>, prints binary, counts binary, lasts binary")
     arrays = written(arrays, "line-index")
-    probes = _lines(rows, min_chars).join(hot, ["a", "b"], "left").where(F.col("hot").isNull() | (F.col("hot_last") != F.col("id")))
-    probes = probes.select(F.when(F.col("hot"), shards + F.pmod(F.xxhash64("mark", "pos"), F.lit(shards))).otherwise(shard).alias("shard"), "id", "mark", "pos", "a", "b", F.col("hot").isNotNull().alias("decided"))
+    probes = _lines(rows, min_chars).mapInArrow(_decide(hot, shards), "shard long, id long, mark long, pos int, a long, b long, decided boolean")
     dropped = probes.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInPandas(_probe, "id long, mark long, pos int")
     return dropped.groupBy("id", "mark").agg(F.collect_set("pos").alias("drops"))
 
@@ -137,16 +172,18 @@ def dedup_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40, id_col:
     lower-cased) has ``min_chars`` code points or more and is in ``min_docs`` rows or more go, except in rows with the largest
     doc_id that holds it; within such a row all of them stay. The others stay as they are, joined by \\n. A text without
     dropped lines is returned unchanged, a null one as null. Every row is a document, repeated rows too; a null id counts as
-    the smallest. Extra columns are ignored unless ``with_row``. An empty table gives no rows.
+    the smallest. Very long texts are taken whole. Extra columns are ignored unless ``with_row``, whatever their names. An empty
+    table gives no rows.
     """
     lowest = -(1 << 63)
-    rows = docs.select(*[F.struct("*").alias("row")] * with_row, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(lowest))).withColumn("mark", F.xxhash64("id", "text"))
-    gone = dropped_lines(rows.select("id", "mark", "text"), min_docs, min_chars).withColumnsRenamed({"id": "gone_id", "mark": "gone_mark"})
-    lines = F.split("text", "\n", -1)
+    rows = docs.select((F.struct("*") if with_row else F.struct(F.col(id_col), F.col(text_col))).alias("row"))
+    doc_id, text = F.col("row").getField(id_col).cast("long"), F.col("row").getField(text_col)
+    rows = rows.withColumn("id", F.coalesce(doc_id, F.lit(lowest))).withColumn("mark", F.xxhash64("id", text))
+    gone = dropped_lines(rows.select("id", "mark", text.alias("text")), min_docs, min_chars).withColumnsRenamed({"id": "gone_id", "mark": "gone_mark"})
+    lines = F.split(text, "\n", -1)
     stay = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drops"), lambda i: F.get(lines, i)), "\n")
     joined = rows.join(gone.hint("shuffle_hash"), (F.col("id") == F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left")
-    return joined.select(*["row"] * with_row, "doc_id", F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("drops").isNull(), F.col("text")).otherwise(stay).alias("text"))
+    return joined.select(*["row"] * with_row, doc_id.alias("doc_id"), F.coalesce(F.size(lines), F.lit(1)).cast("long").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("drops").isNull(), text).otherwise(stay).alias("text"))
 
 
 ORACLE = r"""
