@@ -1,7 +1,7 @@
 """Quality rules: a document's character classes and common words against those of its language, by Jensen-Shannon distance.
 
-The references are counted over all rows: the common words of each language (a bounded counter per partition proposes them,
-Spark adds the proposals up), then exact totals of those words and of the character classes. A document is rejected when its
+The references are counted over all rows: the words of each language (tasks count them in bounded portions, Spark adds the
+portions up), then totals of the commonest ones and of the character classes. A document is rejected when its
 squared distance exceeds a margin plus what sampling alone would give a text of its length; short texts are not judged.
 """
 
@@ -21,6 +21,7 @@ from .common import by_bytes, text_bytes, with_arrow
 _PUNCTUATION = b".,;:!?"
 _SPACE_BYTES = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
+#: Distinct words that a task counts before it hands the counts on.
 _MOST_COUNTED = 200_000
 
 
@@ -95,31 +96,37 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, byte
                 yield lang, raw[lo:hi]
 
 
-def language_references(docs: DataFrame, lang_col: str, text_col: str, n_words: int, most_languages: int) -> dict[str, tuple[dict[bytes, int], np.ndarray, np.ndarray]]:
+def language_references(docs: DataFrame, lang_col: str, text_col: str, n_words: int) -> dict[str, tuple[dict[bytes, int], np.ndarray, np.ndarray]]:
     """Per language: its common words by slot, their shares of all words (the last slot: the others), shares of the classes.
 
-    Two passes over all rows with a language. What reaches the driver is at most ``most_languages`` small vectors.
+    Two passes over all rows with a language; all counts are exact. What reaches the driver is one small vector per language
+    (about 2 kB), so the references grow with the number of languages only.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def portion(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        got = [(lang, w.decode("utf-8", "replace"), n) for lang, c in seen.items() for w, n in c.items() if w.strip(_SYMBOLS)]
+        if got:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got, strict=True)], names=["lang", "word", "n"])
+        seen.clear()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
+        held = 0
         for lang, raw in _texts(batches):
             c = seen[lang]
+            held -= len(c)
             c.update(common_words(raw))
-            if len(c) > _MOST_COUNTED:
-                seen[lang] = Counter(dict(c.most_common(_MOST_COUNTED // 2)))
-        for lang, c in seen.items():
-            least = max(1, int(1e-4 * c.total()))
-            got = [(lang, w.decode("utf-8", "replace"), n) for w, n in c.items() if n >= least and w.strip(_SYMBOLS)]
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*got, strict=True)], names=["lang", "word", "n"])
-
-    words = rows.mapInArrow(propose, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    sized = words.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "lang").limit(most_languages)
-    top = words.join(F.broadcast(sized), "lang").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= n_words)
+            held += len(c)
+            if held > _MOST_COUNTED:
+                yield from portion(seen)
+                held = 0
+        yield from portion(seen)
+
+    words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    top = words.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= n_words)
     slots: dict[str, dict[bytes, int]] = defaultdict(dict)
-    for r in top.select("lang", "word", "k").collect():  # most_languages * n_words rows at most
+    for r in top.select("lang", "word", "k").collect():  # n_words rows a language
         slots[r.lang][r.word.encode()] = r.k - 1
     slots = dict(slots)
 
@@ -151,7 +158,7 @@ def _histogram(raw: bytes, slots: dict[bytes, int], n_words: int) -> np.ndarray:
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_words: int = 30, word_margin: float = 0.045, class_margin: float = 0.06,
-    min_words: int = 20, most_languages: int = 200, keep_row: bool = False,
+    min_words: int = 20, keep_row: bool = False,
 ) -> DataFrame:
     """Per row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, word_jsd, class_jsd
     (and ``row``, all columns as they came, with ``keep_row``).
@@ -159,16 +166,17 @@ def quality_rules(
     Base rule: fewer than 20 words or over 30 % of the words in repeated 8-word windows. Verdict: squared distances to the
     reference of the row's language at most the margin plus bins / (8 ln 2 * words), the divergence that sampling gives a text
     of its length. Texts under ``min_words`` words, and all texts when no language is known, are not judged (distances null).
-    A null language, or one without a reference (beyond the ``most_languages`` largest), takes the nearest reference.
-    A null text has no words and fails the base rule. Repeated rows get equal results; extra columns are ignored.
+    A null language takes the nearest reference (ties: the first by name). A null or empty text has no words and fails the base
+    rule; very long texts are taken whole. Repeated rows get equal results; extra columns are ignored; an empty table gives no
+    rows.
     """
-    refs = language_references(docs, lang_col, text_col, n_words, most_languages)
+    refs = language_references(docs, lang_col, text_col, n_words)
 
     def judge(raw: bytes, lang: str | None, n: int) -> tuple[float | None, float | None, bool]:
         if n < min_words or not refs:
             return None, None, True
         best = None
-        for name in [lang] if lang in refs else refs:
+        for name in [lang] if lang in refs else sorted(refs):
             slots, words, classes = refs[name]
             h = _histogram(raw, slots, n_words).astype(float)
             w, c = h[: n_words + 1], h[n_words + 1 :]
@@ -179,6 +187,9 @@ def quality_rules(
 
     def add(part: pa.RecordBatch) -> list[pa.Array]:
         out = []
+        if keep_row:  # the text is in the row already
+            row = part.column(0)
+            part = pa.RecordBatch.from_arrays([row.field(lang_at).cast(pa.string()), row.field(text_at)], names=["lang", "text"])
         for lang, raw in _texts([part.select(["lang", "text"])]):
             stats = base_stats(raw)
             failed = stats[0] < 20 or 100 * stats[4] > 30 * stats[0]
@@ -187,7 +198,9 @@ def quality_rules(
         cols = list(zip(*out, strict=True)) or [()] * 9
         return [pa.array(x, t) for x, t in zip(cols, [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] * 2, strict=True)]
 
-    rows = docs.select(*[F.struct("*").alias("row")] * keep_row, F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    lang_at, text_at = docs.columns.index(lang_col), docs.columns.index(text_col)
+    plain = [F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")]
+    rows = docs.select(*([F.struct("*").alias("row")] if keep_row else []), F.col(id_col).alias("doc_id"), *([] if keep_row else plain))
     columns = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, word_jsd double, class_jsd double"
     return with_arrow(rows, add, columns, drop=("lang", "text"))
 
