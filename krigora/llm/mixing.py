@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shuffle_partitions, with_arrow, word_counts, written
+from .common import running_total, shuffle_partitions, with_arrow, word_counts, written
 
 #: Most rows of the table of cuts that are broadcast; with more sources the join shuffles.
 BROADCAST_SOURCES = 20_000
@@ -28,11 +28,13 @@ def source_targets(sizes: DataFrame, share: float = 1.5, epochs: int = 2, weight
 
     Sources by code point, null last, get the weights in turn. A target stops at ``epochs`` times its source's size; what
     is cut off goes to the others by weight, so the level is the first at which the remaining sources stay below their stop.
-    The table has one row per source; its windows run in one task.
+    The table has one row per source, ranked in ranges of the name; the windows that find the level run in one task over the
+    numbers of the sources (a few million at most).
     """
-    everyone = W.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(everyone) - 1) % len(weights) + 1)
-    ranked = sizes.select("source", "source_size", w.alias("w"), (F.col("source_size") * float(epochs)).alias("stop"))
+    named = sizes.withColumn("last", F.col("source").isNull()).withColumn("one", F.lit(1))
+    place = running_total(named, ["last", "source"], "one")
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("before") % len(weights) + 1).cast("int"))
+    ranked = place.select("source", "source_size", w.alias("w"), (F.col("source_size") * float(epochs)).alias("stop"))
     order = W.orderBy(F.col("stop") / F.col("w"), F.col("source").asc_nulls_last())
     whole = W.partitionBy()
     level = (F.sum("source_size").over(whole) * share - F.coalesce(F.sum("stop").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))) / F.sum("w").over(order.rowsBetween(0, W.unboundedFollowing))
@@ -98,10 +100,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The mix itself: rows of ``docs``, each as many times as it is taken.
 
     Documents stay whole: the one at a source's cut is taken if at least half of it fits. Documents without words take no
-    budget and stay once. Columns and their names are those of ``docs``.
+    budget and stay once. A null source is a source of its own; rows of one key (repeated rows, null ids) fare alike. Very long
+    texts count whole; an empty table gives no rows. Columns and their names are those of ``docs``.
     """
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-    rows = with_arrow(rows, lambda b: [_pa(word_counts(b.column(3)))], "size long", drop=("text",)).withColumn("key", random_key(F.col("doc_id"), seed))
+    at = docs.columns.index(text_col)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
+    rows = with_arrow(rows, lambda b: [_pa(word_counts(b.column(0).field(at)))], "size long").withColumn("key", random_key(F.col("doc_id"), seed))
     sized = written(rows.select("source", "key", "size"), "mix-sizes")
     times = F.when(F.col("size") == 0, 1).otherwise((_taken(F.col("size"), F.col("key"), False) / F.col("size")).cast("int"))
     return _with_cuts(rows, source_cuts(sized, **targets)).where(times > 0).select("row", F.explode(F.sequence(F.lit(1), times)).alias("copy")).select("row.*")
