@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +89,15 @@ def k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", k: int = 4, most_rows: int = 4000, most_languages: int = 200) -> CentroidModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", k: int = 4, most_rows: int = 4000, least_rows: int = 64) -> CentroidModel:
     """Learns from the rows of ``docs`` with text and language.
 
-    Document frequencies come from all of them. About ``most_rows`` rows in all, spread evenly over at most ``most_languages``
-    languages (the largest) and chosen by a hash of the id, go to the driver as n-gram counts for clustering.
+    Document frequencies come from all of them. About ``most_rows`` rows in all, spread evenly over the languages but at least
+    ``least_rows`` of each, chosen by a hash of id and text, go to the driver as n-gram counts (8 kB each) for clustering; rows
+    with one id, text and language count once. The model holds up to ``k`` centroids of 8 kB per language, so it grows with the
+    number of languages only.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("hash"))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(SLOTS, np.int64), 0
@@ -108,16 +111,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     got = dict(rows.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect())
     total = got.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + got.get(j, 0))) + 0.05 for j in range(SLOTS)], np.float32)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
+    sizes = rows.groupBy("lang").count().collect()  # one row per language
     if not sizes:
         return CentroidModel(idf, np.zeros((0, SLOTS), np.float32), [], np.zeros(0))
-    each = max(1, most_rows // len(sizes))
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], F.lit(each / r["count"])).otherwise(share)
-    unit = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = with_arrow(rows.where(unit < share), lambda b: [pa.array([gram_counts(t).astype(np.int32).tobytes() for t in b.column(1).to_pylist()], pa.binary())], "grams binary", drop=("text",)).limit(2 * most_rows).toPandas()
-    sample = sample.sort_values(["lang", "id"], kind="stable")
+    each = max(least_rows, most_rows // len(sizes))
+    share = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(float(each / r["count"]))) for r in sizes))
+    unit = F.pmod(F.xxhash64("hash", F.lit(6)), F.lit(1 << 30)) / F.lit(1 << 30)
+    chosen = rows.where(unit < F.element_at(share, F.col("lang"))).dropDuplicates(["id", "lang", "hash"])
+    sample = with_arrow(chosen, lambda b: [pa.array([gram_counts(t).astype(np.int32).tobytes() for t in b.column(1).to_pylist()], pa.binary())], "grams binary", drop=("text",)).toPandas()
+    sample = sample.sort_values(["lang", "id", "hash"], kind="stable")
     centroids, langs, reach = [], [], []
     for lang, part in sample.groupby("lang", sort=True):
         v = tf_idf(np.stack([np.frombuffer(g, np.int32) for g in part["grams"]]), idf)
@@ -136,7 +138,8 @@ def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text
     """doc_id, held_out, lang_pred, score (cosine to the nearest centroid), rejected of every row.
 
     A null text or one without letters is "und" with score 0 and rejected. Very short texts get the nearest language all the
-    same, most often rejected. Repeated rows get equal results; extra columns are ignored; an empty table gives no rows.
+    same, most often rejected; very long ones are taken whole. Of equal cosines the first centroid (by language) counts.
+    Repeated rows get equal results; extra columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == held).alias("held_out"), F.col(text_col).alias("text"))
 
