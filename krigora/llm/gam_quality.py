@@ -140,10 +140,14 @@ def _feature_rows(part: pa.RecordBatch, column: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> GamModel:
-    """Trains on at most ``most_rows`` labelled rows (those with the smallest hash of their id); only they reach the driver."""
+    """Trains on at most ``most_rows`` labelled rows (those with the smallest hash of their id; ties by id and label); only they
+    reach the driver. Of several documents under one id the one with the smallest hash of its text counts."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).cast("double").alias("y")).orderBy(F.xxhash64("label_id"), "label_id", "y").limit(most_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("y", "text")
-    got = with_arrow(rows, lambda b: [pa.FixedSizeListArray.from_arrays(pa.array(_feature_rows(b, 1).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], "x array<double>", drop=("text",)).limit(2 * most_rows).toPandas()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    wanted = texts.join(F.broadcast(chosen.select("label_id").distinct()), F.col("id") == F.col("label_id"))
+    one = wanted.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = one.join(F.broadcast(chosen), F.col("id") == F.col("label_id")).select("y", "text")
+    got = with_arrow(rows, lambda b: [pa.FixedSizeListArray.from_arrays(pa.array(_feature_rows(b, 1).ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], "x array<double>", drop=("text",)).toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     order = np.lexsort(np.column_stack([x, got["y"]]).T)  # the result doesn't hang on the order in which rows arrive
     return train(x[order], got["y"].to_numpy()[order], **options)
@@ -152,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, id_col: str
 def score(docs: DataFrame, model: GamModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted of every row. Null and empty texts score like any text without words.
 
-    Repeated rows get equal scores; extra columns are ignored; an empty table gives no rows.
+    Very long texts are taken whole. Repeated rows get equal scores; extra columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == 0).alias("held_out"), F.col(text_col).alias("text"))
     scored = with_arrow(rows, lambda b: [pa.array(model.score(_feature_rows(b, 2)))], "score double", drop=("text",))
