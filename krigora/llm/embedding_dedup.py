@@ -1,9 +1,10 @@
 """Embedding near-duplicates: cross-polytope hashing after fast Hadamard rotations, multiprobe buckets, verified pairs.
 
 Each table rotates the unit vectors by three rounds of random signs and a Hadamard transform and hashes to the nearest signed
-axis, twice over; a vector also enters the buckets of its next-best axes. Vectors that share a bucket are compared by their
-cosine in double precision, so every reported link is real. Equal vectors are one class. A bucket that is too large for one
-task is dealt to pairs of its blocks, which together compare all of it.
+axis, twice over; a vector also enters the buckets of its next-best axes. Vectors that share a bucket propose each other by
+their sketches (signs of random projections); the groups that follow from the proposals are then compared by their cosines in
+double precision, so every reported link is real. Equal vectors are one class. A group that is too large for one task is dealt
+to pairs of its blocks, which together compare all of it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions, written
 from .components import components
+from .simhash import index_links, joined, mixed, without_crowds
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -58,17 +60,37 @@ def classes(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"), F.first("vector").alias("vector"))
 
 
+def sketches(units: np.ndarray, seed: int = 9) -> np.ndarray:
+    """Two words of signs of random projections of each row; vectors at an angle of t differ in 128 t / pi bits on average."""
+    planes = np.random.default_rng(seed).normal(size=(units.shape[1], 128))
+    return np.packbits(units @ planes > 0, axis=1, bitorder="little").view("<u8")
+
+
+def sketch_limit(threshold: float) -> int:
+    """Bits in which at most 1 % of pairs at the threshold differ more."""
+    differ = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
+    return int(np.ceil(128 * differ + 2.33 * np.sqrt(128 * differ * (1 - differ)) + 0.5))
+
+
+def _units(column: pa.Array, rows: int) -> np.ndarray:
+    x = column.flatten().to_numpy().reshape(rows, -1).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _deal(tables: int, hashes: int, n_probes: int):
+    """Arrow batches (rep, vector) -> (bucket, node, w0, w1) for every bucket that a vector probes; buckets are numbered across tables."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                x = part.column(1).flatten().to_numpy().reshape(part.num_rows, -1).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = _units(part.column(1), part.num_rows)
+                rows = np.stack([part.column(0).to_numpy(), *sketches(x).view(np.int64).T])
                 for t in range(tables):
                     keys = probes(x, t, hashes, n_probes)
-                    rep = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.full(len(rep), t, np.int32)), pa.array(keys.ravel())], names=["rep", "tab", "bucket"])
+                    rep, w0, w1 = np.repeat(rows, keys.shape[1], axis=1)
+                    bucket = mixed(keys.ravel().view(np.uint64) * np.uint64(2 * tables + 1) + np.uint64(t)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket, rep, w0, w1)], names=["bucket", "node", "w0", "w1"])
 
     return run
 
@@ -89,119 +111,75 @@ def search_plan(n: int, dim: int, threshold: float, recall: float, n_probes: int
     return int(np.ceil(np.log(1 - recall) / np.log(1 - min(max(meet, 1e-3), 0.999)))), hashes
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest position reachable from each of ``n`` positions over the pairs (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _bucket_links(threshold: float, tables: int, hashes: int, n_probes: int):
-    """Arrow batches (cell, side, tab, bucket, rep, members, vector), sorted by cell -> (u, v, n): for a class u that has links
-    here, the members of the classes it links with for the first time and a class v of its component.
+def _cell_links(threshold: float):
+    """Arrow batches (cell, side, rep, members, vector), sorted by cell -> (u, v, n): for a class u, the members of the classes of
+    this cell that it links with, and a class v of its component.
 
-    A cell's rows of side 1 meet those of side 2, rows of side 0 meet each other. A pair that meets in several buckets counts in
-    the first of them, which its two vectors tell without a look at the others, so pairs need not be gathered to be told apart.
+    A cell's rows of side 1 meet those of side 2, rows of side 0 meet each other, so every pair of a group meets in one cell.
     """
 
-    def first_here(x: np.ndarray, a: np.ndarray, b: np.ndarray, tab: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """Whether a pair of rows of ``x`` has no bucket in common before this one."""
-        here = np.ones(len(a), bool)
-        for t in range(int(tab.max(initial=-1)) + 1):
-            keys = probes(x, t, hashes, n_probes)
-            same = keys[a][:, :, None] == keys[b][:, None, :]
-            here &= ~((tab > t) & same.any((1, 2)))
-            least = np.where(same, keys[a][:, :, None], np.iinfo(np.int64).max).min((1, 2))
-            here &= (tab != t) | (least == bucket)
-        return here
-
-    def solve(cell, side, tab, bucket, reps, members, vectors) -> Iterator[pa.RecordBatch]:
+    def solve(side: np.ndarray, reps: np.ndarray, members: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
         x = vectors.astype(np.float64)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
-        start = np.concatenate([[0], np.flatnonzero(cell[1:] != cell[:-1]) + 1])
-        size = np.diff(np.concatenate([start, [len(cell)]]))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def take(i: np.ndarray, j: np.ndarray) -> None:
-            """Counts the pairs (rows i and j) and keeps a link of each row to its component here."""
-            if not len(i):
-                return
-            rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
-            a, b = at[: len(i)], at[len(i) :]
-            n = np.zeros(len(rows), np.int64)
-            for s in range(0, len(i), 100_000):
-                k = slice(s, s + 100_000)
-                own = first_here(x[rows], a[k], b[k], tab[i[k]], bucket[i[k]])
-                np.add.at(n, a[k][own], members[j[k]][own])
-                np.add.at(n, b[k][own], members[i[k]][own])
-            out.append((reps[rows], reps[rows[_roots(len(rows), a, b)]], n))
-
-        for n in np.unique(size[(size > 1) & (size <= 48)]).tolist():
-            at = start[size == n][:, None] + np.arange(n)
-            for part in np.array_split(at, -(-at.size // 16_384)):
-                near = np.matmul(x[part], x[part].transpose(0, 2, 1)) >= threshold
-                near &= (side[part][:, :, None] == 0) | (side[part][:, :, None] != side[part][:, None, :])
-                near &= np.triu(np.ones((n, n), bool), 1) & (reps[part][:, :, None] != reps[part][:, None, :])
-                k, i, j = np.nonzero(near)
-                take(part[k, i], part[k, j])
-        for a, n in zip(start[size > 48].tolist(), size[size > 48].tolist(), strict=True):
-            all_rows = np.arange(a, a + n)
-            split = side[a : a + n].any()
-            first, second = (all_rows[side[a : a + n] == 1], all_rows[side[a : a + n] == 2]) if split else (all_rows, all_rows)
-            for s in range(0, len(first), 512):
-                i, j = np.nonzero(x[first[s : s + 512]] @ x[second].T >= threshold)
-                i, j = first[s : s + 512][i], second[j]
-                keep = reps[i] != reps[j] if split else i < j
-                take(i[keep], j[keep])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["u", "v", "n"])
+        n, label = np.zeros(len(x), np.int64), np.arange(len(x))
+        first, second = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(x)),) * 2
+        for s in range(0, len(first), 512):
+            rows = first[s : s + 512]
+            i, j = np.nonzero(x[rows] @ x[second].T >= threshold)
+            i, j = rows[i], second[j]
+            i, j = (i, j) if side.any() else (i[i < j], j[i < j])
+            np.add.at(n, i, members[j])
+            np.add.at(n, j, members[i])
+            label = joined(label, i, j)
+        at = np.flatnonzero(n)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[label[at]]), pa.array(n[at])], names=["u", "v", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = (*(b.column(k).to_numpy() for k in range(6)), b.column(6).flatten().to_numpy().reshape(b.num_rows, -1))
-            last = np.searchsorted(rows[0], rows[0][-1])  # rows of the last cell may go on in the next batch
-            if last or (held and held[-1][0][-1] != rows[0][-1]):
-                done = [*held, tuple(r[:last] for r in rows)]
-                yield from solve(*(np.concatenate(c) for c in zip(*done, strict=True)))
-                held = []
-            held.append(tuple(r[last:] for r in rows))
+            cell, side, reps, members = (b.column(k).to_numpy() for k in range(4))
+            rows = (cell, side, reps, members, b.column(4).flatten().to_numpy().reshape(b.num_rows, -1))
+            for part in np.split(np.arange(b.num_rows), np.flatnonzero(cell[1:] != cell[:-1]) + 1):
+                if held and held[-1][0][-1] != cell[part[0]]:
+                    yield from solve(*(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
+                    held = []
+                held.append(tuple(r[part] for r in rows))
         if held:
-            yield from solve(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            yield from solve(*(np.concatenate(c) for c in list(zip(*held, strict=True))[1:]))
 
     return run
 
 
-def links(distinct: DataFrame, threshold: float = 0.9, recall: float = 0.995, n_probes: int = 3, block_rows: int = 2000, plan: tuple[int, int] | None = None) -> DataFrame:
-    """(u, v, n) rows for classes (rep, members, vector): n sums to the members of all classes that share a bucket with u and have
-    cosine >= ``threshold``; the pairs (u, v) connect the components. No pair of a class is a row, so a large group of near
-    copies stays linear in its rows."""
+def links(distinct: DataFrame, threshold: float = 0.9, recall: float = 0.995, n_probes: int = 3, block_rows: int = 2000, bucket_rows: int = 32_768, plan: tuple[int, int] | None = None) -> DataFrame:
+    """(u, v, n) rows for classes (rep, members, vector): n sums to the members of all classes of u's group that have cosine >=
+    ``threshold`` with u; the pairs (u, v) connect the components. No pair is a row, so a large group of near copies stays
+    linear in its rows but for one copy per block of ``block_rows`` in the group.
+
+    Buckets hold sketches, not vectors: what shares a bucket and lies within the sketch's limit is proposed, proposals are
+    followed to groups, and each group's vectors meet once, in cells of at most two blocks.
+    """
+    spark, parts = distinct.sparkSession, shuffle_partitions(distinct.sparkSession)
     lengths = [(r["dim"], r["n"]) for r in distinct.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").collect()]
     out = None
     for dim, n in lengths:  # vectors of another length have no cosine with these
         tables, hashes = plan or search_plan(n, dim, threshold, recall, n_probes)
         own = distinct.where(F.size("vector") == dim).select("rep", "members", "vector")
-        dealt = written(own.select("rep", "vector").mapInArrow(_deal(tables, hashes, n_probes), "rep long, tab int, bucket long"), "buckets")
-        sizes = dealt.groupBy("tab", "bucket").count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / block_rows))
-        shared = dealt.join(sizes, ["tab", "bucket"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-        # Every two blocks of a bucket meet in one cell, and each block meets itself in one.
-        met = shared.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        cell = F.xxhash64("tab", "bucket", F.least("block", "other"), F.greatest("block", "other"))
+        deal = lambda some, plan=(tables, hashes): some.mapInArrow(_deal(*plan, n_probes), "bucket long, node long, w0 long, w1 long")
+        dealt = without_crowds(own.select("rep", "vector"), n, deal, bucket_rows)
+        ready = dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket")
+        groups = written(components(ready.mapInArrow(index_links(sketch_limit(threshold), 2), "u long, v long")), "vector-groups")
+        sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+        member = groups.join(sizes, "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+        met = member.join(own, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        cell = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
         side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
-        full = met.select(cell.alias("cell"), side.alias("side"), "tab", "bucket", "rep").join(own, "rep").select("cell", "side", "tab", "bucket", "rep", "members", "vector")
-        ready = full.repartition(4 * shuffle_partitions(distinct.sparkSession), "cell").sortWithinPartitions("cell")
-        part = ready.mapInArrow(_bucket_links(threshold, tables, hashes, n_probes), "u long, v long, n long")
+        ready = met.select(cell.alias("cell"), side.alias("side"), "rep", "members", "vector").repartition(4 * parts, "cell").sortWithinPartitions("cell")
+        part = ready.mapInArrow(_cell_links(threshold), "u long, v long, n long")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else distinct.sparkSession.createDataFrame([], "u long, v long, n long")
+    return out if out is not None else spark.createDataFrame([], "u long, v long, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, **search) -> DataFrame:
@@ -209,7 +187,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Equal vectors link with each
     other; links to a class of equal vectors count all its members. Vectors of different lengths never link (one search per length that occurs). Rows with equal
-    ids are one vector each; a null id counts as the smallest long and is never another row's component unless alone.
+    ids are one vector each; a row with a null id links with nothing. Ties don't arise; very long vectors are one row each.
     An empty table gives no rows; extra columns are ignored.
     """
     usable = F.col("vector").isNotNull() & F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vector", lambda v: v != 0)

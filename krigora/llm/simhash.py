@@ -137,7 +137,7 @@ class GrayIndex:
             yield from self._walk(np.repeat(q[part], _FAN)[real], child[real], np.repeat(acc[part], _FAN)[real], depth + 1, limit, half, most)
 
 
-def _join(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Component labels (the least position) after the links (i, j)."""
     while True:
         a, b = label[i], label[j]
@@ -166,15 +166,15 @@ def bucket_roots(fps: np.ndarray, limit: int, leaders: int = 16) -> tuple[np.nda
             break
         near = np.flatnonzero(np.bitwise_count(f ^ f[rest[0]]).sum(1, dtype=np.int64) <= limit)
         free[near] = False
-        label = _join(label, near, np.full(len(near), rest[0]))
+        label = joined(label, near, np.full(len(near), rest[0]))
     counts = np.bincount(label, minlength=len(f))
     outside = np.flatnonzero(label != counts.argmax()) if counts.max() > 1 else None
     for i, j in index.links(limit, outside):
-        label = _join(label, i, j)
+        label = joined(label, i, j)
     return index.order, label
 
 
-def _bucket_links(limit: int, words: int):
+def index_links(limit: int, words: int):
     """Arrow batches (bucket columns..., node, words), sorted by bucket -> (u, v): links of each node to its component's first."""
 
     def solve(rows: np.ndarray, keys: int) -> Iterator[pa.RecordBatch]:
@@ -278,7 +278,7 @@ def fingerprint_links(distinct: DataFrame, limit: int = 2, bucket_rows: int = 32
         rows = _dealt(rows.join(side, ["mask", "key"]), masks)
     rows = rows if out is None else out.unionByName(rows)
     ready = rows.select("mask", "key", F.col("fp").alias("node"), "fp").repartition(shuffle_partitions(distinct.sparkSession), "mask", "key").sortWithinPartitions("mask", "key")
-    return ready.mapInArrow(_bucket_links(limit, 1), "u long, v long")
+    return ready.mapInArrow(index_links(limit, 1), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, limit: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", **buckets) -> DataFrame:
@@ -319,11 +319,11 @@ def shingle_hashes(text: bytes, shingle: int, known: dict[bytes, int]) -> np.nda
     k = min(shingle, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
     for j in range(k):
-        h = _mixed(h ^ w[j : j + len(h)])
+        h = mixed(h ^ w[j : j + len(h)])
     return np.unique(h)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0x94D049BB133111EB)
@@ -332,7 +332,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """Two words: the majority bits of the hashes and of a second hash of each; zeros without shingles."""
-    return _majority(np.stack([hashes, _mixed(hashes)], 1)) if len(hashes) else np.zeros(2, np.uint64)
+    return _majority(np.stack([hashes, mixed(hashes)], 1)) if len(hashes) else np.zeros(2, np.uint64)
 
 
 def wide_plan(n: int, similarity: float, recall: float = 0.98, mean_rows: int = 64) -> tuple[int, int, int]:
@@ -395,7 +395,7 @@ def _alike(similarity: float):
             near = shared >= similarity * (size[s:e, None] + size[None] - shared) - 1e-9
             near &= (side[s:e, None] == 0) | (side[s:e, None] != side[None])
             i, j = np.nonzero(near)
-            label = _join(label, i + s, j)
+            label = joined(label, i + s, j)
         linked = np.flatnonzero(label != np.arange(n))
         if len(linked):
             yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["u", "v"])
@@ -417,7 +417,27 @@ def _alike(similarity: float):
     return run
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.98, block_rows: int = 512) -> DataFrame:
+def without_crowds(nodes: DataFrame, n: int, deal, bucket_rows: int = 32_768, rate: int = 64) -> DataFrame:
+    """``deal(nodes)``, rows (bucket, node, w0, w1), where a bucket that crowds a task is dealt to pairs of its blocks.
+
+    Whether it does is told from every ``rate``-th node (by hash), which changes how rows are dealt, not what meets.
+    """
+    dealt = deal(nodes)
+    if n <= bucket_rows:
+        return dealt
+    sample = deal(nodes.where(F.pmod(F.xxhash64(F.col(nodes.columns[0]), F.lit(3)), F.lit(rate)) == 0))
+    counted = sample.groupBy("bucket").count().where(F.col("count") > 0.6 * bucket_rows / rate)
+    crowded = written(counted.select("bucket", F.ceil(F.col("count") * rate / bucket_rows).alias("blocks")), "crowded-buckets")
+    k = crowded.count()
+    if not k:
+        return dealt
+    met = dealt.join(F.broadcast(crowded) if k <= 100_000 else crowded, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+    pair = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
+    return met.select(F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(pair).alias("bucket"), "node", "w0", "w1")
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.98, block_rows: int = 512, bucket_rows: int = 32_768) -> DataFrame:
     """doc_id, a, b (hashes of the text) and component_id of every row: the smallest doc_id reachable over texts whose distinct
     ``shingle``-word shingles (lower-cased; all words, if fewer) have a Jaccard similarity of ``similarity`` or more.
 
@@ -443,9 +463,10 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     rows = written(picked.mapInArrow(hashed, picked.drop("text").schema.add("w0", "long").add("w1", "long")), "wide-fingerprints")
     nodes = rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "a", "b")).alias("first"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
-    tables, bits, limit = wide_plan(nodes.count(), similarity, recall)
-    dealt = nodes.select("node", "w0", "w1").mapInArrow(_wide_buckets(tables, bits), "bucket long, node long, w0 long, w1 long")
-    proposed = dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_links(limit, 2), "u long, v long")
+    n = nodes.count()
+    tables, bits, limit = wide_plan(n, similarity, recall)
+    dealt = without_crowds(nodes.select("node", "w0", "w1"), n, lambda some: some.mapInArrow(_wide_buckets(tables, bits), "bucket long, node long, w0 long, w1 long"), bucket_rows)
+    proposed = dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(index_links(limit, 2), "u long, v long")
     groups = written(components(proposed), "wide-groups")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
     member = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))

@@ -149,13 +149,30 @@ def test_embeddings(spark):
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.9
     np.fill_diagonal(near, False)
-    for blocks in (2000, 40):
-        found = embedding_dedup.near_duplicates(df, block_rows=blocks).toPandas().sort_values("vec_id")
+    for blocks, bucket in ((2000, 32_768), (40, 300)):
+        found = embedding_dedup.near_duplicates(df, block_rows=blocks, bucket_rows=bucket).toPandas().sort_values("vec_id")
         assert (found["n_links"].to_numpy() <= near.sum(1)).all() and found["n_links"].sum() >= 0.98 * near.sum()
         assert found["component_id"].nunique() >= len(x) - near.sum()
         assert (found["component_id"].to_numpy()[450:] == 0).all()
 
 
+def test_embedding_plan_of_millions(spark):
+    """Recall with the tables and hashes that a search among five million vectors takes, on 3,000 pairs at cosine 0.90 to 0.92."""
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.92, (3000, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c**2) * b])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plan = embedding_dedup.search_plan(5_000_000, 64, 0.9, 0.995, 3)
+    assert plan[1] >= 2
+    got = embedding_dedup.near_duplicates(df, plan=plan).where("vec_id >= 3000").toPandas()
+    assert ((got["component_id"] == got["vec_id"] - 3000) & (got["n_links"] == 1)).mean() > 0.97
+
+
 def test_personal_data(spark, docs):
     def brute(t):
         out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
@@ -267,8 +284,8 @@ def test_alike_texts(spark):
     rows += [(len(rows) + k, t) for k, t in enumerate([None, "", " \n", "one two", "One  two", "one three"])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, _gone long, node int")
     want = _alike([t for _, t in rows])
-    for blocks in (512, 2):
-        got = dict(simhash.similar_texts(df, block_rows=blocks).select("doc_id", "component_id").collect())
+    for blocks, bucket in ((512, 32_768), (2, 100)):
+        got = dict(simhash.similar_texts(df, block_rows=blocks, bucket_rows=bucket).select("doc_id", "component_id").collect())
         mine = np.array([got[k] for k in range(len(rows))])
         assert (mine >= want).all() and (mine == want).mean() > 0.97
         assert mine[360:].tolist() == [360, 360, 360, 363, 363, 365]
