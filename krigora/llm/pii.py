@@ -2,14 +2,16 @@
 
 The base patterns are certain and always stay. Looser patterns propose further spans; regex, gazetteer and context labelers
 vote on every span. Spark counts the vote patterns of the whole corpus (a small table, as votes are few), EM on those counts
-estimates how often each labeler is right without any labels, and a logistic model trained on the resulting probabilities
-decides on the proposed spans.
+estimates how often each labeler is right without any labels. A logistic model over votes, shape, length and hashed neighbours
+is trained on the resulting probabilities, on a bounded sample of the spans, and decides on the proposed ones. A number that
+fails the checks of its kind (a card's checksum, an address's parts) is never proposed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,7 +101,7 @@ def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int,
         structure = 1 if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in parts) else -1
         gazetteer = -1 if len(parts[0]) == 1 or parts[0] == "0" * len(parts[0]) else 1
     elif kind == 2:
-        structure, gazetteer = 1 if luhn(digits) else -1, 1 if digits[:1] in "3456" else -1
+        structure, gazetteer = 1 if luhn(digits) else -1, 1 if digits[:1] in ("2", "3", "4", "5", "6") else 0
     else:
         structure, gazetteer = 1 if 10 <= len(digits) <= 15 else -1, 1 if span[0] == "+" and digits.startswith(_DIAL_CODES) else 0
     before = re.findall(r"[^\W\d_]+", text[max(0, start - 40) : start].lower())[-4:]
@@ -142,7 +144,7 @@ def proposed_spans(text: str, base: list[tuple[int, int, int]], failed: list[tup
     more = []
     for f in failed:
         inner = list(inner_spans(text, *f))
-        more += inner or [f] * (f[1] != 2 or sum("0" <= c <= "9" for c in text[f[0] : f[2]]) <= 19)
+        more += inner or [f] * (f[1] == 3)
     if "at" in text or "AT" in text or "At" in text:
         more += [(m.start(), 0, m.end()) for m in _LOOSE_EMAIL.finditer(text)] if any(b in text for b in "([{") else []
     more += [(m.start(), 3, m.end()) for m in _LOOSE_PHONE.finditer(text)]
@@ -158,6 +160,18 @@ def proposed_spans(text: str, base: list[tuple[int, int, int]], failed: list[tup
     return out
 
 
+#: Hashed features of a span (and how many of them): the two words before, the word after, its shape, its length, its kind.
+_SLOTS, _WIDTH = 256, 6
+
+
+def span_features(text: str, start: int, kind: int, end: int) -> list[int]:
+    before = re.findall(r"[^\W\d_]+", text[max(0, start - 40) : start].lower())[-2:]
+    after = re.findall(r"[^\W\d_]+", text[end : end + 24].lower())[:1]
+    shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]", "9", re.sub(r"[A-Za-z]", "a", text[start:end])))
+    marks = [f"b{w}" for w in before] + ["-"] * (2 - len(before)) + [f"a{w}" for w in after] + ["-"] * (1 - len(after))
+    return [zlib.crc32(f"{kind}:{m}".encode()) % _SLOTS for m in (*marks, f"s{shape}", f"l{min(end - start, 40) // 2}", "k")]
+
+
 def estimate(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 40) -> np.ndarray:
     """Probability that a span with each vote pattern is personal: EM for two hidden classes, per-class vote frequencies.
 
@@ -181,21 +195,36 @@ def estimate(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 40)
     return q
 
 
-def train_span_classifier(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 400) -> np.ndarray:
-    """Weights of a logistic model over votes (one column per labeler and vote) and kinds, for the EM probabilities."""
-    x, q, n = np.stack([_inputs(k, v) for k, v, _ in patterns]), estimate(patterns), np.array([p[2] for p in patterns], float)
-    w, weight = np.zeros(x.shape[1]), np.sqrt(n) / np.sqrt(n).sum()  # a frequent pattern shouldn't drown the others
+def train_span_classifier(patterns: list[tuple[int, tuple[int, ...], int]], codes: np.ndarray, features: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights of a logistic model for the EM probabilities of ``patterns``, from spans (vote codes and hashed features).
+
+    The columns are one per labeler and vote, kind, and feature slot; hashed features are damped more than votes.
+    """
+    q = {_code(k, v): p for (k, v, _), p in zip(patterns, estimate(patterns), strict=True)}
+    x = np.stack([span_inputs(c, f) for c, f in zip(codes.tolist(), features.tolist(), strict=True)])
+    y = np.array([q[c] for c in codes.tolist()])
+    _, at, n = np.unique(codes, return_inverse=True, return_counts=True)
+    weight = 1 / np.sqrt(n)[at]  # a frequent pattern shouldn't drown the others
+    weight /= weight.sum()
+    damp = np.r_[np.full(x.shape[1] - _SLOTS, 1e-4), np.full(_SLOTS, 3e-3)]
+    w = np.zeros(x.shape[1])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-x @ w))
-        g = x.T @ (weight * (p - q)) + 1e-4 * w
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= np.clip(step, -1, 1)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (weight * (p - y)) + damp * w
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-4))[:, None]).T @ x + np.diag(damp + 1e-6)
+        step = np.clip(np.linalg.solve(h, g), -1, 1)
+        w -= step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def span_inputs(code: int, features: list[int]) -> np.ndarray:
+    slots = np.zeros(_SLOTS)
+    slots[features] = 1
+    return np.concatenate([_inputs(*_decode(code)), slots])
+
+
 def _inputs(kind: int, vote: tuple[int, ...]) -> np.ndarray:
     x = np.zeros(2 * len(LABELERS) + len(KINDS))
     for j, v in enumerate(vote):
@@ -225,41 +254,50 @@ def _digest(spans: list[tuple[int, int, int]]) -> str:
 
 
 def labeled_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, starts, kinds, ends, codes (votes), is_base of the spans of every row."""
+    """doc_id, starts, kinds, ends, codes (votes), is_base and features (``_WIDTH`` a span) of the spans of every row."""
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = picked.select("doc_id").schema
-    for name in ("starts", "kinds", "ends", "codes", "is_base"):
+    for name in ("starts", "kinds", "ends", "codes", "is_base", "features"):
         schema = schema.add(name, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in by_bytes(b):
-                rows: list[list[list[int]]] = [[], [], [], [], []]
+                rows: list[list[list[int]]] = [[], [], [], [], [], []]
                 for text in part.column(1).to_pylist():
                     text = text or ""
                     base, failed = base_spans(text) if _ANY.search(text) else ([], [])
                     more = proposed_spans(text, base, failed)
                     spans = [(*s, 1) for s in base] + [(*s, 0) for s in more]
                     codes = [_code(k, votes(text, s, k, e, bool(f))) for s, k, e, f in spans]
-                    for out, got in zip(rows, ([x[0] for x in spans], [x[1] for x in spans], [x[2] for x in spans], codes, [x[3] for x in spans]), strict=True):
+                    for out, got in zip(rows, ([x[0] for x in spans], [x[1] for x in spans], [x[2] for x in spans], codes, [x[3] for x in spans], [h for s, k, e, _ in spans for h in span_features(text, s, k, e)]), strict=True):
                         out.append(got)
-                yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(r, pa.list_(pa.int32())) for r in rows], names=["doc_id", "starts", "kinds", "ends", "codes", "is_base"])
+                yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(r, pa.list_(pa.int32())) for r in rows], names=["doc_id", "starts", "kinds", "ends", "codes", "is_base", "features"])
 
     return picked.mapInArrow(run, schema)
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, most_spans: int = 20_000) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added), n_added of every row.
 
     Spans are kind:start:end in code points, end exclusive, ordered by start and kind. A null or empty text has none (the digest
-    of an empty list). Repeated rows get equal results; extra columns are ignored; an empty table gives no rows.
+    of an empty list); very long texts are taken whole. About ``most_spans`` spans, chosen by a hash of their place, train the
+    classifier; the labelers' reliabilities come from all. Where proposals overlap the leftmost stays. Repeated rows get equal
+    results; extra columns are ignored; an empty table gives no rows.
     """
     found = written(labeled_spans(docs, id_col, text_col), "pii-spans")
     # At most kinds * 3 ** labelers patterns.
     counted = found.select(F.explode("codes").alias("code")).groupBy("code").count().orderBy("code").collect()
     patterns = [(*_decode(r["code"]), r["count"]) for r in counted]
-    weights = train_span_classifier(patterns) if patterns else None
-    personal = {_code(k, v) for k, v, _ in patterns if 1 / (1 + np.exp(-(_inputs(k, v) @ weights))) >= threshold}
+    weights, share = None, min(1.0, most_spans / max(1, sum(n for _, _, n in patterns)))
+    if patterns:
+        each = found.select("starts", "ends", "features", F.posexplode("codes").alias("k", "code"))
+        unit = F.pmod(F.xxhash64("starts", "ends", "k"), F.lit(1 << 30)) / F.lit(1 << 30)
+        sample = each.where(unit < share).select("code", F.slice("features", F.col("k") * _WIDTH + 1, F.lit(_WIDTH)).alias("features")).toPandas()
+        if len(sample):
+            sample = sample.assign(order=sample["features"].map(tuple)).sort_values(["code", "order"])
+            weights = train_span_classifier(patterns, sample["code"].to_numpy(), np.stack(sample["features"].to_list()))
+    cut = float(np.log(threshold / (1 - threshold)))
     schema = found.select("doc_id").schema
     for name in ("n_email", "n_ip", "n_card", "n_phone"):
         schema = schema.add(name, "long")
@@ -268,10 +306,11 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             counts, digests, texts, added = [], [], [], []
-            for starts, kinds, ends, codes, flags in zip(*(b.column(i).to_pylist() for i in range(1, 6)), strict=True):
+            for starts, kinds, ends, codes, flags, features in zip(*(b.column(i).to_pylist() for i in range(1, 7)), strict=True):
                 spans = list(zip(starts, kinds, ends, strict=True))
                 base = [s for s, f in zip(spans, flags, strict=True) if f]
-                more = [s for s, c, f in zip(spans, codes, flags, strict=True) if not f and c in personal]
+                fits = lambda k: weights is not None and span_inputs(codes[k], features[_WIDTH * k : _WIDTH * (k + 1)]) @ weights >= cut  # noqa: B023, E731
+                more = [s for k, s in enumerate(spans) if not flags[k] and fits(k)]
                 counts.append([sum(k == j for _, k, _ in base) for j in range(4)])
                 digests.append(hashlib.sha256(_digest(base).encode()).hexdigest())
                 texts.append(_digest(base + more))
