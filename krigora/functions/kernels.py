@@ -96,6 +96,55 @@ def radial_sum(x, centres, weights, width, m=COLUMN):
     return reduce(add, terms)
 
 
+def radial_sum_slopes(x, centres, weights, width, m=COLUMN):
+    """Derivatives of ``radial_sum`` by each weight, then by the width."""
+    d2 = [squared_distance(x, c, [1.0] * len(c)) for c in centres]
+    bases = [m.exp(-d / width) for d in d2]
+    return [*bases, reduce(add, [w * e * d / width**2 for w, e, d in zip(weights, bases, d2, strict=True)])]
+
+
+def non_stationary_slopes(a, b, centres, weights, width, m=COLUMN):
+    """Derivatives of the non-stationary kernel by each weight, then by the width: the product rule on its two factors."""
+    ga, gb = (radial_sum(x, centres, weights, width, m) for x in (a, b))
+    return [p * gb + q * ga for p, q in zip(radial_sum_slopes(a, centres, weights, width, m), radial_sum_slopes(b, centres, weights, width, m), strict=True)]
+
+
+def landmark(a, b, landmarks, hyper, m=COLUMN):
+    """Squared exponential over an embedding by bumps around landmarks: hyper = [variance, radius, beta, squared length]."""
+    near = lambda x: [bump(distance(x, c, [1.0] * len(c), m), hyper[1], hyper[2], 1.0, m) for c in landmarks]
+    gap = reduce(add, [(p - q) * (p - q) for p, q in zip(near(a), near(b), strict=True)])
+    return hyper[0] * m.exp(-gap / hyper[3])
+
+
+def dot_product(a, b, offset, matrix, m=COLUMN):
+    """offset + a' M b for a symmetric matrix of numbers."""
+    return offset + reduce(add, [p * reduce(add, [w * q for w, q in zip(row, b, strict=True)]) for p, row in zip(a, matrix, strict=True)])
+
+
+def out_of_bounds(values, bounds, m=COLUMN):
+    """Whether any value lies outside its (low, high)."""
+    return reduce(lambda p, q: p | q, [(v < low) | (v > high) for v, (low, high) in zip(values, bounds, strict=True)])
+
+
+def default_kernel_slopes(a, b, hyper):
+    """Derivatives of the default kernel's block (arrays of points) by the variance and each length, in closed form."""
+    gaps = [(a[:, k][:, None] - b[:, k][None]) ** 2 for k in range(a.shape[1])]
+    d = np.sqrt(sum(g / h**2 for g, h in zip(gaps, hyper[1:], strict=True)))
+    yield matern_3_2(d, 1.0, NUMPY)
+    fall = 3.0 * hyper[0] * np.exp(-(3**0.5) * d)
+    for g, h in zip(gaps, hyper[1:], strict=True):
+        yield fall * g / h**3
+
+
+def default_kernel_point_slopes(a, b, hyper):
+    """Derivatives of the default kernel's block by each coordinate of the second points, in closed form."""
+    gaps = [a[:, k][:, None] - b[:, k][None] for k in range(a.shape[1])]
+    d = np.sqrt(sum((g / h) ** 2 for g, h in zip(gaps, hyper[1:], strict=True)))
+    fall = 3.0 * hyper[0] * np.exp(-(3**0.5) * d)
+    for g, h in zip(gaps, hyper[1:], strict=True):
+        yield fall * g / h**2
+
+
 def squared_distance(a, b, lengths):
     """Sum of ((a_k - b_k) / length_k)^2 of two sequences of columns, arrays or numbers."""
     return reduce(add, [((p - q) / s) * ((p - q) / s) for p, q, s in zip(a, b, lengths, strict=True)])

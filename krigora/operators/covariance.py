@@ -46,26 +46,34 @@ def half_covariance(points: DataFrame, kernel: Kernel, dims: int, block: int = 1
 
 
 def mirrored(half: DataFrame) -> DataFrame:
-    return half.unionByName(half.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+    """Both triangles, from one evaluation of the half."""
+    one, two = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    return half.select(F.explode(F.when(F.col("i") == F.col("j"), F.array(one)).otherwise(F.array(one, two))).alias("e"), "v").select("e.i", "e.j", "v")
 
 
 def ball_join(points: DataFrame, lengths: Sequence[float], dims: int, amplitude: float = 1.0, others: DataFrame | None = None) -> DataFrame:
     """Compactly supported covariance without all pairs: points meet only the points of neighbouring grid cells.
 
     A cell is one support radius wide in each dimension (the first three dimensions make the grid), so every pair closer than
-    the radius lies in cells that touch. Without ``others`` the triangle i <= j is returned.
+    the radius lies in cells that touch. Without ``others`` the triangle i <= j is returned and a cell looks at half of its
+    neighbours only.
     """
     grid = min(dims, 3)
     left, right = _sides(points, points if others is None else others)
     cell = lambda name, k: F.floor(F.get(F.col(name), k) / lengths[k])
-    near = F.array(*[F.struct(*[(cell("xi", k) + s[k]).alias(f"c{k}") for k in range(grid)]) for s in product((-1, 0, 1), repeat=grid)])
-    left = left.withColumn("c", F.explode(near)).select("i", "xi", *[F.col(f"c.c{k}").alias(f"c{k}") for k in range(grid)])
+    steps = list(product((-1, 0, 1), repeat=grid))
+    if others is None:  # of two neighbouring cells one looks at the other; which end of a pair is i is settled afterwards
+        steps = [s for s in steps if s >= (0,) * grid]
+    near = F.array(*[F.struct(F.lit(s == (0,) * grid).alias("home"), *[(cell("xi", k) + s[k]).alias(f"c{k}") for k in range(grid)]) for s in steps])
+    left = left.withColumn("c", F.explode(near)).select("i", "xi", "c.*")
     right = right.select("j", "xj", *[cell("xj", k).alias(f"c{k}") for k in range(grid)])
     pairs = left.join(right, [f"c{k}" for k in range(grid)])
     if others is None:
-        pairs = pairs.where("i <= j")
+        pairs = pairs.where("NOT home OR i <= j")
     d = distance(coordinates("xi", dims), coordinates("xj", dims), lengths)
-    return pairs.withColumn("d", d).where("d < 1").select("i", "j", (amplitude * wendland(F.col("d"))).alias("v"))
+    found = pairs.withColumn("d", d).where("d < 1")
+    ends = ("i", "j") if others is not None else (F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    return found.select(*ends, (amplitude * wendland(F.col("d"))).alias("v"))
 
 
 def grid_blocks(points: DataFrame, lengths: Sequence[float], dims: int, most: int = 256) -> DataFrame:
@@ -96,6 +104,17 @@ def fingerprint(half: DataFrame) -> DataFrame:
     return half.agg(F.sum(diagonal.cast("long")).alias("n"), F.sum(weight).alias("nnz"), F.sum(F.when(diagonal, F.col("v")).otherwise(0.0)).alias("trace"), F.sqrt(F.sum(weight * F.col("v") * F.col("v"))).alias("frobenius"))
 
 
+def drift(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(drift): the larger relative change of trace and Frobenius norm between two fingerprints; 1 if the sizes differ.
+
+    What was derived from one covariance (a factor, a starting solution) is worth keeping while the drift is small.
+    """
+    was = old.select(*[F.col(c).alias(f"old_{c}") for c in ("n", "trace", "frobenius")])
+    change = lambda c: F.abs(F.col(c) - F.col(f"old_{c}")) / F.greatest(F.abs(c), F.abs(f"old_{c}"), F.lit(1e-300))
+    # One row each.
+    return new.join(F.broadcast(was), how="cross").select(F.when(F.col("n") != F.col("old_n"), 1.0).otherwise(F.greatest(change("trace"), change("frobenius"))).alias("drift"))
+
+
 def solve_mode(n: int, nnz: int) -> str:
     """Which solver suits a system of this size and density."""
     density = nnz / max(1, n * n)
@@ -106,8 +125,10 @@ def solve_mode(n: int, nnz: int) -> str:
 
 def matrix_vector(half: DataFrame, vector: DataFrame) -> DataFrame:
     """(i, v) of the symmetric matrix times (i, v): a join and a sum per row; no side is collected."""
-    full = mirrored(half)
-    return full.join(vector.select(F.col("i").alias("j"), F.col("v").alias("p")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("p")).alias("v"))
+    p = lambda end: vector.select(F.col("i").alias(end), F.col("v").alias(f"p{end}"))
+    both = half.join(p("i"), "i").join(p("j"), "j")
+    parts = F.array(F.struct(F.col("i").alias("row"), (F.col("v") * F.col("pj")).alias("part")), F.struct(F.col("j").alias("row"), F.when(F.col("i") < F.col("j"), F.col("v") * F.col("pi")).otherwise(0.0).alias("part")))
+    return both.select(F.explode(parts).alias("e")).groupBy(F.col("e.row").alias("i")).agg(F.sum("e.part").alias("v"))
 
 
 def support_levels(points: DataFrame, dims: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Gaussian-process regression over point tables.
 
-Training points of an exact model are bounded (``most_dense``) and factorised where they are collected; prediction is a Spark
-job of any size that carries the factor to the rows. Larger data use the compactly supported ball join and iterative solves.
+Training points of a model on the driver are bounded (``most_dense``) and factorised where they are collected; prediction is a
+Spark job of any size that carries the inverse triangle to the rows. ``exact_model`` takes tiles beyond that bound; compactly
+supported kernels have strips.
 """
 
 from __future__ import annotations
@@ -29,28 +30,38 @@ class GaussianProcess:
     """An exact GP: ``points`` (pt_id, x, y[, noise_var]), hyper = [variance, length per dimension], constant prior mean.
 
     Without a noise column every point has the variance (mean |y| / 100)^2; without hyperparameters they are the variance of y
-    and the spread of each coordinate.
+    and the spread of each coordinate. ``mean(x)`` and ``noise(x)`` may be functions of an array of points,
+    ``kernel_slopes(a, b, hyper)`` gives the kernel's derivatives by its hyperparameters.
     """
 
-    def __init__(self, points: DataFrame, hyper: Sequence[float] | None = None, kernel: Callable = K.default_kernel, mean: float | None = None, most_dense: int = 8000) -> None:
+    def __init__(self, points: DataFrame, hyper: Sequence[float] | None = None, kernel: Callable = K.default_kernel, mean: float | Callable | None = None, most_dense: int = 8000, noise: Callable | None = None, kernel_slopes: Callable | None = None) -> None:
         info = check(points)
         if info["rows"] > most_dense:
-            raise ValueError(f"{info['rows']} points; an exact model takes {most_dense}, more need the ball join and an iterative solve")
+            raise ValueError(f"{info['rows']} points; a model on the driver takes {most_dense}, more take tiles or strips")
         got = points.orderBy("pt_id").toPandas()
         self.spark, self.kernel = points.sparkSession, kernel
         self.ids, self.y = got["pt_id"].to_numpy(), got["y"].to_numpy(float)
         self.x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
         self.noise = got["noise_var"].to_numpy(float) if "noise_var" in got else np.full(len(got), (np.abs(self.y).mean() / 100) ** 2)
+        if noise is not None:
+            self.noise = np.broadcast_to(np.asarray(noise(self.x), float), self.y.shape).copy()
         if (self.noise <= 0).any():
             raise ValueError("noise variances must be positive")
-        self._mean = mean
+        self._mean, self.kernel_slopes = mean, kernel_slopes
         self.set_hyper(hyper if hyper is not None else [max(self.y.var(), 1e-12), *np.maximum(np.ptp(self.x, axis=0), 1e-12)])
 
     def set_hyper(self, hyper: Sequence[float]) -> None:
         self.hyper = np.array(hyper, float)
-        self.mean = self.y.mean() if self._mean is None else self._mean
+        self.mean = self.prior(self.x)
         self.factor = L.cholesky(block(self.x, self.x, self.hyper, self.kernel) + np.diag(self.noise))
         self.alpha = L.solve(self.factor, self.y - self.mean)
+        self.logdet, self.quadratic = L.logdet(self.factor), float((self.y - self.mean) @ self.alpha)
+
+    def prior(self, q: np.ndarray) -> np.ndarray | float:
+        """Prior mean at an array of points: a number, or what the function of the model gives."""
+        if callable(self._mean):
+            return np.broadcast_to(np.asarray(self._mean(q), float), (len(q),))
+        return self.y.mean() if self._mean is None else self._mean
 
     def append(self, x: np.ndarray, y: np.ndarray, noise: np.ndarray) -> None:
         """More points: the factor grows by their rows, and the default mean follows all targets."""
@@ -58,7 +69,7 @@ class GaussianProcess:
         self.factor = L.extended(self.factor, cross, own + np.diag(noise))
         self.x, self.y, self.noise = np.concatenate([self.x, x]), np.concatenate([self.y, y]), np.concatenate([self.noise, noise])
         self.ids = np.concatenate([self.ids, self.ids.max(initial=-1) + 1 + np.arange(len(y))])
-        self.mean = self.y.mean() if self._mean is None else self._mean
+        self.mean = self.prior(self.x)
         self.alpha = L.solve(self.factor, self.y - self.mean)
 
     # --- likelihood
@@ -73,11 +84,18 @@ class GaussianProcess:
         return float(-0.5 * (r @ alpha + L.logdet(low) + len(r) * np.log(2 * np.pi)))
 
     def likelihood_gradient(self, hyper: Sequence[float] | None = None) -> np.ndarray:
-        """Of the log likelihood: half of a'dK a - tr(K^-1 dK) per hyperparameter, dK by central differences."""
+        """Of the log likelihood: half of a'dK a - tr(K^-1 dK) per hyperparameter.
+
+        dK is ``kernel_slopes(x, x, hyper)`` where the model has it, closed for the default kernel, else central differences.
+        """
         h = self.hyper if hyper is None else np.array(hyper, float)
         low = L.cholesky(block(self.x, self.x, h, self.kernel) + np.diag(self.noise))
-        alpha, inverse = L.solve(low, self.y - self.mean), L.solve(low, np.eye(len(self.y)))
+        inverse = L.inverse(low)
+        alpha = inverse @ (self.y - self.mean)
         out = np.zeros(len(h))
+        slopes = self.kernel_slopes or (K.default_kernel_slopes if self.kernel is K.default_kernel else None)
+        if slopes:
+            return np.array([0.5 * (alpha @ d @ alpha - (inverse * d).sum()) for d in slopes(self.x, self.x, h)])
         for k in range(len(h)):
             e = np.zeros(len(h))
             e[k] = 1e-6 * max(1.0, abs(h[k]))
@@ -98,22 +116,40 @@ class GaussianProcess:
 
     def predict(self, points: DataFrame, id_col: str = "pred_id", add_noise: bool = False) -> DataFrame:
         """(id, m, v) of every row of ``points`` (id, x): a Spark job over its partitions; negative variances are zero."""
-        x, low, alpha, mean, hyper, kernel = self.x, self.factor, self.alpha, self.mean, self.hyper, self.kernel
-        noise = float(self.noise.mean()) if add_noise else 0.0
+        noise, hyper, kernel = (float(self.noise.mean()) if add_noise else 0.0), self.hyper, self.kernel
+        trend = self._mean if callable(self._mean) else None
+        level = 0.0 if trend else float(self.mean)
+        sent = self.spark.sparkContext.broadcast((self.x, self.alpha, L.lower_inverse(self.factor)))  # at most most_dense ** 2 numbers
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, alpha, inverse = sent.value
             for part in parts:
                 for s in range(0, len(part), 2000):
                     p = part.iloc[s : s + 2000]
                     q = np.array(p["x"].tolist(), float).reshape(len(p), -1)
                     k = block(x, q, hyper, kernel)
                     own = kernel([q[:, d] for d in range(q.shape[1])], [q[:, d] for d in range(q.shape[1])], hyper, K.NUMPY)
-                    yield pd.DataFrame({id_col: p[id_col].to_numpy(), "m": mean + k.T @ alpha, "v": np.maximum(0.0, own - (L.forward(low, k) ** 2).sum(0)) + noise})
+                    yield pd.DataFrame({id_col: p[id_col].to_numpy(), "m": (trend(q) if trend else level) + k.T @ alpha, "v": np.maximum(0.0, own - ((inverse @ k) ** 2).sum(0)) + noise})
 
         return points.select(id_col, "x").mapInPandas(run, f"{id_col} long, m double, v double")
 
+    def predict_slopes(self, points: DataFrame, id_col: str = "pred_id") -> DataFrame:
+        """(id, direction, dm, dv) for the default kernel in closed form: each row's slopes of mean and variance."""
+        hyper, dims = self.hyper, self.x.shape[1]
+        sent = self.spark.sparkContext.broadcast((self.x, self.alpha, L.inverse(self.factor)))  # at most most_dense ** 2 numbers
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, alpha, inverse = sent.value
+            for part in parts:
+                q = np.array(part["x"].tolist(), float).reshape(len(part), dims)
+                weighted = inverse @ block(x, q, hyper)
+                for k, dk in enumerate(K.default_kernel_point_slopes(x, q, hyper)):
+                    yield pd.DataFrame({id_col: part[id_col].to_numpy(), "direction": k, "dm": alpha @ dk, "dv": -2 * (weighted * dk).sum(0)})
+
+        return points.select(id_col, "x").mapInPandas(run, f"{id_col} long, direction int, dm double, dv double")
+
     def predict_gradient(self, points: DataFrame, id_col: str = "pred_id", step: float = 1e-5) -> DataFrame:
-        """(id, direction, dm, dv): central differences of mean and variance along every coordinate."""
+        """(id, direction, dm, dv): central differences of mean and variance along every coordinate, for any kernel."""
         dims = self.x.shape[1]
         moved = points.select(id_col, F.explode(F.array(*[F.lit(k) for k in range(dims)])).alias("direction"), "x").withColumn("sign", F.explode(F.array(F.lit(-1), F.lit(1))))
         shift = F.transform("x", lambda c, k: c + F.when(k == F.col("direction"), F.col("sign") * step).otherwise(0.0))
@@ -128,7 +164,7 @@ class GaussianProcess:
         """Mean and full covariance at a small set of points."""
         k = block(self.x, q, self.hyper, self.kernel)
         half = L.forward(self.factor, k)
-        return self.mean + k.T @ self.alpha, block(q, q, self.hyper, self.kernel) - half.T @ half
+        return self.prior(q) + k.T @ self.alpha, block(q, q, self.hyper, self.kernel) - half.T @ half
 
     # --- information
 
@@ -151,7 +187,7 @@ class GaussianProcess:
 
     def relative_information_entropy(self, q: np.ndarray) -> float:
         m, s = self.posterior(q)
-        return kl_divergence(np.full(len(q), self.mean), m, block(q, q, self.hyper, self.kernel) + 1e-9 * np.eye(len(q)), s + 1e-9 * np.eye(len(q)))
+        return kl_divergence(np.full(len(q), self.prior(q)), m, block(q, q, self.hyper, self.kernel) + 1e-9 * np.eye(len(q)), s + 1e-9 * np.eye(len(q)))
 
     def divergence_from(self, q: np.ndarray, mean: np.ndarray, covariance: np.ndarray) -> float:
         m, s = self.posterior(q)
@@ -167,6 +203,15 @@ class GaussianProcess:
         return m - s @ np.linalg.solve(both, d), (new + new.T) / 2, float(np.exp(log))
 
 
+def exact_model(points: DataFrame, hyper: Sequence[float], kernel: Callable = K.default_kernel, mean: float | None = None, most_dense: int = 8000):
+    """A model of the same likelihood and predictions on the driver or, beyond ``most_dense`` points, in tiles."""
+    from .tiles import TiledGaussianProcess
+
+    if points.count() <= most_dense:
+        return GaussianProcess(points, hyper, kernel, mean, most_dense)
+    return TiledGaussianProcess(points, hyper, kernel, mean)
+
+
 def gaussian_entropy(s: np.ndarray) -> float:
     n = len(s)
     return float(n / 2 * (1 + np.log(2 * np.pi)) + 0.5 * np.linalg.slogdet(s)[1])
@@ -179,6 +224,11 @@ def kl_divergence(m1: np.ndarray, m2: np.ndarray, s1: np.ndarray, s2: np.ndarray
     return float(abs(0.5 * (np.trace(L.solve(low2, s1)) - len(d) + d @ L.solve(low2, d) + L.logdet(low2) - L.logdet(low1))))
 
 
+def kl_normal(m1, v1, m2, v2):
+    """Divergence of N(m1, v1) from N(m2, v2) on the line, as a column."""
+    return 0.5 * (v1 / v2 - 1 + (m1 - m2) * (m1 - m2) / v2 + F.log(v2 / v1))
+
+
 def z_value(interval: float) -> float:
     return NormalDist().inv_cdf(0.5 + interval / 2)
 
@@ -186,7 +236,7 @@ def z_value(interval: float) -> float:
 def grouped_posterior(points: DataFrame, group: str, queries: DataFrame, hyper: Sequence[float]) -> DataFrame:
     """One GP per group, all groups at once: (group, pred_id, m, v). ``queries`` (group, pred_id, x) meet their group's points.
 
-    A group is factorised in one task, so its points are bounded by that task's memory (about 8000).
+    A group is factorised in one task, so a group has 8000 points at most; a larger one raises (it takes a model of its own, in tiles).
     """
     hyper = list(hyper)
 
@@ -197,6 +247,8 @@ def grouped_posterior(points: DataFrame, group: str, queries: DataFrame, hyper:
         if not len(pts):
             m, v = np.zeros(len(q)), np.full(len(q), hyper[0])
         else:
+            if len(pts) > 8000:
+                raise ValueError(f"{len(pts)} points in one group; a model in one task takes 8000")
             x, y = np.array(pts["x"].tolist(), float), pts["y"].to_numpy(float)
             low = L.cholesky(block(x, x, hyper) + max((np.abs(y).mean() / 100) ** 2, 1e-9) * np.eye(len(y)))
             k = block(x, q, hyper)

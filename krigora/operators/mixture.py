@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from krigora.functions.kernels import normal_density
+from krigora.sources.store import discard, written
 
 
 def station_moments(samples: DataFrame, station: str, value: str) -> DataFrame:
@@ -52,29 +52,37 @@ def fit_weights(samples: DataFrame, components: DataFrame, k: int, rounds: int =
 def station_mixtures(samples: DataFrame, station: str, value: str, weights: Sequence[float], rounds: int = 100, tol: float = 1e-4) -> DataFrame:
     """(station, k, weight, mean, variance): a mixture with fixed weights per station by EM, components by their mean.
 
-    A station's values are read in one task, as one series of measurements is small.
+    All stations go through a round together: samples meet their station's few components and Spark sums responsibilities and
+    moments by station, so no task holds a station's values. Starts one deviation around each station's mean; ends when no mean
+    moves by ``tol`` or after ``rounds``.
     """
-    w = np.array(weights, float)
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = np.sort(pdf["value"].to_numpy(float))
-        mean, var = np.quantile(y, (np.arange(len(w)) + 0.5) / len(w)), np.full(len(w), max(y.var(), 1e-9))
-        for _ in range(rounds):
-            log = np.log(w) - 0.5 * (np.log(2 * np.pi * var) + (y[:, None] - mean) ** 2 / var)
-            r = np.exp(log - log.max(1, keepdims=True))
-            r /= r.sum(1, keepdims=True)
-            n = r.sum(0) + 1e-12
-            new = (r * y[:, None]).sum(0) / n
-            var = np.maximum((r * (y[:, None] - new) ** 2).sum(0) / n, 1e-9)
-            done, mean = np.abs(new - mean).max() < tol, new
-            if done:
-                break
-        order = np.argsort(mean)
-        return pd.DataFrame({"station": key[0], "k": range(len(w)), "weight": w, "mean": mean[order], "variance": var[order]})
-
-    kind = samples.select(station).schema[0].dataType.simpleString()
+    n = len(weights)
     rows = samples.where(F.col(value).isNotNull()).select(F.col(station).alias("station"), F.col(value).cast("double").alias("value"))
-    return rows.groupBy("station").applyInPandas(fit, f"station {kind}, k int, weight double, mean double, variance double")
+    first = first_components(station_moments(rows, "station", "value"), n).withColumn("variance", F.greatest("variance", F.lit(1e-9)))
+    state = written(first.groupBy("station").agg(F.sort_array(F.collect_list(F.struct("k", "mean", "variance"))).alias("c")), "station-mixtures")
+    for _ in range(rounds):
+        joined = rows.join(state.withColumnRenamed("station", "owner"), F.col("station") == F.col("owner"))
+        mean, var = ([F.get(F.col(f"c.{name}"), j) for j in range(n)] for name in ("mean", "variance"))
+        logs = [F.lit(float(np.log(w))) - 0.5 * (F.log(v) + (F.col("value") - m) * (F.col("value") - m) / v) for w, m, v in zip(weights, mean, var, strict=True)]
+        parts = joined.select("station", "value", *[x.alias(f"l{j}") for j, x in enumerate(logs)])
+        top = F.greatest(*[F.col(f"l{j}") for j in range(n)]) if n > 1 else F.col("l0")
+        each = [F.exp(F.col(f"l{j}") - top) for j in range(n)]
+        total, y = sum(each[1:], each[0]), F.col("value")
+        sums = parts.groupBy("station").agg(*[f.alias(f"{name}{j}") for j, e in enumerate(each) for name, f in (("n", F.sum(e / total)), ("s", F.sum(e / total * y)), ("q", F.sum(e / total * y * y)))])
+        new = []
+        for j in range(n):
+            size = F.col(f"n{j}") + 1e-12
+            m = F.col(f"s{j}") / size
+            spread = (F.col(f"q{j}") - 2 * m * F.col(f"s{j}") + m * m * F.col(f"n{j}")) / size
+            new.append(F.struct(F.lit(j).alias("k"), m.alias("mean"), F.greatest(spread, F.lit(1e-9)).alias("variance")))
+        older, state = state, written(sums.select("station", F.array(*new).alias("c")), "station-mixtures")
+        both = state.join(older.select(F.col("station").alias("owner"), F.col("c").alias("old")), F.col("station") == F.col("owner"))
+        moved = both.agg(F.max(F.array_max(F.zip_with("c", "old", lambda p, q: F.abs(p["mean"] - q["mean"]))))).first()[0]
+        discard(older)
+        if moved is None or moved < tol:
+            break
+    ranked = F.sort_array(F.transform("c", lambda c, j: F.struct(c["mean"], F.get(F.array(*[F.lit(float(w)) for w in weights]), c["k"]).alias("weight"), c["variance"])))
+    return state.select("station", F.posexplode(ranked).alias("k", "c")).select("station", "k", "c.weight", "c.mean", "c.variance")
 
 
 def mixture_moments(components: DataFrame, key: str = "station") -> DataFrame:

@@ -145,3 +145,33 @@ def em_weights(samples: DataFrame, components: DataFrame, weights: Sequence[floa
     got = samples.join(wide, "station").agg(*[F.avg(d / total).alias(f"w{j}") for j, d in enumerate(dens)]).first()
     new = np.maximum([got[f"w{j}"] or 0.0 for j in range(k)], floor)
     return (new / new.sum()).tolist()
+
+
+def log_likelihood(samples: DataFrame, components: DataFrame, dims: int) -> DataFrame:
+    """(station, n, log_likelihood) of points (station, x) under their station's mixture (station, k, weight, mean, variance)."""
+    rows = samples.where(F.col("x").isNotNull())
+    each = rows.join(components.groupBy(F.col("station").alias("owner")).agg(F.collect_list(F.struct("weight", "mean", "variance")).alias("c")), F.col("station") == F.col("owner"))
+    logs = each.select("station", F.transform("c", lambda c: _log_term(c, F.col("x"), dims)).alias("logs"))
+    top = F.array_max("logs")
+    total = top + F.log(F.aggregate("logs", F.lit(0.0), lambda s, l: s + F.exp(l - top)))
+    return logs.groupBy("station").agg(F.count("*").alias("n"), F.sum(total).alias("log_likelihood"))
+
+
+def _log_term(c, x, dims: int):
+    out = F.log(c["weight"])
+    for t in range(dims):
+        v, gap = F.greatest(F.get(c["variance"], t), F.lit(1e-12)), F.get(x, t) - F.get(c["mean"], t)
+        out = out - 0.5 * (F.log(2 * np.pi * v) + gap * gap / v)
+    return out
+
+
+def sampled(components: DataFrame, n: int, dims: int, seed: int = 0) -> DataFrame:
+    """(station, draw, x): ``n`` points of each station's mixture, by random numbers in Spark; a lost task draws the same again."""
+    each = components.groupBy("station").agg(F.sort_array(F.collect_list(F.struct("k", "weight", "mean", "variance"))).alias("c"))
+    unit = lambda salt: (F.pmod(F.xxhash64("station", "draw", F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    draws = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("u", unit(0))
+    upto = lambda j: F.aggregate(F.slice("c", F.lit(1), j + 1), F.lit(0.0), lambda s, c: s + c["weight"])
+    picked = F.element_at(F.filter("c", lambda c, j: (F.col("u") <= upto(j)) | (j == F.size("c") - 1)), 1)
+    normal = lambda t: F.sqrt(-2 * F.log(unit(2 * t + 1))) * F.cos(2 * np.pi * unit(2 * t + 2))
+    drawn = draws.withColumn("p", picked)
+    return drawn.select("station", "draw", F.array(*[F.get("p.mean", t) + F.sqrt(F.get("p.variance", t)) * normal(t) for t in range(dims)]).alias("x"))

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 
 from krigora.functions import kernels as K
 from krigora.operators import covariance as C
-from krigora.operators import linalg as L
-from krigora.operators import metrics, mixture, mixture_points, samples
-from krigora.operators.gp import GaussianProcess, grouped_posterior
+from krigora.operators import distributional, metrics, mixture, mixture_points, samples
+from krigora.operators.gp import GaussianProcess, exact_model, grouped_posterior, kl_normal
+from krigora.operators.strips import StripGaussianProcess
+from krigora.operators.tiles import TiledGaussianProcess
 from krigora.plans import training
 from krigora.sources import points as P
-from krigora.sources.store import written
 from krigora.streaming import appends
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +65,9 @@ p AS (SELECT i, j, a1, a2, b1, b2, sqrt(((a1 - b1) / {LENGTHS[0]}) ** 2 + ((a2 -
 _D = K.distance
 _W = "least(d, 1)"
 _G = "(0.7 * exp(-(({0}1 - 1) ** 2 + ({0}2 - 1) ** 2) / 4) + 0.3 * exp(-(({0}1 - 3) ** 2 + ({0}2 - 2) ** 2) / 4))"
+_E = "exp(-(({0}1 - 1) ** 2 + ({0}2 - 1) ** 2) / 4)"
+_GL = "((0.7 * exp(-(({0}1 - 1) ** 2 + ({0}2 - 1) ** 2) / 4) * (({0}1 - 1) ** 2 + ({0}2 - 1) ** 2) + 0.3 * exp(-(({0}1 - 3) ** 2 + ({0}2 - 2) ** 2) / 4) * (({0}1 - 3) ** 2 + ({0}2 - 2) ** 2)) / 16)"
+_BUMP = "(CASE WHEN 1 - (({0}1 - {1}) ** 2 + ({0}2 - {2}) ** 2) / 9 > 0 THEN exp(-0.9 / (1 - (({0}1 - {1}) ** 2 + ({0}2 - {2}) ** 2) / 9) + 0.9) ELSE 0 END)"
 _SL = "(least(CASE WHEN d = 0 THEN 1e-5 ELSE d END / 2.5, 1))"
 KERNELS: dict[str, tuple[Callable, str]] = {
     "squared_exponential": (lambda d, a, b: K.squared_exponential(d, 0.8), "exp(-d * d / (2 * 0.64))"),
@@ -80,10 +83,14 @@ KERNELS: dict[str, tuple[Callable, str]] = {
     "periodic": (lambda d, a, b: K.periodic(d, 0.8, 1.3), "exp(-2 / 0.64 * sin(pi() * d / 1.3) ** 2)"),
     "linear": (lambda d, a, b: K.linear(a[0], b[0], 0.5, 2.0, 0.3), "0.5 + 2 * ((a1 - 0.3) * (b1 - 0.3))"),
     "polynomial": (lambda d, a, b: K.polynomial(a[0] * b[0] + a[1] * b[1], 3), "(1 + a1 * b1 + a2 * b2) ** 3"),
-    "dot_product": (lambda d, a, b: 0.5 + a[0] * (2.0 * b[0] + 0.3 * b[1]) + a[1] * (0.3 * b[0] + b[1]), "0.5 + a1 * (2 * b1 + 0.3 * b2) + a2 * (0.3 * b1 + b2)"),
+    "dot_product": (lambda d, a, b: K.dot_product(a, b, 0.5, [[2.0, 0.3], [0.3, 1.0]]), "0.5 + a1 * (2 * b1 + 0.3 * b2) + a2 * (0.3 * b1 + b2)"),
     "wendland": (lambda d, a, b: K.wendland(d), f"(1 - {_W}) ** 8 * (32 * {_W} ** 3 + 25 * {_W} ** 2 + 8 * {_W} + 1)"),
     "bump": (lambda d, a, b: K.bump(d, 2.0, 1.5, 0.9), "CASE WHEN 1 - d * d / 4 > 0 THEN 0.9 * exp(-1.5 / (1 - d * d / 4) + 1.5) ELSE 0 END"),
     "non_stationary": (lambda d, a, b: K.radial_sum(a, [[1.0, 1.0], [3.0, 2.0]], [0.7, 0.3], 4.0) * K.radial_sum(b, [[1.0, 1.0], [3.0, 2.0]], [0.7, 0.3], 4.0), f"{_G.format('a')} * {_G.format('b')}"),
+    "non_stationary_weight_slope": (lambda d, a, b: K.non_stationary_slopes(a, b, [[1.0, 1.0], [3.0, 2.0]], [0.7, 0.3], 4.0)[0], f"{_E.format('a')} * {_G.format('b')} + {_E.format('b')} * {_G.format('a')}"),
+    "non_stationary_width_slope": (lambda d, a, b: K.non_stationary_slopes(a, b, [[1.0, 1.0], [3.0, 2.0]], [0.7, 0.3], 4.0)[2], f"{_GL.format('a')} * {_G.format('b')} + {_GL.format('b')} * {_G.format('a')}"),
+    "landmark": (lambda d, a, b: K.landmark(a, b, [[1.0, 1.0], [3.0, 2.0]], [2.0, 3.0, 0.9, 0.5]), f"2 * exp(-(({_BUMP.format('a', 1, 1)} - {_BUMP.format('b', 1, 1)}) ** 2 + ({_BUMP.format('a', 3, 2)} - {_BUMP.format('b', 3, 2)}) ** 2) / 0.5)"),
+    "out_of_bounds": (lambda d, a, b: K.out_of_bounds([a[0] - b[0], b[1]], [(-2.0, 2.0), (0.5, 3.0)]).cast("double"), "CASE WHEN a1 - b1 < -2 OR a1 - b1 > 2 OR b2 < 0.5 OR b2 > 3 THEN 1 ELSE 0 END"),
     "default": (lambda d, a, b: K.default_kernel(a, b, HYPER), "2 * (1 + sqrt(3) * sqrt(((a1 - b1) / 1.5) ** 2 + (a2 - b2) ** 2)) * exp(-sqrt(3) * sqrt(((a1 - b1) / 1.5) ** 2 + (a2 - b2) ** 2))"),
     "distance": (lambda d, a, b: d, "d"),
     "normal_density": (lambda d, a, b: K.normal_density(a[0], b[0], F.lit(0.5)), "exp(-1 * (a1 - b1) ** 2 / (2 * 0.5)) / sqrt(2 * pi() * 0.5)"),
@@ -158,35 +165,46 @@ def covariance_appended(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("i", "j", _r(F.col("v")).alias("v"))
 
 
-@_query()
-def sparse_logdet(spark: SparkSession, d: str) -> DataFrame:
-    """Random estimate of log|K + V| over all parts, its variance, and the residual of a solve of the same system, all on tables."""
-    pts = _parts(spark, d)
-    half = written(C.with_noise(_ball(spark, d), NOISE), "sparse-matrix")
-    mean = pts.agg(F.avg("y")).first()[0]
-    rhs = pts.select(F.col("pt_id").alias("i"), (F.col("y") - mean).alias("v"))
-    x = L.spark_conjugate_gradient(half, rhs, blocks=C.grid_blocks(pts, BALL, 2))
-    gap = C.matrix_vector(half, x).join(rhs.withColumnRenamed("v", "y"), "i").agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("y"), 2)))).first()[0]
-    estimate, variance = L.spark_random_logdet(half, rhs.select("i"), 16, 25)
-    return spark.createDataFrame([(estimate, variance, float(gap))], "logdet double, variance double, residual double")
+@_query(
+    _SELF + """, w AS (SELECT s.i, t.i AS j, 4 * (1 + sqrt(3) * d) * exp(-sqrt(3) * d) + CASE WHEN s.i = t.i THEN 0.25 ELSE 0 END AS v FROM
+  (SELECT s.i, t.i AS j, sqrt(((s.a1 - t.a1) / 3) ** 2 + ((s.a2 - t.a2) / 2) ** 2) AS d FROM s, s t) x JOIN s ON s.i = x.i JOIN s t ON t.i = x.j),
+f AS (SELECT (SELECT sum(v) FROM k WHERE i = j) AS t0, (SELECT sum(v) FROM w WHERE i = j) AS t1, (SELECT sqrt(sum(v * v)) FROM k) AS f0, (SELECT sqrt(sum(v * v)) FROM w) AS f1)
+SELECT round(greatest(abs(t1 - t0) / greatest(t0, t1), abs(f1 - f0) / greatest(f0, f1)), 6) AS drift FROM f"""
+)
+def covariance_drift(spark: SparkSession, d: str) -> DataFrame:
+    """How far K + V moves when all hyperparameters are doubled."""
+    made = [C.fingerprint(C.with_noise(C.half_covariance(_suppliers(spark, d), lambda a, b, f=f: K.default_kernel(a, b, [h * f for h in HYPER]), 2), NOISE)) for f in (1, 2)]
+    return C.drift(*made).select(_r(F.col("drift")).alias("drift"))
 
 
 @_query()
-def sparse_solve(spark: SparkSession, d: str) -> DataFrame:
-    """(K + V) a = y - mean over all parts: ball join in Spark, preconditioned conjugate gradients on its nonzeros while they
-    fit one machine, else the same iteration to the same tolerance on tables."""
+def sparse_logdet(spark: SparkSession, d: str) -> DataFrame:
+    """log|K + V| over all parts, exactly, and the residual of the solution of the same system under the ball join's product."""
     pts = _parts(spark, d)
-    half = C.with_noise(_ball(spark, d), NOISE)
-    n, mean = pts.agg(F.count("*"), F.avg("y")).first()
-    nnz = half.count()
-    if C.solve_mode(n, 2 * nnz) == "spark_cg":
-        rhs = pts.select(F.col("pt_id").alias("i"), (F.col("y") - mean).alias("v"))
-        return L.spark_conjugate_gradient(half, rhs, blocks=C.grid_blocks(pts, BALL, 2)).select("i", _r(F.col("v"), 4).alias("alpha"))
-    got, rows = half.toPandas(), pts.select("pt_id", "y").toPandas().sort_values("pt_id")
-    ids = rows["pt_id"].to_numpy()
-    a = L.Coo(np.searchsorted(ids, got["i"]), np.searchsorted(ids, got["j"]), got["v"].to_numpy(), len(ids))
-    x = L.conjugate_gradient(a, rows["y"].to_numpy() - mean, precondition=L.block_jacobi(a))
-    return spark.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "i long, alpha double").select("i", _r(F.col("alpha"), 4).alias("alpha"))
+    gp = StripGaussianProcess(pts, [1.5, *BALL], NOISE, predicts=False)
+    x = gp.weights().select("i", F.col("alpha").alias("v"))
+    got = C.matrix_vector(C.with_noise(_ball(spark, d), NOISE), x).join(pts.select(F.col("pt_id").alias("i"), (F.col("y") - gp.mean).alias("r")), "i")
+    return got.agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("r"), 2))).alias("residual")).select(F.lit(gp.logdet).alias("logdet"), "residual")
+
+
+_CG = (
+    _BALL + """, t AS (SELECT p_partkey AS i, row_number() OVER (ORDER BY p_partkey) AS r, p_retailprice / 1000.0::DOUBLE - (SELECT avg(p_retailprice / 1000.0::DOUBLE) FROM part) AS y FROM part),
+f AS (SELECT i, j, v + CASE WHEN i = j THEN 0.25 ELSE 0 END AS v FROM k UNION ALL SELECT j, i, v FROM k WHERE i < j),
+w AS (SELECT a.r, list(b.r ORDER BY b.r) AS js, list(f.v::DOUBLE ORDER BY b.r) AS vs FROM f JOIN t a ON a.i = f.i JOIN t b ON b.i = f.j GROUP BY a.r),
+m AS (SELECT list(js ORDER BY r) AS js, list(vs ORDER BY r) AS vs FROM w), y AS (SELECT list(y::DOUBLE ORDER BY r) AS y, list(i ORDER BY r) AS ids FROM t),
+g AS (SELECT 0 AS it, list_transform(y, lambda c: 0.0::DOUBLE) AS x, y AS r, y AS p, list_inner_product(y, y) AS rr FROM y
+  UNION ALL SELECT it + 1, nx, nr, list_transform(nr, lambda c, k: c + list_inner_product(nr, nr) / rr * p[k]), list_inner_product(nr, nr)
+  FROM (SELECT it, p, rr, list_transform(x, lambda c, k: c + a * p[k]) AS nx, list_transform(r, lambda c, k: c - a * ap[k]) AS nr
+    FROM (SELECT *, rr / list_inner_product(p, ap) AS a FROM (SELECT g.*, list_transform(m.vs, lambda v, k: list_inner_product(v, list_select(p, m.js[k]))) AS ap FROM g, m WHERE rr > 1e-24 AND it < 1000))))
+SELECT unnest(ids) AS i, round(unnest(x), 4) + 0.0::DOUBLE AS alpha FROM (SELECT ids, x FROM g, y ORDER BY it DESC LIMIT 1)"""
+).replace("WITH s AS", "WITH RECURSIVE s AS", 1)
+
+
+@_query(_CG)
+def sparse_solve(spark: SparkSession, d: str) -> DataFrame:
+    """(K + V) a = y - mean over all parts by strips."""
+    gp = StripGaussianProcess(_parts(spark, d), [1.5, *BALL], NOISE, predicts=False)
+    return gp.weights().select("i", _r(F.col("alpha"), 4).alias("alpha"))
 
 
 # --- prior, sources, tasks
@@ -210,6 +228,11 @@ def task_grid(spark: SparkSession, d: str) -> DataFrame:
     return P.task_grid(n, n.count(), [0, 1, 2]).select(F.col("flat_id").cast("long").alias("flat_id"), "pred_id", "task")
 
 
+@_query("SELECT i AS pred_id, round(-1 + i * 4 / 99.0, 6) AS a FROM range(100) x(i)")
+def prediction_line(spark: SparkSession, d: str) -> DataFrame:
+    return P.line_grid(spark, -1.0, 3.0, 100).select("pred_id", _r(F.get("x", 0)).alias("a"))
+
+
 @_query("SELECT i * 25 + j AS pred_id, round(i / 39.0 * 2 - 1, 6) AS a, round(j / 24.0 * 3, 6) AS b FROM range(40) x(i), range(25) y(j)")
 def prediction_grid(spark: SparkSession, d: str) -> DataFrame:
     return P.plane_grid(spark, [-1.0, 0.0], [1.0, 3.0], 40, 25).select("pred_id", _r(F.get("x", 0)).alias("a"), _r(F.get("x", 1)).alias("b"))
@@ -217,13 +240,15 @@ def prediction_grid(spark: SparkSession, d: str) -> DataFrame:
 
 # --- likelihood and posterior: one elimination of [[K + V, B], [B', D]] in SQL
 
-_ELIMINATE = """WITH RECURSIVE mu AS (SELECT avg(s_acctbal / 1000) AS m, count(*) AS n FROM supplier),
-u AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS r, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2, s_acctbal / 1000 - m AS y, 0 AS kind, s_suppkey AS id FROM supplier, mu
-  UNION ALL SELECT n + 1, 0, 0, 0, 1, 0 FROM mu
-  UNION ALL SELECT n + 1 + row_number() OVER (ORDER BY n_nationkey), n_nationkey / 5.0::DOUBLE, n_regionkey::DOUBLE, 0, 2, n_nationkey FROM nation, mu),
+def _elimination(points: str, asked: str | None, kernel: str, mean: str = "avg(y)") -> str:
+    """SQL that eliminates the points (id, x1, x2, x3, y, noise, g): z.m is then the complement of the targets (row 1) and of the
+    points asked for (id, x1, x2, x3, g), or of the unit vectors, which gives the inverse, where none are asked."""
+    more = "SELECT n + 1 + row_number() OVER (ORDER BY id), x1, x2, x3, 0, 2, id, 0, g FROM ask, mu" if asked else "SELECT n + 1 + row_number() OVER (ORDER BY id), 0, 0, 0, 0, 3, id, 0, g FROM pts, mu"
+    return f"""WITH RECURSIVE pts AS ({points}), ask AS ({asked or "SELECT 1"}), mu AS (SELECT ({mean})::DOUBLE AS m, count(*) AS n FROM pts),
+u AS (SELECT row_number() OVER (ORDER BY id) AS r, x1, x2, x3, y - m AS y, 0 AS kind, id, noise, g FROM pts, mu UNION ALL SELECT n + 1, 0, 0, 0, 0, 1, 0, 0, 0 FROM mu UNION ALL {more}),
 e AS (SELECT a.r AS i, b.r AS j, CASE WHEN a.kind = 1 AND b.kind = 1 THEN 0 WHEN a.kind = 1 THEN b.y WHEN b.kind = 1 THEN a.y
-    ELSE 2 * (1 + sqrt(3) * sqrt(((a.x1 - b.x1) / 1.5) ** 2 + (a.x2 - b.x2) ** 2)) * exp(-sqrt(3) * sqrt(((a.x1 - b.x1) / 1.5) ** 2 + (a.x2 - b.x2) ** 2))
-      + CASE WHEN a.kind = 0 AND a.r = b.r THEN 0.25 ELSE 0 END END AS v FROM u a, u b),
+    WHEN a.kind = 3 OR b.kind = 3 THEN CASE WHEN a.kind <> b.kind AND a.id = b.id THEN 1 ELSE 0 END
+    ELSE {kernel} + CASE WHEN a.kind = 0 AND a.r = b.r THEN a.noise ELSE 0 END END AS v FROM u a, u b),
 f AS (SELECT i, list(v::DOUBLE ORDER BY j) AS row FROM e GROUP BY i),
 g AS (SELECT 0::BIGINT AS it, 0.0::DOUBLE AS ld, list(row ORDER BY i) AS m FROM f
   UNION ALL SELECT it + 1, ld + ln(m[1][1]), list_transform(m[2:], lambda row: list_transform(range(2, len(row) + 1), lambda c: row[c] - row[1] * m[1][c] / m[1][1])) FROM g WHERE it < (SELECT n FROM mu)),
@@ -231,10 +256,27 @@ z AS (SELECT ld, m FROM g WHERE it = (SELECT n FROM mu))
 """
 
 
+_SUPPLIER_SQL = "SELECT s_suppkey AS id, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2, 0 AS x3, s_acctbal / 1000 AS y, 0.25 AS noise, 0 AS g FROM supplier"
+_NATION_SQL = "SELECT n_nationkey AS id, n_nationkey / 5.0::DOUBLE AS x1, n_regionkey::DOUBLE AS x2, 0 AS x3, 0 AS g FROM nation"
+_MATERN_SQL = "2 * (1 + sqrt(3) * {0}) * exp(-sqrt(3) * {0})"
+_GAP_SQL = "sqrt(((a.x1 - b.x1) / 1.5) ** 2 + (a.x2 - b.x2) ** 2)"
+_ELIMINATE = _elimination(_SUPPLIER_SQL, _NATION_SQL, _MATERN_SQL.format(_GAP_SQL))
+#: One row: the weights al, the inverse q, the coordinates and the mean of the suppliers' model.
+_INVERSE = _elimination(_SUPPLIER_SQL, None, _MATERN_SQL.format(_GAP_SQL)) + """, l AS (SELECT list(x1::DOUBLE ORDER BY r) AS x1, list(x2::DOUBLE ORDER BY r) AS x2 FROM u WHERE kind = 0),
+inv AS (SELECT list_transform(z.m[1][2:], lambda c: -c) AS al, list_transform(z.m[2:], lambda row: list_transform(row[2:], lambda c: -c)) AS q, l.x1, l.x2, mu.m AS mean FROM z, l, mu)
+"""
+_GAPS_SQL = "list_transform(range(1, len(inv.x1) + 1), lambda p: sqrt(((inv.x1[p] - o.x1) / 1.5) ** 2 + (inv.x2[p] - o.x2) ** 2))"
+
+
 def _model(spark: SparkSession, d: str) -> GaussianProcess:
     return GaussianProcess(_suppliers(spark, d), HYPER)
 
 
+def _any_model(spark: SparkSession, d: str):
+    """On the driver while the suppliers are few, else in tiles."""
+    return exact_model(_suppliers(spark, d), HYPER)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return gp_posterior(spark, d)
 
@@ -242,14 +284,14 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 @_query(_ELIMINATE + "SELECT id::BIGINT AS pred_id, round(mu.m - z.m[1][r - n], 5) AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2")
 def gp_posterior(spark: SparkSession, d: str) -> DataFrame:
     """Posterior mean and variance at every nation of a GP over all suppliers."""
-    got = _model(spark, d).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    got = _any_model(spark, d).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
     return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
 
 
 @_query(_ELIMINATE + "SELECT round(-0.5 * (-z.m[1][1] + ld + n * ln(2 * pi())), 4) AS log_likelihood, round(ld, 4) AS logdet, round(-z.m[1][1], 4) AS quadratic FROM z, mu")
 def gp_log_likelihood(spark: SparkSession, d: str) -> DataFrame:
-    gp = _model(spark, d)
-    row = (gp.log_likelihood(), L.logdet(gp.factor), float((gp.y - gp.mean) @ gp.alpha))
+    gp = _any_model(spark, d)
+    row = (gp.log_likelihood(), gp.logdet, gp.quadratic)
     return spark.createDataFrame([row], "log_likelihood double, logdet double, quadratic double").select(*[_r(F.col(c), 4).alias(c) for c in ("log_likelihood", "logdet", "quadratic")])
 
 
@@ -262,7 +304,14 @@ def gp_posterior_covariance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "i long, j long, s double").select("i", "j", _r(F.col("s"), 5).alias("s"))
 
 
-@_query()
+_TASK_SQL = "SELECT s_suppkey * 2 + t AS id, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2, t AS x3, CASE t WHEN 0 THEN s_acctbal / 1000 ELSE abs(s_acctbal) / 1000 END AS y, 0.25 AS noise, 0 AS g FROM supplier, (VALUES (0), (1)) v(t)"
+
+
+@_query(
+    _elimination(_TASK_SQL, "SELECT n_nationkey + t * (SELECT count(*) FROM nation) AS id, n_nationkey / 5.0::DOUBLE AS x1, n_regionkey::DOUBLE AS x2, t AS x3, 0 AS g FROM nation, (VALUES (0), (1)) v(t)",
+                 _MATERN_SQL.format("sqrt(((a.x1 - b.x1) / 1.5) ** 2 + (a.x2 - b.x2) ** 2 + ((a.x3 - b.x3) / 0.8) ** 2)"))
+    + "SELECT id::BIGINT AS flat_id, round(mu.m - z.m[1][r - n], 5) AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2"
+)
 def gp_multi_task(spark: SparkSession, d: str) -> DataFrame:
     """Two outputs of every supplier as one model: the task is a further coordinate."""
     s = _table(spark, d, "supplier")
@@ -270,22 +319,78 @@ def gp_multi_task(spark: SparkSession, d: str) -> DataFrame:
     pts = long.select((F.col("pt_id") * 2 + F.col("task")).alias("pt_id"), "x", "y").withColumn("noise_var", F.lit(NOISE))
     n = _nations(spark, d).withColumnRenamed("pt_id", "pred_id")
     ask = P.task_grid(n, n.count(), [0, 1])
-    got = GaussianProcess(pts, [*HYPER, 0.8]).predict(ask.select("flat_id", "x"), "flat_id")
+    got = exact_model(pts, [*HYPER, 0.8]).predict(ask.select("flat_id", "x"), "flat_id")
     return got.select("flat_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
 
 
-@_query()
+@_query(
+    _INVERSE + f""", o AS ({_NATION_SQL}), d AS (SELECT o.id, o.x1, o.x2, {_GAPS_SQL} AS d FROM o, inv),
+k AS (SELECT d.*, list_transform(d, lambda c: {_MATERN_SQL.format("c")}) AS k FROM d),
+s AS (SELECT k.id, t AS direction, k, list_transform(k.d, lambda c, p: 6 * exp(-sqrt(3) * c) * CASE t WHEN 0 THEN (inv.x1[p] - k.x1) / 2.25 ELSE inv.x2[p] - k.x2 END) AS dk FROM k, inv, (VALUES (0), (1)) v(t))
+SELECT id::BIGINT AS pred_id, direction, round(list_inner_product(inv.al, dk), 4) + 0.0::DOUBLE AS dm, round(-2 * list_inner_product(dk, list_transform(inv.q, lambda row: list_inner_product(row, k))), 4) + 0.0::DOUBLE AS dv FROM s, inv"""
+)
 def gp_posterior_gradient(spark: SparkSession, d: str) -> DataFrame:
-    got = _model(spark, d).predict_gradient(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
-    return got.select("pred_id", "direction", _r(F.col("dm"), 3).alias("dm"), _r(F.col("dv"), 3).alias("dv"))
+    got = _model(spark, d).predict_slopes(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    return got.select("pred_id", "direction", _r(F.col("dm"), 4).alias("dm"), _r(F.col("dv"), 4).alias("dv"))
 
 
-@_query()
+@_query(
+    _INVERSE + """, p AS (SELECT i, j, inv.al[i] * inv.al[j] - inv.q[i][j] AS w, (inv.x1[i] - inv.x1[j]) ** 2 AS g1, (inv.x2[i] - inv.x2[j]) ** 2 AS g2 FROM inv, range(1, (SELECT n FROM mu) + 1) a(i), range(1, (SELECT n FROM mu) + 1) b(j)),
+d AS (SELECT *, sqrt(g1 / 2.25 + g2) AS d FROM p), s AS (SELECT sum(w * (1 + sqrt(3) * d) * exp(-sqrt(3) * d)) / 2 AS s0, sum(w * 6 * exp(-sqrt(3) * d) * g1 / 3.375) / 2 AS s1, sum(w * 6 * exp(-sqrt(3) * d) * g2) / 2 AS s2 FROM d)
+SELECT k AS parameter, round(CASE k WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END, 3) + 0.0::DOUBLE AS slope FROM s, (VALUES (0), (1), (2)) v(k)"""
+)
 def gp_likelihood_gradient(spark: SparkSession, d: str) -> DataFrame:
     g = _model(spark, d).likelihood_gradient()
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "parameter int, slope double").select("parameter", _r(F.col("slope"), 3).alias("slope"))
 
 
+_POSTERIOR = ", p AS (SELECT id::BIGINT AS pred_id, mu.m - z.m[1][r - n] AS m, z.m[r - n][r - n] AS v, mu.m AS prior FROM u, mu, z WHERE kind = 2) "
+
+
+@_query(_ELIMINATE + _POSTERIOR + "SELECT pred_id, round(0.5 * (2 / v - 1 + (m - prior) ** 2 / v + ln(v / 2)), 4) + 0.0::DOUBLE AS kl FROM p")
+def gp_information_per_point(spark: SparkSession, d: str) -> DataFrame:
+    """What the data tell about each nation by itself: divergence of the prior there from the posterior."""
+    gp = _model(spark, d)
+    got = gp.predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    return got.select("pred_id", _r(kl_normal(F.lit(float(gp.mean)), F.lit(HYPER[0]), F.col("m"), F.col("v")), 4).alias("kl"))
+
+
+@_query(_ELIMINATE + _POSTERIOR + "SELECT pred_id, round((m + 5 * v) / (v + 1), 5) AS m, round(v / (v + 1), 5) AS v, round(exp(-0.5 * (m - 5) ** 2 / (v + 1)) / sqrt(2 * pi() * (v + 1)), 6) AS agreement FROM p")
+def gp_posterior_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """Product of each nation's posterior and a normal of mean 5 and variance 1, and the density of their agreement."""
+    got = _any_model(spark, d).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    m, v, both = F.col("m"), F.col("v"), F.col("v") + 1
+    return got.select("pred_id", _r((m + 5 * v) / both, 5).alias("m"), _r(v / both, 5).alias("v"), _r(K.normal_density(m, F.lit(5.0), both)).alias("agreement"))
+
+
+@_query(_ELIMINATE + _POSTERIOR + "SELECT pred_id, round(m, 5) + 0.0::DOUBLE AS m, round(v + 0.25, 5) AS v FROM p")
+def gp_posterior_noisy(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of measurements: the posterior with the noise of the data."""
+    got = _model(spark, d).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"), add_noise=True)
+    return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
+def _trend(x: np.ndarray) -> np.ndarray:
+    return 1.0 + 0.5 * x[:, 0]
+
+
+def _uneven(x: np.ndarray) -> np.ndarray:
+    return 0.1 + 0.05 * x[:, 1]
+
+
+@_query(
+    _elimination(
+        "SELECT s_suppkey AS id, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2, 0 AS x3, s_acctbal / 1000 - (1 + 0.5 * (s_nationkey / 5.0::DOUBLE)) AS y, 0.1 + 0.05 * ((s_suppkey % 10) / 3.0::DOUBLE) AS noise, 0 AS g FROM supplier",
+        _NATION_SQL, _MATERN_SQL.format(_GAP_SQL), "0")
+    + "SELECT id::BIGINT AS pred_id, round(1 + 0.5 * x1 - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2"
+)
+def gp_posterior_trend(spark: SparkSession, d: str) -> DataFrame:
+    """A model whose prior mean and noise are functions of the point."""
+    gp = GaussianProcess(_suppliers(spark, d).drop("noise_var"), HYPER, mean=_trend, noise=_uneven)
+    got = gp.predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
 @_query()
 def gp_information(spark: SparkSession, d: str) -> DataFrame:
     """Entropy, mutual information, total correlation and relative information entropy at the nations."""
@@ -297,14 +402,26 @@ def gp_information(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([tuple(map(float, row))], ", ".join(f"{n} double" for n in names)).select(*[_r(F.col(n), 3).alias(n) for n in names])
 
 
-@_query()
+@_query(
+    _INVERSE + f""", o AS (SELECT event_id AS id, (user_id % 25) / 5.0::DOUBLE AS x1, least(abs(value), 300.0) / 100.0::DOUBLE AS x2 FROM events), d AS (SELECT o.id, {_GAPS_SQL} AS d FROM o, inv),
+k AS (SELECT id, list_transform(d, lambda c: {_MATERN_SQL.format("c")}) AS k FROM d)
+SELECT id AS pred_id, round(mean + list_inner_product(k, al), 5) + 0.0::DOUBLE AS m, round(greatest(0, 2 - list_inner_product(k, list_transform(q, lambda row: list_inner_product(row, k)))), 5) AS v FROM k, inv"""
+)
 def gp_events_scored(spark: SparkSession, d: str) -> DataFrame:
     """A model over the suppliers scores every event: prediction as a job over a large table."""
     ask = _table(spark, d, "events").select(F.col("event_id").alias("pred_id"), F.array((F.col("user_id") % 25) / 5.0, F.least(F.abs("value"), F.lit(300.0)) / 100.0).alias("x"))
-    return _model(spark, d).predict(ask).select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+    return _any_model(spark, d).predict(ask).select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
 
 
-@_query()
+@_query(
+    _elimination(
+        """SELECT s_suppkey AS id, (s_suppkey % 100) / 20.0::DOUBLE AS x1, 0 AS x2, 0 AS x3, s_acctbal / 1000.0 - avg(s_acctbal / 1000.0) OVER (PARTITION BY s_nationkey) AS y,
+        greatest((avg(abs(s_acctbal / 1000.0)) OVER (PARTITION BY s_nationkey) / 100) ** 2, 1e-9) AS noise, s_nationkey AS g FROM supplier""",
+        "SELECT n_nationkey * 5 + k AS id, k::DOUBLE AS x1, 0 AS x2, 0 AS x3, n_nationkey AS g FROM nation, range(5) v(k)",
+        "CASE WHEN a.g = b.g THEN (1 + sqrt(3) * abs(a.x1 - b.x1)) * exp(-sqrt(3) * abs(a.x1 - b.x1)) ELSE 0 END", "0")
+    + """, c AS (SELECT s_nationkey AS g, avg(s_acctbal / 1000.0) AS mean FROM supplier GROUP BY 1)
+SELECT u.g::INT AS nation, (u.id % 5)::BIGINT AS pred_id, round(coalesce(c.mean, 0) - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(greatest(0, z.m[r - n][r - n]), 5) AS v FROM u JOIN mu ON true JOIN z ON true LEFT JOIN c ON c.g = u.g WHERE kind = 2"""
+)
 def gp_per_nation(spark: SparkSession, d: str) -> DataFrame:
     """One GP per nation over its suppliers, all at once."""
     s = _table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.array((F.col("s_suppkey") % 100) / 20.0).alias("x"), (F.col("s_acctbal") / 1000.0).alias("y"))
@@ -312,6 +429,34 @@ def gp_per_nation(spark: SparkSession, d: str) -> DataFrame:
     return grouped_posterior(s, "nation", n.select("nation", F.col("k").cast("long").alias("pred_id"), F.array(F.col("k").cast("double")).alias("x")), [1.0, 1.0]).select("nation", "pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
 
 
+_WENDLAND_GAP = "least(1, sqrt(((a.x1 - b.x1) / 0.9) ** 2 + ((a.x2 - b.x2) / 1.1) ** 2))"
+_SPARSE = _elimination(_SUPPLIER_SQL, _NATION_SQL, "2 * (1 - {0}) ** 8 * (32 * {0} ** 3 + 25 * {0} ** 2 + 8 * {0} + 1)".format(_WENDLAND_GAP))
+SPARSE_HYPER = [2.0, 0.9, 1.1]
+
+
+@_query(_SPARSE + "SELECT id::BIGINT AS pred_id, round(mu.m - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2")
+def sparse_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """Posterior mean and variance at every nation of a compactly supported GP over all suppliers, by strips."""
+    got = StripGaussianProcess(_suppliers(spark, d), SPARSE_HYPER, aim=8).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
+@_query(_SPARSE + "SELECT round(-0.5 * (-z.m[1][1] + ld + n * ln(2 * pi())), 4) AS log_likelihood, round(ld, 4) AS logdet, round(-z.m[1][1], 4) AS quadratic FROM z, mu")
+def sparse_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """Exact likelihood of the same model, by strips."""
+    gp = StripGaussianProcess(_suppliers(spark, d), SPARSE_HYPER, aim=8, predicts=False)
+    row = (gp.log_likelihood(), gp.logdet, gp.quadratic)
+    return spark.createDataFrame([row], "log_likelihood double, logdet double, quadratic double").select(*[_r(F.col(c), 4).alias(c) for c in ("log_likelihood", "logdet", "quadratic")])
+
+
+@_query(_ELIMINATE + "SELECT id::BIGINT AS pred_id, round(mu.m - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2")
+def tiled_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """What gp_posterior gives, from a factor in tiles, as it is made beyond what the driver holds."""
+    n = _suppliers(spark, d)
+    got = TiledGaussianProcess(n, HYPER, size=max(8, n.count() // 4)).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
 # --- metrics: orders against the mean and variance of their priority
 
 _SCORED = """WITH g AS (SELECT o_orderpriority AS p, avg(o_totalprice / 1000) AS m, var_pop(o_totalprice / 1000) AS v FROM orders GROUP BY 1),
@@ -346,6 +491,12 @@ def metric_scores(spark: SparkSession, d: str) -> DataFrame:
     return got.select(*[_r(F.col(c), 4 if c == "interval_score" else 5).alias(c) for c in got.columns])
 
 
+@_query(_SCORED + "SELECT round(avg(0.5 * ln(v) + 0.5 * (y - m) ** 2 / v - 0.5 * ln(10000.0) - 0.5 * (y - 100) ** 2 / 10000.0), 5) AS msll FROM r")
+def metric_standardised_loss(spark: SparkSession, d: str) -> DataFrame:
+    """Loss of the scored rows beside that of one normal of mean 100 and variance 10,000."""
+    return metrics.scores(_scored(spark, d), train=(100.0, 10_000.0)).select(_r(F.col("msll"), 5).alias("msll"))
+
+
 @_query(_SCORED + f"SELECT round(k / 20.0, 10)::DOUBLE AS level, round(avg(CASE WHEN 2 * {_cdf_sql('abs(z)')} - 1 <= round(k / 20.0, 10) THEN 1.0::DOUBLE ELSE 0 END), 6) AS coverage FROM r, range(1, 20) t(k) GROUP BY k")
 def metric_coverage(spark: SparkSession, d: str) -> DataFrame:
     return metrics.coverage_curve(_scored(spark, d)).select("level", _r(F.col("coverage")).alias("coverage"))
@@ -449,11 +600,57 @@ def profile_distance(spark: SparkSession, d: str) -> DataFrame:
     return e.join(first, "label").select("vec_id", _r(K.sorted_profile_distance(F.col("p"), F.col("c"))).alias("v"))
 
 
-@_query()
+@_query(
+    f"""WITH RECURSIVE {_MOMENTS}, c AS (SELECT c_nationkey AS station, c_acctbal AS y FROM customer WHERE c_acctbal IS NOT NULL),
+e AS (SELECT 0 AS it, station, mean - sqrt(variance) AS m0, mean AS m1, mean + sqrt(variance) AS m2, greatest(variance, 1e-9) AS v0, greatest(variance, 1e-9) AS v1, greatest(variance, 1e-9) AS v2 FROM m
+  UNION ALL SELECT it + 1, station, s0 / (n0 + 1e-12), s1 / (n1 + 1e-12), s2 / (n2 + 1e-12), greatest(q0 / (n0 + 1e-12), 1e-9), greatest(q1 / (n1 + 1e-12), 1e-9), greatest(q2 / (n2 + 1e-12), 1e-9) FROM
+   (SELECT it, station, n0, n1, n2, s0, s1, s2, k0 - 2 * s0 / (n0 + 1e-12) * s0 + (s0 / (n0 + 1e-12)) ** 2 * n0 AS q0, k1 - 2 * s1 / (n1 + 1e-12) * s1 + (s1 / (n1 + 1e-12)) ** 2 * n1 AS q1, k2 - 2 * s2 / (n2 + 1e-12) * s2 + (s2 / (n2 + 1e-12)) ** 2 * n2 AS q2 FROM
+    (SELECT it, station, sum(p0 / p) AS n0, sum(p1 / p) AS n1, sum(p2 / p) AS n2, sum(p0 / p * y) AS s0, sum(p1 / p * y) AS s1, sum(p2 / p * y) AS s2, sum(p0 / p * y * y) AS k0, sum(p1 / p * y * y) AS k1, sum(p2 / p * y * y) AS k2 FROM
+     (SELECT it, station, y, exp(l0 - t) AS p0, exp(l1 - t) AS p1, exp(l2 - t) AS p2, exp(l0 - t) + exp(l1 - t) + exp(l2 - t) AS p FROM
+      (SELECT *, greatest(l0, l1, l2) AS t FROM (SELECT e.it, e.station, y, ln(0.3) - 0.5 * (ln(v0) + (y - m0) ** 2 / v0) AS l0, ln(0.4) - 0.5 * (ln(v1) + (y - m1) ** 2 / v1) AS l1, ln(0.3) - 0.5 * (ln(v2) + (y - m2) ** 2 / v2) AS l2 FROM e JOIN c ON c.station = e.station WHERE it < 12))) GROUP BY it, station))),
+l AS (SELECT station, list_sort([{{'m': m0, 'w': 0.3::DOUBLE, 'v': v0}}, {{'m': m1, 'w': 0.4::DOUBLE, 'v': v1}}, {{'m': m2, 'w': 0.3::DOUBLE, 'v': v2}}]) AS c FROM e WHERE it = 12)
+SELECT station, k::INT AS k, c[k + 1].w AS weight, round(c[k + 1].m, 3) AS mean, round(c[k + 1].v, 1) AS variance FROM l, range(3) t(k)"""
+)
 def station_mixtures(spark: SparkSession, d: str) -> DataFrame:
-    """A three-part mixture with fixed weights for every nation."""
-    got = mixture.station_mixtures(_balances(spark, d), "station", "value", [0.3, 0.4, 0.3])
-    return got.select("station", "k", "weight", _r(F.col("mean"), 1).alias("mean"), _r(F.col("variance"), 0).alias("variance"))
+    """A three-part mixture with fixed weights for every nation, twelve rounds of EM over all of them at once."""
+    got = mixture.station_mixtures(_balances(spark, d), "station", "value", [0.3, 0.4, 0.3], rounds=12, tol=0.0)
+    return got.select("station", "k", "weight", _r(F.col("mean"), 3).alias("mean"), _r(F.col("variance"), 1).alias("variance"))
+
+
+_BIN_SQL = "SELECT station, -1000 + (bin + 0.5) * 550 AS pos, density FROM p"
+
+
+@_query(
+    _DENSITY + f""", m AS (SELECT c_nationkey AS station, avg(c_acctbal) AS mean, var_pop(c_acctbal) AS variance FROM customer GROUP BY 1),
+b AS ({_BIN_SQL}), d AS (SELECT b.station, pos, density * 550 AS mass, k, ln([0.5, 0.3, 0.2][k + 1]::DOUBLE) - 0.5 * (ln(2 * pi() * variance) + (pos - (mean + (k - 1) * sqrt(variance))) ** 2 / variance) AS l FROM b JOIN m ON m.station = b.station, range(3) t(k)),
+r AS (SELECT k, mass * exp(l - max(l) OVER w) / sum(exp(l)) OVER w * exp(max(l) OVER w) AS q FROM d WINDOW w AS (PARTITION BY station, pos)), h AS (SELECT k, sum(q) AS q FROM r GROUP BY k)
+SELECT k::INT AS k, round(q / sum(q) OVER (), 6) AS weight FROM h"""
+)
+def density_weights(spark: SparkSession, d: str) -> DataFrame:
+    """One step for common weights of three components per nation, on the nations' densities."""
+    comp = mixture.first_components(mixture.station_moments(_balances(spark, d), "station", "value"), 3)
+    w = distributional.density_weights(_densities(spark, d), comp, [0.5, 0.3, 0.2], 550.0)
+    return spark.createDataFrame(list(enumerate(w)), "k int, weight double").select("k", _r(F.col("weight")).alias("weight"))
+
+
+@_query(
+    _elimination(
+        """SELECT c_nationkey * 3 + k AS id, c_nationkey / 5.0::DOUBLE AS x1, (c_nationkey % 5)::DOUBLE AS x2, 0 AS x3, mean + (k - 1) * sqrt(variance) - avg(mean + (k - 1) * sqrt(variance)) OVER (PARTITION BY k) AS y, variance AS noise, k AS g
+        FROM (SELECT c_nationkey, avg(c_acctbal / 1000) AS mean, var_pop(c_acctbal / 1000) AS variance FROM customer GROUP BY 1), range(3) t(k)""",
+        "SELECT n_nationkey * 3 + k AS id, n_nationkey / 5.0 + 0.05::DOUBLE AS x1, n_regionkey::DOUBLE AS x2, 0 AS x3, k AS g FROM nation, range(3) t(k)",
+        f"CASE WHEN a.g = b.g THEN {_MATERN_SQL.format(_GAP_SQL)} ELSE 0 END", "0")
+    + """, c AS (SELECT k, avg(mean + (k - 1) * sqrt(variance)) AS level FROM (SELECT c_nationkey, avg(c_acctbal / 1000) AS mean, var_pop(c_acctbal / 1000) AS variance FROM customer GROUP BY 1), range(3) t(k) GROUP BY k),
+p AS (SELECT u.id // 3 AS pred_id, [0.5, 0.3, 0.2][u.g + 1]::DOUBLE AS w, c.level - z.m[1][r - n] AS m, z.m[r - n][r - n] AS v FROM u, mu, z, c WHERE kind = 2 AND c.k = u.g)
+SELECT pred_id::BIGINT AS pred_id, round(sum(w * m), 5) + 0.0::DOUBLE AS mean, round(sum(w * (v + m * m)) - sum(w * m) ** 2, 5) AS variance FROM p GROUP BY 1"""
+)
+def distributional_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """Three components per nation, one model per component over the nations: mean and variance of the mixture beside each nation."""
+    b = _balances(spark, d).withColumn("value", F.col("value") / 1000)
+    comp = mixture.first_components(mixture.station_moments(b, "station", "value"), 3)
+    places = _table(spark, d, "customer").select(F.col("c_nationkey").alias("station")).distinct().withColumn("x", F.array(F.col("station") / 5.0, (F.col("station") % 5).cast("double")))
+    ask = _nations(spark, d).select(F.col("pt_id").alias("pred_id"), F.array(F.get("x", 0) + 0.05, F.get("x", 1)).alias("x"))
+    got = distributional.DistributionalProcess(comp, places, [HYPER] * 3, [0.5, 0.3, 0.2]).predict(ask)
+    return got.select("pred_id", _r(F.col("mean"), 5).alias("mean"), _r(F.col("variance"), 5).alias("variance"))
 
 
 _TWO = """WITH a AS (SELECT s_suppkey AS i, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2 FROM supplier),
@@ -517,6 +714,22 @@ def mixture_points_em_step(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(w)), "k int, weight double").select("k", _r(F.col("weight")).alias("weight"))
 
 
+@_query(
+    """WITH p AS (SELECT c_nationkey AS s, c_custkey AS id, c_acctbal / 1000 AS x1, (c_custkey % 10) / 3.0::DOUBLE AS x2 FROM customer WHERE c_acctbal IS NOT NULL),
+m AS (SELECT s, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) + 1 AS v1, var_pop(x2) + 1 AS v2 FROM p GROUP BY s),
+l AS (SELECT p.s, id, [0.5, 0.3, 0.2][k + 1]::DOUBLE * exp(-0.5 * ((x1 - m1 - (k - 1) * sqrt(v1)) ** 2 / v1 + (x2 - m2 - (k - 1) * sqrt(v2)) ** 2 / v2)) / (2 * pi() * sqrt(v1 * v2)) AS d FROM p JOIN m ON p.s = m.s, range(3) t(k)),
+e AS (SELECT s, ln(sum(d)) AS l FROM l GROUP BY s, id) SELECT s AS station, count(*)::BIGINT AS n, round(sum(l), 4) AS log_likelihood FROM e GROUP BY s"""
+)
+def mixture_points_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """Likelihood of every nation's customers under three components spread around its moments."""
+    p = _customer_points(spark, d)
+    axis = lambda f, k: f(F.get("x", k))
+    m = p.groupBy("station").agg(F.array(axis(F.avg, 0), axis(F.avg, 1)).alias("m"), F.array(axis(F.var_pop, 0) + 1, axis(F.var_pop, 1) + 1).alias("variance"))
+    comp = m.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(3)]))).withColumn("mean", F.zip_with("m", "variance", lambda a, v: a + (F.col("k") - 1) * F.sqrt(v)))
+    comp = comp.withColumn("weight", F.element_at(F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)), F.col("k") + 1))
+    return mixture_points.log_likelihood(p, comp, 2).select("station", "n", _r(F.col("log_likelihood"), 4).alias("log_likelihood"))
+
+
 @_query()
 def mixture_points_aligned(spark: SparkSession, d: str) -> DataFrame:
     """A mixture of two parts per nation, numbered alike along the shortest tree over the nations."""

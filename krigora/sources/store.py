@@ -2,22 +2,49 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return conf or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table: short lineage, and nothing is lost with an executor."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if not _OWN:
+        atexit.register(_clean)
+    _OWN.append((df.sparkSession, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with suppress(Exception):  # the session may have ended already; the folder is scratch
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean() -> None:
+    for spark, path in _OWN:
+        _delete(spark, path)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the folder of a table that ``written`` made and nothing reads any more."""
+    _delete(df.sparkSession, df.folder)
 
 
 def save_model(spark: SparkSession, path: str, points: DataFrame, state: dict) -> None:
