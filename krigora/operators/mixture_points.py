@@ -11,59 +11,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from krigora.functions.kernels import normal_density
+from krigora.sources.store import discard, written
 
 #: Most stations whose tree and components come together in one place.
 MOST_STATIONS = 5_000
 
 
-def _spread(x: np.ndarray, k: int) -> np.ndarray:
-    """First means: the point nearest the centre, then each time the point farthest from those before it."""
-    d = ((x - x.mean(0)) ** 2).sum(1)
-    picked = [int(d.argmin())]
-    near = ((x - x[picked[0]]) ** 2).sum(1)
-    while len(picked) < k:
-        picked.append(int(near.argmax()))
-        near = np.minimum(near, ((x - x[picked[-1]]) ** 2).sum(1))
-    return x[picked].copy()
+def station_mixtures(samples: DataFrame, k: int, rounds: int = 300, tol: float = 1e-4, floor: float = 1e-6) -> DataFrame:
+    """(station, k, weight, mean, variance): a diagonal mixture for every station of ``samples`` (station, x), by EM.
 
-
-def fit_diagonal(x: np.ndarray, k: int, rounds: int = 300, tol: float = 1e-4, floor: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, means, variances of a diagonal mixture by EM; components by their first coordinate."""
-    scale = x.var(0) + floor
-    mean, var, w = _spread(x, k), np.tile(scale, (k, 1)), np.full(k, 1 / k)
+    All stations go through a round together: points meet their station's few components and Spark sums responsibilities and
+    moments by station, so no task holds a station's points. Starts between one deviation below and above each station's mean,
+    the spread running along all coordinates; ends when no mean moves by ``tol``. Components are numbered by their means.
+    Points that are null or hold a null or NaN are left out; an empty table gives no rows.
+    """
+    good = samples.where(F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))).select("station", "x")
+    dims = good.agg(F.max(F.size("x"))).first()[0] or 1
+    axis = [F.get("x", t) for t in range(dims)]
+    first = good.groupBy("station").agg(F.array(*[F.avg(x) for x in axis]).alias("m"), F.array(*[F.var_pop(x) + floor for x in axis]).alias("v"))
+    offset = [0.0] if k == 1 else [-1 + 2 * j / (k - 1) for j in range(k)]
+    start = F.array(*[F.struct(F.lit(1 / k).alias("weight"), F.zip_with("m", "v", lambda m, v, o=o: m + o * F.sqrt(v)).alias("mean"), F.col("v").alias("variance")) for o in offset])
+    state = written(first.select("station", start.alias("c")), "point-mixtures")
     for _ in range(rounds):
-        log = np.log(w) - 0.5 * (np.log(2 * np.pi * var).sum(1) + ((x[:, None] - mean) ** 2 / var).sum(2))
-        r = np.exp(log - log.max(1, keepdims=True))
-        r /= r.sum(1, keepdims=True)
-        n = r.sum(0) + 1e-12
-        new = r.T @ x / n[:, None]
-        var = np.maximum(r.T @ x**2 / n[:, None] - new**2, 0) + floor
-        w = np.maximum(n / n.sum(), 1e-9)
-        w /= w.sum()
-        done, mean = np.abs(new - mean).max() < tol, new
-        if done:
+        joined = good.join(state.withColumnRenamed("station", "owner"), F.col("station") == F.col("owner"))
+        parts = joined.select("station", "x", *[_log_term(F.get("c", j), F.col("x"), dims).alias(f"l{j}") for j in range(k)])
+        top = F.greatest(*[F.col(f"l{j}") for j in range(k)]) if k > 1 else F.col("l0")
+        each = [F.exp(F.col(f"l{j}") - top) for j in range(k)]
+        total = sum(each[1:], each[0])
+        sums = parts.groupBy("station").agg(F.count("*").alias("all"), *[f.alias(name) for j, e in enumerate(each) for name, f in [(f"n{j}", F.sum(e / total))] + [(f"{n}{j}_{t}", g) for t, x in enumerate(axis) for n, g in (("s", F.sum(e / total * x)), ("q", F.sum(e / total * x * x)))]])
+        new = []
+        for j in range(k):
+            size = F.col(f"n{j}") + 1e-12
+            mean = [F.col(f"s{j}_{t}") / size for t in range(dims)]
+            spread = [F.greatest(F.col(f"q{j}_{t}") / size - m * m, F.lit(0.0)) + floor for t, m in enumerate(mean)]
+            new.append(F.struct(F.greatest(F.col(f"n{j}") / F.col("all"), F.lit(1e-9)).alias("weight"), F.array(*mean).alias("mean"), F.array(*spread).alias("variance")))
+        older, state = state, written(sums.select("station", F.array(*new).alias("c")), "point-mixtures")
+        both = state.join(older.select(F.col("station").alias("owner"), F.col("c").alias("old")), F.col("station") == F.col("owner"))
+        moved = both.agg(F.max(F.array_max(F.zip_with("c", "old", lambda p, q: F.array_max(F.zip_with(p["mean"], q["mean"], lambda u, v: F.abs(u - v))))))).first()[0]
+        discard(older)
+        if moved is None or moved < tol:
             break
-    order = np.lexsort(mean.T[::-1])
-    return w[order], mean[order], var[order]
-
-
-_COMPONENTS = "k int, weight double, mean array<double>, variance array<double>"
-
-
-def station_mixtures(samples: DataFrame, k: int, **options) -> DataFrame:
-    """(station, k, weight, mean, variance) for samples (station, x); a station's points are read in one task.
-
-    Points that are null or hold a null or NaN are left out; a station with fewer than ``k`` distinct points repeats some.
-    """
-    kind = samples.schema["station"].dataType.simpleString()
-    good = samples.where(F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(sorted(pdf["x"].map(tuple))).astype(float)
-        w, mean, var = fit_diagonal(x, k, **options)
-        return pd.DataFrame({"station": key[0], "k": range(k), "weight": w, "mean": list(mean), "variance": list(var)})
-
-    return good.select("station", "x").groupBy("station").applyInPandas(fit, f"station {kind}, {_COMPONENTS}")
+    ranked = F.sort_array(F.transform("c", lambda c: F.struct(c["mean"], c["weight"], c["variance"])))
+    return state.select("station", F.posexplode(ranked).alias("k", "c")).select("station", "k", "c.weight", "c.mean", "c.variance")
 
 
 def wasserstein_cost(m1: np.ndarray, v1: np.ndarray, m2: np.ndarray, v2: np.ndarray) -> np.ndarray:
@@ -118,9 +107,9 @@ def aligned_along(components: DataFrame, tree: list[tuple]) -> DataFrame:
 
     The components of at most ``MOST_STATIONS`` stations come to the driver, as each step needs the one before.
     """
-    rows = {s: g.sort_values("k") for s, g in components.toPandas().groupby("station")}
-    if len(rows) > MOST_STATIONS:
+    if components.select("station").distinct().count() > MOST_STATIONS:
         raise ValueError(f"more than {MOST_STATIONS} stations")
+    rows = {s: g.sort_values("k") for s, g in components.toPandas().groupby("station")}
     for a, b in tree:
         if a in rows and b in rows:
             order = best_order(wasserstein_cost(np.stack(rows[a]["mean"]), np.stack(rows[a]["variance"]), np.stack(rows[b]["mean"]), np.stack(rows[b]["variance"])))

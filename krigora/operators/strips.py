@@ -80,7 +80,7 @@ def _halve(pdf: pd.DataFrame) -> pd.DataFrame:
         out.append(("node", even // 2, n0, _pack(d0), None, _pack(b0), 0.0, 0.0))
         return pd.DataFrame(out, columns=[c.split()[0] for c in _NODE.split(", ")])
     n1, d1, u1, b1 = odd
-    up, down = _block(u0, n0, n1), np.frombuffer(u1, float).reshape(n1, -1) if u1 else np.zeros((n1, 0))
+    up, down = _block(u0, n0, n1), np.frombuffer(u1, float).reshape(n1, -1) if u1 and n1 else np.zeros((n1, 0))
     low = L.cholesky(d1)
     inverse = L.inverse(low)
     solved = inverse @ np.concatenate([up.T, down, b1[:, None]], 1)
@@ -104,7 +104,7 @@ def _restore(done: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(2 * k, left.x, left.s, None)], columns=["pos", "x", "s", "su"])
     r = done.iloc[0]
     n, n0 = int(r["n"]), len(x0)
-    ef = np.frombuffer(r["u"], float).reshape(n, -1)
+    ef = np.frombuffer(r["u"], float).reshape(n, -1) if n else np.zeros((0, n0))
     e, f, inverse, y = ef[:, :n0], ef[:, n0:], _block(r["d"], n, n), np.frombuffer(r["b"], float)
     x, own, toward = y - e @ x0, e @ s0, None
     if f.shape[1]:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from krigora.sources.store import written
+
 Objective = Callable[[np.ndarray], float]
 
 
@@ -102,13 +104,44 @@ def chains(spark: SparkSession, log_density: Objective, start: Sequence[float],
                     if np.log(rng.random()) < fn - fx:
                         x, fx, taken = new, fn, taken + 1
                     if t % 50 == 49:
-                        scale, taken = scale * np.exp((taken / 50 - 0.3) / np.sqrt(1 + t / 50)), 0
+                        scale, taken = scale * np.exp((taken / 50 - 0.234) / np.sqrt(1 + t / 50)), 0
                     trace.append((int(chain), t, x.tolist(), float(fx)))
                 yield pd.DataFrame(trace, columns=["chain", "iter", "hps", "f"])
 
     return spark.range(n_chains).select(F.col("id").cast("int").alias("chain")).repartition(n_chains).mapInPandas(run, "chain int, iter int, hps array<double>, f double")
 
 
+def settled(trace: DataFrame, window: float = 0.25, within: float = 0.1) -> bool:
+    """Whether every parameter's mean over the last ``window`` of all chains lies within ``within`` deviations of that over the
+    window before."""
+    last = trace.agg(F.max("iter")).first()[0]
+    if not last:
+        return False
+    later = F.floor((F.col("iter") - (1 - 2 * window) * last) / (window * last + 1))
+    long = trace.where(F.col("iter") >= (1 - 2 * window) * last).select(F.least(later, F.lit(1)).alias("part"), F.posexplode("hps").alias("parameter", "value"))
+    got = long.groupBy("parameter").agg(*[F.avg(F.when(F.col("part") == p, F.col("value"))).alias(f"m{p}") for p in (0, 1)], F.stddev("value").alias("sd"))
+    return not got.where(F.abs(F.col("m0") - F.col("m1")) > within * F.greatest("sd", F.lit(1e-12))).limit(1).count()
+
+
+def chains_until_settled(spark: SparkSession, log_density: Objective, start: Sequence[float], bounds: np.ndarray, n_chains: int = 4, steps: int = 500, most: int = 10, seed: int = 0) -> DataFrame:
+    """Runs chains in portions of ``steps``, each from the best point so far, until the last portion is settled."""
+    out, best = None, np.array(start, float)
+    for k in range(most):
+        part = written(chains(spark, log_density, best, bounds, n_chains, steps, seed + k).withColumn("iter", F.col("iter") + F.lit(k * steps)), "chains")
+        out = part if out is None else out.unionByName(part)
+        best = np.array(part.agg(F.max_by("hps", "f")).first()[0], float)
+        if settled(part.withColumn("iter", F.col("iter") - F.lit(k * steps))):
+            break
+    return out
+
+
+def trace_median(trace: DataFrame, share: float = 0.01) -> DataFrame:
+    """(parameter, median) over the last ``share`` of all chains: what a run of chains is taken to have found."""
+    last = trace.agg(F.max("iter")).first()[0] or 0
+    long = trace.where(F.col("iter") >= (1 - share) * last).select(F.posexplode("hps").alias("parameter", "value"))
+    return long.groupBy("parameter").agg(F.median("value").alias("median"))
+
+
 def trace_summary(trace: DataFrame, dims: int, burn: float = 0.5) -> DataFrame:
     """(parameter, mean, sd, best) of the later part of all chains."""
     last = trace.agg(F.max("iter")).first()[0] or 0
@@ -128,19 +161,44 @@ def bayesian(f: Objective, bounds: np.ndarray, evaluations: int = 30, seed: int
     logs = low > 0
     out = lambda u: np.where(logs, np.exp(np.log(np.where(logs, low, 1)) + u * (np.log(np.where(logs, high, 1)) - np.log(np.where(logs, low, 1)))), low + u * (high - low))
     d = len(low)
-    kernel = lambda a, b: matern_5_2(distance([a[:, k][:, None] for k in range(d)], [b[:, k][None] for k in range(d)], [0.4] * d, NUMPY), 1.0, NUMPY)
+    kernel = lambda a, b, size: matern_5_2(distance([a[:, k][:, None] for k in range(d)], [b[:, k][None] for k in range(d)], size, NUMPY), 1.0, NUMPY)
+
+    def surrogate_loss(size: np.ndarray, noise: float, u: np.ndarray, z: np.ndarray) -> float:
+        """Minus the log likelihood of the values with the best variance, and a mild pull of the lengths to 0.5."""
+        try:
+            factor = L.cholesky(kernel(u, u, size) + noise * np.eye(len(u)))
+        except ValueError:
+            return np.inf
+        return 0.5 * len(z) * np.log(max(z @ L.solve(factor, z), 1e-12)) + 0.5 * L.logdet(factor) + 0.5 * float((np.log(size / 0.5) ** 2).sum())
+
+    def fit_surrogate(size: np.ndarray, noise: float, u: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, float]:
+        """Lengths and noise by trying steps of one at a time, each smaller than the last."""
+        at, best = np.log([*size, noise]), surrogate_loss(size, noise, u, z)
+        for step in (1.0, 0.5, 0.25):
+            for k in range(d + 1):
+                for sign in (-1, 1):
+                    new = at.copy()
+                    new[k] = np.clip(new[k] + sign * step, np.log(1e-6), np.log(5.0))
+                    got = surrogate_loss(np.exp(new[:d]), float(np.exp(new[d])), u, z)
+                    if got < best:
+                        at, best = new, got
+        return np.exp(at[:d]), float(np.exp(at[d]))
+
     first = min(evaluations, max(5, 2 * (d + 1)))
     u = np.stack([(rng.permutation(first) + rng.random(first)) / first for _ in range(d)], 1)
     y = np.array([f(out(p)) for p in u])
+    size, noise = np.full(d, 0.4), 1e-4
     while len(y) < evaluations:
         scale = max(y.std(), 1e-12)
         z = (y - y.mean()) / scale
-        low_t = L.cholesky(kernel(u, u) + 1e-4 * np.eye(len(u)))
+        size, noise = fit_surrogate(size, noise, u, z)
+        low_t = L.cholesky(kernel(u, u, size) + noise * np.eye(len(u)))
         alpha, best = L.solve(low_t, z), u[y.argmin()]
+        tall = max(float(z @ alpha) / len(z), 1e-12)
         cand = np.clip(np.concatenate([rng.random((512, d)), best + 0.1 * rng.normal(size=(256, d)), best + 0.01 * rng.normal(size=(128, d))]), 0, 1)
-        k = kernel(u, cand)
-        mu, sd = k.T @ alpha, np.sqrt(np.maximum(1e-12, 1 - (L.forward(low_t, k) ** 2).sum(0)))
-        t = (z.min() - mu) / sd
+        k = kernel(u, cand, size)
+        mu, sd = k.T @ alpha, np.sqrt(np.maximum(1e-12, tall * (1 - (L.forward(low_t, k) ** 2).sum(0))))
+        t = ((kernel(u, u, size) @ alpha).min() - mu) / sd  # the best of the values without their noise
         gain = sd * (t * np.array([n01.cdf(v) for v in t]) + np.exp(-t * t / 2) / np.sqrt(2 * np.pi))
         if gain.max() < 1e-9:
             break

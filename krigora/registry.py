@@ -566,13 +566,14 @@ def density_distances(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query(
-    """WITH a AS (SELECT c_acctbal AS pos, 1 AS a FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT s_acctbal, 0 FROM supplier),
+    """WITH a AS (SELECT c_acctbal AS pos, 1 AS a FROM customer UNION ALL SELECT s_acctbal, 0 FROM supplier),
 g AS (SELECT pos, sum(a) AS a, sum(1 - a) AS b FROM a GROUP BY pos),
 s AS (SELECT sum(a) OVER (ORDER BY pos) / sum(a) OVER () - sum(b) OVER (ORDER BY pos) / sum(b) OVER () AS gap, lead(pos) OVER (ORDER BY pos) - pos AS width FROM g)
 SELECT round(sum(2 * gap * gap * width), 4) AS energy_distance FROM s"""
 )
 def energy_distance(spark: SparkSession, d: str) -> DataFrame:
-    a = _table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_acctbal").alias("b"))
+    """All customers' balances against all suppliers'."""
+    a = _table(spark, d, "customer").select(F.col("c_acctbal").alias("b"))
     return samples.energy_distance(a, _table(spark, d, "supplier").select(F.col("s_acctbal").alias("b")), "b").select(_r(F.col("energy_distance"), 4).alias("energy_distance"))
 
 
@@ -733,7 +734,7 @@ def mixture_points_likelihood(spark: SparkSession, d: str) -> DataFrame:
 @_query()
 def mixture_points_aligned(spark: SparkSession, d: str) -> DataFrame:
     """A mixture of two parts per nation, numbered alike along the shortest tree over the nations."""
-    comp = mixture_points.station_mixtures(_customer_points(spark, d), 2)
+    comp = mixture_points.station_mixtures(_customer_points(spark, d), 2, rounds=12, tol=0.0)
     tree = mixture_points.station_tree(_nations(spark, d).select(F.col("pt_id").cast("int").alias("station"), "x"))
     return mixture_points.aligned_along(comp, tree).select("station", "k", _r(F.col("weight"), 3).alias("weight"), F.transform("mean", lambda v: _r(v, 2)).alias("mean"))
 
