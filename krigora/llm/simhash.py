@@ -28,6 +28,8 @@ from .components import components
 _FAN = 8
 #: Most fingerprints (24 bytes each) that are broadcast; beyond it their rows are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Words whose hashes a task keeps.
+MOST_WORDS = 200_000
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -105,7 +107,7 @@ class GrayIndex:
             self.bits.append(a & own)
             above = same
 
-    def links(self, limit: int, queries: np.ndarray | None = None, step: int = 2048, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(self, limit: int, queries: np.ndarray | None = None, step: int = 2048, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of positions that differ in at most ``limit`` bits, a bounded number at a time.
 
         Without ``queries`` every pair (i < j) comes once; else the pairs of the positions in ``queries`` with all others.
@@ -386,12 +388,13 @@ def _alike(similarity: float):
             order = np.argsort(slot[own], kind="stable")
             held, who = slot[own][order], owner[own][order] - s
             lo, hi = np.searchsorted(held, slot, "left"), np.searchsorted(held, slot, "right")
-            shared = np.zeros((e - s, n), np.int32)
-            for at in range(0, len(slot), 1 << 16):
-                a, z = lo[at : at + (1 << 16)], hi[at : at + (1 << 16)]
+            shared = np.zeros((e - s) * n, np.int64)
+            for at in range(0, len(slot), 1 << 12):  # at most 2**20 shared places at a time
+                a, z = lo[at : at + (1 << 12)], hi[at : at + (1 << 12)]
                 times = z - a
                 mine = who[np.repeat(a - np.cumsum(times) + times, times) + np.arange(times.sum())]
-                np.add.at(shared, (mine, np.repeat(owner[at : at + (1 << 16)], times)), 1)
+                shared += np.bincount(mine * n + np.repeat(owner[at : at + (1 << 12)], times), minlength=len(shared))
+            shared = shared.reshape(e - s, n)
             near = shared >= similarity * (size[s:e, None] + size[None] - shared) - 1e-9
             near &= (side[s:e, None] == 0) | (side[s:e, None] != side[None])
             i, j = np.nonzero(near)
@@ -455,7 +458,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
         known: dict[bytes, int] = {}
         for b in batches:
             for part in by_bytes(b):
-                if len(known) > 1_000_000:
+                if len(known) > MOST_WORDS:
                     known.clear()
                 w = np.array([wide_fingerprint(shingle_hashes(t, shingle, known)) for t in _texts(part.column(3))], np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(w[:, 0]), pa.array(w[:, 1])], names=names)
@@ -479,7 +482,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
         known: dict[bytes, int] = {}
         for b in batches:
             for part in by_bytes(b):
-                if len(known) > 1_000_000:
+                if len(known) > MOST_WORDS:
                     known.clear()
                 h = [shingle_hashes(t, shingle, known).astype("<u8").tobytes() for t in _texts(part.column(4))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(h, pa.binary())], names=["node", "root", "block", "blocks", "hashes"])

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 pytest.importorskip("krigora.llm")
-from krigora.llm import embedding_dedup, langid, line_dedup, mixing, packing, pii, queries, quality_rules, simhash
+from krigora.llm import embedding_dedup, gam_quality, langid, line_dedup, mixing, packing, pii, queries, quality_rules, simhash
 from krigora.llm.common import written
 
 from ..compare import assert_same
@@ -61,6 +61,102 @@ def test_rules(spark, docs):
     assert quality_rules.js_distance_squared(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1.0)
 
 
+def _jsd(p, q):
+    p, q = np.array(p, float) / max(1.0, sum(p)), np.array(q, float) / max(1.0, sum(q))
+    m = (p + q) / 2
+    half = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    return (half(p) + half(q)) / 2
+
+
+def test_rules_verdicts(spark, docs):
+    """Distances and verdicts from references counted here."""
+
+    def kind(byte):
+        c = chr(byte)
+        groups = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r\x0b\x0c", ".,;:?'\"()-", "#*$%&|<>"]
+        return next((k for k, g in enumerate(groups) if c in g), 10 if c == "!" else 7 if byte >= 0xC0 else 8 if byte >= 0x80 else 9)
+
+    def words(t):
+        lower = re.sub("[A-Z]", lambda m: m.group().lower(), t)
+        return Counter(WORD.findall(re.sub("[.,;:!?]", "", lower)))
+
+    def classes(t):
+        c = Counter(map(kind, t.encode()))
+        return [c[k] for k in range(11)]
+
+    counts, chars = defaultdict(Counter), defaultdict(lambda: np.zeros(11))
+    for t, lang in zip(docs["text"], docs["lang"], strict=True):
+        counts[lang].update(words(t))
+        chars[lang] += classes(t)
+    tops = {}
+    for lang, c in counts.items():
+        tops[lang] = [w for w, _ in sorted(((w, n) for w, n in c.items() if w.strip("#*$%&|<>")), key=lambda e: (-e[1], e[0].encode()))[:30]]
+    hist = lambda c, top: [c[w] for w in top] + [0] * (30 - len(top)) + [sum(c.values()) - sum(c[w] for w in top)]
+    got = _all(spark, "op2_quality_rules").set_index("doc_id")
+    for d, t, lang in zip(docs["doc_id"], docs["text"], docs["lang"], strict=True):
+        r = got.loc[d]
+        if r.n_words < 20:
+            assert not r.kept
+            continue
+        w = _jsd(hist(words(t), tops[lang]), hist(counts[lang], tops[lang]))
+        c = _jsd(classes(t), chars[lang])
+        assert abs(w - r.word_jsd**2) < 1e-9 and abs(c - r.class_jsd**2) < 1e-9, d
+        noise = 1 / (8 * np.log(2) * r.n_words)
+        assert r.kept == (not r.base_failed and w <= 0.045 + 31 * noise and c <= 0.06 + 11 * noise), d
+
+
+def test_scores_from_tables(spark, docs):
+    """Features, bins and additions of the quality model done one by one."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = gam_quality.fit(frame, labels, rounds=20, pair_rounds=5)
+    got = gam_quality.score(frame, model).toPandas().set_index("doc_id")["score"]
+    for d, t in zip(docs["doc_id"], docs["text"], strict=True):
+        w, lines = WORD.findall(t), t.split("\n")
+        runs = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        cover = {j for i in range(len(w) - 7) if runs[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+        full = [x for x in lines if WORD.search(x)]
+        upper, firsts = len(re.findall("[A-Z]", t)), sum(b >= 0xC0 for b in t.encode())
+        letters = max(1, len(re.findall("[a-zA-Z]", t)) + firsts)
+        other = sum(b < 0x80 and not chr(b).isalnum() and chr(b) not in " \t\n\r\x0b\x0c.,;:?'\"()-#*$%&|<>!" for b in t.encode())
+        x = [np.log1p(len(w)), sum(map(len, w)) / len(w), len(re.findall(r"[#*$%&|<>]", t)) / len(w), upper / letters, len(re.findall("[0-9]", t)) / len(w), other / len(w), firsts / letters, t.count("!") / len(w), len(re.findall(r"[.,;:?'\"()-]", t)) / len(w),
+             (len(full) - len(set(full))) / len(lines), len(cover) / len(w), sum(a == b for a, b in zip(w, w[1:])) / len(w), len(set(w)) / np.sqrt(len(w)), np.log1p(len(w) / len(lines))] if w else [0.0] * 14
+        assert np.allclose(x, gam_quality.features(t.encode())), d
+        bins = [sum(v >= c for c in cuts) for v, cuts in zip(gam_quality.features(t.encode()), model.cuts, strict=True)]
+        total = model.intercept + sum(table[b] for table, b in zip(model.tables, bins, strict=True)) + sum(table[bins[i], bins[j]] for (i, j), table in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(got[d] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_languages_from_centroids(spark, docs):
+    """Grams, weights and cosines of the language model done one by one."""
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(frame)
+    got = langid.identify(frame, model).toPandas().set_index("doc_id")
+    m = (1 << 64) - 1
+
+    def slots(t):
+        code = [ord(c) for c in " " + " ".join(re.findall(r"[^\W\d_]+", t.lower())) + " "]
+        out, gram = Counter(), [0] * len(code)
+        for n, mult in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)):
+            gram = [(g * 1_000_003 + code[i + n]) & m for i, g in enumerate(gram[: len(code) - n])]
+            out.update((((g + n + 1) * mult) & m) >> 53 for g in gram)
+        return out
+
+    counted = {d: slots(t) for d, t in zip(docs["doc_id"], docs["text"], strict=True)}
+    seen = Counter(s for c in counted.values() for s in c)
+    idf = np.array([np.log((1 + len(docs)) / (1 + seen[s])) + 0.05 for s in range(2048)])
+    assert np.allclose(idf, model.idf, atol=1e-5)
+    for d, t in zip(docs["doc_id"], docs["text"], strict=True):
+        if not re.search(r"[^\W\d_]", t):
+            continue
+        v = np.zeros(2048)
+        for s, n in counted[d].items():
+            v[s] = np.log(1 + n) * idf[s]
+        cosine = model.centroids @ v / np.linalg.norm(v)
+        assert abs(cosine.max() - got.loc[d, "score"]) < 1e-4
+        assert got.loc[d, "lang_pred"] in {model.langs[k] for k in np.flatnonzero(cosine > cosine.max() - 1e-5)}
+
+
 def test_shards(spark, docs):
     from krigora.llm.hilbert import hilbert_index
 
@@ -71,8 +167,11 @@ def test_shards(spark, docs):
     sizes = got.groupby("shard")["size"].sum()
     assert len(sizes) == 8 and np.ptp(sizes) <= 2 * got["size"].max()
     assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard")["slot"])
-    order = got.sort_values(["shard", "slot"])["curve"].to_numpy()
-    assert (np.diff(order) >= 0).all()
+    order = got.sort_values(["shard", "slot"])
+    assert (np.diff(order["curve"].to_numpy()) >= 0).all()
+    same = order["doc_id"].map(text).tolist()
+    first = {t: k for k, t in reversed(list(enumerate(same)))}
+    assert all(same[first[t] : first[t] + n] == [t] * n for t, n in Counter(same).items())  # equal texts lie together
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     at = hilbert_index(grid, 3)
     walk = grid[np.argsort(at)]
