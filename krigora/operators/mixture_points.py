@@ -30,7 +30,8 @@ def station_mixtures(samples: DataFrame, k: int, rounds: int = 300, tol: float =
     axis = [F.get("x", t) for t in range(dims)]
     first = good.groupBy("station").agg(F.array(*[F.avg(x) for x in axis]).alias("m"), F.array(*[F.var_pop(x) + floor for x in axis]).alias("v"))
     offset = [0.0] if k == 1 else [-1 + 2 * j / (k - 1) for j in range(k)]
-    start = F.array(*[F.struct(F.lit(1 / k).alias("weight"), F.zip_with("m", "v", lambda m, v, o=o: m + o * F.sqrt(v)).alias("mean"), F.col("v").alias("variance")) for o in offset])
+    moved_by = lambda o: F.zip_with("m", "v", lambda m, v: m + o * F.sqrt(v))
+    start = F.array(*[F.struct(F.lit(1 / k).alias("weight"), moved_by(o).alias("mean"), F.col("v").alias("variance")) for o in offset])
     state = written(first.select("station", start.alias("c")), "point-mixtures")
     for _ in range(rounds):
         joined = good.join(state.withColumnRenamed("station", "owner"), F.col("station") == F.col("owner"))
