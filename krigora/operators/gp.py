@@ -12,7 +12,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from krigora.functions import kernels as K
@@ -72,6 +72,11 @@ class GaussianProcess:
         self.mean = self.prior(self.x)
         self.alpha = L.solve(self.factor, self.y - self.mean)
 
+    def replace(self, x: np.ndarray, y: np.ndarray, noise: np.ndarray) -> None:
+        """Other points with the same hyperparameters."""
+        self.x, self.y, self.noise, self.ids = np.array(x, float), np.array(y, float), np.array(noise, float), np.arange(len(y))
+        self.set_hyper(self.hyper)
+
     # --- likelihood
 
     def log_likelihood(self, hyper: Sequence[float] | None = None) -> float:
@@ -103,6 +108,15 @@ class GaussianProcess:
             out[k] = 0.5 * (alpha @ d @ alpha - (inverse * d).sum())
         return out
 
+    def gradient_gap(self, step: float = 1e-6) -> float:
+        """Largest difference between ``likelihood_gradient`` and central differences of the likelihood, relative to its size."""
+        g, out = self.likelihood_gradient(), []
+        for k in range(len(self.hyper)):
+            e = np.zeros(len(self.hyper))
+            e[k] = step * max(1.0, abs(self.hyper[k]))
+            out.append((self.log_likelihood(self.hyper + e) - self.log_likelihood(self.hyper - e)) / (2 * e[k]))
+        return float(np.abs(g - out).max() / max(np.abs(g).max(), 1e-12))
+
     def likelihood_hessian(self) -> np.ndarray:
         g, out = self.likelihood_gradient(), []
         for k in range(len(self.hyper)):
@@ -203,6 +217,36 @@ class GaussianProcess:
         return m - s @ np.linalg.solve(both, d), (new + new.T) / 2, float(np.exp(log))
 
 
+def object_posterior(points: DataFrame, queries: DataFrame, kernel: Callable[[Column, Column], Column], most: int = 8000) -> DataFrame:
+    """(pred_id, m, v) where points are not coordinates: ``points`` (pt_id, obj, y, noise_var) and ``queries`` (pred_id, obj) hold
+    strings, arrays, maps or structs, and ``kernel`` is a column of two of them.
+
+    The points are few (``most``): their covariance is computed by Spark and factorised on the driver; queries meet the broadcast
+    points, whatever their number. Prior mean: the mean of y.
+    """
+    rows = points.orderBy("pt_id").select("pt_id", "y", "noise_var").toPandas() if points.count() <= most else None
+    if rows is None:
+        raise ValueError(f"more than {most} points that are not coordinates")
+    left, right = points.select(F.col("pt_id").alias("i"), F.col("obj").alias("a")), points.select(F.col("pt_id").alias("j"), F.col("obj").alias("b"))
+    pairs = left.join(F.broadcast(right), F.col("i") <= F.col("j")).select("i", "j", kernel(F.col("a"), F.col("b")).alias("v")).toPandas()
+    ids = rows["pt_id"].to_numpy()
+    i, j, k = np.searchsorted(ids, pairs["i"]), np.searchsorted(ids, pairs["j"]), np.zeros((len(ids),) * 2)
+    k[i, j] = k[j, i] = pairs["v"]
+    low, mean = L.cholesky(k + np.diag(rows["noise_var"])), rows["y"].mean()
+    sent = points.sparkSession.sparkContext.broadcast((L.solve(low, rows["y"].to_numpy() - mean), L.lower_inverse(low)))
+    asked = queries.select("pred_id", F.col("obj").alias("q"))
+    near = asked.join(F.broadcast(points.select("pt_id", F.col("obj").alias("a"))), how="cross")
+    each = near.groupBy("pred_id").agg(F.sort_array(F.collect_list(F.struct("pt_id", kernel(F.col("a"), F.col("q")).alias("v")))).alias("k"), F.first(kernel(F.col("q"), F.col("q"))).alias("own"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        alpha, inverse = sent.value
+        for part in parts:
+            k = np.array(part["k"].tolist(), float).reshape(len(part), len(alpha))
+            yield pd.DataFrame({"pred_id": part["pred_id"], "m": mean + k @ alpha, "v": np.maximum(0.0, part["own"].to_numpy() - ((inverse @ k.T) ** 2).sum(0))})
+
+    return each.select("pred_id", F.col("k.v").alias("k"), "own").mapInPandas(run, "pred_id long, m double, v double")
+
+
 def exact_model(points: DataFrame, hyper: Sequence[float], kernel: Callable = K.default_kernel, mean: float | None = None, most_dense: int = 8000):
     """A model of the same likelihood and predictions on the driver or, beyond ``most_dense`` points, in tiles."""
     from .tiles import TiledGaussianProcess

@@ -203,17 +203,20 @@ def spark_random_logdet(half: DataFrame, rows: DataFrame, probes: int = 32, degr
 
     Only the tridiagonal coefficients reach the driver. A probe whose Krylov space is exhausted goes on as zeros.
     """
-    from krigora.sources.store import written
+    from krigora.sources.store import discard, written
 
     full = written(mirrored(half.select("i", "j", "v")).repartition("i"), "lanczos-matrix")
     n, v, old = rows.count(), [f"v{k}" for k in range(probes)], [f"o{k}" for k in range(probes)]
     sign = lambda k: F.when(F.xxhash64("i", F.lit(seed), F.lit(k)) % 2 == 0, F.lit(n**-0.5)).otherwise(F.lit(-(n**-0.5)))
     state = rows.select("i", *[sign(k).alias(c) for k, c in enumerate(v)], *[F.lit(0.0).alias(c) for c in old])
-    alpha, beta, live = [[] for _ in v], [[] for _ in v], [True] * probes
+    alpha, beta, live, before = [[] for _ in v], [[] for _ in v], [True] * probes, None
     for step in range(min(degree, n)):
         u = row_products(full, state, v)
         last = [b[-1] if b and on else 0.0 for b, on in zip(beta, live, strict=True)]
         u = written(u.select("i", *v, *[(F.col(f"k_{c}") - b * F.col(o)).alias(o) for c, o, b in zip(v, old, last, strict=True)]), "lanczos")
+        if before is not None:
+            discard(before)
+        before = u
         a = u.agg(*[F.sum(F.col(c) * F.col(o)) for c, o in zip(v, old, strict=True)]).first()
         rest = [F.col(o) - float(x) * F.col(c) for c, o, x in zip(v, old, a, strict=True)]
         size = [float(x) ** 0.5 for x in u.agg(*[F.sum(r * r) for r in rest]).first()]
@@ -252,7 +255,7 @@ def spark_conjugate_gradient(half: DataFrame, rhs: DataFrame, tol: float = 1e-8,
     Each iteration is one matrix-vector join and two sums, and one more join if ``blocks`` (i, block) gives a block-Jacobi
     preconditioner; state is written to the shared folder so lineage stays short. Raises if ``tol`` is not met.
     """
-    from krigora.sources.store import written
+    from krigora.sources.store import discard, written
 
     inverse = written(mirrored(spark_block_inverses(half, blocks)).repartition("i"), "cg-blocks") if blocks is not None else None
     full = written(mirrored(half.select("i", "j", "v")).repartition("i"), "cg-matrix")
@@ -266,21 +269,23 @@ def spark_conjugate_gradient(half: DataFrame, rhs: DataFrame, tol: float = 1e-8,
     def sums(rows: DataFrame) -> tuple[float, float]:
         return tuple(float(c or 0.0) for c in rows.agg(F.sum(F.col("r") * F.col("r")), F.sum(F.col("r") * F.col("z"))).first())
 
-    state = written(conditioned(rhs.select("i", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.lit(0.0).alias("p"))), "cg")
-    rr, rz = sums(state)
+    held = written(conditioned(rhs.select("i", F.lit(0.0).alias("x"), F.col("v").alias("r"), F.lit(0.0).alias("p"))), "cg")
+    rr, rz = sums(held)
     stop, turn, left = tol * tol * rr, 0.0, most
     while rr > stop:
         if not left:
             raise RuntimeError(f"conjugate gradients are at {(rr / stop) ** 0.5 * tol:.3g} of the right side after {most} iterations, not at {tol:g}")
         left -= 1
-        state = state.select("i", "x", "r", (F.col("z") + turn * F.col("p")).alias("p"))
+        state = held.select("i", "x", "r", (F.col("z") + turn * F.col("p")).alias("p"))
         both = written(row_products(full, state, ["p"]), "cg")
+        discard(held)
         bend = float(both.agg(F.sum(F.col("p") * F.col("k_p"))).first()[0])
         if not bend > 0:
             raise NotPositiveDefinite(f"p'Kp is {bend:.3g} in conjugate gradients")
         moved = both.select("i", (F.col("x") + rz / bend * F.col("p")).alias("x"), (F.col("r") - rz / bend * F.col("k_p")).alias("r"), "p")
-        state = written(conditioned(moved), "cg")
+        held = written(conditioned(moved), "cg")
+        discard(both)
         old = rz
-        rr, rz = sums(state)
+        rr, rz = sums(held)
         turn = rz / old
-    return state.select("i", F.col("x").alias("v"))
+    return held.select("i", F.col("x").alias("v"))

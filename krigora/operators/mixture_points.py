@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -62,10 +61,30 @@ def wasserstein_cost(m1: np.ndarray, v1: np.ndarray, m2: np.ndarray, v2: np.ndar
 
 
 def best_order(cost: np.ndarray) -> list[int]:
-    """Column for each row with the least total cost; for the few components of a mixture all orders are tried."""
-    if len(cost) > 8:
-        raise ValueError("orders of more than 8 components are not tried")
-    return list(min(permutations(range(len(cost))), key=lambda p: (cost[range(len(cost)), list(p)].sum(), p)))
+    """Column for each row with the least total cost (an assignment by shortest augmenting paths, cubic in the rows)."""
+    n = len(cost)
+    rows, columns, owner = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)
+    for r in range(n):
+        owner[n], at = r, n  # column n is where the path of row r begins
+        least, back, done = np.full(n, np.inf), np.full(n, n), np.zeros(n + 1, bool)
+        while owner[at] >= 0:
+            done[at] = True
+            i = owner[at]
+            slack = cost[i] - rows[i] - columns[:n]
+            closer = ~done[:n] & (slack < least)
+            least[closer], back[closer] = slack[closer], at
+            nxt = int(np.where(done[:n], np.inf, least).argmin())
+            step = least[nxt]
+            rows[owner[done]] += step
+            columns[done] -= step
+            least[~done[:n]] -= step
+            at = nxt
+        while at != n:
+            owner[at] = owner[back[at]]
+            at = back[at]
+    order = np.empty(n, int)
+    order[owner[:n]] = np.arange(n)
+    return order.tolist()
 
 
 def aligned_to(components: DataFrame, reference) -> DataFrame:
@@ -119,6 +138,11 @@ def aligned_along(components: DataFrame, tree: list[tuple]) -> DataFrame:
     return components.sparkSession.createDataFrame(found, components.schema)
 
 
+def aligned_in_order(components: DataFrame, stations: Sequence) -> DataFrame:
+    """Components numbered like those of the station before, along the given order of stations."""
+    return aligned_along(components, list(zip(stations[:-1], stations[1:], strict=True)))
+
+
 def em_weights(samples: DataFrame, components: DataFrame, weights: Sequence[float], dims: int, floor: float = 1e-9) -> list[float]:
     """One EM step for weights shared by all stations: points (station, x) against their station's components."""
     k = len(weights)

@@ -88,6 +88,24 @@ def evolution(spark: SparkSession, f: Objective, bounds: np.ndarray, population:
     return x[fx.argmin()]
 
 
+def multi_start(spark: SparkSession, f: Objective, bounds: np.ndarray, starts: int = 16, steps: int = 50, seed: int = 0) -> DataFrame:
+    """(start, h, f) of local searches from spread starting points, one Spark task for each, the best first."""
+    rng, (low, high) = np.random.default_rng(seed), bounds.T
+    cells = np.stack([(rng.permutation(starts) + rng.random(starts)) / starts for _ in low], 1)
+
+    def slope(h: np.ndarray) -> np.ndarray:
+        e = 1e-6 * np.maximum(1.0, np.abs(h))
+        return np.array([(f(h + d) - f(h - d)) / (2 * d.sum()) for d in np.diag(e)])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            found = [quasi_newton(f, slope, np.array(h, float), bounds, steps) for h in p["h"]]
+            yield pd.DataFrame({"start": p["start"], "h": [h.tolist() for h in found], "f": [float(f(h)) for h in found]})
+
+    rows = spark.createDataFrame([(k, [float(v) for v in c]) for k, c in enumerate(low + cells * (high - low))], "start int, h array<double>").repartition(starts)
+    return written(rows.mapInPandas(run, "start int, h array<double>, f double"), "searches").orderBy("f", "start")
+
+
 def chains(spark: SparkSession, log_density: Objective, start: Sequence[float], bounds: np.ndarray, n_chains: int = 4, steps: int = 500, seed: int = 0) -> DataFrame:
     """(chain, iter, hps, f): adaptive Metropolis chains, one per Spark task; the proposal follows the acceptance rate."""
     low, high, first = bounds[:, 0], bounds[:, 1], np.array(start, float)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from krigora.functions import kernels as K
 from krigora.operators import covariance as C
 from krigora.operators import distributional, metrics, mixture, mixture_points, samples
-from krigora.operators.gp import GaussianProcess, exact_model, grouped_posterior, kl_normal
+from krigora.operators.gp import GaussianProcess, exact_model, grouped_posterior, kl_normal, object_posterior
 from krigora.operators.strips import StripGaussianProcess
 from krigora.operators.tiles import TiledGaussianProcess
 from krigora.plans import training
@@ -391,6 +391,18 @@ def gp_posterior_trend(spark: SparkSession, d: str) -> DataFrame:
     return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
 
 
+@_query(
+    _elimination("SELECT n_nationkey AS id, 0 AS x1, 0 AS x2, 0 AS x3, n_regionkey::DOUBLE AS y, 0.5 AS noise, n_name AS g FROM nation", "SELECT r_regionkey AS id, 0 AS x1, 0 AS x2, 0 AS x3, r_name AS g FROM region", "2 * exp(-levenshtein(a.g, b.g) / 4.0)")
+    + "SELECT id::BIGINT AS pred_id, round(mu.m - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2"
+)
+def gp_strings(spark: SparkSession, d: str) -> DataFrame:
+    """A model over names: nations by the edit distance of their names, asked at the names of the regions."""
+    pts = _table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("pt_id"), F.col("n_name").alias("obj"), F.col("n_regionkey").cast("double").alias("y"), F.lit(0.5).alias("noise_var"))
+    ask = _table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("pred_id"), F.col("r_name").alias("obj"))
+    got = object_posterior(pts, ask, lambda a, b: 2.0 * F.exp(-F.levenshtein(a, b) / 4.0))
+    return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
 @_query()
 def gp_information(spark: SparkSession, d: str) -> DataFrame:
     """Entropy, mutual information, total correlation and relative information entropy at the nations."""

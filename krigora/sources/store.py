@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import uuid
+from collections.abc import Callable
 from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +57,12 @@ def save_model(spark: SparkSession, path: str, points: DataFrame, state: dict) -
 
 def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/points"), json.loads(spark.read.text(f"{path}/state").first()[0])
+
+
+def cached(spark: SparkSession, path: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept under ``path`` for ``key`` (what the table hangs on), built and written there when it is missing."""
+    folder = f"{path}/{hashlib.sha256(key.encode()).hexdigest()[:32]}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        build().write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)

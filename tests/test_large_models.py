@@ -119,3 +119,58 @@ def test_chains_until_settled(spark):
     trace = training.chains_until_settled(spark, f, [4.0, 4.0], np.array([[-5.0, 5.0]] * 2), 2, 400, most=3)
     assert trace.agg(F.max("iter")).first()[0] >= 399
     assert np.abs(training.trace_median(trace, 0.5).toPandas()["median"]).max() < 0.7
+
+
+def test_assignments():
+    from itertools import permutations
+
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 7):
+        for _ in range(20):
+            cost = rng.integers(0, 9, (n, n)).astype(float) if n < 5 else rng.random((n, n))
+            order = mixture_points.best_order(cost)
+            assert sorted(order) == list(range(n))
+            assert np.isclose(cost[range(n), order].sum(), min(cost[range(n), list(p)].sum() for p in permutations(range(n))))
+    turned = rng.permutation(40)
+    far = 10 * np.ones((40, 40))
+    far[np.arange(40), turned] = 0
+    assert mixture_points.best_order(far) == turned.tolist()
+
+
+def test_searches_and_replaced_points(spark, plane):
+    x, y, _ = plane
+    f = lambda h: float(((np.log(h) - [0.0, 1.0]) ** 2).sum() + 0.3 * np.sin(3 * np.log(h[0])) ** 2)
+    got = training.multi_start(spark, f, np.array([[0.05, 20.0], [0.05, 20.0]]), 8).first()
+    assert got["f"] < 1e-3 and np.allclose(got["h"], [1, np.e], atol=0.05)
+    gp = GaussianProcess(_points(spark, x[:60], y[:60]), [1.0, 0.5, 0.7])
+    assert gp.gradient_gap() < 1e-5
+    other = GaussianProcess(_points(spark, x[60:], y[60:]), [1.0, 0.5, 0.7])
+    gp.replace(x[60:], y[60:], other.noise)
+    assert np.isclose(gp.log_likelihood(), other.log_likelihood())
+
+
+def test_cached_table(spark, tmp_path):
+    from krigora.sources.store import cached
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    for key in ("a", "a", "b"):
+        assert cached(spark, str(tmp_path), key, build).count() == 3
+    assert len(calls) == 2
+
+
+def test_objects_that_are_not_coordinates(spark):
+    from krigora.operators.gp import object_posterior
+
+    objs, y = [["a", "b"], ["b"], ["c", "d", "a"]], [1.0, 2.0, 4.0]
+    pts = spark.createDataFrame([(i, o, v, 0.1) for i, (o, v) in enumerate(zip(objs, y, strict=True))], "pt_id long, obj array<string>, y double, noise_var double")
+    ask = spark.createDataFrame([(7, ["a"])], "pred_id long, obj array<string>")
+    shared = lambda a, b: F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b))
+    k = np.array([[len(set(a) & set(b)) / np.sqrt(len(a) * len(b)) for b in objs] for a in objs]) + 0.1 * np.eye(3)
+    c = np.array([1 / np.sqrt(2), 0, 1 / np.sqrt(3)])
+    got = object_posterior(pts, ask, shared).first()
+    assert np.isclose(got["m"], np.mean(y) + c @ np.linalg.solve(k, np.array(y) - np.mean(y))) and np.isclose(got["v"], 1 - c @ np.linalg.solve(k, c))
