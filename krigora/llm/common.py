@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
@@ -116,6 +117,23 @@ def word_counts(column: pa.Array) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+#: Rows of a batch that goes to a Python worker: texts are long, and both sides hold a few batches at once.
+BATCH_ROWS = 1000
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` in small batches; a worker that is done hands its free memory back, as the next stage reuses it."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def with_arrow(df: DataFrame, add, columns: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without ``drop``, with columns that ``add(batch) -> list[pa.Array]`` makes from each Arrow batch.
 
@@ -132,7 +150,7 @@ def with_arrow(df: DataFrame, add, columns: str, drop: tuple[str, ...] = ()) ->
             for part in by_bytes(b):
                 yield pa.RecordBatch.from_arrays([part.column(i) for i, _ in keep] + list(add(part)), names=names)
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def by_bytes(batch: pa.RecordBatch, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:

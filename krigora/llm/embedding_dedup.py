@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import in_arrow, shuffle_partitions, written
 from .components import components
 from .simhash import index_links, joined, mixed, without_crowds
 
@@ -167,17 +167,17 @@ def links(distinct: DataFrame, threshold: float = 0.9, recall: float = 0.995, n_
     for dim, n in lengths:  # vectors of another length have no cosine with these
         tables, hashes = plan or search_plan(n, dim, threshold, recall, n_probes)
         own = distinct.where(F.size("vector") == dim).select("rep", "members", "vector")
-        deal = lambda some, plan=(tables, hashes): some.mapInArrow(_deal(*plan, n_probes), "bucket long, node long, w0 long, w1 long")
+        deal = lambda some, plan=(tables, hashes): in_arrow(some, _deal(*plan, n_probes), "bucket long, node long, w0 long, w1 long")
         dealt = without_crowds(own.select("rep", "vector"), n, deal, bucket_rows)
         ready = dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket")
-        groups = written(components(ready.mapInArrow(index_links(sketch_limit(threshold), 2), "u long, v long")), "vector-groups")
+        groups = written(components(in_arrow(ready, index_links(sketch_limit(threshold), 2), "u long, v long")), "vector-groups")
         sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
         member = groups.join(sizes, "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
         met = member.join(own, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         cell = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
         side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
         ready = met.select(cell.alias("cell"), side.alias("side"), "rep", "members", "vector").repartition(4 * parts, "cell").sortWithinPartitions("cell")
-        part = ready.mapInArrow(_cell_links(threshold), "u long, v long, n long")
+        part = in_arrow(ready, _cell_links(threshold), "u long, v long, n long")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "u long, v long, n long")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, fold, with_arrow
+from .common import by_bytes, fold, in_arrow, with_arrow
 
 SLOTS = 2048
 _WORD = re.compile(r"[^\W\d_]+")
@@ -108,7 +108,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, SLOTS), pa.int32()), pa.array(np.concatenate([[n], df]))], names=["slot", "n"])
 
-    got = dict(rows.select("text").mapInArrow(frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect())
+    got = dict(in_arrow(rows.select("text"), frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect())
     total = got.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + got.get(j, 0))) + 0.05 for j in range(SLOTS)], np.float32)
     sizes = rows.groupBy("lang").count().collect()  # one row per language

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import in_arrow, shuffle_partitions, written
 
 #: Most lines of the index that goes to every task.
 HOT_LINES = 200_000
@@ -160,7 +160,7 @@ def dropped_lines(rows: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     shard = F.pmod(F.col("a"), F.lit(shards))
     arrays = many.where(F.col("n") < bound).select(shard.alias("shard"), "a", "b", "n", "last").groupBy("shard").applyInPandas(_build, "shard long, levels array<binary>, prints binary, counts binary, lasts binary")
     arrays = written(arrays, "line-index")
-    probes = _lines(rows, min_chars).mapInArrow(_decide(hot, shards), "shard long, id long, mark long, pos int, a long, b long, decided boolean")
+    probes = in_arrow(_lines(rows, min_chars), _decide(hot, shards), "shard long, id long, mark long, pos int, a long, b long, decided boolean")
     dropped = probes.groupBy("shard").cogroup(arrays.groupBy("shard")).applyInPandas(_probe, "id long, mark long, pos int")
     return dropped.groupBy("id", "mark").agg(F.collect_set("pos").alias("drops"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, text_bytes, written
+from .common import by_bytes, in_arrow, text_bytes, written
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Latin letters: one token run for the vocabulary's splitter, so a boundary lies before ASCII punctuation (but for the
@@ -71,8 +71,11 @@ class _WordIds:
         self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(lens.sum()))])
 
-    def _shrink(self) -> None:
-        keep = np.flatnonzero(self.used >= max(2, np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]))[: self.most // 2]
+    def shrink(self, to: int) -> None:
+        """Keeps the ``to`` most used words."""
+        if len(self.code) <= to:
+            return
+        keep = np.sort(np.argpartition(-self.used, to)[:to])
         names = list(self.code)
         self.code = {names[k]: i for i, k in enumerate(keep.tolist())}
         self.flat = self.flat[_runs(self.at[keep], self.n[keep])]
@@ -84,7 +87,7 @@ class _WordIds:
         split = [(t if b"<|" in t else _BEFORE_MARK.sub(b" ", t).lower()).split() for t in texts]
         words = list(chain.from_iterable(split))
         if len(self.code) > self.most:
-            self._shrink()
+            self.shrink(self.most // 2)
         if new := set(words).difference(self.code):
             self._add(list(new))
         codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
@@ -122,8 +125,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: in
                             kept.append(cut.tolist())
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)] + ([pa.array(kept, pa.list_(pa.int64()))] if keep_ids else []), names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
+        words.shrink(100_000)  # what the worker's next task starts with
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECE + ", ids array<long>" * keep_ids)
+    return in_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, _PIECE + ", ids array<long>" * keep_ids)
 
 
 def best_fit(lengths: np.ndarray, room: int) -> list[list[int]]:

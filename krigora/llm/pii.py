@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, written
+from .common import by_bytes, in_arrow, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = ("strict", "structure", "gazetteer", "context", "counter_context", "boundary")
@@ -274,7 +274,7 @@ def labeled_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                         out.append(got)
                 yield pa.RecordBatch.from_arrays([part.column(0)] + [pa.array(r, pa.list_(pa.int32())) for r in rows], names=["doc_id", "starts", "kinds", "ends", "codes", "is_base", "features"])
 
-    return picked.mapInArrow(run, schema)
+    return in_arrow(picked, run, schema)
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, most_spans: int = 20_000) -> DataFrame:
@@ -318,4 +318,4 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             columns = [pa.array([c[j] for c in counts], pa.int64()) for j in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns, pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(added, pa.int64())], names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return in_arrow(found, run, schema)

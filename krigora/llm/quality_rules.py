@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import by_bytes, text_bytes, with_arrow
+from .common import by_bytes, in_arrow, text_bytes, with_arrow
 
 _PUNCTUATION = b".,;:!?"
 _SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -123,7 +123,7 @@ def language_references(docs: DataFrame, lang_col: str, text_col: str, n_words:
                 held = 0
         yield from portion(seen)
 
-    words = rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = in_arrow(rows, count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = words.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= n_words)
     slots: dict[str, dict[bytes, int]] = defaultdict(dict)
     for r in top.select("lang", "word", "k").collect():  # n_words rows a language
@@ -139,7 +139,7 @@ def language_references(docs: DataFrame, lang_col: str, text_col: str, n_words:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v)), pa.array(range(len(v)), pa.int32()), pa.array(v)], names=["lang", "k", "n"])
 
     sums = {lang: np.zeros(n_words + 1 + N_CLASSES) for lang in slots}
-    for r in rows.mapInArrow(total, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():
+    for r in in_arrow(rows, total, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():
         sums[r.lang][r.k] = r.n
     return {lang: (slots[lang], v[: n_words + 1] / max(1, v[: n_words + 1].sum()), v[n_words + 1 :] / max(1, v[n_words + 1 :].sum())) for lang, v in sums.items()}
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, shuffle_partitions, text_bytes, written
+from .common import by_bytes, in_arrow, shuffle_partitions, text_bytes, written
 from .components import components
 
 _FAN = 8
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 fps = np.fromiter((fingerprint(t, shingle) for t in _texts(part.column(1))), np.uint64, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return picked.mapInArrow(run, picked.select("doc_id").schema.add("fp", "long"))
+    return in_arrow(picked, run, picked.select("doc_id").schema.add("fp", "long"))
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -280,7 +280,7 @@ def fingerprint_links(distinct: DataFrame, limit: int = 2, bucket_rows: int = 32
         rows = _dealt(rows.join(side, ["mask", "key"]), masks)
     rows = rows if out is None else out.unionByName(rows)
     ready = rows.select("mask", "key", F.col("fp").alias("node"), "fp").repartition(shuffle_partitions(distinct.sparkSession), "mask", "key").sortWithinPartitions("mask", "key")
-    return ready.mapInArrow(index_links(limit, 1), "u long, v long")
+    return in_arrow(ready, index_links(limit, 1), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, limit: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", **buckets) -> DataFrame:
@@ -463,13 +463,13 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
                 w = np.array([wide_fingerprint(shingle_hashes(t, shingle, known)) for t in _texts(part.column(3))], np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(w[:, 0]), pa.array(w[:, 1])], names=names)
 
-    rows = written(picked.mapInArrow(hashed, picked.drop("text").schema.add("w0", "long").add("w1", "long")), "wide-fingerprints")
+    rows = written(in_arrow(picked, hashed, picked.drop("text").schema.add("w0", "long").add("w1", "long")), "wide-fingerprints")
     nodes = rows.groupBy("w0", "w1").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "a", "b")).alias("first"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "wide-nodes")
     n = nodes.count()
     tables, bits, limit = wide_plan(n, similarity, recall)
-    dealt = without_crowds(nodes.select("node", "w0", "w1"), n, lambda some: some.mapInArrow(_wide_buckets(tables, bits), "bucket long, node long, w0 long, w1 long"), bucket_rows)
-    proposed = dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket").mapInArrow(index_links(limit, 2), "u long, v long")
+    dealt = without_crowds(nodes.select("node", "w0", "w1"), n, lambda some: in_arrow(some, _wide_buckets(tables, bits), "bucket long, node long, w0 long, w1 long"), bucket_rows)
+    proposed = in_arrow(dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket"), index_links(limit, 2), "u long, v long")
     groups = written(components(proposed), "wide-groups")
     sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
     member = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
@@ -487,13 +487,13 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
                 h = [shingle_hashes(t, shingle, known).astype("<u8").tobytes() for t in _texts(part.column(4))]
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(h, pa.binary())], names=["node", "root", "block", "blocks", "hashes"])
 
-    held = texts.select("node", "root", "block", "blocks", "text").mapInArrow(sets, "node long, root long, block long, blocks long, hashes binary")
+    held = in_arrow(texts.select("node", "root", "block", "blocks", "text"), sets, "node long, root long, block long, blocks long, hashes binary")
     # Every two blocks of a group meet in one cell, and each block meets itself in one.
     met = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cell = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
     which = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
     ready = met.select(cell.alias("cell"), which.alias("side"), "node", "hashes").repartition(4 * parts, "cell").sortWithinPartitions("cell")
-    links = ready.mapInArrow(_alike(similarity), "u long, v long")
+    links = in_arrow(ready, _alike(similarity), "u long, v long")
     rooted = nodes.join(components(links).withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("w0", "w1", "least", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "wide-rooted")
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
