@@ -444,9 +444,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id
     """doc_id, a, b (hashes of the text) and component_id of every row: the smallest doc_id reachable over texts whose distinct
     ``shingle``-word shingles (lower-cased; all words, if fewer) have a Jaccard similarity of ``similarity`` or more.
 
-    Texts of one wide fingerprint are one node. The index proposes what lies within ``wide_plan``'s limit; every proposed group
-    is then compared by its shingles, in cells of at most two blocks of ``block_rows`` texts, so no link is taken on trust and no
-    group is one task's. Null and empty texts have no shingles and are copies of each other; very long texts count whole.
+    Texts of one wide fingerprint are one node (two texts at the threshold share all 128 bits once in a billion times). The index
+    proposes what lies within ``wide_plan``'s limit, which leaves out about 3 % of pairs right at the threshold; every proposed
+    group is then compared by its shingles, in cells of at most two blocks of ``block_rows`` texts, so no group is one task's. Null and empty texts have no shingles and are copies of each other; very long texts count whole.
     Null ids never name a component. Repeated rows get equal results; an empty table gives no rows; extra columns are ignored.
     """
     spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
