@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows; every other query gives rows; all run with the operators of llm absent too."""
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -24,14 +25,12 @@ def test_has_rows(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
-def test_entry_without_the_training_data_operators(tmp_path):
+@pytest.mark.parametrize("pipeline", [True, False])
+def test_entry_without_the_training_data_operators(tmp_path, pipeline):
+    """A whole copy less krigora/llm and tests/llm, with and without corpus_pipeline.py."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    for part in ("krigora", "__spark_entry__.py"):
-        os.symlink(f"{root}/{part}", tmp_path / part) if part.endswith("py") else None
-    os.mkdir(tmp_path / "krigora")
-    for part in os.listdir(f"{root}/krigora"):
-        if part != "llm":
-            os.symlink(f"{root}/krigora/{part}", tmp_path / "krigora" / part)
+    left_out = shutil.ignore_patterns(".git", "llm", "__pycache__", *([] if pipeline else ["corpus_pipeline.py"]))
+    shutil.copytree(root, tmp_path / "copy", ignore=left_out)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); e.oracle_sql()"
     env = {**os.environ, "PYTHONPATH": ""}
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "copy", env=env, check=True, timeout=120)
