@@ -97,6 +97,15 @@ def test_vectors(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_lines_of_blanks(spark):
+    """A line of 1,000,000 blanks is nothing special, at its ends or within; ids repeated with other texts are rows each."""
+    shared = "A shared line that is long enough to be counted as one."
+    blank = " \t\r\x0b\x0c" * 200_000
+    rows = [(i, f"{blank}{shared.upper()}{blank}\n{i}x{blank}y", "en", "a", 1) for i in range(5)] + [(4, shared, "en", "a", 1), (4, "other", "en", "a", 1)]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, len(r.text)) for r in line_dedup.dedup_lines(_docs(spark, rows)).collect())
+    assert got == [(i, 2, 1, 1_000_003) for i in range(4)] + [(4, 1, 0, 5), (4, 1, 0, len(shared)), (4, 2, 0, 2 * len(blank) + len(shared) + 1 + 1_000_003)]
+
+
 @pytest.mark.parametrize("rows", [_rows(), [], [(None, None, None, None, None)] * 2])
 def test_pipeline_stages(spark, tmp_path, rows):
     pipeline = pytest.importorskip("corpus_pipeline")
