@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, gam_quality, hilbert, langid, line_dedup, mixing, packing, pii, quality_rules, simhash
+from . import embedding_dedup, gam_quality, hard_negatives, hilbert, langid, line_dedup, mixing, packing, pii, quality_rules, simhash
 from .common import fold, table
 
 
@@ -54,6 +54,12 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(e.select("vec_id", moved.alias("label"), "embedding"))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary file lies; workers have it at the same path."""
     import public_tokenizers
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op9_personal_data": op9_personal_data,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE}
