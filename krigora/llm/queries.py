@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, gam_quality, hard_negatives, hilbert, langid, line_dedup, mixing, packing, pii, quality_rules, simhash, vector_codes
+from . import attention_lm, embedding_dedup, gam_quality, hard_negatives, hilbert, langid, line_dedup, mixing, packing, pii, quality_rules, simhash, vector_codes
 from .common import fold, table
 
 
@@ -64,6 +64,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def tokenizer_path(name: str) -> str:
     """Where the public vocabulary file lies; workers have it at the same path."""
     import public_tokenizers
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_vector_codes": op12_vector_codes,
+    "op13_attention_lm": op13_attention_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_source_mixing": mixing.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_vector_codes": vector_codes.ORACLE}
