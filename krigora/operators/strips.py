@@ -170,10 +170,12 @@ class StripGaussianProcess:
             return build(key, pdf[pdf["pt_id"].notna()])
 
         level = written(shared.groupBy("strip").applyInPandas(build_all, _NODE), "strip-level")
+        self._tables = [self._points, level]
         left, levels, logdet, square = self.strips, [], 0.0, 0.0
         while left > 1:
             live = level.where("kind <> 'done'")
             level = written(live.groupBy(F.floor(F.col("pos") / 2)).applyInPandas(_halve, _NODE), "strip-level")
+            self._tables.append(level)
             done = level.where("kind = 'done'")
             got = done.agg(F.sum("logdet"), F.sum("square")).first()
             logdet, square = logdet + (got[0] or 0.0), square + (got[1] or 0.0)
@@ -191,6 +193,7 @@ class StripGaussianProcess:
             return pd.DataFrame([(0, _pack(x), _pack(inverse), None, L.logdet(low), float(b @ x))], columns=["pos", "x", "s", "su", "logdet", "square"])
 
         top = written(level.where("kind <> 'done'").groupBy(F.floor(F.col("pos") / 2)).applyInPandas(finish, _RESULT + ", logdet double, square double"), "strip-top")
+        self._tables.append(top)
         last = top.select("logdet", "square").first()
         self.logdet, self.quadratic = logdet + last[0], square + last[1]
         result = top.select("pos", "x", "s", "su")
@@ -201,6 +204,7 @@ class StripGaussianProcess:
             if older.columns and hasattr(older, "folder"):
                 discard(older)
         self.result = result
+        self._tables += [result] if hasattr(result, "folder") else []
 
     def log_likelihood(self) -> float:
         return float(-0.5 * (self.quadratic + self.logdet + self.n * np.log(2 * np.pi)))
@@ -213,6 +217,22 @@ class StripGaussianProcess:
 
         return self._points.groupBy("strip").cogroup(self.result.groupBy("pos")).applyInPandas(place, "i long, alpha double")
 
+    def inverse_diagonal(self) -> DataFrame:
+        """(i, alpha, inverse): the weights and the diagonal of (K + V)^-1."""
+
+        def place(pts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+            ids = np.sort(pts["pt_id"].to_numpy())
+            if not len(ids):
+                return pd.DataFrame({"i": [], "alpha": [], "inverse": []})
+            return pd.DataFrame({"i": ids, "alpha": np.frombuffer(got["x"].iloc[0], float), "inverse": _square(got["s"].iloc[0]).diagonal()})
+
+        return self._points.groupBy("strip").cogroup(self.result.groupBy("pos")).applyInPandas(place, "i long, alpha double, inverse double")
+
+    def discard(self) -> None:
+        """Deletes the model's tables; nothing can be asked of it any more."""
+        for df in self._tables:
+            discard(df)
+
     def _pairs(self) -> tuple[DataFrame, DataFrame]:
         """Points and results of each strip (next = 0) and of the one after it (next = 1), keyed by the first."""
         both = lambda df, name: df.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("key", F.col(name) - F.col("next"))

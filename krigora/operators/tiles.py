@@ -1,9 +1,10 @@
 """Exact Gaussian processes with any kernel on more points than one machine factorises: a Cholesky factor in tiles.
 
 Points are dealt to blocks; a tile is the covariance of two blocks, one row of a table. Each step factorises one diagonal tile,
-solves the tiles below it and updates the others, all of a step at once. The targets and the points asked for are further block
-rows of the same elimination, so the likelihood and predictions follow from sums of products of its tiles; nothing as long as the
-number of points reaches the driver.
+solves the tiles below it and updates the others, all of a step at once. The targets, and for predictions the unit matrix, are
+further block rows of the same elimination: they become the solution's coefficients and the inverse triangle W, once for a model.
+Predictions then pass over the points asked for, with a slab of W's rows of bounded size at a time; nothing as long as those
+points is shuffled but the sums.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 
 from krigora.functions import kernels as K
 from krigora.sources.points import check
-from krigora.sources.store import discard, written
+from krigora.sources.store import discard, in_batches, written
 
 from . import linalg as L
 
 _TILE = "i long, j long, rows int, columns int, tile binary"
+#: Tiles in memory at once, and bytes of W's rows that go to all tasks at once.
+TILE_ROWS, SLAB_BYTES = 4, 64 << 20
 
 
 def _matrix(raw: bytes, rows: int, columns: int) -> np.ndarray:
@@ -41,18 +44,21 @@ class TiledGaussianProcess:
         rows = points.select(F.pmod(F.xxhash64("pt_id"), F.lit(self.blocks)).alias("block"), F.struct("pt_id", "x", (F.col("y") - self.mean).alias("r"), noise.cast("double").alias("noise")).alias("p"))
         # One row per block of about ``size`` points.
         self.rows = written(rows.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("pts")), "tile-blocks")
-        self.logdet = self.quadratic = None
+        self.logdet = self.quadratic = self._inverse = None
 
-    def _tiles(self, asked: DataFrame | None) -> DataFrame:
-        """Tiles i >= j of K + V, the targets as block row ``blocks``, and the blocks of points asked for beyond it."""
+    def _tiles(self, inverse: bool) -> DataFrame:
+        """Tiles i >= j of K + V, the targets as block row ``blocks``, and beyond it the unit matrix where ``inverse`` is asked for
+        (of its block rows only what can become other than zero)."""
         hyper, kernel, targets = self.hyper, self.kernel, self.blocks
-        below = self.rows.withColumn("i", F.explode(F.sequence(F.col("block"), F.lit(self.blocks).cast("long")))).select("i", F.col("block").alias("j"), F.col("pts").alias("own"))
+        last = F.lit(self.blocks).cast("long")
+        own = self.rows.select(F.col("block").alias("j"), F.col("pts").alias("own"))
+        wanted = own.withColumn("i", F.explode(F.sequence(F.col("j"), last)))
+        if inverse:
+            wanted = wanted.unionByName(own.withColumn("i", F.explode(F.sequence(last + 1, last + 1 + F.col("j")))))
         others = self.rows.select(F.col("block").alias("i"), F.col("pts").alias("other"))
-        if asked is not None:
-            far = self.rows.select(F.col("block").alias("j"), F.col("pts").alias("own")).withColumn("i", F.explode(F.sequence(F.lit(targets + 1).cast("long"), F.lit(targets + self._asked).cast("long")))).select("i", "j", "own")
-            below = below.unionByName(far)
-            others = others.unionByName(asked.select(F.col("block").alias("i"), F.col("pts").alias("other")))
-        pairs = below.join(others, "i", "left")
+        if inverse:
+            others = others.unionByName(self.rows.select((F.col("block") + last + 1).alias("i"), F.col("pts").alias("other")))
+        pairs = wanted.join(others, "i", "left")
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
@@ -60,6 +66,8 @@ class TiledGaussianProcess:
                 for r in part.itertuples():
                     if r.i == targets:
                         k = np.array([[p["r"] for p in r.own]], float)
+                    elif r.i > targets:
+                        k = np.eye(len(r.own)) if r.i - targets - 1 == r.j else np.zeros((0 if r.other is None else len(r.other), len(r.own)))
                     else:
                         a, b = (np.array([p["x"] for p in pts], float) for pts in (r.other, r.own))
                         k = kernel([a[:, d][:, None] for d in range(a.shape[1])], [b[:, d][None] for d in range(b.shape[1])], hyper, K.NUMPY)
@@ -68,11 +76,12 @@ class TiledGaussianProcess:
                     out.append((r.i, r.j, *k.shape, np.ascontiguousarray(k).tobytes()))
                 yield pd.DataFrame(out, columns=["i", "j", "rows", "columns", "tile"])
 
-        return written(pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "i", "j").mapInPandas(run, _TILE), "tiles")
+        dealt = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "i", "j")
+        return written(in_batches(dealt, run, _TILE, TILE_ROWS), "tiles")
 
-    def _eliminate(self, asked: DataFrame | None = None) -> DataFrame:
-        """Tiles of the factor's rows of the targets and of the points asked for; sets the log-determinant on the way."""
-        tiles, logdet, kept = self._tiles(asked), 0.0, []
+    def _eliminate(self, inverse: bool = False) -> DataFrame:
+        """Tiles of the factor's rows of the targets and of the unit matrix; sets the log-determinant on the way."""
+        tiles, logdet, kept = self._tiles(inverse), 0.0, []
         for k in range(self.blocks):
             panel = tiles.where(F.col("j") == k)
 
@@ -82,8 +91,11 @@ class TiledGaussianProcess:
                         low = L.cholesky(_matrix(r.tile, r.rows, r.columns))
                         yield pd.DataFrame({"w": [L.lower_inverse(low).tobytes()], "logdet": [L.logdet(low)]})
 
-            corner = written(panel.where(F.col("i") == k).mapInPandas(invert, "w binary, logdet double"), "tile-corner")
-            logdet += corner.agg(F.sum("logdet")).first()[0] or 0.0
+            corner = written(in_batches(panel.where(F.col("i") == k), invert, "w binary, logdet double", TILE_ROWS), "tile-corner")
+            own = corner.agg(F.sum("logdet")).first()[0]
+            if own is None:  # a block without points
+                continue
+            logdet += own
 
             def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for part in parts:
@@ -91,19 +103,22 @@ class TiledGaussianProcess:
                     yield part.drop(columns="w")
 
             # One tile is broadcast.
-            solved = written(panel.where(F.col("i") > k).join(F.broadcast(corner.select("w")), how="cross").mapInPandas(solve, _TILE), "tile-panel")
+            below = panel.where(F.col("i") > k).join(F.broadcast(corner.select("w")), how="cross")
+            solved = written(in_batches(below, solve, _TILE, TILE_ROWS), "tile-panel")
             kept.append(solved.where(F.col("i") >= self.blocks))
             if k == self.blocks - 1:
                 break
 
             def update(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for part in parts:
-                    part["tile"] = [(_matrix(r.tile, r.rows, r.columns) - _matrix(r.a, r.rows, r.inner) @ _matrix(r.b, r.columns, r.inner).T).tobytes() for r in part.itertuples()]
+                    part["tile"] = [r.tile if r.a is None else (_matrix(r.tile, r.rows, r.columns) - _matrix(r.a, r.rows, r.inner) @ _matrix(r.b, r.columns, r.inner).T).tobytes() for r in part.itertuples()]
                     yield part.drop(columns=["a", "b", "inner"])
 
-            a = solved.select("i", F.col("tile").alias("a"), F.col("columns").alias("inner"))
-            b = solved.where(F.col("i") < self.blocks).select(F.col("i").alias("j"), F.col("tile").alias("b"))
-            older, tiles = tiles, written(tiles.where(F.col("j") > k).join(a, "i").join(b, "j").select("i", "j", "rows", "columns", "tile", "a", "b", "inner").mapInPandas(update, _TILE), "tiles")
+            a = solved.select("i", F.col("tile").alias("a"), F.col("columns").cast("double").alias("inner"))
+            b = solved.where(F.col("i") < self.blocks).select(F.col("i").alias("j"), F.col("tile").alias("b"), F.col("columns").alias("inner"))
+            # Block rows of the unit matrix that begin further right have no tile in this panel and stay as they are.
+            met = tiles.where(F.col("j") > k).join(a.drop("inner"), "i", "left").join(b, "j").select("i", "j", "rows", "columns", "tile", "a", "b", "inner")
+            older, tiles = tiles, written(in_batches(met, update, _TILE, TILE_ROWS), "tiles")
             discard(older)
         out = kept[0]
         for more in kept[1:]:
@@ -113,31 +128,84 @@ class TiledGaussianProcess:
 
     def log_likelihood(self) -> float:
         if self.quadratic is None:
-            def squares(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for part in parts:
-                    yield pd.DataFrame({"s": [float((np.frombuffer(t, float) ** 2).sum()) for t in part["tile"]]})
-
-            self.quadratic = float(self._eliminate().where(F.col("i") == self.blocks).mapInPandas(squares, "s double").agg(F.sum("s")).first()[0] or 0.0)
+            self.quadratic = self._square(self._eliminate())
         return float(-0.5 * (self.quadratic + self.logdet + self.n * np.log(2 * np.pi)))
 
-    def predict(self, points: DataFrame, id_col: str = "pred_id") -> DataFrame:
-        """(id, m, v) of every row of ``points`` (id, x)."""
-        self._asked = max(1, -(-points.count() // self.size))
-        dealt = points.select((F.pmod(F.xxhash64(id_col, "x"), F.lit(self._asked)) + self.blocks + 1).alias("block"), F.struct(F.col(id_col).alias("pt_id"), "x", F.lit(0.0).alias("r"), F.lit(0.0).alias("noise")).alias("p"))
-        asked = written(dealt.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("pts")), "tile-asked")
-        self._asked = int(asked.agg(F.max("block")).first()[0] or self.blocks) - self.blocks
-        rows = self._eliminate(asked.where("size(pts) > 0")).where("rows > 0")
-        r = rows.where(F.col("i") == self.blocks).select("j", F.col("tile").alias("r"))
+    def _square(self, rows: DataFrame) -> float:
+        def squares(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                yield pd.DataFrame({"s": [float((np.frombuffer(t, float) ** 2).sum()) for t in part["tile"]]})
+
+        return float(in_batches(rows.where(F.col("i") == self.blocks), squares, "s double", TILE_ROWS).agg(F.sum("s")).first()[0] or 0.0)
+
+    def _solve(self) -> None:
+        """Once for a model: the inverse triangle as tiles (i, k) of W', and the weights (block, alpha)."""
+        rows = self._eliminate(inverse=True)
+        self.quadratic = self._square(rows)
+        first = self.blocks + 1
+        self._inverse = rows.where(F.col("i") >= first).select((F.col("i") - first).alias("i"), F.col("j").alias("k"), "rows", "columns", "tile")
+        z = rows.where(F.col("i") == self.blocks).select(F.col("j").alias("k"), F.col("tile").alias("z"))
 
         def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 for t in part.itertuples():
-                    p = _matrix(t.tile, t.rows, t.columns)
-                    yield pd.DataFrame({"block": t.i, "at": np.arange(t.rows), "m": p @ np.frombuffer(t.r, float), "s": (p * p).sum(1)})
-
-        sums = rows.where(F.col("i") > self.blocks).join(r, "j").mapInPandas(products, "block long, at int, m double, s double").groupBy("block", "at").agg(F.sum("m").alias("m"), F.sum("s").alias("s"))
-        each = asked.select("block", F.posexplode("pts").alias("at", "p"))
-        got = each.join(sums, ["block", "at"])
-        x = [F.get("p.x", k) for k in range(len(self.hyper) - 1)]
-        own = self.kernel(x, x, self.hyper)
-        return got.select(F.col("p.pt_id").alias(id_col), (F.lit(self.mean) + F.col("m")).alias("m"), F.greatest(F.lit(0.0), own - F.col("s")).alias("v"))
+                    yield pd.DataFrame({"block": t.i, "at": np.arange(t.rows), "alpha": _matrix(t.tile, t.rows, t.columns) @ np.frombuffer(t.z, float)})
+
+        sums = in_batches(self._inverse.join(z, "k"), products, "block long, at int, alpha double", TILE_ROWS).groupBy("block", "at").agg(F.sum("alpha").alias("alpha"))
+        self.weights = written(self.rows.select("block", F.posexplode("pts").alias("at", "p")).join(sums, ["block", "at"]).select("block", "at", F.col("p.x").alias("x"), "alpha"), "tile-weights")
+
+    def predict(self, points: DataFrame, id_col: str = "pred_id") -> DataFrame:
+        """(id, m, v) of every row of ``points`` (id, x), any number of them."""
+        if self._inverse is None:
+            self._solve()
+        asked = written(points.select(F.col(id_col).alias("id"), "x").withColumn("row", F.monotonically_increasing_id()), "tile-asked")
+        known = self.weights.orderBy("block", "at").toPandas()  # coordinates and weights: a few numbers a point of the model
+        x, alpha, block = np.array(known["x"].tolist(), float), known["alpha"].to_numpy(), known["block"].to_numpy()
+        sc, kernel, hyper, level = self.spark.sparkContext, self.kernel, self.hyper, self.mean
+        sent = sc.broadcast((x, alpha))
+
+        def means(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            x, alpha = sent.value
+            for part in parts:
+                q = np.array(part["x"].tolist(), float)
+                m, own = np.full(len(q), level), kernel([q[:, d] for d in range(q.shape[1])], [q[:, d] for d in range(q.shape[1])], hyper, K.NUMPY)
+                for s in range(0, len(x), 2000):
+                    m += _covariance(q, x[s : s + 2000], kernel, hyper) @ alpha[s : s + 2000]
+                yield pd.DataFrame({"row": part["row"], "id": part["id"], "m": m, "own": np.broadcast_to(own, len(q))})
+
+        base = in_batches(asked, means, "row long, id long, m double, own double", 1000)
+        sums = None
+        for slab, columns in self._slabs(block):
+            piece = sc.broadcast((x[:columns], slab))
+
+            def squares(parts: Iterator[pd.DataFrame], piece=piece) -> Iterator[pd.DataFrame]:
+                x, w = piece.value
+                for part in parts:
+                    p = _covariance(np.array(part["x"].tolist(), float), x, kernel, hyper) @ w.T
+                    yield pd.DataFrame({"row": part["row"], "s": (p * p).sum(1)})
+
+            part = written(in_batches(asked.select("row", "x"), squares, "row long, s double", 500), "tile-squares")
+            piece.unpersist()
+            sums = part if sums is None else sums.unionByName(part)
+        total = sums.groupBy("row").agg(F.sum("s").alias("s")) if sums is not None else asked.select("row", F.lit(0.0).alias("s"))
+        return base.join(total, "row").select(F.col("id").alias(id_col), "m", F.greatest(F.lit(0.0), F.col("own") - F.col("s")).alias("v"))
+
+    def _slabs(self, block: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """Runs of W's rows of at most ``SLAB_BYTES`` with the number of columns that they reach to."""
+        for k in range(self.blocks):
+            columns, rows = int(np.searchsorted(block, k, "right")), int((block == k).sum())
+            height = max(1, SLAB_BYTES // max(1, 8 * columns))
+            for first in range(0, rows, height):
+                end = min(first + height, rows)
+
+                def cut(parts: Iterator[pd.DataFrame], first=first, end=end) -> Iterator[pd.DataFrame]:
+                    for part in parts:
+                        for t in part.itertuples():
+                            yield pd.DataFrame({"i": [t.i], "w": [np.ascontiguousarray(_matrix(t.tile, t.rows, t.columns)[:, first:end].T).tobytes()]})
+
+                got = in_batches(self._inverse.where(F.col("k") == k), cut, "i long, w binary", TILE_ROWS).collect()  # one slab
+                yield np.concatenate([np.frombuffer(r["w"], float).reshape(end - first, -1) for r in sorted(got, key=lambda r: r["i"])], 1), columns
+
+
+def _covariance(q: np.ndarray, x: np.ndarray, kernel: Callable, hyper: Sequence[float]) -> np.ndarray:
+    return kernel([q[:, d][:, None] for d in range(q.shape[1])], [x[:, d][None] for d in range(x.shape[1])], hyper, K.NUMPY)

@@ -106,27 +106,81 @@ def multi_start(spark: SparkSession, f: Objective, bounds: np.ndarray, starts: i
     return written(rows.mapInPandas(run, "start int, h array<double>, f double"), "searches").orderBy("f", "start")
 
 
-def chains(spark: SparkSession, log_density: Objective, start: Sequence[float], bounds: np.ndarray, n_chains: int = 4, steps: int = 500, seed: int = 0) -> DataFrame:
-    """(chain, iter, hps, f): adaptive Metropolis chains, one per Spark task; the proposal follows the acceptance rate."""
+def chains(
+    spark: SparkSession, log_density: Objective, start: Sequence[float], bounds: np.ndarray, n_chains: int = 4, steps: int = 500, seed: int = 0,
+    covariance: np.ndarray | None = None, scale: float | None = None, log_prior: Callable[[np.ndarray], float] | None = None, propose: Callable | None = None, adapt: bool = True,
+) -> DataFrame:
+    """(chain, iter, hps, f, taken): Metropolis chains, one per Spark task.
+
+    Jumps are normal with ``covariance`` (a fifth of the bounds' deviation each way by default) times a scale that follows the
+    acceptance rate unless ``adapt`` is false. ``propose(x, rng)`` replaces them by jumps of any symmetric kind; ``log_prior``
+    replaces the uniform prior over the bounds. ``f`` is the log density without the prior.
+    """
     low, high, first = bounds[:, 0], bounds[:, 1], np.array(start, float)
+    shape = np.diag((0.2 * (high - low) / np.sqrt(12)) ** 2) if covariance is None else np.asarray(covariance, float)
+    root, size = np.linalg.cholesky(shape + 1e-12 * np.trace(shape) * np.eye(len(first))), 1.0 if scale is None else scale
+    prior = log_prior or (lambda x: 0.0 if (x >= low).all() and (x <= high).all() else -np.inf)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for chain in p["chain"]:
                 rng = np.random.default_rng([seed, int(chain)])
-                x, scale, taken, trace = first.copy(), 0.2 * (high - low) / np.sqrt(12), 0, []
-                fx = log_density(x)
+                x, s, taken, trace = first.copy(), size, 0, []
+                fx, px = log_density(x), prior(x)
                 for t in range(steps):
-                    new = x + scale * rng.normal(size=len(x))
-                    fn = log_density(new) if (new >= low).all() and (new <= high).all() else -np.inf
-                    if np.log(rng.random()) < fn - fx:
-                        x, fx, taken = new, fn, taken + 1
-                    if t % 50 == 49:
-                        scale, taken = scale * np.exp((taken / 50 - 0.234) / np.sqrt(1 + t / 50)), 0
-                    trace.append((int(chain), t, x.tolist(), float(fx)))
-                yield pd.DataFrame(trace, columns=["chain", "iter", "hps", "f"])
-
-    return spark.range(n_chains).select(F.col("id").cast("int").alias("chain")).repartition(n_chains).mapInPandas(run, "chain int, iter int, hps array<double>, f double")
+                    new = propose(x, rng) if propose else x + s * (root @ rng.normal(size=len(x)))
+                    pn = prior(new)
+                    fn = log_density(new) if np.isfinite(pn) else -np.inf
+                    ok = np.log(rng.random()) < fn + pn - fx - px
+                    if ok:
+                        x, fx, px, taken = new, fn, pn, taken + 1
+                    if adapt and t % 50 == 49:
+                        s, taken = s * np.exp((taken / 50 - 0.234) / np.sqrt(1 + t / 50)), 0
+                    trace.append((int(chain), t, x.tolist(), float(fx), bool(ok)))
+                yield pd.DataFrame(trace, columns=["chain", "iter", "hps", "f", "taken"])
+
+    return spark.range(n_chains).select(F.col("id").cast("int").alias("chain")).repartition(n_chains).mapInPandas(run, "chain int, iter int, hps array<double>, f double, taken boolean")
+
+
+def pooled_covariance(trace: DataFrame, burn: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, covariance and acceptance rate over all chains of a trace, by sums of products in Spark."""
+    last = trace.agg(F.max("iter")).first()[0] or 0
+    rows = trace.where(F.col("iter") >= burn * last)
+    d = rows.agg(F.max(F.size("hps"))).first()[0] or 0
+    x = [F.get("hps", k) for k in range(d)]
+    got = rows.agg(F.avg(F.col("taken").cast("double")), *[F.avg(c) for c in x], *[F.covar_pop(x[i], x[j]) for i in range(d) for j in range(i, d)]).first()
+    s, at = np.zeros((d, d)), iter(got[1 + d :])
+    for i in range(d):
+        for j in range(i, d):
+            s[i, j] = s[j, i] = next(at) or 0.0
+    return np.array(got[1 : 1 + d], float), s, float(got[0] or 0.0)
+
+
+def learned_chains(
+    spark: SparkSession, log_density: Objective, start: Sequence[float], bounds: np.ndarray, n_chains: int = 4, steps: int = 200, portions: int = 10, seed: int = 0,
+    log_prior: Callable[[np.ndarray], float] | None = None, stop: Callable[[DataFrame], bool] | None = None,
+) -> DataFrame:
+    """(portion, chain, iter, hps, f, taken): chains whose jumps follow the covariance that all of them have seen.
+
+    Between portions the pooled covariance moves towards that of the last portion, in steps that shrink as portions pass (so the
+    chains come to rest on one distribution), and the jump's scale towards an acceptance rate of 0.234. Each portion starts from
+    the mean of the last. ``stop(trace)`` ends the run early; ``settled`` is such a rule.
+    """
+    d = len(bounds)
+    shape, scale, at, out = np.diag((0.2 * (bounds[:, 1] - bounds[:, 0])) ** 2 / 12), 2.4 / np.sqrt(d), np.array(start, float), None
+    for k in range(portions):
+        part = chains(spark, log_density, at, bounds, n_chains, steps, seed + k, shape, scale, log_prior, adapt=False)
+        part = written(part.withColumn("iter", F.col("iter") + F.lit(k * steps)).withColumn("portion", F.lit(k)), "learned-chains")
+        out = part if out is None else out.unionByName(part)
+        mean, seen, rate = pooled_covariance(part)
+        gain = 1.0 / (k + 1) ** 0.8
+        shape = shape + gain * (seen - shape) if rate > 0 else shape * 0.25
+        scale = scale * np.exp(min(10 * gain, 2.0) * (rate - 0.234))
+        inside = mean if log_prior is None or np.isfinite(log_prior(mean)) else at
+        at = inside if np.isfinite(log_density(inside)) else at
+        if stop is not None and stop(out if k == 0 else out.where(F.col("portion") >= k // 2).withColumn("iter", F.col("iter") - F.lit((k // 2) * steps))):
+            break
+    return out.select("portion", "chain", "iter", "hps", "f", "taken")
 
 
 def settled(trace: DataFrame, window: float = 0.25, within: float = 0.1) -> bool:
@@ -225,6 +279,85 @@ def bayesian(f: Objective, bounds: np.ndarray, evaluations: int = 30, seed: int
     return out(u[y.argmin()]), [(out(p), float(v)) for p, v in zip(u, y, strict=True)]
 
 
-def keep_if_better(objective: Objective, old: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """The trained values, or the old ones if training has made the objective worse."""
-    return new if objective(new) <= objective(old) else old
+def keep_if_better(objective: Objective, old: np.ndarray, new: np.ndarray, variance: Callable[[np.ndarray], float] | None = None) -> np.ndarray:
+    """The trained values, or the old ones if training has made the objective worse.
+
+    An objective that is an estimate says how uncertain it is by ``variance``: then worse means by more than three deviations of
+    the difference of two estimates.
+    """
+    slack = 3.0 * np.sqrt(variance(old) + variance(new)) if variance else 0.0
+    return new if objective(new) <= objective(old) + slack else old
+
+
+class TableObjective:
+    """Minus the likelihood of a model over tables and its slopes, as functions of its hyperparameters.
+
+    ``build(hyper)`` makes the model by Spark jobs; the one asked last is kept, so a value and its slopes share its factor, and the
+    tables of the one before are deleted. A covariance without a factor counts as ``worst``.
+    """
+
+    def __init__(self, build: Callable[[np.ndarray], object], worst: float = 1e12) -> None:
+        self.build, self.worst, self.asked = build, worst, 0
+        self._at: bytes | None = None
+        self._model = None
+
+    def model(self, hyper: np.ndarray):
+        key = np.asarray(hyper, float).tobytes()
+        if key != self._at:
+            if hasattr(self._model, "discard"):
+                self._model.discard()
+            self._at = self._model = None
+            self._model, self._at = self.build(np.asarray(hyper, float)), key
+            self.asked += 1
+        return self._model
+
+    def __call__(self, hyper: np.ndarray) -> float:
+        try:
+            return -self.model(hyper).log_likelihood()
+        except Exception as e:  # the same failure comes from a task as another class
+            if "no Cholesky factor" not in str(e):
+                raise
+            return self.worst
+
+    def slopes(self, hyper: np.ndarray) -> np.ndarray:
+        return -self.model(hyper).likelihood_gradient()
+
+    def variance(self, hyper: np.ndarray) -> float:
+        """Of the estimate of a model that estimates its likelihood, else zero."""
+        model = self.model(hyper)
+        return model.log_likelihood_variance() if hasattr(model, "log_likelihood_variance") else 0.0
+
+
+def train(objective: Objective, start: Sequence[float], bounds: np.ndarray, method: str | Callable = "local", slopes: Callable[[np.ndarray], np.ndarray] | None = None, spark: SparkSession | None = None, steps: int = 100, seed: int = 0, accept_only_if_improved: bool = True, variance: Callable[[np.ndarray], float] | None = None) -> np.ndarray:
+    """Hyperparameters that minimise ``objective`` inside the bounds, from ``start``.
+
+    ``method`` is ``local`` (quasi-Newton), ``adam``, ``global`` (evolution), ``searches`` (many local ones), ``mcmc`` (the median of
+    chains), ``bo``, or a function of (objective, start, bounds) that returns them. The first two take ``slopes``, or
+    differences; global, searches and mcmc evaluate in Spark tasks, so their objective must do without a session. The start is
+    kept where training has made it worse, unless ``accept_only_if_improved`` is false.
+    """
+    start = np.clip(np.array(start, float), bounds[:, 0], bounds[:, 1])
+
+    def differences(h: np.ndarray) -> np.ndarray:
+        e = 1e-6 * np.maximum(1.0, np.abs(h))
+        return np.array([(objective(h + d) - objective(h - d)) / (2 * d.sum()) for d in np.diag(e)])
+
+    slopes = slopes or getattr(objective, "slopes", None) or differences
+    if callable(method):
+        new = np.asarray(method(objective, start, bounds), float)
+    elif method == "local":
+        new = quasi_newton(objective, slopes, start, bounds, steps)
+    elif method == "adam":
+        new = adam(slopes, start, bounds, steps=steps)
+    elif method == "global":
+        new = evolution(spark, objective, bounds, generations=steps, seed=seed)
+    elif method == "searches":
+        new = np.array(multi_start(spark, objective, bounds, steps=steps, seed=seed).first()["h"], float)
+    elif method == "mcmc":
+        trace = chains(spark, lambda h: -objective(h), start, bounds, steps=max(200, steps), seed=seed)
+        new = np.array([r["median"] for r in trace_median(trace, 0.5).orderBy("parameter").collect()])
+    elif method == "bo":
+        new = bayesian(objective, bounds, steps, seed)[0]
+    else:
+        raise ValueError(f"no method {method!r}")
+    return keep_if_better(objective, start, new, variance) if accept_only_if_improved else new

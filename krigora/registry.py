@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from krigora.functions import kernels as K
 from krigora.operators import covariance as C
-from krigora.operators import distributional, metrics, mixture, mixture_points, samples
+from krigora.operators import distributional, metrics, mixture, mixture_full, mixture_points, samples
+from krigora.operators.cells import CellGaussianProcess, Cells, WarmSolver
 from krigora.operators.gp import GaussianProcess, exact_model, grouped_posterior, kl_normal, object_posterior
+from krigora.operators.parametric import ParametricProcess
 from krigora.operators.strips import StripGaussianProcess
 from krigora.operators.tiles import TiledGaussianProcess
 from krigora.plans import training
@@ -207,6 +209,40 @@ def sparse_solve(spark: SparkSession, d: str) -> DataFrame:
     return gp.weights().select("i", _r(F.col("alpha"), 4).alias("alpha"))
 
 
+@_query(_CG)
+def cell_solve(spark: SparkSession, d: str) -> DataFrame:
+    """The same system by block conjugate gradients over cells, with overlapping local solves as preconditioner."""
+    gp = CellGaussianProcess(_parts(spark, d), [1.5, *BALL], NOISE)
+    return gp.weights().select("i", _r(F.col("alpha"), 4).alias("alpha"))
+
+
+@_query(_CG.replace("1.5 * (1 - d) ** 8", "1.53 * (1 - d) ** 8").replace("AS alpha FROM", "AS alpha, TRUE AS warm, TRUE AS fewer FROM"))
+def warm_solve(spark: SparkSession, d: str) -> DataFrame:
+    """The system with a little more variance, started from the solution of the one before: whether the drift allowed that, and
+    whether it took fewer iterations than a cold start."""
+    pts = _parts(spark, d)
+    cells, mean = Cells(pts, [1.5, *BALL], NOISE), float(pts.agg(F.avg("y")).first()[0] or 0.0)
+    solver = WarmSolver(cells, cells.column("y", mean))
+    solver.solve()
+    before = solver.precondition
+    solved, warm = solver.solve([1.53, *BALL])
+    cold = cells.solve(cells.column("y", mean), before, tol=solver.tol, hyper=[1.53, *BALL])[1]
+    return cells.entries(solved, "alpha").select("i", _r(F.col("alpha"), 4).alias("alpha"), F.lit(solver.last["served"] == 2).alias("warm"), F.lit(warm < cold).alias("fewer"))
+
+
+@_query(_CG.replace("SELECT unnest(ids) AS i, round(unnest(x), 4) + 0.0::DOUBLE AS alpha FROM (SELECT ids, x FROM g, y ORDER BY it DESC LIMIT 1)",
+                    "SELECT kind, round(list_sum(list_transform(x, lambda c: abs(c))), 2) AS size, kind <> 'jacobi' AS fewer FROM (SELECT x FROM g ORDER BY it DESC LIMIT 1), (VALUES ('jacobi'), ('schwarz'), ('inverse')) v(kind)"))
+def cell_preconditioners(spark: SparkSession, d: str) -> DataFrame:
+    """The size of the solution with each preconditioner, and whether it took fewer iterations than solving cells by themselves."""
+    pts = _parts(spark, d)
+    cells, mean = Cells(pts, [1.5, *BALL], NOISE), float(pts.agg(F.avg("y")).first()[0] or 0.0)
+    rows, right = [], cells.column("y", mean)
+    for kind, p in (("jacobi", cells.jacobi()), ("schwarz", cells.schwarz(0.5)), ("inverse", cells.inverse(24))):
+        solved, steps = cells.solve(right, p, tol=1e-9)
+        rows.append((kind, float(cells.entries(solved).agg(F.sum(F.abs("v"))).first()[0] or 0.0), steps))
+    return spark.createDataFrame([(k, size, steps < rows[0][2]) for k, size, steps in rows], "kind string, size double, fewer boolean").select("kind", _r(F.col("size"), 2).alias("size"), "fewer")
+
+
 # --- prior, sources, tasks
 
 
@@ -261,10 +297,14 @@ _NATION_SQL = "SELECT n_nationkey AS id, n_nationkey / 5.0::DOUBLE AS x1, n_regi
 _MATERN_SQL = "2 * (1 + sqrt(3) * {0}) * exp(-sqrt(3) * {0})"
 _GAP_SQL = "sqrt(((a.x1 - b.x1) / 1.5) ** 2 + (a.x2 - b.x2) ** 2)"
 _ELIMINATE = _elimination(_SUPPLIER_SQL, _NATION_SQL, _MATERN_SQL.format(_GAP_SQL))
-#: One row: the weights al, the inverse q, the coordinates and the mean of the suppliers' model.
-_INVERSE = _elimination(_SUPPLIER_SQL, None, _MATERN_SQL.format(_GAP_SQL)) + """, l AS (SELECT list(x1::DOUBLE ORDER BY r) AS x1, list(x2::DOUBLE ORDER BY r) AS x2 FROM u WHERE kind = 0),
+def _inverse_of(points: str, kernel: str, mean: str = "avg(y)") -> str:
+    """SQL up to inv, one row: the weights al, the inverse q, the coordinates and the mean of a model over the points."""
+    return _elimination(points, None, kernel, mean) + """, l AS (SELECT list(x1::DOUBLE ORDER BY r) AS x1, list(x2::DOUBLE ORDER BY r) AS x2 FROM u WHERE kind = 0),
 inv AS (SELECT list_transform(z.m[1][2:], lambda c: -c) AS al, list_transform(z.m[2:], lambda row: list_transform(row[2:], lambda c: -c)) AS q, l.x1, l.x2, mu.m AS mean FROM z, l, mu)
 """
+
+
+_INVERSE = _inverse_of(_SUPPLIER_SQL, _MATERN_SQL.format(_GAP_SQL))
 _GAPS_SQL = "list_transform(range(1, len(inv.x1) + 1), lambda p: sqrt(((inv.x1[p] - o.x1) / 1.5) ** 2 + (inv.x2[p] - o.x2) ** 2))"
 
 
@@ -461,6 +501,66 @@ def sparse_likelihood(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([row], "log_likelihood double, logdet double, quadratic double").select(*[_r(F.col(c), 4).alias(c) for c in ("log_likelihood", "logdet", "quadratic")])
 
 
+@_query(_SPARSE + "SELECT id::BIGINT AS pred_id, round(mu.m - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2")
+def cell_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """The same posterior over cells, which no crowded slab limits: all nations are right sides of one solve."""
+    got = CellGaussianProcess(_suppliers(spark, d), SPARSE_HYPER, aim=16).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
+@_query(_SPARSE + "SELECT round(ld, 4) AS logdet, round(-z.m[1][1], 4) AS quadratic, TRUE AS within FROM z")
+def likelihood_estimate(spark: SparkSession, d: str) -> DataFrame:
+    """The likelihood by random probes over cells beside the exact one by strips: within four deviations of the estimate, that is
+    a hundredth of the log-determinant at least."""
+    exact = StripGaussianProcess(_suppliers(spark, d), SPARSE_HYPER, aim=8, predicts=False)
+    gp = CellGaussianProcess(_suppliers(spark, d), SPARSE_HYPER)
+    gp.log_likelihood(32, 20)
+    within = abs(gp.logdet - exact.logdet) <= max(4 * gp.logdet_variance**0.5, 0.01 * abs(exact.logdet))
+    return spark.createDataFrame([(exact.logdet, gp.quadratic, bool(within))], "logdet double, quadratic double, within boolean").select(_r(F.col("logdet"), 4).alias("logdet"), _r(F.col("quadratic"), 4).alias("quadratic"), "within")
+
+
+_WENDLAND_SQL = "2 * (1 - {0}) ** 8 * (32 * {0} ** 3 + 25 * {0} ** 2 + 8 * {0} + 1)".format(_WENDLAND_GAP)
+#: Half of a'dK a - tr(K^-1 dK) by the variance and the lengths of the Wendland kernel, from inv.
+_WENDLAND_SLOPES = """, p AS (SELECT inv.al[i] * inv.al[j] - inv.q[i][j] AS w, (inv.x1[i] - inv.x1[j]) ** 2 AS g1, (inv.x2[i] - inv.x2[j]) ** 2 AS g2 FROM inv, range(1, (SELECT n FROM mu) + 1) a(i), range(1, (SELECT n FROM mu) + 1) b(j)),
+d AS (SELECT *, least(1, sqrt(g1 / 0.81 + g2 / 1.21)) AS d FROM p),
+s AS (SELECT sum(w * (1 - d) ** 8 * (32 * d ** 3 + 25 * d * d + 8 * d + 1)) / 2 AS s0, sum(w * 44 * (1 - d) ** 7 * (16 * d * d + 7 * d + 1) * g1 / 0.729) / 2 AS s1, sum(w * 44 * (1 - d) ** 7 * (16 * d * d + 7 * d + 1) * g2 / 1.331) / 2 AS s2 FROM d)
+"""
+
+
+@_query(_inverse_of(_SUPPLIER_SQL, _WENDLAND_SQL) + _WENDLAND_SLOPES + "SELECT k AS parameter, round(CASE k WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END, 3) + 0.0::DOUBLE AS slope FROM s, (VALUES (0), (1), (2)) v(k)")
+def sparse_likelihood_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes of the exact likelihood of strips by its hyperparameters."""
+    g = StripGaussianProcess(_suppliers(spark, d), SPARSE_HYPER, aim=8, predicts=False).likelihood_gradient()
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "parameter int, slope double").select("parameter", _r(F.col("slope"), 3).alias("slope"))
+
+
+_TREND_POINTS = "SELECT s_suppkey AS id, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2, 0 AS x3, s_acctbal / 1000 - (1 + 0.5 * (s_nationkey / 5.0::DOUBLE)) AS y, 0.1 + 0.05 * ((s_suppkey % 10) / 3.0::DOUBLE) AS noise, 0 AS g FROM supplier"
+
+
+def _parametric(spark: SparkSession, d: str) -> ParametricProcess:
+    """Suppliers with a trend and uneven noise, two parameters each; the trend's slopes are given, the noise's are differences."""
+    line = lambda x, p: p[0] + p[1] * x[0]
+    return ParametricProcess(_suppliers(spark, d).drop("noise_var"), SPARSE_HYPER, line, [1.0, 0.5], lambda x, p: p[0] + p[1] * x[1], [0.1, 0.05], mean_slopes=lambda x, p: [F.lit(1.0), x[0]], aim=8)
+
+
+@_query(
+    _inverse_of(_TREND_POINTS, _WENDLAND_SQL, "0") + _WENDLAND_SLOPES
+    + """, o AS (SELECT sum(al[i]) AS m0, sum(al[i] * x1[i]) AS m1, sum(al[i] ** 2 - q[i][i]) / 2 AS n0, sum((al[i] ** 2 - q[i][i]) * x2[i]) / 2 AS n1 FROM inv, range(1, (SELECT n FROM mu) + 1) a(i))
+SELECT k AS parameter, round([s0, s1, s2, m0, m1, n0, n1][k + 1], 3) + 0.0::DOUBLE AS slope FROM s, o, (VALUES (0), (1), (2), (3), (4), (5), (6)) v(k)"""
+)
+def parametric_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes of the likelihood by the parameters of kernel, mean and noise, all over tables."""
+    g = _parametric(spark, d).likelihood_gradient()
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "parameter int, slope double").select("parameter", _r(F.col("slope"), 3).alias("slope"))
+
+
+@_query(_elimination(_TREND_POINTS, _NATION_SQL, _WENDLAND_SQL, "0") + "SELECT id::BIGINT AS pred_id, round(1 + 0.5 * x1 - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(z.m[r - n][r - n] + 0.1 + 0.05 * x2, 5) AS v FROM u, mu, z WHERE kind = 2")
+def parametric_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of measurements of the same model at every nation."""
+    got = _parametric(spark, d).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"), add_noise=True)
+    return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
 @_query(_ELIMINATE + "SELECT id::BIGINT AS pred_id, round(mu.m - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2")
 def tiled_posterior(spark: SparkSession, d: str) -> DataFrame:
     """What gp_posterior gives, from a factor in tiles, as it is made beyond what the driver holds."""
@@ -751,6 +851,48 @@ def mixture_points_aligned(spark: SparkSession, d: str) -> DataFrame:
     return mixture_points.aligned_along(comp, tree).select("station", "k", _r(F.col("weight"), 3).alias("weight"), F.transform("mean", lambda v: _r(v, 2)).alias("mean"))
 
 
+_PLANE = """WITH p AS (SELECT c_custkey AS id, c_nationkey AS s, c_acctbal / 1000 AS x1, (c_custkey % 10) / 3.0::DOUBLE AS x2 FROM customer WHERE c_acctbal IS NOT NULL),
+m AS (SELECT s, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS v12 FROM p GROUP BY s)
+"""
+
+
+@_query(
+    _PLANE + """, c AS (SELECT s, k, m1 + (2 * k - 1) * sqrt(v1 + 1e-6) AS a, m2 + (2 * k - 1) * sqrt(v2 + 1e-6) AS b, v1 + 1e-6 AS v1, v2 + 1e-6 AS v2, v12 FROM m, range(2) t(k)),
+d AS (SELECT p.s, p.id, k, x1, x2, exp(-0.5 * (v2 * (x1 - a) ** 2 - 2 * v12 * (x1 - a) * (x2 - b) + v1 * (x2 - b) ** 2) / (v1 * v2 - v12 * v12)) / (2 * pi() * sqrt(v1 * v2 - v12 * v12)) / 2 AS d FROM p JOIN c ON p.s = c.s),
+r AS (SELECT s, k, x1, x2, d / sum(d) OVER (PARTITION BY id) AS r FROM d), t AS (SELECT s, k, sum(r) AS n, count(*) AS total, sum(r * x1) / sum(r) AS a, sum(r * x2) / sum(r) AS b, sum(r * x1 * x1) AS q11, sum(r * x1 * x2) AS q12, sum(r * x2 * x2) AS q22 FROM r GROUP BY s, k)
+SELECT s AS station, k::INT AS k, round(n / total, 5) AS weight, round(a, 4) + 0.0::DOUBLE AS mean1, round(b, 4) AS mean2, round(q11 / n - a * a + 1e-6, 3) AS v11, round(q12 / n - a * b, 3) + 0.0::DOUBLE AS v12, round(q22 / n - b * b + 1e-6, 3) AS v22 FROM t"""
+)
+def mixture_full_em_step(spark: SparkSession, d: str) -> DataFrame:
+    """One round of EM with full covariances for every nation's customers, from two components about its moments."""
+    p = _customer_points(spark, d)
+    got = mixture_full.em_step(p, mixture_full.first_components(mixture_full.moments(p, 2), 2, 2), 2, 2)
+    at = lambda c, k, digits: _r(F.get(c, k), digits)
+    return got.select("station", "k", _r(F.col("weight"), 5).alias("weight"), at("mean", 0, 4).alias("mean1"), at("mean", 1, 4).alias("mean2"), at("covariance", 0, 3).alias("v11"), at("covariance", 1, 3).alias("v12"), at("covariance", 3, 3).alias("v22"))
+
+
+@_query(
+    _PLANE + """SELECT a.s AS a, b.s AS b, round(sqrt(greatest(0, (a.m1 - b.m1) ** 2 + (a.m2 - b.m2) ** 2 + a.v1 + a.v2 + b.v1 + b.v2
+  - 2 * sqrt(a.v1 * b.v1 + 2 * a.v12 * b.v12 + a.v2 * b.v2 + 2 * sqrt(greatest(0, (a.v1 * a.v2 - a.v12 ** 2) * (b.v1 * b.v2 - b.v12 ** 2)))))), 4) AS w2 FROM m a JOIN m b ON a.s < b.s"""
+)
+def station_wasserstein_full(spark: SparkSession, d: str) -> DataFrame:
+    """2-Wasserstein distance, by matrix roots, of every two nations' normal summaries in the plane (25 rows)."""
+    m = mixture_full.moments(_customer_points(spark, d), 2)
+    a, b = (m.select(F.col("station").alias(k), F.col("mean").alias(f"mean_{k}"), F.col("covariance").alias(f"covariance_{k}")) for k in "ab")
+    return mixture_full.pair_distances(a.join(b, F.col("a") < F.col("b")), 2).select("a", "b", _r(F.col("w2"), 4).alias("w2"))
+
+
+@_query(
+    _PLANE + """, c AS (SELECT s, k, m1 + (2 * k - 1) * sqrt(v1 + 1e-6) AS a, m2 + (2 * k - 1) * sqrt(v2 + 1e-6) AS b, v1 + 1e-6 AS v1, v2 + 1e-6 AS v2, v12 FROM m, range(2) t(k)),
+d AS (SELECT p.s, p.id, sum(exp(-0.5 * (v2 * (x1 - a) ** 2 - 2 * v12 * (x1 - a) * (x2 - b) + v1 * (x2 - b) ** 2) / (v1 * v2 - v12 * v12)) / (2 * pi() * sqrt(v1 * v2 - v12 * v12)) / 2) AS d FROM p JOIN c ON p.s = c.s GROUP BY p.s, p.id)
+SELECT s AS station, count(*)::BIGINT AS n, round(sum(ln(d)), 4) + 0.0::DOUBLE AS log_likelihood FROM d GROUP BY s"""
+)
+def mixture_full_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """Likelihood of every nation's customers under the two components that the round above starts from."""
+    p = _customer_points(spark, d)
+    got = mixture_full.log_likelihood(p, mixture_full.first_components(mixture_full.moments(p, 2), 2, 2), 2, 2)
+    return got.select("station", "n", _r(F.col("log_likelihood"), 4).alias("log_likelihood"))
+
+
 # --- training and streams
 
 
@@ -787,6 +929,24 @@ def train_gradient(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, best, loss(best))
 
 
+@_query()
+def train_strips(spark: SparkSession, d: str) -> DataFrame:
+    """Quasi-Newton over a model in strips: every value and slope is a few jobs over tables, no point comes to the driver."""
+    pts = _suppliers(spark, d)
+    loss = training.TableObjective(lambda h: StripGaussianProcess(pts, h, predicts=False))
+    best = training.train(loss, SPARSE_HYPER, training.default_bounds(pts, 2), steps=8)
+    return _trained(spark, best, loss(best))
+
+
+@_query()
+def train_learned_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Chains whose jumps take on the covariance that all of them have seen: what the later half of the portions found."""
+    gp, b = _model(spark, d), training.default_bounds(_suppliers(spark, d), 2)
+    loss = _objective(_Data(gp))
+    trace = training.learned_chains(spark, lambda h: -loss(h), HYPER, b, 4, 60, 4)
+    return training.trace_summary(trace, 3)
+
+
 @_query()
 def train_evolution(spark: SparkSession, d: str) -> DataFrame:
     gp, b = _model(spark, d), training.default_bounds(_suppliers(spark, d), 2)

@@ -33,6 +33,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def in_batches(df: DataFrame, run, schema: str, rows: int = 100) -> DataFrame:
+    """``df.mapInPandas`` for rows that hold matrices: few of them are in memory at once."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df.mapInPandas(run, schema)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     with suppress(Exception):  # the session may have ended already; the folder is scratch
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -49,6 +55,11 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, df.folder)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def save_model(spark: SparkSession, path: str, points: DataFrame, state: dict) -> None:
     """Points as Parquet and the rest of a model as one JSON row beside them."""
     points.write.mode("overwrite").parquet(f"{path}/points")
@@ -62,7 +73,6 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
 def cached(spark: SparkSession, path: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table kept under ``path`` for ``key`` (what the table hangs on), built and written there when it is missing."""
     folder = f"{path}/{hashlib.sha256(key.encode()).hexdigest()[:32]}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    if not exists(spark, f"{folder}/_SUCCESS"):
         build().write.mode("overwrite").parquet(folder)
     return spark.read.parquet(folder)
