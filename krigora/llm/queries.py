@@ -65,7 +65,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attention_lm.score_texts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return attention_lm.score_texts(table(spark, sf_dir, "documents"), byte_vocabulary())
+
+
+def byte_vocabulary() -> tuple[str, str]:
+    """Path of a public byte-level vocabulary and the pattern that parts texts for it."""
+    import public_tokenizers
+
+    return tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def tokenizer_path(name: str) -> str:

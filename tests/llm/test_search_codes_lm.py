@@ -6,11 +6,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("krigora.llm")
 from krigora.llm import attention_lm, hard_negatives, queries, vector_codes
-from krigora.llm.queries import tokenizer_path
+from krigora.llm.queries import byte_vocabulary
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "vec_id long, label int, embedding array<double>, vector string, score int, block int, of int, place int"
@@ -152,7 +153,7 @@ def _base(got):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("hot", [200_000, 50])
+@pytest.mark.parametrize("hot", [100_000, 50])
 def test_word_model(spark, monkeypatch, hot):
     """The words' scores, with nearly all words in the table of hot ones and with nearly none."""
     monkeypatch.setattr(attention_lm, "HOT_WORDS", hot)
@@ -168,8 +169,8 @@ def test_attention_is_better_than_frequencies(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").toPandas()
     score = {r.doc_id: r.score for r in queries.op13_attention_lm(spark, "/root/testdata/sf0.01").collect() if r.held_out}
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in docs["doc_id"]]
-    sub, total = attention_lm.Subwords(tokenizer_path("word_bpe_49k.json")), Counter()
-    ids = [sub.expand(sub.slots([WORD.findall(t.encode().lower())])[0]) for t in docs["text"]]
+    sub, total = attention_lm.Subwords(byte_vocabulary()), Counter()
+    ids = [sub.expand(sub.slots(attention_lm._words(pa.array([t])))[0]) for t in docs["text"]]
     for x, h in zip(ids, held, strict=True):
         if not h:
             total.update(x.tolist())
@@ -212,13 +213,27 @@ def test_slopes_and_windows():
     assert abs((10 ** (more - got[1])).sum() - 1) < 1e-3
 
 
+def test_words_encoded_together():
+    """What a word is encoded as does not hang on the words that it is encoded with; white space of other kinds included."""
+    import tiktoken
+
+    words = ["the", "dog's", "x" * 3000, "été", "\u3000", "a\u3000", "\u3000b", "12,34", "\u2003\u2003", "'s", "…", "\x1c", "<|endoftext|>"]
+    sub = attention_lm.Subwords(byte_vocabulary())
+    plain = tiktoken.Encoding("t", pat_str=byte_vocabulary()[1], mergeable_ranks=sub.encoding._mergeable_ranks, special_tokens={})
+    slots, off = sub.slots([[w.encode() for w in words], [], [words[0].encode()]])
+    assert off.tolist() == [0, len(words) + 1, len(words) + 2, len(words) + 4]
+    for w, s in zip(words, slots, strict=False):
+        assert sub.expand(np.array([s])).tolist() == plain.encode_ordinary(" " + w)
+    assert sub.expand(slots[-3:]).tolist() == [sub.end, *plain.encode_ordinary(" the"), sub.end]
+
+
 def test_odd_texts(spark):
     long = " ".join(f"Word{k % 977}" for k in range(50_000))
     rows = [(1, "The cat, the CAT"), (2, None), (3, ""), (4, long), (None, "the dog"), (5, " \t\n\x0b "), (6, "x" * 200_000), (7, "the the the"), (7, "the the the"), (8, "　 été ퟿"), (9, "<|endoftext|> end"), (1000, "unseen words")]
     df = spark.createDataFrame([(*r, "a", 1, 2) for r in rows], "doc_id long, text string, word string, n int, row int")
-    got = attention_lm.score_texts(df, tokenizer_path("word_bpe_49k.json")).collect()
+    got = attention_lm.score_texts(df, byte_vocabulary()).collect()
     assert _base(got) == _brute_base(rows) and all(np.isfinite(r.score) for r in got)
     assert len({r.score for r in got if r.doc_id in (2, 3, 5)}) == 1 and len({r.score for r in got if r.doc_id == 7}) == 1
-    assert attention_lm.score_texts(df.limit(0), tokenizer_path("word_bpe_49k.json")).collect() == []
-    held = attention_lm.score_texts(df.where("doc_id = 2"), tokenizer_path("word_bpe_49k.json"), held_out=int(zlib.crc32(b"2") % 7)).collect()
+    assert attention_lm.score_texts(df.limit(0), byte_vocabulary()).collect() == []
+    held = attention_lm.score_texts(df.where("doc_id = 2"), byte_vocabulary(), held_out=int(zlib.crc32(b"2") % 7)).collect()
     assert [(r.held_out, r.n_known, r.train_tokens, r.base_score) for r in held] == [(True, 0, 0, 0.0)]
