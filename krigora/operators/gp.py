@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from krigora.functions import kernels as K
 from krigora.sources.points import check
+from krigora.sources.store import in_batches
 
 from . import linalg as L
 
@@ -234,9 +235,9 @@ def object_posterior(points: DataFrame, queries: DataFrame, kernel: Callable[[Co
     k[i, j] = k[j, i] = pairs["v"]
     low, mean = L.cholesky(k + np.diag(rows["noise_var"])), rows["y"].mean()
     sent = points.sparkSession.sparkContext.broadcast((L.solve(low, rows["y"].to_numpy() - mean), L.lower_inverse(low)))
-    asked = queries.select("pred_id", F.col("obj").alias("q"))
-    near = asked.join(F.broadcast(points.select("pt_id", F.col("obj").alias("a"))), how="cross")
-    each = near.groupBy("pred_id").agg(F.sort_array(F.collect_list(F.struct("pt_id", kernel(F.col("a"), F.col("q")).alias("v")))).alias("k"), F.first(kernel(F.col("q"), F.col("q"))).alias("own"))
+    known = points.agg(F.sort_array(F.collect_list(F.struct("pt_id", F.col("obj").alias("a")))).alias("known"))  # one row of at most ``most`` points
+    each = queries.select("pred_id", F.col("obj").alias("q")).join(F.broadcast(known), how="cross")
+    each = each.select("pred_id", F.transform("known", lambda p: kernel(p["a"], F.col("q"))).alias("k"), kernel(F.col("q"), F.col("q")).alias("own"))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         alpha, inverse = sent.value
@@ -244,7 +245,7 @@ def object_posterior(points: DataFrame, queries: DataFrame, kernel: Callable[[Co
             k = np.array(part["k"].tolist(), float).reshape(len(part), len(alpha))
             yield pd.DataFrame({"pred_id": part["pred_id"], "m": mean + k @ alpha, "v": np.maximum(0.0, part["own"].to_numpy() - ((inverse @ k.T) ** 2).sum(0))})
 
-    return each.select("pred_id", F.col("k.v").alias("k"), "own").mapInPandas(run, "pred_id long, m double, v double")
+    return in_batches(each, run, "pred_id long, m double, v double", 1000)
 
 
 def exact_model(points: DataFrame, hyper: Sequence[float], kernel: Callable = K.default_kernel, mean: float | None = None, most_dense: int = 8000):

@@ -117,15 +117,29 @@ def _restore(done: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pos", "x", "s", "su"])
 
 
+class Crowded(ValueError):
+    """A strip has more points than one task takes."""
+
+
+def compact_model(points: DataFrame, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, predicts: bool = True, **strips):
+    """A model with ``weights`` and ``predict`` in strips or, where a strip would be too crowded for one task, in cells."""
+    from .cells import CellGaussianProcess
+
+    try:
+        return StripGaussianProcess(points, hyper, noise, mean, predicts=predicts, **strips)
+    except Crowded:
+        return CellGaussianProcess(points, hyper, noise, mean)
+
+
 class StripGaussianProcess:
     """An exact GP over ``points`` (pt_id, x, y[, noise_var]) with the Wendland kernel: hyper = [variance, length per dimension].
 
     ``noise`` is the variance of points without a column of it; the prior mean is a number (the mean of y by default). Points of
-    one strip meet in one task, so a strip holds ``most`` points at most; denser data raise, and the table form of conjugate
-    gradients (``linalg.spark_conjugate_gradient``) solves them.
+    one strip meet in one task, so a strip holds ``most`` points at most; denser data raise, and ``compact_model`` takes cells for
+    them. Halving ends where the strips that are left have ``together`` points or fewer, which one task solves.
     """
 
-    def __init__(self, points: DataFrame, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, most: int = 4000, aim: int = 200, predicts: bool = True) -> None:
+    def __init__(self, points: DataFrame, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, most: int = 4000, aim: int = 200, predicts: bool = True, together: int = 2500) -> None:
         info = check(points)
         self.spark, self.hyper, self.n, dims = points.sparkSession, [float(h) for h in hyper], info["rows"], info["dims"]
         if len(self.hyper) != dims + 1:
@@ -143,8 +157,8 @@ class StripGaussianProcess:
         rows = points.select(strip.alias("strip"), "pt_id", "x", (F.col("y") - self.mean).alias("r"), variance.cast("double").alias("noise"))
         counts = rows.groupBy("strip").count().agg(F.max("count"), F.max("strip")).first()
         if counts[0] > most:
-            raise ValueError(f"a strip holds {counts[0]} points, more than {most}; take shorter lengths or conjugate gradients on tables")
-        self.strips = int(counts[1]) + 1
+            raise Crowded(f"a strip holds {counts[0]} points, more than {most}; take shorter lengths, or cells")
+        self.strips, self._fullest, self._together = int(counts[1]) + 1, int(counts[0]), together
         self._points = written(rows, "strip-points")
         self._solve()
 
@@ -171,31 +185,45 @@ class StripGaussianProcess:
 
         level = written(shared.groupBy("strip").applyInPandas(build_all, _NODE), "strip-level")
         self._tables = [self._points, level]
-        left, levels, logdet, square = self.strips, [], 0.0, 0.0
-        while left > 1:
+        left, levels = self.strips, []
+        while left > 1 and left * self._fullest > self._together:
             live = level.where("kind <> 'done'")
             level = written(live.groupBy(F.floor(F.col("pos") / 2)).applyInPandas(_halve, _NODE), "strip-level")
             self._tables.append(level)
-            done = level.where("kind = 'done'")
-            got = done.agg(F.sum("logdet"), F.sum("square")).first()
-            logdet, square = logdet + (got[0] or 0.0), square + (got[1] or 0.0)
-            levels.append(done)
+            levels.append(level.where("kind = 'done'"))
             left = -(-left // 2)
 
         def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-            r = next(r for r in pdf.itertuples() if r.kind == "node")
-            d, b = _block(r.d, r.n, r.n), np.frombuffer(r.b, float)
-            for left in pdf[pdf["kind"] == "left"].itertuples():
-                d, b = d - _block(left.d, r.n, r.n), b - np.frombuffer(left.b, float)
-            low = L.cholesky(d)
+            """All strips that are left, as one matrix."""
+            nodes = {int(r.pos): r for r in pdf.itertuples() if r.kind == "node"}
+            sizes = [int(nodes[k].n) for k in range(len(nodes))]
+            at = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+            whole, b = np.zeros((at[-1], at[-1])), np.zeros(at[-1])
+            for k, r in nodes.items():
+                own = slice(at[k], at[k + 1])
+                whole[own, own], b[own] = _block(r.d, r.n, r.n), np.frombuffer(r.b, float)
+                if r.u and k + 1 < len(sizes):
+                    after = slice(at[k + 1], at[k + 2])
+                    whole[own, after] = _block(r.u, r.n, sizes[k + 1])
+                    whole[after, own] = whole[own, after].T
+            for r in pdf[pdf["kind"] == "left"].itertuples():
+                own = slice(at[int(r.pos)], at[int(r.pos) + 1])
+                whole[own, own] -= _block(r.d, r.n, r.n)
+                b[own] -= np.frombuffer(r.b, float)
+            low = L.cholesky(whole) if len(b) else whole
             inverse = L.inverse(low)
-            x = inverse @ b
-            return pd.DataFrame([(0, _pack(x), _pack(inverse), None, L.logdet(low), float(b @ x))], columns=["pos", "x", "s", "su", "logdet", "square"])
+            x, out = inverse @ b, []
+            for k in range(len(sizes)):
+                own, after = slice(at[k], at[k + 1]), slice(at[k + 1], at[k + 2]) if k + 1 < len(sizes) else None
+                out.append((k, _pack(x[own]), _pack(inverse[own, own]), _pack(inverse[own, after]) if after else None, L.logdet(low) if k == 0 else 0.0, float(b @ x) if k == 0 else 0.0))
+            return pd.DataFrame(out, columns=["pos", "x", "s", "su", "logdet", "square"])
 
-        top = written(level.where("kind <> 'done'").groupBy(F.floor(F.col("pos") / 2)).applyInPandas(finish, _RESULT + ", logdet double, square double"), "strip-top")
+        top = written(level.where("kind <> 'done'").withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda pdf: finish(pdf), _RESULT + ", logdet double, square double"), "strip-top")
         self._tables.append(top)
-        last = top.select("logdet", "square").first()
-        self.logdet, self.quadratic = logdet + last[0], square + last[1]
+        parts = top.select("logdet", "square")
+        for done in levels:
+            parts = parts.unionByName(done.select("logdet", "square"))
+        self.logdet, self.quadratic = map(float, parts.agg(F.sum("logdet"), F.sum("square")).first())
         result = top.select("pos", "x", "s", "su")
         for done in reversed(levels):
             sent = result.withColumn("key", F.explode(F.array(F.col("pos"), F.col("pos") - 1))).where("key >= 0")

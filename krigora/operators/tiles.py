@@ -22,6 +22,7 @@ from krigora.sources.store import discard, in_batches, written
 
 from . import linalg as L
 
+_PART = "of long, rows int, columns int, tile binary"
 _TILE = "i long, j long, rows int, columns int, tile binary"
 #: Tiles in memory at once, and bytes of W's rows that go to all tasks at once.
 TILE_ROWS, SLAB_BYTES = 4, 64 << 20
@@ -38,7 +39,7 @@ class TiledGaussianProcess:
         info = check(points)
         self.spark, self.kernel, self.hyper, self.n = points.sparkSession, kernel, list(map(float, hyper)), info["rows"]
         ends = points.agg(F.avg("y").alias("mean"), F.avg(F.abs("y")).alias("level")).first()
-        self.mean = float(mean if mean is not None else ends["mean"] or 0.0)
+        self.mean, self.follows = float(mean if mean is not None else ends["mean"] or 0.0), mean is None
         noise = F.col("noise_var") if "noise_var" in points.columns else F.lit((ends["level"] / 100) ** 2)
         self.blocks, self.size = max(1, -(-self.n // size)), size
         rows = points.select(F.pmod(F.xxhash64("pt_id"), F.lit(self.blocks)).alias("block"), F.struct("pt_id", "x", (F.col("y") - self.mean).alias("r"), noise.cast("double").alias("noise")).alias("p"))
@@ -132,11 +133,15 @@ class TiledGaussianProcess:
         return float(-0.5 * (self.quadratic + self.logdet + self.n * np.log(2 * np.pi)))
 
     def _square(self, rows: DataFrame) -> float:
+        return self._square_of(rows.where(F.col("i") == self.blocks))
+
+    @staticmethod
+    def _square_of(rows: DataFrame) -> float:
         def squares(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 yield pd.DataFrame({"s": [float((np.frombuffer(t, float) ** 2).sum()) for t in part["tile"]]})
 
-        return float(in_batches(rows.where(F.col("i") == self.blocks), squares, "s double", TILE_ROWS).agg(F.sum("s")).first()[0] or 0.0)
+        return float(in_batches(rows.select("tile"), squares, "s double", TILE_ROWS).agg(F.sum("s")).first()[0] or 0.0)
 
     def _solve(self) -> None:
         """Once for a model: the inverse triangle as tiles (i, k) of W', and the weights (block, alpha)."""
@@ -144,8 +149,9 @@ class TiledGaussianProcess:
         self.quadratic = self._square(rows)
         first = self.blocks + 1
         self._inverse = rows.where(F.col("i") >= first).select((F.col("i") - first).alias("i"), F.col("j").alias("k"), "rows", "columns", "tile")
-        z = rows.where(F.col("i") == self.blocks).select(F.col("j").alias("k"), F.col("tile").alias("z"))
+        self._weights(rows.where(F.col("i") == self.blocks).select(F.col("j").alias("k"), F.col("tile").alias("z")))
 
+    def _weights(self, z: DataFrame) -> None:
         def products(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for part in parts:
                 for t in part.itertuples():
@@ -154,6 +160,86 @@ class TiledGaussianProcess:
         sums = in_batches(self._inverse.join(z, "k"), products, "block long, at int, alpha double", TILE_ROWS).groupBy("block", "at").agg(F.sum("alpha").alias("alpha"))
         self.weights = written(self.rows.select("block", F.posexplode("pts").alias("at", "p")).join(sums, ["block", "at"]).select("block", "at", F.col("p.x").alias("x"), "alpha"), "tile-weights")
 
+    def append(self, points: DataFrame) -> None:
+        """More points (pt_id, x, y, noise_var; new ids), one block of about ``size`` after the other: each adds a block row to the
+        inverse triangle and leaves what is there as it is. The default mean follows all targets."""
+        if self._inverse is None:
+            self._solve()
+        new = written(points.select("pt_id", "x", "y", F.col("noise_var").cast("double").alias("noise")), "tile-new")
+        more = new.count()
+        if not more:
+            return
+        moved = self.mean
+        if self.follows:
+            self.mean = (self.mean * self.n + float(new.agg(F.sum("y")).first()[0])) / (self.n + more)
+        parts = -(-more // self.size)
+        dealt = new.select((F.pmod(F.xxhash64("pt_id"), F.lit(parts)) + self.blocks).alias("block"), F.struct("pt_id", "x", (F.col("y") - self.mean).alias("r"), "noise").alias("p"))
+        old = self.rows.select("block", F.transform("pts", lambda p: F.struct(p["pt_id"], p["x"], (p["r"] + (moved - self.mean)).alias("r"), p["noise"])).alias("pts"))
+        fresh = written(dealt.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("pts")), "tile-new-blocks")
+        self.rows, self.n = written(old, "tile-blocks"), self.n + more
+        for k in range(self.blocks, self.blocks + parts):
+            block = fresh.where(F.col("block") == k)
+            if block.limit(1).count():
+                self._append_block(k, block)
+        self.blocks += parts
+        self._weigh()
+
+    def _append_block(self, k: int, block: DataFrame) -> None:
+        own = block.first()["pts"]  # one block
+        x, noise = np.array([p["x"] for p in own], float), np.array([p["noise"] for p in own], float)
+        kernel, hyper, sent = self.kernel, self.hyper, self.spark.sparkContext.broadcast(x)
+
+        def cross(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for t in part.itertuples():
+                    s = _covariance(sent.value, np.array([p["x"] for p in t.pts], float), kernel, hyper)
+                    yield pd.DataFrame({"of": [t.k], "rows": [len(s)], "columns": [t.columns], "tile": [(s @ _matrix(t.tile, t.rows, t.columns)).tobytes()]})
+
+        met = self._inverse.join(self.rows.select(F.col("block").alias("i"), "pts"), "i").select("k", "rows", "columns", "tile", "pts")
+        b = written(_added(in_batches(met, cross, _PART, TILE_ROWS)), "tile-cross")
+
+        def squares(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((len(x), len(x)))
+            for part in parts:
+                for t in part.itertuples():
+                    m = _matrix(t.tile, t.rows, t.columns)
+                    total += m @ m.T
+            yield pd.DataFrame({"tile": [total.tobytes()]})
+
+        own_k = _covariance(x, x, kernel, hyper) + np.diag(noise)
+        for r in in_batches(b.coalesce(8), squares, "tile binary", TILE_ROWS).toLocalIterator():  # a few tiles
+            own_k = own_k - np.frombuffer(r["tile"], float).reshape(own_k.shape)
+        low = L.cholesky(own_k)
+        w = L.lower_inverse(low)
+        corner = self.spark.sparkContext.broadcast(w)
+
+        def back(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for t in part.itertuples():
+                    got = corner.value @ (_matrix(t.b, t.brows, t.columns) @ _matrix(t.tile, t.rows, t.columns).T)
+                    yield pd.DataFrame({"of": [t.i], "rows": [t.rows], "columns": [len(got)], "tile": [np.ascontiguousarray(-got.T).tobytes()]})
+
+        both = self._inverse.join(b.select(F.col("of").alias("k"), F.col("rows").alias("brows"), F.col("tile").alias("b")), "k").select("i", "rows", "columns", "tile", "brows", "b")
+        rows = _added(in_batches(both, back, _PART, TILE_ROWS)).select(F.col("of").alias("i"), F.lit(k).cast("long").alias("k"), "rows", "columns", "tile")
+        last = self.spark.createDataFrame([(k, k, len(x), len(x), bytearray(np.ascontiguousarray(w.T).tobytes()))], rows.schema)
+        self._inverse = self._inverse.unionByName(written(rows.unionByName(last), "tile-inverse"))
+        self.rows = self.rows.unionByName(block)
+        self.logdet += L.logdet(low)
+
+    def _weigh(self) -> None:
+        """Coefficients of the targets and weights from the inverse triangle: z = W r, alpha = W' z."""
+
+        def forward(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                for t in part.itertuples():
+                    r = np.array([p["r"] for p in t.pts], float)
+                    yield pd.DataFrame({"of": [t.k], "rows": [t.columns], "columns": [1], "tile": [(_matrix(t.tile, t.rows, t.columns).T @ r).tobytes()]})
+
+        met = self._inverse.join(self.rows.select(F.col("block").alias("i"), "pts"), "i").select("k", "rows", "columns", "tile", "pts")
+        z = written(_added(in_batches(met, forward, _PART, TILE_ROWS)).select(F.col("of").alias("k"), F.col("tile").alias("z")), "tile-coefficients")
+        self.quadratic = self._square_of(z.select(F.col("z").alias("tile")))
+        self._weights(z)
+
     def predict(self, points: DataFrame, id_col: str = "pred_id") -> DataFrame:
         """(id, m, v) of every row of ``points`` (id, x), any number of them."""
         if self._inverse is None:
@@ -207,5 +293,19 @@ class TiledGaussianProcess:
                 yield np.concatenate([np.frombuffer(r["w"], float).reshape(end - first, -1) for r in sorted(got, key=lambda r: r["i"])], 1), columns
 
 
+def _added(parts: DataFrame) -> DataFrame:
+    """Sums of the tiles of each ``of``: one for every block of the model at most, summed as they come."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(pdf["tile"].iloc[0], float).copy()
+        for raw in pdf["tile"].iloc[1:]:
+            total += np.frombuffer(raw, float)
+        return pd.DataFrame({"of": [key[0]], "rows": [pdf["rows"].iloc[0]], "columns": [pdf["columns"].iloc[0]], "tile": [total.tobytes()]})
+
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("tile"), F.lit(8)))
+    first = salted.groupBy("of", "salt").applyInPandas(lambda key, pdf: run(key, pdf), _PART)
+    return first.groupBy("of").applyInPandas(run, _PART)
+
+
 def _covariance(q: np.ndarray, x: np.ndarray, kernel: Callable, hyper: Sequence[float]) -> np.ndarray:
     return kernel([q[:, d][:, None] for d in range(q.shape[1])], [x[:, d][None] for d in range(x.shape[1])], hyper, K.NUMPY)

@@ -14,7 +14,7 @@ from krigora.operators import distributional, metrics, mixture, mixture_full, mi
 from krigora.operators.cells import CellGaussianProcess, Cells, WarmSolver
 from krigora.operators.gp import GaussianProcess, exact_model, grouped_posterior, kl_normal, object_posterior
 from krigora.operators.parametric import ParametricProcess
-from krigora.operators.strips import StripGaussianProcess
+from krigora.operators.strips import StripGaussianProcess, compact_model
 from krigora.operators.tiles import TiledGaussianProcess
 from krigora.plans import training
 from krigora.sources import points as P
@@ -205,7 +205,7 @@ SELECT unnest(ids) AS i, round(unnest(x), 4) + 0.0::DOUBLE AS alpha FROM (SELECT
 @_query(_CG)
 def sparse_solve(spark: SparkSession, d: str) -> DataFrame:
     """(K + V) a = y - mean over all parts by strips."""
-    gp = StripGaussianProcess(_parts(spark, d), [1.5, *BALL], NOISE, predicts=False)
+    gp = compact_model(_parts(spark, d), [1.5, *BALL], NOISE, predicts=False)
     return gp.weights().select("i", _r(F.col("alpha"), 4).alias("alpha"))
 
 
@@ -264,14 +264,18 @@ def task_grid(spark: SparkSession, d: str) -> DataFrame:
     return P.task_grid(n, n.count(), [0, 1, 2]).select(F.col("flat_id").cast("long").alias("flat_id"), "pred_id", "task")
 
 
-@_query("SELECT i AS pred_id, round(-1 + i * 4 / 99.0, 6) AS a FROM range(100) x(i)")
+@_query("SELECT i AS pred_id, round(lo + i * ((hi - lo) / 99), 6) AS a FROM (SELECT min(o_totalprice / 1000) AS lo, max(o_totalprice / 1000) AS hi FROM orders), range(100) x(i)")
 def prediction_line(spark: SparkSession, d: str) -> DataFrame:
-    return P.line_grid(spark, -1.0, 3.0, 100).select("pred_id", _r(F.get("x", 0)).alias("a"))
+    """A line over the range of all orders' prices."""
+    low, high = _table(spark, d, "orders").agg(F.min(F.col("o_totalprice") / 1000), F.max(F.col("o_totalprice") / 1000)).first()
+    return P.line_grid(spark, low, high, 100).select("pred_id", _r(F.get("x", 0)).alias("a"))
 
 
-@_query("SELECT i * 25 + j AS pred_id, round(i / 39.0 * 2 - 1, 6) AS a, round(j / 24.0 * 3, 6) AS b FROM range(40) x(i), range(25) y(j)")
+@_query("SELECT i * 25 + j AS pred_id, round(l0 + i * ((h0 - l0) / 39), 6) + 0.0::DOUBLE AS a, round(l1 + j * ((h1 - l1) / 24), 6) + 0.0::DOUBLE AS b FROM (SELECT min(l_quantity) AS l0, max(l_quantity) AS h0, min(l_discount) AS l1, max(l_discount) AS h1 FROM lineitem), range(40) x(i), range(25) y(j)")
 def prediction_grid(spark: SparkSession, d: str) -> DataFrame:
-    return P.plane_grid(spark, [-1.0, 0.0], [1.0, 3.0], 40, 25).select("pred_id", _r(F.get("x", 0)).alias("a"), _r(F.get("x", 1)).alias("b"))
+    """A grid over the ranges of all line items' quantities and discounts."""
+    got = _table(spark, d, "lineitem").agg(*[f(c) for c in ("l_quantity", "l_discount") for f in (F.min, F.max)]).first()
+    return P.plane_grid(spark, [got[0], got[2]], [got[1], got[3]], 40, 25).select("pred_id", _r(F.get("x", 0)).alias("a"), _r(F.get("x", 1)).alias("b"))
 
 
 # --- likelihood and posterior: one elimination of [[K + V, B], [B', D]] in SQL
@@ -347,19 +351,39 @@ def gp_posterior_covariance(spark: SparkSession, d: str) -> DataFrame:
 _TASK_SQL = "SELECT s_suppkey * 2 + t AS id, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2, t AS x3, CASE t WHEN 0 THEN s_acctbal / 1000 ELSE abs(s_acctbal) / 1000 END AS y, 0.25 AS noise, 0 AS g FROM supplier, (VALUES (0), (1)) v(t)"
 
 
-@_query(
+_MULTI_TASK = (
     _elimination(_TASK_SQL, "SELECT n_nationkey + t * (SELECT count(*) FROM nation) AS id, n_nationkey / 5.0::DOUBLE AS x1, n_regionkey::DOUBLE AS x2, t AS x3, 0 AS g FROM nation, (VALUES (0), (1)) v(t)",
                  _MATERN_SQL.format("sqrt(((a.x1 - b.x1) / 1.5) ** 2 + (a.x2 - b.x2) ** 2 + ((a.x3 - b.x3) / 0.8) ** 2)"))
     + "SELECT id::BIGINT AS flat_id, round(mu.m - z.m[1][r - n], 5) AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2"
 )
+
+
+@_query(_MULTI_TASK)
 def gp_multi_task(spark: SparkSession, d: str) -> DataFrame:
     """Two outputs of every supplier as one model: the task is a further coordinate."""
+    return _at_nations(spark, d, exact_model(_task_points(spark, d), [*HYPER, 0.8]))
+
+
+@_query(_MULTI_TASK)
+def multi_task_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The same model in tiles from the first half of the suppliers, to which the other half's outputs are appended as block rows."""
+    pts = _task_points(spark, d)
+    half = pts.agg(F.max("pt_id")).first()[0] // 2
+    old = pts.where(F.col("pt_id") <= half)
+    gp = TiledGaussianProcess(old, [*HYPER, 0.8], size=max(8, old.count() // 2))
+    gp.append(pts.where(F.col("pt_id") > half))
+    return _at_nations(spark, d, gp)
+
+
+def _task_points(spark: SparkSession, d: str) -> DataFrame:
     s = _table(spark, d, "supplier")
     long = P.unpivot_tasks(s, "s_suppkey", [F.col("s_nationkey") / 5.0, (F.col("s_suppkey") % 10) / 3.0], [F.col("s_acctbal") / 1000.0, F.abs(F.col("s_acctbal")) / 1000.0])
-    pts = long.select((F.col("pt_id") * 2 + F.col("task")).alias("pt_id"), "x", "y").withColumn("noise_var", F.lit(NOISE))
+    return long.select((F.col("pt_id") * 2 + F.col("task")).alias("pt_id"), "x", "y").withColumn("noise_var", F.lit(NOISE))
+
+
+def _at_nations(spark: SparkSession, d: str, model) -> DataFrame:
     n = _nations(spark, d).withColumnRenamed("pt_id", "pred_id")
-    ask = P.task_grid(n, n.count(), [0, 1])
-    got = exact_model(pts, [*HYPER, 0.8]).predict(ask.select("flat_id", "x"), "flat_id")
+    got = model.predict(P.task_grid(n, n.count(), [0, 1]).select("flat_id", "x"), "flat_id")
     return got.select("flat_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
 
 
@@ -489,7 +513,7 @@ SPARSE_HYPER = [2.0, 0.9, 1.1]
 @_query(_SPARSE + "SELECT id::BIGINT AS pred_id, round(mu.m - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2")
 def sparse_posterior(spark: SparkSession, d: str) -> DataFrame:
     """Posterior mean and variance at every nation of a compactly supported GP over all suppliers, by strips."""
-    got = StripGaussianProcess(_suppliers(spark, d), SPARSE_HYPER, aim=8).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    got = compact_model(_suppliers(spark, d), SPARSE_HYPER, aim=8).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
     return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
 
 
