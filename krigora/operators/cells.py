@@ -295,6 +295,15 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
     return (u[:, keep] / np.sqrt(w[keep])) / size[:, None]
 
 
+def wendland_point_slopes(b: np.ndarray, q: np.ndarray, hyper: Sequence[float]) -> Iterator[np.ndarray]:
+    """Derivatives of ``wendland_block(b, q)`` along each coordinate of ``q``."""
+    gaps = [(q[:, t][None] - b[:, t][:, None]) / h**2 for t, h in enumerate(hyper[1:])]
+    d = np.minimum(np.sqrt(sum((g * h) ** 2 for g, h in zip(gaps, hyper[1:], strict=True))), 1.0)
+    over_d = -22.0 * hyper[0] * (1 - d) ** 7 * (16.0 * d * d + 7.0 * d + 1.0)
+    for g in gaps:
+        yield over_d * g
+
+
 class Schwarz:
     """Preconditioner of local solves: each cell's domain holds its points and those within ``overlap`` lengths of it.
 
@@ -519,45 +528,69 @@ class CellGaussianProcess:
         sums = in_batches(near, run, "pred_id long, m double").groupBy("pred_id").agg(F.sum("m").alias("m"))
         return queries.select("pred_id").distinct().join(sums, "pred_id", "left").select("pred_id", (F.lit(level) + F.coalesce("m", F.lit(0.0))).alias("m"))
 
+    def _right_sides(self, some: DataFrame, slopes: bool = False) -> tuple[list[int], DataFrame]:
+        """The ids of few points asked for and (block, n, k[, d]): their covariances with the points, and with ``slopes`` those
+        covariances' derivatives along every coordinate of the point asked for, dimension by dimension."""
+        hyper, dims = self.cells.hyper, self.cells.dims
+        ids = sorted(r["pred_id"] for r in some.select("pred_id").collect())  # the columns of one solve
+        place, width = {i: k for k, i in enumerate(ids)}, len(ids) * (1 + dims * slopes)
+
+        def side(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                made = []
+                for r in p.itertuples():
+                    q, b = (np.asarray(v, float).reshape(-1, dims) for v in (r.q, r.xb))
+                    v, at = np.zeros((len(b), width)), np.array([place[i] for i in r.ids])
+                    v[:, at] = wendland_block(b, q, hyper)
+                    for t, d in enumerate(wendland_point_slopes(b, q, hyper) if slopes else ()):
+                        v[:, len(place) * (1 + t) + at] = d
+                    made.append((r.block, len(b), _raw(v)))
+                yield pd.DataFrame(made, columns=["block", "n", "v"])
+
+        near = _summed(in_batches(self._near(some), side, _VECTOR))
+        whole = self.cells.blocks.select("block", F.size("pts").alias("n")).join(near.drop("n"), "block", "left")
+
+        def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in parts:
+                yield pd.DataFrame({"block": p["block"], "n": p["n"], "v": [v if v is not None else _raw(np.zeros((n, width))) for v, n in zip(p["v"], p["n"], strict=True)]})
+
+        made = written(in_batches(whole, fill, _VECTOR), "cell-right-sides")
+        n = len(ids)
+        return ids, _mapped(made, {"k": lambda m: m["v"][:, :n], **({"d": lambda m: m["v"][:, n:]} if slopes else {})})
+
     def predict(self, queries: DataFrame, columns: int = 64, id_col: str = "pred_id") -> DataFrame:
         """(id, m, v) of every row of ``queries`` (id, x), ids distinct: their covariances are right sides of one solve per ``columns``."""
-        hyper, dims = self.cells.hyper, self.cells.dims
         asked = written(queries.select(F.col(id_col).cast("long").alias("pred_id"), "x"), "cell-queries")
         turns = max(1, -(-asked.count() // columns))
         asked = written(asked.withColumn("turn", F.pmod(F.xxhash64("pred_id"), F.lit(turns))), "cell-queries")
-        out = []
+        schema, out = f"{id_col} long, m double, v double", None
         for turn in range(turns):
-            some = asked.where(F.col("turn") == turn).drop("turn")
-            ids = sorted(r["pred_id"] for r in some.select("pred_id").collect())  # the columns of one solve
+            ids, sides = self._right_sides(asked.where(F.col("turn") == turn).drop("turn"))
             if not ids:
                 continue
-            place = {i: k for k, i in enumerate(ids)}
-
-            def side(parts: Iterator[pd.DataFrame], place=place) -> Iterator[pd.DataFrame]:
-                for p in parts:
-                    made = []
-                    for r in p.itertuples():
-                        q, b = (np.asarray(v, float).reshape(-1, dims) for v in (r.q, r.xb))
-                        v = np.zeros((len(b), len(place)))
-                        v[:, [place[i] for i in r.ids]] = wendland_block(b, q, hyper)
-                        made.append((r.block, len(b), _raw(v)))
-                    yield pd.DataFrame(made, columns=["block", "n", "v"])
-
-            width = len(ids)
-            near = _summed(in_batches(self._near(some), side, _VECTOR)).withColumnRenamed("v", "k")
-            whole = self.cells.blocks.select("block", F.size("pts").alias("n")).join(near.drop("n"), "block", "left")
-
-            def fill(parts: Iterator[pd.DataFrame], width=width) -> Iterator[pd.DataFrame]:
-                for p in parts:
-                    yield pd.DataFrame({"block": p["block"], "n": p["n"], "v": [k if k is not None else _raw(np.zeros((n, width))) for k, n in zip(p["k"], p["n"], strict=True)]})
-
-            right = written(in_batches(whole, fill, _VECTOR), "cell-right-sides")
+            right = sides.withColumnRenamed("k", "v")
             solved, self.iterations = self.cells.solve(right, self.precondition, tol=self.tol)
-            both = _with(_with(right.withColumnRenamed("v", "k"), solved, "s"), self.alpha, "a")
-            ks, ka = _gram(both, [("k", "s"), ("k", "a")])
-            rows = [(i, self.mean + float(ka[j, 0]), max(0.0, hyper[0] - float(ks[j, j]))) for j, i in enumerate(ids)]
-            out.append(self.cells.spark.createDataFrame(rows, f"{id_col} long, m double, v double"))
-        got = out[0] if out else self.cells.spark.createDataFrame([], f"{id_col} long, m double, v double")
-        for more in out[1:]:
-            got = got.unionByName(more)
-        return got
+            ks, ka = _gram(_with(_with(sides, solved, "s"), self.alpha, "a"), [("k", "s"), ("k", "a")])
+            rows = [(i, self.mean + float(ka[j, 0]), max(0.0, self.cells.hyper[0] - float(ks[j, j]))) for j, i in enumerate(ids)]
+            got = self.cells.spark.createDataFrame(rows, schema)
+            out = got if out is None else out.unionByName(got)
+        return out if out is not None else self.cells.spark.createDataFrame([], schema)
+
+    def posterior(self, queries: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
+        """For at most ``most`` points asked for (pred_id, x): their posterior covariance (i, j, s), and the slopes (i, j, direction, ds)
+        of -2 dk_i' (K + V)^-1 k_j, with dm (the slope of i's mean) on the rows i = j, whose ds is the slope of the variance."""
+        spark, dims, hyper = self.cells.spark, self.cells.dims, self.cells.hyper
+        asked = written(queries.select(F.col("pred_id").cast("long").alias("pred_id"), "x"), "cell-queries")
+        rows = asked.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"more than {most} points asked for jointly; variances of any number come from predict")
+        ids, sides = self._right_sides(asked, slopes=True)
+        solved, self.iterations = self.cells.solve(sides.select("block", "n", F.col("k").alias("v")), self.precondition, tol=self.tol)
+        ks, ds, da = _gram(_with(_with(sides, solved, "s"), self.alpha, "a"), [("k", "s"), ("d", "s"), ("d", "a")])
+        x = {r["pred_id"]: r["x"] for r in rows}
+        q = np.array([x[i] for i in ids], float).reshape(len(ids), dims)
+        s, n = wendland_block(q, q, hyper) - ks, len(ids)
+        pairs = [(a, b) for a in range(n) for b in range(n)]
+        covariance = spark.createDataFrame([(ids[a], ids[b], float(s[a, b])) for a, b in pairs], "i long, j long, s double")
+        slopes = [(ids[a], ids[b], t, -2.0 * float(ds[t * n + a, b]), float(da[t * n + a, 0]) if a == b else None) for a, b in pairs for t in range(dims)]
+        return covariance, spark.createDataFrame(slopes, "i long, j long, direction int, ds double, dm double")

@@ -31,6 +31,20 @@ class DistributionalProcess:
         self.models = [exact_model(component_points(components, places, k), h) for k, h in enumerate(hypers)]
         self.weights = list(weights) if weights is not None else [1 / len(hypers)] * len(hypers)
 
+    def train_components(self, bounds: Sequence[np.ndarray] | None = None, method: str = "local", steps: int = 30, **more) -> list[np.ndarray]:
+        """Trains the hyperparameters of every component's model (``training.train`` says how) and goes on with them; bounds
+        follow each component's points unless given. Returns them."""
+        from krigora.plans import training
+
+        found = []
+        for k, model in enumerate(self.models):
+            points = component_points(self.components, self.places, k)
+            b = training.default_bounds(points, len(model.hyper) - 1) if bounds is None else np.asarray(bounds[k], float)
+            objective = training.TableObjective(lambda h, points=points: exact_model(points, h))
+            found.append(training.train(objective, model.hyper, b, method, steps=steps, **more))
+            self.models[k] = exact_model(points, found[-1])
+        return found
+
     def log_likelihoods(self) -> list[float]:
         return [m.log_likelihood() for m in self.models]
 

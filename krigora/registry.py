@@ -532,6 +532,27 @@ def cell_posterior(spark: SparkSession, d: str) -> DataFrame:
     return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
 
 
+@_query(_SPARSE + "SELECT a.id::BIGINT AS i, b.id::BIGINT AS j, round(z.m[a.r - n][b.r - n], 5) + 0.0::DOUBLE AS s FROM u a, u b, mu, z WHERE a.kind = 2 AND b.kind = 2 AND a.id <= b.id")
+def cell_posterior_covariance(spark: SparkSession, d: str) -> DataFrame:
+    """Posterior covariance of all pairs of nations over cells: no supplier comes to the driver."""
+    got = CellGaussianProcess(_suppliers(spark, d), SPARSE_HYPER, aim=16).posterior(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))[0]
+    return got.where("i <= j").select("i", "j", _r(F.col("s"), 5).alias("s"))
+
+
+@_query(
+    _inverse_of(_SUPPLIER_SQL, "2 * (1 - {0}) ** 8 * (32 * {0} ** 3 + 25 * {0} ** 2 + 8 * {0} + 1)".format(_WENDLAND_GAP)) + f""", o AS ({_NATION_SQL}),
+d AS (SELECT o.id, o.x1, o.x2, list_transform(range(1, len(inv.x1) + 1), lambda p: least(1, sqrt(((inv.x1[p] - o.x1) / 0.9) ** 2 + ((inv.x2[p] - o.x2) / 1.1) ** 2))) AS d FROM o, inv),
+k AS (SELECT d.*, list_transform(d, lambda c: 2 * (1 - c) ** 8 * (32 * c ** 3 + 25 * c * c + 8 * c + 1)) AS k FROM d),
+w AS (SELECT k.id, list_transform(inv.q, lambda row: list_inner_product(row, k)) AS w FROM k, inv),
+g AS (SELECT k.id, t AS direction, list_transform(k.d, lambda c, p: -44 * (1 - c) ** 7 * (16 * c * c + 7 * c + 1) * CASE t WHEN 0 THEN (k.x1 - inv.x1[p]) / 0.81 ELSE (k.x2 - inv.x2[p]) / 1.21 END) AS dk FROM k, inv, (VALUES (0), (1)) v(t))
+SELECT g.id::BIGINT AS i, w.id::BIGINT AS j, direction, round(-2 * list_inner_product(dk, w), 4) + 0.0::DOUBLE AS ds, CASE WHEN g.id = w.id THEN round(list_inner_product(dk, inv.al), 4) + 0.0::DOUBLE END AS dm FROM g, w, inv"""
+)
+def cell_posterior_slopes(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes of that covariance, and of the mean, along each coordinate of the nations."""
+    got = CellGaussianProcess(_suppliers(spark, d), SPARSE_HYPER, aim=16).posterior(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))[1]
+    return got.select("i", "j", "direction", _r(F.col("ds"), 4).alias("ds"), _r(F.col("dm"), 4).alias("dm"))
+
+
 @_query(_SPARSE + "SELECT round(ld, 4) AS logdet, round(-z.m[1][1], 4) AS quadratic, TRUE AS within FROM z")
 def likelihood_estimate(spark: SparkSession, d: str) -> DataFrame:
     """The likelihood by random probes over cells beside the exact one by strips: within four deviations of the estimate, that is
