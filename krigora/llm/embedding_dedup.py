@@ -2,9 +2,10 @@
 
 Each table rotates the unit vectors by three rounds of random signs and a Hadamard transform and hashes to the nearest signed
 axis, twice over; a vector also enters the buckets of its next-best axes. Vectors that share a bucket propose each other by
-their sketches (signs of random projections); the groups that follow from the proposals are then compared by their cosines in
-double precision, so every reported link is real. Equal vectors are one class. A group that is too large for one task is dealt
-to pairs of its blocks, which together compare all of it.
+their sketches (signs of random projections), and every proposed pair is verified once by its cosine in double precision, so
+that proposals never run together into groups. Only where a bucket proposes more pairs than a fixed number for each of its
+rows (near copies in numbers) are its groups compared as a whole: their pairs are no rows, and a large group is dealt to pairs
+of its blocks. Equal vectors are one class.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, shuffle_partitions, written
 from .components import components
-from .simhash import index_links, joined, mixed, without_crowds
+from .simhash import in_buckets, joined, mixed, without_crowds
+
+#: Words of a sketch, and proposed pairs for each row of a bucket up to which pairs are verified one by one.
+WORDS, PAIRS_A_ROW = 4, 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -61,24 +65,86 @@ def classes(rows: DataFrame) -> DataFrame:
 
 
 def sketches(units: np.ndarray, seed: int = 9) -> np.ndarray:
-    """Two words of signs of random projections of each row; vectors at an angle of t differ in 128 t / pi bits on average."""
-    planes = np.random.default_rng(seed).normal(size=(units.shape[1], 128))
+    """Words of signs of random projections of each row; of b bits, vectors at an angle of t differ in b t / pi on average."""
+    planes = np.random.default_rng(seed).normal(size=(units.shape[1], 64 * WORDS))
     return np.packbits(units @ planes > 0, axis=1, bitorder="little").view("<u8")
 
 
 def sketch_limit(threshold: float) -> int:
     """Bits in which at most 1 % of pairs at the threshold differ more."""
     differ = float(np.arccos(np.clip(threshold, -1, 1)) / np.pi)
-    return int(np.ceil(128 * differ + 2.33 * np.sqrt(128 * differ * (1 - differ)) + 0.5))
+    bits = 64 * WORDS
+    return int(np.ceil(bits * differ + 2.33 * np.sqrt(bits * differ * (1 - differ)) + 0.5))
+
 
+def _propose(limit: int):
+    """Arrow batches (bucket, node, words), sorted by bucket -> (u, v, dense): pairs whose sketches differ in ``limit`` bits or fewer;
+    in buckets with too many of them each node's component's first, and dense."""
+
+    def pairs(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        n, found, total, label = len(fp), [], 0, np.arange(len(fp))
+        for s in range(0, n, 256):
+            near = np.bitwise_count(fp[s : s + 256, None] ^ fp[None, s:]).sum(2, dtype=np.int16) <= limit
+            i, j = np.nonzero(near)
+            i, j = i[i < j] + s, j[i < j] + s
+            total += len(i)
+            label = joined(label, i, j)
+            if total <= PAIRS_A_ROW * n:
+                found.append((i, j))
+        if total > PAIRS_A_ROW * n:
+            at = np.flatnonzero(label != np.arange(n))
+            return at, label[at], True
+        return (*(np.concatenate(c) for c in zip(*found, strict=True)), False)
+
+    def solve(rows: np.ndarray, keys: int) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero((rows[:keys, 1:] != rows[:keys, :-1]).any(0)) + 1
+        start = np.concatenate([[0], edge])
+        size = np.diff(np.concatenate([start, [rows.shape[1]]]))
+        node, fp = rows[keys], np.ascontiguousarray(rows[keys + 1 :].T).view(np.uint64)
+        us, vs, dense = [], [], []
+        for n in range(2, 9):  # small buckets, all of a size at once
+            at = start[size == n][:, None] + np.arange(n)
+            for i in range(n):
+                for j in range(i + 1, n):
+                    near = np.bitwise_count(fp[at[:, i]] ^ fp[at[:, j]]).sum(1, dtype=np.int64) <= limit
+                    us.append(node[at[near, i]])
+                    vs.append(node[at[near, j]])
+                    dense.append(np.zeros(len(us[-1]), bool))
+        for a, n in zip(start[size > 8].tolist(), size[size > 8].tolist(), strict=True):
+            i, j, many = pairs(fp[a : a + n])
+            us.append(node[a + i])
+            vs.append(node[a + j])
+            dense.append(np.full(len(i), many))
+        if us and sum(map(len, us)):
+            u, v = np.concatenate(us), np.concatenate(vs)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v)), pa.array(np.concatenate(dense))], names=["u", "v", "dense"])
+
+    return in_buckets(solve, WORDS)
+
+
+def _verify(threshold: float):
+    """Arrow batches (u, v, mu, mv, a, b) -> (u, v, n) both ways for pairs of vectors with cosine >= ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in batches:
+            if not p.num_rows:
+                continue
+            cosine = (_units(p.column(4), p.num_rows) * _units(p.column(5), p.num_rows)).sum(1)
+            u, v, mu, mv = (p.column(k).to_numpy()[cosine >= threshold] for k in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((u, v), (v, u), (mv, mu))], names=["u", "v", "n"])
+
+    return run
 
 def _units(column: pa.Array, rows: int) -> np.ndarray:
     x = column.flatten().to_numpy().reshape(rows, -1).astype(np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+_NAMES = [f"w{k}" for k in range(WORDS)]
+
+
 def _deal(tables: int, hashes: int, n_probes: int):
-    """Arrow batches (rep, vector) -> (bucket, node, w0, w1) for every bucket that a vector probes; buckets are numbered across tables."""
+    """Arrow batches (rep, vector) -> (bucket, node, words) for every bucket that a vector probes; buckets are numbered across tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,9 +154,8 @@ def _deal(tables: int, hashes: int, n_probes: int):
                 rows = np.stack([part.column(0).to_numpy(), *sketches(x).view(np.int64).T])
                 for t in range(tables):
                     keys = probes(x, t, hashes, n_probes)
-                    rep, w0, w1 = np.repeat(rows, keys.shape[1], axis=1)
                     bucket = mixed(keys.ravel().view(np.uint64) * np.uint64(2 * tables + 1) + np.uint64(t)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket, rep, w0, w1)], names=["bucket", "node", "w0", "w1"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket, *np.repeat(rows, keys.shape[1], axis=1))], names=["bucket", "node", *_NAMES])
 
     return run
 
@@ -153,13 +218,21 @@ def _cell_links(threshold: float):
     return run
 
 
+def proposals(own: DataFrame, n: int, tables: int, hashes: int, threshold: float, n_probes: int = 3, bucket_rows: int = 32_768) -> DataFrame:
+    """(u, v, dense): what the buckets of the ``n`` classes ``own`` (rep, vector) propose, each pair once."""
+    deal = lambda some: in_arrow(some, _deal(tables, hashes, n_probes), "bucket long, node long, " + ", ".join(f"{w} long" for w in _NAMES))
+    dealt = without_crowds(own.select("rep", "vector"), n, deal, bucket_rows)
+    ready = dealt.repartition(4 * shuffle_partitions(own.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return in_arrow(ready, _propose(sketch_limit(threshold)), "u long, v long, dense boolean").distinct()
+
+
 def links(distinct: DataFrame, threshold: float = 0.9, recall: float = 0.995, n_probes: int = 3, block_rows: int = 2000, bucket_rows: int = 32_768, plan: tuple[int, int] | None = None) -> DataFrame:
-    """(u, v, n) rows for classes (rep, members, vector): n sums to the members of all classes of u's group that have cosine >=
-    ``threshold`` with u; the pairs (u, v) connect the components. No pair is a row, so a large group of near copies stays
-    linear in its rows but for one copy per block of ``block_rows`` in the group.
+    """(u, v, n) rows for classes (rep, members, vector): n sums to the members of all classes that have cosine >= ``threshold``
+    with u; the pairs (u, v) connect the components.
 
-    Buckets hold sketches, not vectors: what shares a bucket and lies within the sketch's limit is proposed, proposals are
-    followed to groups, and each group's vectors meet once, in cells of at most two blocks.
+    Buckets hold sketches, not vectors. A proposed pair is a row and meets its two vectors once, whatever tables proposed it;
+    buckets give ``PAIRS_A_ROW`` pairs a row at most, else their groups go to cells of at most two blocks of ``block_rows``
+    classes, where all of a group is compared and no pair is a row. A pair inside a group is not verified besides.
     """
     spark, parts = distinct.sparkSession, shuffle_partitions(distinct.sparkSession)
     lengths = [(r["dim"], r["n"]) for r in distinct.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").collect()]
@@ -167,18 +240,23 @@ def links(distinct: DataFrame, threshold: float = 0.9, recall: float = 0.995, n_
     for dim, n in lengths:  # vectors of another length have no cosine with these
         tables, hashes = plan or search_plan(n, dim, threshold, recall, n_probes)
         own = distinct.where(F.size("vector") == dim).select("rep", "members", "vector")
-        deal = lambda some, plan=(tables, hashes): in_arrow(some, _deal(*plan, n_probes), "bucket long, node long, w0 long, w1 long")
-        dealt = without_crowds(own.select("rep", "vector"), n, deal, bucket_rows)
-        ready = dealt.repartition(4 * parts, "bucket").sortWithinPartitions("bucket")
-        groups = written(components(in_arrow(ready, index_links(sketch_limit(threshold), 2), "u long, v long")), "vector-groups")
+        proposed = written(proposals(own, n, tables, hashes, threshold, n_probes, bucket_rows), "vector-proposals")
+        groups = written(components(proposed.where("dense").select("u", "v")), "vector-groups")
+        pairs = proposed.where("NOT dense").select("u", "v")
+        for end in ("u", "v"):
+            pairs = pairs.join(groups.select(F.col("node").alias(f"{end}_node"), F.col("root").alias(f"{end}_root")), F.col(end) == F.col(f"{end}_node"), "left").drop(f"{end}_node")
+        pairs = pairs.where("u_root IS NULL OR v_root IS NULL OR u_root <> v_root").select("u", "v")
+        at = lambda end, name: own.select(F.col("rep").alias(end), F.col("members").alias(f"m{end}"), F.col("vector").alias(name))
+        met = pairs.join(at("u", "a"), "u").join(at("v", "b"), "v").select("u", "v", "mu", "mv", "a", "b")
+        found = in_arrow(met, _verify(threshold), "u long, v long, n long")
+        out = found if out is None else out.unionByName(found)
         sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
         member = groups.join(sizes, "root").select(F.col("node").alias("rep"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
         met = member.join(own, "rep").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         cell = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other"))
         side = F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2)
         ready = met.select(cell.alias("cell"), side.alias("side"), "rep", "members", "vector").repartition(4 * parts, "cell").sortWithinPartitions("cell")
-        part = in_arrow(ready, _cell_links(threshold), "u long, v long, n long")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(in_arrow(ready, _cell_links(threshold), "u long, v long, n long"))
     return out if out is not None else spark.createDataFrame([], "u long, v long, n long")
 
 

@@ -176,6 +176,32 @@ def bucket_roots(fps: np.ndarray, limit: int, leaders: int = 16) -> tuple[np.nda
     return index.order, label
 
 
+def in_buckets(solve, words: int):
+    """Arrow batches (bucket columns..., node, words), sorted by bucket -> what ``solve(rows, keys)`` makes of whole buckets: rows
+    are the columns, the first ``keys`` of them tell the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: list[np.ndarray] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in b.columns])
+            keys = len(rows) - 1 - words
+            other = np.flatnonzero((rows[:keys] != rows[:keys, -1:]).any(0))
+            cut = int(other[-1] + 1) if len(other) else 0  # rows of the last bucket may go on in the next batch
+            if tail and not (tail[-1][:keys, -1] == rows[:keys, 0]).all():
+                yield from solve(np.concatenate(tail, 1), keys)
+                tail = []
+            if cut:
+                yield from solve(np.concatenate([*tail, rows[:, :cut]], 1), keys)
+                tail = []
+            tail.append(rows[:, cut:])
+        if tail:
+            yield from solve(np.concatenate(tail, 1), len(tail[0]) - 1 - words)
+
+    return run
+
+
 def index_links(limit: int, words: int):
     """Arrow batches (bucket columns..., node, words), sorted by bucket -> (u, v): links of each node to its component's first."""
 
@@ -202,26 +228,7 @@ def index_links(limit: int, words: int):
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: list[np.ndarray] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            rows = np.stack([c.to_numpy() for c in b.columns])
-            keys = len(rows) - 1 - words
-            other = np.flatnonzero((rows[:keys] != rows[:keys, -1:]).any(0))
-            cut = int(other[-1] + 1) if len(other) else 0  # rows of the last bucket may go on in the next batch
-            if tail and not (tail[-1][:keys, -1] == rows[:keys, 0]).all():
-                yield from solve(np.concatenate(tail, 1), keys)
-                tail = []
-            if cut:
-                yield from solve(np.concatenate([*tail, rows[:, :cut]], 1), keys)
-                tail = []
-            tail.append(rows[:, cut:])
-        if tail:
-            yield from solve(np.concatenate(tail, 1), len(tail[0]) - 1 - words)
-
-    return run
+    return in_buckets(solve, words)
 
 
 def _signed(mask: int) -> int:
@@ -421,7 +428,7 @@ def _alike(similarity: float):
 
 
 def without_crowds(nodes: DataFrame, n: int, deal, bucket_rows: int = 32_768, rate: int = 64) -> DataFrame:
-    """``deal(nodes)``, rows (bucket, node, w0, w1), where a bucket that crowds a task is dealt to pairs of its blocks.
+    """``deal(nodes)``, rows (bucket, node, words...), where a bucket that crowds a task is dealt to pairs of its blocks.
 
     Whether it does is told from every ``rate``-th node (by hash), which changes how rows are dealt, not what meets.
     """
@@ -437,7 +444,7 @@ def without_crowds(nodes: DataFrame, n: int, deal, bucket_rows: int = 32_768, ra
     met = dealt.join(F.broadcast(crowded) if k <= 100_000 else crowded, "bucket", "left").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
     pair = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))
-    return met.select(F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(pair).alias("bucket"), "node", "w0", "w1")
+    return met.select(F.when(F.col("blocks").isNull(), F.col("bucket")).otherwise(pair).alias("bucket"), *dealt.columns[1:])
 
 
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", recall: float = 0.98, block_rows: int = 512, bucket_rows: int = 32_768) -> DataFrame:

@@ -544,8 +544,8 @@ def cell_posterior_covariance(spark: SparkSession, d: str) -> DataFrame:
 d AS (SELECT o.id, o.x1, o.x2, list_transform(range(1, len(inv.x1) + 1), lambda p: least(1, sqrt(((inv.x1[p] - o.x1) / 0.9) ** 2 + ((inv.x2[p] - o.x2) / 1.1) ** 2))) AS d FROM o, inv),
 k AS (SELECT d.*, list_transform(d, lambda c: 2 * (1 - c) ** 8 * (32 * c ** 3 + 25 * c * c + 8 * c + 1)) AS k FROM d),
 w AS (SELECT k.id, list_transform(inv.q, lambda row: list_inner_product(row, k)) AS w FROM k, inv),
-g AS (SELECT k.id, t AS direction, list_transform(k.d, lambda c, p: -44 * (1 - c) ** 7 * (16 * c * c + 7 * c + 1) * CASE t WHEN 0 THEN (k.x1 - inv.x1[p]) / 0.81 ELSE (k.x2 - inv.x2[p]) / 1.21 END) AS dk FROM k, inv, (VALUES (0), (1)) v(t))
-SELECT g.id::BIGINT AS i, w.id::BIGINT AS j, direction, round(-2 * list_inner_product(dk, w), 4) + 0.0::DOUBLE AS ds, CASE WHEN g.id = w.id THEN round(list_inner_product(dk, inv.al), 4) + 0.0::DOUBLE END AS dm FROM g, w, inv"""
+h AS (SELECT k.id, t AS direction, list_transform(k.d, lambda c, p: -44 * (1 - c) ** 7 * (16 * c * c + 7 * c + 1) * CASE t WHEN 0 THEN (k.x1 - inv.x1[p]) / 0.81 ELSE (k.x2 - inv.x2[p]) / 1.21 END) AS dk FROM k, inv, (VALUES (0), (1)) v(t))
+SELECT h.id::BIGINT AS i, w.id::BIGINT AS j, direction, round(-2 * list_inner_product(dk, w), 4) + 0.0::DOUBLE AS ds, CASE WHEN h.id = w.id THEN round(list_inner_product(dk, inv.al), 4) + 0.0::DOUBLE END AS dm FROM h, w, inv"""
 )
 def cell_posterior_slopes(spark: SparkSession, d: str) -> DataFrame:
     """Slopes of that covariance, and of the mean, along each coordinate of the nations."""

@@ -12,6 +12,7 @@ import pytest
 pytest.importorskip("krigora.llm")
 from krigora.llm import embedding_dedup, gam_quality, langid, line_dedup, mixing, packing, pii, queries, quality_rules, simhash
 from krigora.llm.common import written
+from krigora.llm.components import components
 
 from ..compare import assert_same
 
@@ -272,6 +273,30 @@ def test_embedding_plan_of_millions(spark):
     assert ((got["component_id"] == got["vec_id"] - 3000) & (got["n_links"] == 1)).mean() > 0.97
 
 
+@pytest.mark.parametrize("likeness", [0.7, 0.8])
+def test_clusters_do_not_run_together(spark, likeness):
+    """10,000 vectors in ten clusters of that mean cosine. Below it by a margin, pairs are verified one by one and far fewer than the
+    clusters have (5,000,000); near it, groups are compared whole, but none is larger than a cluster. No link is made."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=(10, 64))
+    centre /= np.linalg.norm(centre, axis=1, keepdims=True)
+    own = rng.normal(size=(10_000, 64))
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    x = likeness**0.5 * centre[np.arange(10_000) % 10] + (1 - likeness) ** 0.5 * own
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.zeros(10_000, int)
+    for c in range(10):
+        g = x[c::10] @ x[c::10].T >= 0.9
+        near[c::10] = g.sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    tables, hashes = embedding_dedup.search_plan(10_000, 64, 0.9, 0.995, 3)
+    asked = embedding_dedup.proposals(df.selectExpr("vec_id AS rep", "embedding AS vector"), 10_000, tables, hashes, 0.9)
+    groups = components(asked.where("dense").select("u", "v")).groupBy("root").count().toPandas()["count"]
+    assert groups.max() <= 1000 if likeness > 0.75 else (groups.empty and asked.count() < 600_000)
+    got = embedding_dedup.near_duplicates(df).toPandas().sort_values("vec_id")["n_links"].to_numpy()
+    assert (got <= near).all() and got.sum() >= 0.97 * near.sum() and (near.sum() > 0) == (likeness > 0.75)
+
+
 def test_personal_data(spark, docs):
     def brute(t):
         out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]

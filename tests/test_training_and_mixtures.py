@@ -48,11 +48,11 @@ def test_training_on_strips_finds_the_dense_optimum(spark):
 
 def test_methods_of_training(spark):
     """Every method finds the bottom of a bowl, a method of one's own too; a worse result is turned down."""
-    bowl = lambda h: float((np.log(h / np.array([1.0, 2.0])) ** 2).sum())
+    bowl = lambda h: 20 * float((np.log(h / np.array([1.0, 2.0])) ** 2).sum())  # noqa: E731  # narrow, so that the median of chains is near its bottom
     b = np.array([[0.1, 10.0], [0.1, 10.0]])
     for method, steps in (("local", 50), ("adam", 3000), ("global", 40), ("searches", 30), ("mcmc", 600), ("bo", 25)):
         got = training.train(bowl, [5.0, 0.5], b, method, spark=spark, steps=steps)
-        assert np.allclose(got, [1.0, 2.0], atol=1.5 if method == "mcmc" else 0.1), method
+        assert np.allclose(got, [1.0, 2.0], atol=0.5 if method == "mcmc" else 0.1), method
     assert training.train(bowl, [5.0, 0.5], b, lambda f, s, bounds: s / 2)[0] == 5.0
     assert training.train(bowl, [5.0, 0.5], b, lambda f, s, bounds: s / 2, accept_only_if_improved=False)[0] == 2.5
     with pytest.raises(ValueError, match="no method"):
