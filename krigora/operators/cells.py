@@ -21,7 +21,7 @@ from krigora.sources.points import check
 from krigora.sources.store import discard, exists, in_batches, written
 
 from . import linalg as L
-from .strips import wendland_block
+from .strips import wendland_block, wendland_point_slopes
 
 _VECTOR = "block string, n int, v binary"
 #: Crowded cells whose list is broadcast; a longer one is joined.
@@ -295,15 +295,6 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
     return (u[:, keep] / np.sqrt(w[keep])) / size[:, None]
 
 
-def wendland_point_slopes(b: np.ndarray, q: np.ndarray, hyper: Sequence[float]) -> Iterator[np.ndarray]:
-    """Derivatives of ``wendland_block(b, q)`` along each coordinate of ``q``."""
-    gaps = [(q[:, t][None] - b[:, t][:, None]) / h**2 for t, h in enumerate(hyper[1:])]
-    d = np.minimum(np.sqrt(sum((g * h) ** 2 for g, h in zip(gaps, hyper[1:], strict=True))), 1.0)
-    over_d = -22.0 * hyper[0] * (1 - d) ** 7 * (16.0 * d * d + 7.0 * d + 1.0)
-    for g in gaps:
-        yield over_d * g
-
-
 class Schwarz:
     """Preconditioner of local solves: each cell's domain holds its points and those within ``overlap`` lengths of it.
 

@@ -43,6 +43,15 @@ def wendland_slopes(a: np.ndarray, b: np.ndarray, hyper: Sequence[float]) -> Ite
         yield hyper[0] * over_d * -(g / h**3)
 
 
+def wendland_point_slopes(b: np.ndarray, q: np.ndarray, hyper: Sequence[float]) -> Iterator[np.ndarray]:
+    """Derivatives of ``wendland_block(b, q)`` along each coordinate of ``q``."""
+    gaps = [(q[:, t][None] - b[:, t][:, None]) / h**2 for t, h in enumerate(hyper[1:])]
+    d = np.minimum(np.sqrt(sum((g * h) ** 2 for g, h in zip(gaps, hyper[1:], strict=True))), 1.0)
+    over_d = -22.0 * hyper[0] * (1 - d) ** 7 * (16.0 * d * d + 7.0 * d + 1.0)
+    for g in gaps:
+        yield over_d * g
+
+
 def _pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a, float).tobytes()
 
@@ -324,3 +333,30 @@ class StripGaussianProcess:
         got = pts.where("key >= 0").groupBy("key").cogroup(res.where("key >= 0").groupBy("key")).applyInPandas(slopes, "k int, slope double")
         sums = dict(got.groupBy("k").agg(F.sum("slope")).collect())
         return np.array([sums.get(k, 0.0) for k in range(dims + 1)])
+
+    def point_slopes(self) -> DataFrame:
+        """(i, slope): of the log likelihood along every coordinate of each point; targets, noise and mean stay as they are."""
+        hyper, dims = self.hyper, len(self.hyper) - 1
+
+        def slopes(pts: pd.DataFrame, res: pd.DataFrame) -> pd.DataFrame:
+            pts = {int(k): g.sort_values("pt_id") for k, g in pts.groupby("next")}
+            by, got = {int(r.next): r for r in res.itertuples()}, []
+
+            def along(of: int, to: int, w: np.ndarray) -> None:
+                """Adds what the points of side ``to`` pull on those of side ``of``; ``w`` has a row for each of the former."""
+                a, b = (np.array(pts[k]["x"].tolist(), float).reshape(len(pts[k]), dims) for k in (of, to))
+                out = np.stack([(w * d).sum(0) for d in wendland_point_slopes(b, a, hyper)], 1)
+                got.append(pd.DataFrame({"i": pts[of]["pt_id"].to_numpy(), "slope": out.tolist()}))
+
+            if 0 in by and 0 in pts:
+                a = np.frombuffer(by[0].x, float)
+                along(0, 0, np.outer(a, a) - _square(by[0].s))
+                if 1 in by and 1 in pts and by[0].su:
+                    w = np.outer(a, np.frombuffer(by[1].x, float)) - _block(by[0].su, len(pts[0]), len(pts[1]))
+                    along(0, 1, w.T)
+                    along(1, 0, w)
+            return pd.concat(got) if got else pd.DataFrame({"i": [], "slope": []})
+
+        pts, res = self._pairs()
+        got = pts.where("key >= 0").groupBy("key").cogroup(res.where("key >= 0").groupBy("key")).applyInPandas(slopes, "i long, slope array<double>")
+        return got.groupBy("i").agg(F.array(*[F.sum(F.get("slope", k)) for k in range(dims)]).alias("slope"))
