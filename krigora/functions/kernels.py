@@ -138,11 +138,13 @@ def default_kernel_slopes(a, b, hyper):
 
 def default_kernel_point_slopes(a, b, hyper):
     """Derivatives of the default kernel's block by each coordinate of the second points, in closed form."""
-    gaps = [a[:, k][:, None] - b[:, k][None] for k in range(a.shape[1])]
-    d = np.sqrt(sum((g / h) ** 2 for g, h in zip(gaps, hyper[1:], strict=True)))
-    fall = 3.0 * hyper[0] * np.exp(-(3**0.5) * d)
-    for g, h in zip(gaps, hyper[1:], strict=True):
-        yield fall * g / h**2
+    yield from default_kernel_along([a[:, k][:, None] for k in range(a.shape[1])], [b[:, k][None] for k in range(b.shape[1])], hyper, NUMPY)
+
+
+def default_kernel_along(a, b, hyper, m=COLUMN):
+    """Derivatives of ``default_kernel`` by each coordinate of the second point."""
+    fall = 3.0 * hyper[0] * m.exp(-(3**0.5) * distance(a, b, hyper[1:], m))
+    return [fall * (p - q) / h**2 for p, q, h in zip(a, b, hyper[1:], strict=True)]
 
 
 def squared_distance(a, b, lengths):

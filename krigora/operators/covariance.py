@@ -39,6 +39,12 @@ def cross_covariance(points: DataFrame, queries: DataFrame, kernel: Kernel, dims
     return pairs.select("i", "j", kernel(coordinates("xi", dims), coordinates("xj", dims)).alias("v")).where("v <> 0")
 
 
+def cross_slopes(points: DataFrame, queries: DataFrame, slopes: Callable[[list[Column], list[Column]], list[Column]], dims: int, block: int = 10_000) -> DataFrame:
+    """(i, j, direction, dv): slopes of the kernel of every point (i) and query point (j) along each coordinate of the latter."""
+    pairs = _paired(points, queries, block)
+    return pairs.select("i", "j", F.posexplode(F.array(*slopes(coordinates("xi", dims), coordinates("xj", dims)))).alias("direction", "dv")).where("dv <> 0")
+
+
 def half_covariance(points: DataFrame, kernel: Kernel, dims: int, block: int = 10_000) -> DataFrame:
     """The triangle i <= j of a symmetric covariance."""
     pairs = _paired(points, points, block).where("i <= j")

@@ -148,8 +148,9 @@ class GaussianProcess:
 
         return points.select(id_col, "x").mapInPandas(run, f"{id_col} long, m double, v double")
 
-    def predict_slopes(self, points: DataFrame, id_col: str = "pred_id") -> DataFrame:
-        """(id, direction, dm, dv) for the default kernel in closed form: each row's slopes of mean and variance."""
+    def predict_slopes(self, points: DataFrame, id_col: str = "pred_id", variance: bool = False) -> DataFrame:
+        """(id, direction, dm, dv) for the default kernel in closed form: each row's slopes of mean and variance; with ``variance``
+        also v, the variance itself."""
         hyper, dims = self.hyper, self.x.shape[1]
         sent = self.spark.sparkContext.broadcast((self.x, self.alpha, L.inverse(self.factor)))  # at most most_dense ** 2 numbers
 
@@ -157,11 +158,22 @@ class GaussianProcess:
             x, alpha, inverse = sent.value
             for part in parts:
                 q = np.array(part["x"].tolist(), float).reshape(len(part), dims)
-                weighted = inverse @ block(x, q, hyper)
-                for k, dk in enumerate(K.default_kernel_point_slopes(x, q, hyper)):
-                    yield pd.DataFrame({id_col: part[id_col].to_numpy(), "direction": k, "dm": alpha @ dk, "dv": -2 * (weighted * dk).sum(0)})
+                k = block(x, q, hyper)
+                weighted = inverse @ k
+                own = {"v": np.maximum(0.0, hyper[0] - (k * weighted).sum(0))} if variance else {}
+                for t, dk in enumerate(K.default_kernel_point_slopes(x, q, hyper)):
+                    yield pd.DataFrame({id_col: part[id_col].to_numpy(), "direction": t, "dm": alpha @ dk, "dv": -2 * (weighted * dk).sum(0), **own})
 
-        return points.select(id_col, "x").mapInPandas(run, f"{id_col} long, direction int, dm double, dv double")
+        return points.select(id_col, "x").mapInPandas(run, f"{id_col} long, direction int, dm double, dv double" + ", v double" * variance)
+
+    def predict_entropy_slopes(self, points: DataFrame, id_col: str = "pred_id") -> DataFrame:
+        """(id, direction, slope): of the entropy of the targets and the function at each row, by itself, along its coordinates.
+
+        The targets' part doesn't move, so it is half the slope of the logarithm of the row's variance; where the variance is zero it
+        has none (null). For the default kernel.
+        """
+        v = F.col("v")
+        return self.predict_slopes(points, id_col, variance=True).select(id_col, "direction", F.when(v > 0, 0.5 * F.col("dv") / v).alias("slope"))
 
     def predict_gradient(self, points: DataFrame, id_col: str = "pred_id", step: float = 1e-5) -> DataFrame:
         """(id, direction, dm, dv): central differences of mean and variance along every coordinate, for any kernel."""
@@ -188,6 +200,34 @@ class GaussianProcess:
         both = np.concatenate([self.x, q])
         return gaussian_entropy(block(both, both, self.hyper, self.kernel) + 1e-9 * np.eye(len(both)))
 
+    def joint_prior(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and covariance of the function at the training points and at ``q``, before any data."""
+        both = np.concatenate([self.x, q])
+        means = [np.broadcast_to(np.asarray(self.prior(z), float), (len(z),)) for z in (self.x, q)]
+        return np.concatenate(means), block(both, both, self.hyper, self.kernel) + 1e-9 * np.eye(len(both))
+
+    def joint_prior_slopes(self, q: np.ndarray, direction: int, step: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``joint_prior`` as all of ``q`` move together along one coordinate: the training points' own block has none."""
+        n, e = len(self.x), step * np.eye(q.shape[1])[direction]
+        (m1, s1), (m2, s2) = self.joint_prior(q + e), self.joint_prior(q - e)
+        mean, s = (m1 - m2) / (2 * step), (s1 - s2) / (2 * step)
+        if self.kernel is K.default_kernel:
+            s[:n, n:] = list(K.default_kernel_point_slopes(self.x, q, self.hyper))[direction]
+            s[n:, :n], s[n:, n:] = s[:n, n:].T, 0.0  # it depends on differences of coordinates alone
+        mean[:n], s[:n, :n] = 0.0, 0.0
+        return mean, s
+
+    def entropy_slopes(self, q: np.ndarray) -> np.ndarray:
+        """Of ``entropy`` as all of ``q`` move together along each coordinate: half the trace of S^-1 dS."""
+        low = L.cholesky(self.joint_prior(q)[1])
+        return np.array([0.5 * np.trace(L.solve(low, self.joint_prior_slopes(q, k)[1])) for k in range(q.shape[1])])
+
+    def posterior_covariance_slopes(self, q: np.ndarray, direction: int) -> np.ndarray:
+        """Of the covariance of ``posterior`` as all of ``q`` move together along one coordinate."""
+        n, s = len(self.x), self.joint_prior_slopes(q, direction)[1]
+        pull = s[n:, :n] @ L.solve(self.factor, block(self.x, q, self.hyper, self.kernel))
+        return s[n:, n:] - pull - pull.T
+
     def mutual_information(self, q: np.ndarray) -> float:
         own = lambda z: block(z, z, self.hyper, self.kernel) + 1e-9 * np.eye(len(z))
         return gaussian_entropy(own(self.x)) + gaussian_entropy(own(q)) - gaussian_entropy(own(np.concatenate([self.x, q])))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from krigora.functions import kernels as K
+from krigora.functions.networks import Network
 from krigora.operators import covariance as C
 from krigora.operators import distributional, metrics, mixture, mixture_full, mixture_points, samples
 from krigora.operators.cells import CellGaussianProcess, Cells, WarmSolver
@@ -16,6 +17,7 @@ from krigora.operators.gp import GaussianProcess, exact_model, grouped_posterior
 from krigora.operators.parametric import ParametricProcess
 from krigora.operators.strips import StripGaussianProcess, compact_model
 from krigora.operators.tiles import TiledGaussianProcess
+from krigora.operators.warped import WarpedProcess
 from krigora.plans import training
 from krigora.sources import points as P
 from krigora.streaming import appends
@@ -398,6 +400,29 @@ def gp_posterior_gradient(spark: SparkSession, d: str) -> DataFrame:
     return got.select("pred_id", "direction", _r(F.col("dm"), 4).alias("dm"), _r(F.col("dv"), 4).alias("dv"))
 
 
+@_query(
+    f"""WITH a AS ({_SUPPLIER_SQL}), b AS ({_NATION_SQL}) SELECT a.id::BIGINT AS i, b.id::BIGINT AS j, t AS direction,
+round(6 * exp(-sqrt(3) * {_GAP_SQL}) * CASE t WHEN 0 THEN (a.x1 - b.x1) / 2.25 ELSE a.x2 - b.x2 END, 6) + 0.0::DOUBLE AS dv FROM a, b, (VALUES (0), (1)) v(t) WHERE CASE t WHEN 0 THEN a.x1 - b.x1 ELSE a.x2 - b.x2 END <> 0"""
+)
+def joint_prior_slopes(spark: SparkSession, d: str) -> DataFrame:
+    """What of the joint prior of suppliers and nations changes as the nations move: covariances of the two, along each coordinate."""
+    got = C.cross_slopes(_suppliers(spark, d), _nations(spark, d), lambda a, b: K.default_kernel_along(a, b, HYPER), 2)
+    return got.select("i", "j", "direction", _r(F.col("dv")).alias("dv"))
+
+
+@_query(
+    _INVERSE + f""", o AS ({_NATION_SQL}), d AS (SELECT o.id, o.x1, o.x2, {_GAPS_SQL} AS d FROM o, inv),
+k AS (SELECT d.*, list_transform(d, lambda c: {_MATERN_SQL.format("c")}) AS k FROM d),
+s AS (SELECT k.id, t AS direction, k, list_transform(k.d, lambda c, p: 6 * exp(-sqrt(3) * c) * CASE t WHEN 0 THEN (inv.x1[p] - k.x1) / 2.25 ELSE inv.x2[p] - k.x2 END) AS dk FROM k, inv, (VALUES (0), (1)) v(t)),
+w AS (SELECT id, direction, k, dk, list_transform(inv.q, lambda row: list_inner_product(row, k)) AS w FROM s, inv)
+SELECT id::BIGINT AS pred_id, direction, round(-1 * list_inner_product(dk, w) / (2 - list_inner_product(k, w)), 4) + 0.0::DOUBLE AS slope FROM w"""
+)
+def entropy_slopes(spark: SparkSession, d: str) -> DataFrame:
+    """How the entropy of the suppliers' targets and the function at a nation changes as the nation moves along each coordinate."""
+    gp, ask = _model(spark, d), _nations(spark, d).withColumnRenamed("pt_id", "pred_id")
+    return gp.predict_entropy_slopes(ask).select("pred_id", "direction", _r(F.col("slope"), 4).alias("slope"))
+
+
 @_query(
     _INVERSE + """, p AS (SELECT i, j, inv.al[i] * inv.al[j] - inv.q[i][j] AS w, (inv.x1[i] - inv.x1[j]) ** 2 AS g1, (inv.x2[i] - inv.x2[j]) ** 2 AS g2 FROM inv, range(1, (SELECT n FROM mu) + 1) a(i), range(1, (SELECT n FROM mu) + 1) b(j)),
 d AS (SELECT *, sqrt(g1 / 2.25 + g2) AS d FROM p), s AS (SELECT sum(w * (1 + sqrt(3) * d) * exp(-sqrt(3) * d)) / 2 AS s0, sum(w * 6 * exp(-sqrt(3) * d) * g1 / 3.375) / 2 AS s1, sum(w * 6 * exp(-sqrt(3) * d) * g2) / 2 AS s2 FROM d)
@@ -579,6 +604,60 @@ def sparse_likelihood_gradient(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "parameter int, slope double").select("parameter", _r(F.col("slope"), 3).alias("slope"))
 
 
+# --- coordinates moved by a network before the kernel sees them
+
+_NET = Network(2, 3)
+_NET_PARAMETERS = np.round(np.cos(1.7 * np.arange(_NET.size)), 3).tolist()
+_LAYERS = _NET.split(_NET_PARAMETERS)
+
+
+def _warp_sql(points: str) -> str:
+    """SQL of points whose x1, x2 are moved by the network; p1, p2 and the hidden units a1.., b1.. stay beside them."""
+    out, names = f"SELECT * REPLACE (0 AS x3), x1 AS p1, x2 AS p2 FROM ({points})", ["p1", "p2"]
+    for (w, b), letter in zip(_LAYERS[:2], "ab", strict=True):
+        units = [f"greatest(0, {float(c)!r}::DOUBLE + {' + '.join(f'{n} * {float(v)!r}::DOUBLE' for n, v in zip(names, row, strict=True))}) AS {letter}{k + 1}" for k, (row, c) in enumerate(zip(w, b, strict=True))]
+        out, names = f"SELECT *, {', '.join(units)} FROM ({out})", [f"{letter}{k + 1}" for k in range(len(w))]
+    (w, b) = _LAYERS[2]
+    last = [f"{float(c)!r}::DOUBLE + {' + '.join(f'{n} * {float(v)!r}::DOUBLE' for n, v in zip(names, row, strict=True))} AS x{k + 1}" for k, (row, c) in enumerate(zip(w, b, strict=True))]
+    return f"SELECT * REPLACE ({', '.join(last)}) FROM ({out})"
+
+
+@_query(f"SELECT id::BIGINT AS pt_id, round(x1, 6) + 0.0::DOUBLE AS x1, round(x2, 6) + 0.0::DOUBLE AS x2 FROM ({_warp_sql(_SUPPLIER_SQL)})")
+def warped_points(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers where a network of three layers puts them."""
+    got = _suppliers(spark, d).select("pt_id", _NET.column(F.col("x"), _NET_PARAMETERS).alias("x"))
+    return got.select("pt_id", *[_r(F.get("x", k)).alias(f"x{k + 1}") for k in range(2)])
+
+
+@_query(_elimination(_warp_sql(_SUPPLIER_SQL), _warp_sql(_NATION_SQL), _WENDLAND_SQL) + "SELECT id::BIGINT AS pred_id, round(mu.m - z.m[1][r - n], 5) + 0.0::DOUBLE AS m, round(z.m[r - n][r - n], 5) AS v FROM u, mu, z WHERE kind = 2")
+def warped_posterior(spark: SparkSession, d: str) -> DataFrame:
+    """Posterior at every nation of a compactly supported GP over the moved suppliers, by strips."""
+    got = WarpedProcess(_suppliers(spark, d), _NET, _NET_PARAMETERS, SPARSE_HYPER, aim=8).predict(_nations(spark, d).withColumnRenamed("pt_id", "pred_id"))
+    return got.select("pred_id", _r(F.col("m"), 5).alias("m"), _r(F.col("v"), 5).alias("v"))
+
+
+def _chain_rule_sql() -> str:
+    """SQL after s: the slopes by the network's parameters, as the list n, from the slopes along the moved coordinates."""
+    fall = "sum(w * -44 * (1 - d) ** 7 * (16 * d * d + 7 * d + 1) * {0})"
+    back = lambda w, j, names: " + ".join(f"{n} * {float(row[j])!r}::DOUBLE" for n, row in zip(names, w, strict=True))
+    second = ", ".join(f"CASE WHEN b{j + 1} > 0 THEN {back(_LAYERS[2][0], j, ('o1', 'o2'))} ELSE 0 END AS e{j + 1}" for j in range(3))
+    first = ", ".join(f"CASE WHEN a{j + 1} > 0 THEN {back(_LAYERS[1][0], j, ('e1', 'e2', 'e3'))} ELSE 0 END AS f{j + 1}" for j in range(3))
+    layers = [(("f1", "f2", "f3"), ("p1", "p2")), (("e1", "e2", "e3"), ("a1", "a2", "a3")), (("o1", "o2"), ("b1", "b2", "b3"))]
+    sums = [f"sum({t} * {h})" for top, low in layers for t in top for h in low] + [f"sum({t})" for top, _ in layers for t in top]
+    return f""", pr AS (SELECT i, inv.al[i] * inv.al[j] - inv.q[i][j] AS w, inv.x1[i] - inv.x1[j] AS g1, inv.x2[i] - inv.x2[j] AS g2 FROM inv, range(1, (SELECT n FROM mu) + 1) a(i), range(1, (SELECT n FROM mu) + 1) b(j)),
+pw AS (SELECT *, least(1, sqrt(g1 * g1 / 0.81 + g2 * g2 / 1.21)) AS d FROM pr), o AS (SELECT i, {fall.format("g1 / 0.81")} AS o1, {fall.format("g2 / 1.21")} AS o2 FROM pw GROUP BY i),
+pt AS (SELECT row_number() OVER (ORDER BY id) AS i, p1, p2, a1, a2, a3, b1, b2, b3 FROM pts),
+h2 AS (SELECT *, {second} FROM pt JOIN o USING (i)), h1 AS (SELECT *, {first} FROM h2), n AS (SELECT [{", ".join(sums)}] AS n FROM h1)
+"""
+
+
+@_query(_inverse_of(_warp_sql(_SUPPLIER_SQL), _WENDLAND_SQL) + _WENDLAND_SLOPES + _chain_rule_sql() + f"SELECT k::INT AS parameter, round(list_concat([s0, s1, s2], n.n)[k + 1], 3) + 0.0::DOUBLE AS slope FROM s, n, range({3 + _NET.size}) v(k)")
+def warped_gradient(spark: SparkSession, d: str) -> DataFrame:
+    """Slopes of that model's likelihood by the kernel's and all of the network's parameters."""
+    g = WarpedProcess(_suppliers(spark, d), _NET, _NET_PARAMETERS, SPARSE_HYPER, aim=8, predicts=False).likelihood_gradient()
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "parameter int, slope double").select("parameter", _r(F.col("slope"), 3).alias("slope"))
+
+
 _TREND_POINTS = "SELECT s_suppkey AS id, s_nationkey / 5.0::DOUBLE AS x1, (s_suppkey % 10) / 3.0::DOUBLE AS x2, 0 AS x3, s_acctbal / 1000 - (1 + 0.5 * (s_nationkey / 5.0::DOUBLE)) AS y, 0.1 + 0.05 * ((s_suppkey % 10) / 3.0::DOUBLE) AS noise, 0 AS g FROM supplier"
 
 
@@ -983,6 +1062,16 @@ def train_strips(spark: SparkSession, d: str) -> DataFrame:
     return _trained(spark, best, loss(best))
 
 
+@_query()
+def train_warped(spark: SparkSession, d: str) -> DataFrame:
+    """Kernel and network trained together over tables: every value and slope is a few jobs."""
+    pts, k = _suppliers(spark, d), 1 + _NET.out
+    loss = training.TableObjective(lambda h: WarpedProcess(pts, _NET, h[k:], h[:k], predicts=False))
+    bounds = np.array([*training.default_bounds(pts, _NET.out), *[(p - 0.5, p + 0.5) for p in _NET_PARAMETERS]])
+    best = training.train(loss, [*SPARSE_HYPER, *_NET_PARAMETERS], bounds, steps=3)
+    return _trained(spark, best, loss(best))
+
+
 @_query()
 def train_learned_chains(spark: SparkSession, d: str) -> DataFrame:
     """Chains whose jumps take on the covariance that all of them have seen: what the later half of the portions found."""

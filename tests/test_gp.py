@@ -142,6 +142,29 @@ def test_information(spark, data):
     assert np.isclose(gaussian_entropy(np.eye(2)), 1 + np.log(2 * np.pi)) and kl_divergence(np.zeros(2), np.ones(2), np.eye(2), np.eye(2)) == pytest.approx(1.0)
 
 
+def test_slopes_of_joint_quantities(spark, data):
+    """Of joint prior, entropy and posterior covariance as the queries move together, against differences; and of each row by itself."""
+    x, y = data
+    gp = GaussianProcess(_points(spark, x, y, 0.01), [1.0, 0.5, 0.7])
+    q, e = np.array([[0.2, 0.3], [0.9, 0.1], [0.55, 0.62]]), 1e-5
+    for k in range(2):
+        step = e * np.eye(2)[k]
+        along = lambda f: (f(q + step) - f(q - step)) / (2 * e)  # noqa: B023, E731
+        mean, s = gp.joint_prior_slopes(q, k)
+        assert not mean.any() and not s[: len(x), : len(x)].any() and np.allclose(s, along(lambda z: gp.joint_prior(z)[1]), atol=1e-6)
+        assert gp.entropy_slopes(q)[k] == pytest.approx(along(gp.entropy), rel=1e-3)
+        assert np.allclose(gp.posterior_covariance_slopes(q, k), along(lambda z: gp.posterior(z)[1]), atol=1e-6)
+    trend = GaussianProcess(_points(spark, x, y, 0.01), [1.0, 0.5, 0.7], mean=lambda z: 3 * z[:, 0])
+    assert np.allclose(trend.joint_prior_slopes(q, 0)[0], np.r_[np.zeros(len(x)), np.full(3, 3.0)])
+    ask = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(q)], "pred_id long, x array<double>")
+    got = {(r.pred_id, r.direction): r.slope for r in gp.predict_entropy_slopes(ask).collect()}
+    for j in range(3):
+        for k in range(2):
+            step = e * np.eye(2)[k]
+            log = lambda z: 0.5 * np.log(gp.posterior(z)[1][0, 0])
+            assert got[j, k] == pytest.approx((log(q[j : j + 1] + step) - log(q[j : j + 1] - step)) / (2 * e), rel=1e-3)
+
+
 def test_groups_equal_single_models(spark, data):
     x, y = data
     pts = _points(spark, x, y).withColumn("g", F.col("pt_id") % 2)
