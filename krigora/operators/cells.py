@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from krigora.sources.places import Places
 from krigora.sources.points import check
 from krigora.sources.store import discard, exists, in_batches, written
 
@@ -470,25 +471,27 @@ class CellGaussianProcess:
     """An exact GP over ``points`` (pt_id, x, y[, noise_var]) with the Wendland kernel, whatever their number and density.
 
     The weights take one solve, variances one solve for every ``columns`` points asked for; means of any number of points are one
-    join. The prior mean is a number (the mean of y by default).
+    join. The prior mean is a number (the mean of y by default). Points of equal coordinates are one place of the cells; ``points`` may
+    be places already.
     """
 
-    def __init__(self, points: DataFrame, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, overlap: float = 0.5, aim: int = 150, most: int = 600, tol: float = 1e-10) -> None:
-        self.cells = Cells(points, hyper, noise, aim, most)
-        self.mean = float(mean if mean is not None else points.agg(F.avg("y")).first()[0] or 0.0)
+    def __init__(self, points: DataFrame | Places, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, overlap: float = 0.5, aim: int = 150, most: int = 600, tol: float = 1e-10) -> None:
+        self.places = Places.of(points, noise, mean)
+        self.cells, self.mean = Cells(self.places.table, hyper, None, aim, most), self.places.mean
         self.precondition, self.tol = self.cells.schwarz(overlap), tol
         solved, self.iterations = self.cells.solve(self.cells.column("y", self.mean), self.precondition, tol=tol)
         self.alpha = written(solved, "cell-weights")
 
     def weights(self) -> DataFrame:
-        return self.cells.entries(self.alpha, "alpha")
+        return self.places.weights(self.cells.entries(self.alpha, "alpha"))
 
     def log_likelihood(self, probes: int = 32, degree: int = 30, seed: int = 0) -> float:
         """An estimate: the log-determinant is that of random probes; ``log_likelihood_variance`` tells how far it may be off."""
         (square,) = _gram(_with(self.cells.column("y", self.mean), self.alpha, "a"), [("v", "a")])
-        self.quadratic = float(square[0, 0])
-        self.logdet, self.logdet_variance = self.cells.random_logdet(probes, degree, seed)
-        return -0.5 * (self.quadratic + self.logdet + self.cells.n * float(np.log(2 * np.pi)))
+        self.quadratic = float(square[0, 0]) + self.places.square
+        logdet, self.logdet_variance = self.cells.random_logdet(probes, degree, seed)
+        self.logdet = logdet + self.places.logdet
+        return self.places.log_likelihood(self.logdet, self.quadratic)
 
     def log_likelihood_variance(self) -> float:
         """Of the last estimate: the log-determinant enters it by half, so by a quarter of its variance."""

@@ -1,6 +1,6 @@
 """Gaussian-process regression over point tables.
 
-Training points of a model on the driver are bounded (``most_dense``) and factorised where they are collected; prediction is a
+Places of a model on the driver are bounded (``most_dense``) and factorised where they are collected; prediction is a
 Spark job of any size that carries the inverse triangle to the rows. ``exact_model`` takes tiles beyond that bound; compactly
 supported kernels have strips.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from krigora.functions import kernels as K
-from krigora.sources.points import check
+from krigora.sources.places import Places
 from krigora.sources.store import in_batches
 
 from . import linalg as L
@@ -32,37 +32,44 @@ class GaussianProcess:
 
     Without a noise column every point has the variance (mean |y| / 100)^2; without hyperparameters they are the variance of y
     and the spread of each coordinate. ``mean(x)`` and ``noise(x)`` may be functions of an array of points,
-    ``kernel_slopes(a, b, hyper)`` gives the kernel's derivatives by its hyperparameters.
+    ``kernel_slopes(a, b, hyper)`` gives the kernel's derivatives by its hyperparameters. Points of equal coordinates are one place
+    (``counts`` of them), and ``most_dense`` bounds the places; ``n`` is the number of points.
     """
 
-    def __init__(self, points: DataFrame, hyper: Sequence[float] | None = None, kernel: Callable = K.default_kernel, mean: float | Callable | None = None, most_dense: int = 8000, noise: Callable | None = None, kernel_slopes: Callable | None = None) -> None:
-        info = check(points)
-        if info["rows"] > most_dense:
-            raise ValueError(f"{info['rows']} points; a model on the driver takes {most_dense}, more take tiles or strips")
-        got = points.orderBy("pt_id").toPandas()
-        self.spark, self.kernel = points.sparkSession, kernel
+    def __init__(self, points: DataFrame | Places, hyper: Sequence[float] | None = None, kernel: Callable = K.default_kernel, mean: float | Callable | None = None, most_dense: int = 8000, noise: Callable | None = None, kernel_slopes: Callable | None = None) -> None:
+        places = Places(points.drop("noise_var"), 1.0) if noise is not None else Places.of(points)
+        if places.count > most_dense:
+            raise ValueError(f"{places.count} places; a model on the driver takes {most_dense}, more take tiles or strips")
+        got = places.table.orderBy("pt_id").toPandas()
+        if places is not points:
+            places.discard()
+        self.spark, self.kernel, self.n, self.noise_level = places.table.sparkSession, kernel, places.n, places.noise
         self.ids, self.y = got["pt_id"].to_numpy(), got["y"].to_numpy(float)
         self.x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
-        self.noise = got["noise_var"].to_numpy(float) if "noise_var" in got else np.full(len(got), (np.abs(self.y).mean() / 100) ** 2)
+        self.noise, self.counts, self.total = got["noise_var"].to_numpy(float), got["n"].to_numpy(float), float(got["total"].to_numpy(float).sum())
+        spare, within = got["spare_logdet"].to_numpy(float), got["spare_square"].to_numpy(float)
         if noise is not None:
-            self.noise = np.broadcast_to(np.asarray(noise(self.x), float), self.y.shape).copy()
-        if (self.noise <= 0).any():
-            raise ValueError("noise variances must be positive")
+            level = np.broadcast_to(np.asarray(noise(self.x), float), self.y.shape)
+            if (level <= 0).any():
+                raise ValueError("noise variances must be positive")
+            self.noise, spare, within = self.noise * level, spare + (self.counts - 1) * np.log(level), within / level
+            self.noise_level = float(level @ self.counts / self.n) if self.n else 0.0
+        self.spare = (float(spare.sum()), float(within.sum()))  # what the points add to log-determinant and quadratic form of the places
         self._mean, self.kernel_slopes = mean, kernel_slopes
-        self.set_hyper(hyper if hyper is not None else [max(self.y.var(), 1e-12), *np.maximum(np.ptp(self.x, axis=0), 1e-12)])
+        self.set_hyper(hyper if hyper is not None else [max(places.variance, 1e-12), *np.maximum(np.ptp(self.x, axis=0), 1e-12)])
 
     def set_hyper(self, hyper: Sequence[float]) -> None:
         self.hyper = np.array(hyper, float)
         self.mean = self.prior(self.x)
         self.factor = L.cholesky(block(self.x, self.x, self.hyper, self.kernel) + np.diag(self.noise))
         self.alpha = L.solve(self.factor, self.y - self.mean)
-        self.logdet, self.quadratic = L.logdet(self.factor), float((self.y - self.mean) @ self.alpha)
+        self.logdet, self.quadratic = L.logdet(self.factor) + self.spare[0], float((self.y - self.mean) @ self.alpha) + self.spare[1]
 
     def prior(self, q: np.ndarray) -> np.ndarray | float:
         """Prior mean at an array of points: a number, or what the function of the model gives."""
         if callable(self._mean):
             return np.broadcast_to(np.asarray(self._mean(q), float), (len(q),))
-        return self.y.mean() if self._mean is None else self._mean
+        return self.total / self.n if self._mean is None else self._mean
 
     def append(self, x: np.ndarray, y: np.ndarray, noise: np.ndarray) -> None:
         """More points: the factor grows by their rows, and the default mean follows all targets."""
@@ -70,12 +77,15 @@ class GaussianProcess:
         self.factor = L.extended(self.factor, cross, own + np.diag(noise))
         self.x, self.y, self.noise = np.concatenate([self.x, x]), np.concatenate([self.y, y]), np.concatenate([self.noise, noise])
         self.ids = np.concatenate([self.ids, self.ids.max(initial=-1) + 1 + np.arange(len(y))])
+        self.noise_level = (self.noise_level * self.n + float(np.sum(noise))) / max(1, self.n + len(y))
+        self.counts, self.total, self.n = np.concatenate([self.counts, np.ones(len(y))]), self.total + float(np.sum(y)), self.n + len(y)
         self.mean = self.prior(self.x)
         self.alpha = L.solve(self.factor, self.y - self.mean)
 
     def replace(self, x: np.ndarray, y: np.ndarray, noise: np.ndarray) -> None:
         """Other points with the same hyperparameters."""
         self.x, self.y, self.noise, self.ids = np.array(x, float), np.array(y, float), np.array(noise, float), np.arange(len(y))
+        self.counts, self.total, self.n, self.spare, self.noise_level = np.ones(len(y)), float(self.y.sum()), len(y), (0.0, 0.0), float(self.noise.mean())
         self.set_hyper(self.hyper)
 
     # --- likelihood
@@ -87,7 +97,7 @@ class GaussianProcess:
         else:
             low = L.cholesky(block(self.x, self.x, np.array(hyper, float), self.kernel) + np.diag(self.noise))
             alpha = L.solve(low, r)
-        return float(-0.5 * (r @ alpha + L.logdet(low) + len(r) * np.log(2 * np.pi)))
+        return float(-0.5 * (r @ alpha + L.logdet(low) + sum(self.spare) + self.n * np.log(2 * np.pi)))
 
     def likelihood_gradient(self, hyper: Sequence[float] | None = None) -> np.ndarray:
         """Of the log likelihood: half of a'dK a - tr(K^-1 dK) per hyperparameter.
@@ -131,7 +141,7 @@ class GaussianProcess:
 
     def predict(self, points: DataFrame, id_col: str = "pred_id", add_noise: bool = False) -> DataFrame:
         """(id, m, v) of every row of ``points`` (id, x): a Spark job over its partitions; negative variances are zero."""
-        noise, hyper, kernel = (float(self.noise.mean()) if add_noise else 0.0), self.hyper, self.kernel
+        noise, hyper, kernel = (self.noise_level if add_noise else 0.0), self.hyper, self.kernel
         trend = self._mean if callable(self._mean) else None
         level = 0.0 if trend else float(self.mean)
         sent = self.spark.sparkContext.broadcast((self.x, self.alpha, L.lower_inverse(self.factor)))  # at most most_dense ** 2 numbers
@@ -195,16 +205,22 @@ class GaussianProcess:
 
     # --- information
 
+    def _prior_entropy(self, q: np.ndarray) -> float:
+        """Of the joint prior at every training point and ``q``, with 1e-9 on its diagonal: points of a place share one row."""
+        n, own = self.n + len(q), np.concatenate([1e-9 / self.counts, np.full(len(q), 1e-9)])
+        both = np.concatenate([self.x, q])
+        spare = (self.n - len(self.x)) * np.log(1e-9) + np.log(self.counts).sum()
+        return float(n / 2 * (1 + np.log(2 * np.pi)) + 0.5 * (np.linalg.slogdet(block(both, both, self.hyper, self.kernel) + np.diag(own))[1] + spare))
+
     def entropy(self, q: np.ndarray) -> float:
         """Of the joint prior of the training points and ``q``."""
-        both = np.concatenate([self.x, q])
-        return gaussian_entropy(block(both, both, self.hyper, self.kernel) + 1e-9 * np.eye(len(both)))
+        return self._prior_entropy(q)
 
     def joint_prior(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean and covariance of the function at the training points and at ``q``, before any data."""
+        """Mean and covariance of the function at the places of the training points and at ``q``, before any data."""
         both = np.concatenate([self.x, q])
         means = [np.broadcast_to(np.asarray(self.prior(z), float), (len(z),)) for z in (self.x, q)]
-        return np.concatenate(means), block(both, both, self.hyper, self.kernel) + 1e-9 * np.eye(len(both))
+        return np.concatenate(means), block(both, both, self.hyper, self.kernel) + np.diag(np.concatenate([1e-9 / self.counts, np.full(len(q), 1e-9)]))
 
     def joint_prior_slopes(self, q: np.ndarray, direction: int, step: float = 1e-6) -> tuple[np.ndarray, np.ndarray]:
         """Of ``joint_prior`` as all of ``q`` move together along one coordinate: the training points' own block has none."""
@@ -229,16 +245,13 @@ class GaussianProcess:
         return s[n:, n:] - pull - pull.T
 
     def mutual_information(self, q: np.ndarray) -> float:
-        own = lambda z: block(z, z, self.hyper, self.kernel) + 1e-9 * np.eye(len(z))
-        return gaussian_entropy(own(self.x)) + gaussian_entropy(own(q)) - gaussian_entropy(own(np.concatenate([self.x, q])))
+        return self._prior_entropy(q[:0]) + gaussian_entropy(block(q, q, self.hyper, self.kernel) + 1e-9 * np.eye(len(q))) - self._prior_entropy(q)
 
     def total_correlation(self, q: np.ndarray) -> float:
-        both = np.concatenate([self.x, q])
-        joint = block(both, both, self.hyper, self.kernel) + 1e-9 * np.eye(len(both))
-        apart = joint.copy()
-        apart[: len(self.x), len(self.x) :] = apart[len(self.x) :, : len(self.x)] = 0
-        apart[len(self.x) :, len(self.x) :] = np.diag(joint.diagonal()[len(self.x) :])
-        return kl_divergence(np.zeros(len(both)), np.zeros(len(both)), joint, apart)
+        """Divergence of the joint prior from that of the training points and each of ``q`` apart: the blocks agree, so it is the
+        difference of entropies."""
+        own = block(q, q, self.hyper, self.kernel).diagonal() + 1e-9
+        return float(abs(self._prior_entropy(q[:0]) + 0.5 * (len(q) * (1 + np.log(2 * np.pi)) + np.log(own).sum()) - self._prior_entropy(q)))
 
     def relative_information_entropy(self, q: np.ndarray) -> float:
         m, s = self.posterior(q)
@@ -289,12 +302,13 @@ def object_posterior(points: DataFrame, queries: DataFrame, kernel: Callable[[Co
 
 
 def exact_model(points: DataFrame, hyper: Sequence[float], kernel: Callable = K.default_kernel, mean: float | None = None, most_dense: int = 8000):
-    """A model of the same likelihood and predictions on the driver or, beyond ``most_dense`` points, in tiles."""
+    """A model of the same likelihood and predictions on the driver or, beyond ``most_dense`` places, in tiles."""
     from .tiles import TiledGaussianProcess
 
-    if points.count() <= most_dense:
-        return GaussianProcess(points, hyper, kernel, mean, most_dense)
-    return TiledGaussianProcess(points, hyper, kernel, mean)
+    places = Places(points, mean=mean)
+    if places.count <= most_dense:
+        return GaussianProcess(places, hyper, kernel, mean, most_dense)
+    return TiledGaussianProcess(places, hyper, kernel, mean)
 
 
 def gaussian_entropy(s: np.ndarray) -> float:

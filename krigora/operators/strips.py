@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from krigora.functions import kernels as K
-from krigora.sources.points import check
+from krigora.sources.places import Places
 from krigora.sources.store import discard, written
 
 from . import linalg as L
@@ -130,46 +130,47 @@ class Crowded(ValueError):
     """A strip has more points than one task takes."""
 
 
-def compact_model(points: DataFrame, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, predicts: bool = True, **strips):
+def compact_model(points: DataFrame | Places, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, predicts: bool = True, **strips):
     """A model with ``weights`` and ``predict`` in strips or, where a strip would be too crowded for one task, in cells."""
     from .cells import CellGaussianProcess
 
+    places = Places.of(points, noise, mean)
     try:
-        return StripGaussianProcess(points, hyper, noise, mean, predicts=predicts, **strips)
+        return StripGaussianProcess(places, hyper, predicts=predicts, **strips)
     except Crowded:
-        return CellGaussianProcess(points, hyper, noise, mean)
+        return CellGaussianProcess(places, hyper)
 
 
 class StripGaussianProcess:
     """An exact GP over ``points`` (pt_id, x, y[, noise_var]) with the Wendland kernel: hyper = [variance, length per dimension].
 
     ``noise`` is the variance of points without a column of it; the prior mean is a number (the mean of y by default). Points of
-    one strip meet in one task, so a strip holds ``most`` points at most; denser data raise, and ``compact_model`` takes cells for
+    equal coordinates are one place; ``points`` may be places already. Places of one strip meet in one task, so a strip holds ``most`` at most; denser data raise, and ``compact_model`` takes cells for
     them. Halving ends where the strips that are left have ``together`` points or fewer, which one task solves.
     """
 
-    def __init__(self, points: DataFrame, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, most: int = 4000, aim: int = 200, predicts: bool = True, together: int = 2500) -> None:
-        info = check(points)
-        self.spark, self.hyper, self.n, dims = points.sparkSession, [float(h) for h in hyper], info["rows"], info["dims"]
+    def __init__(self, points: DataFrame | Places, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, most: int = 4000, aim: int = 200, predicts: bool = True, together: int = 2500) -> None:
+        self.places = places = Places.of(points, noise, mean)
+        self.spark, self.hyper, self.n, dims = places.table.sparkSession, [float(h) for h in hyper], places.n, places.dims
         if len(self.hyper) != dims + 1:
             raise ValueError(f"{len(self.hyper)} hyperparameters for {dims} dimensions")
-        ends = points.agg(F.avg("y").alias("mean"), F.avg(F.abs("y")).alias("size"), *[f(F.get("x", k)).alias(f"{name}{k}") for k in range(dims) for name, f in (("low", F.min), ("high", F.max))]).first()
-        self.mean = float(mean if mean is not None else ends["mean"] or 0.0)
+        ends = places.table.agg(*[f(F.get("x", k)).alias(f"{name}{k}") for k in range(dims) for name, f in (("low", F.min), ("high", F.max))]).first()
+        self.mean = places.mean
         spread = [(ends[f"high{k}"] - ends[f"low{k}"]) / self.hyper[k + 1] for k in range(dims)]
         self.axis = int(np.argmax(spread))
         # Strips of twice the length: the points that a query depends on lie in two of them. Without queries, once will do.
         self.low, self.length = float(ends[f"low{self.axis}"]), self.hyper[self.axis + 1]
         self.predicts = predicts
-        self.width = max(2.0 if predicts else 1.0, spread[self.axis] * aim / max(self.n, 1)) * self.length
-        variance = F.col("noise_var") if "noise_var" in points.columns else F.lit(noise if noise is not None else (ends["size"] / 100) ** 2)
+        self.width = max(2.0 if predicts else 1.0, spread[self.axis] * aim / max(places.count, 1)) * self.length
         strip = F.floor((F.get("x", self.axis) - self.low) / self.width)
-        rows = points.select(strip.alias("strip"), "pt_id", "x", (F.col("y") - self.mean).alias("r"), variance.cast("double").alias("noise"))
+        rows = places.table.select(strip.alias("strip"), "pt_id", "x", (F.col("y") - self.mean).alias("r"), F.col("noise_var").alias("noise"))
         counts = rows.groupBy("strip").count().agg(F.max("count"), F.max("strip")).first()
         if counts[0] > most:
-            raise Crowded(f"a strip holds {counts[0]} points, more than {most}; take shorter lengths, or cells")
+            raise Crowded(f"a strip holds {counts[0]} places, more than {most}; take shorter lengths, or cells")
         self.strips, self._fullest, self._together = int(counts[1]) + 1, int(counts[0]), together
         self._points = written(rows, "strip-points")
         self._solve()
+        self._tables += [places.table] if places is not points else []
 
     def _solve(self) -> None:
         """Forward rounds, the last strip, and the rounds back."""
@@ -232,7 +233,8 @@ class StripGaussianProcess:
         parts = top.select("logdet", "square")
         for done in levels:
             parts = parts.unionByName(done.select("logdet", "square"))
-        self.logdet, self.quadratic = map(float, parts.agg(F.sum("logdet"), F.sum("square")).first())
+        sums = parts.agg(F.sum("logdet"), F.sum("square")).first()
+        self.logdet, self.quadratic = float(sums[0]) + self.places.logdet, float(sums[1]) + self.places.square
         result = top.select("pos", "x", "s", "su")
         for done in reversed(levels):
             sent = result.withColumn("key", F.explode(F.array(F.col("pos"), F.col("pos") - 1))).where("key >= 0")
@@ -244,7 +246,7 @@ class StripGaussianProcess:
         self._tables += [result] if hasattr(result, "folder") else []
 
     def log_likelihood(self) -> float:
-        return float(-0.5 * (self.quadratic + self.logdet + self.n * np.log(2 * np.pi)))
+        return self.places.log_likelihood(self.logdet, self.quadratic)
 
     def weights(self) -> DataFrame:
         """(i, alpha): the solution of (K + V) alpha = y - mean."""
@@ -252,7 +254,7 @@ class StripGaussianProcess:
         def place(pts: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"i": np.sort(pts["pt_id"].to_numpy()), "alpha": np.frombuffer(got["x"].iloc[0], float) if len(got) else []})
 
-        return self._points.groupBy("strip").cogroup(self.result.groupBy("pos")).applyInPandas(place, "i long, alpha double")
+        return self.places.weights(self._points.groupBy("strip").cogroup(self.result.groupBy("pos")).applyInPandas(place, "i long, alpha double"))
 
     def inverse_diagonal(self) -> DataFrame:
         """(i, alpha, inverse): the weights and the diagonal of (K + V)^-1."""
@@ -263,7 +265,7 @@ class StripGaussianProcess:
                 return pd.DataFrame({"i": [], "alpha": [], "inverse": []})
             return pd.DataFrame({"i": ids, "alpha": np.frombuffer(got["x"].iloc[0], float), "inverse": _square(got["s"].iloc[0]).diagonal()})
 
-        return self._points.groupBy("strip").cogroup(self.result.groupBy("pos")).applyInPandas(place, "i long, alpha double, inverse double")
+        return self.places.inverse_diagonal(self._points.groupBy("strip").cogroup(self.result.groupBy("pos")).applyInPandas(place, "i long, alpha double, inverse double"))
 
     def discard(self) -> None:
         """Deletes the model's tables; nothing can be asked of it any more."""
@@ -342,21 +344,23 @@ class StripGaussianProcess:
             pts = {int(k): g.sort_values("pt_id") for k, g in pts.groupby("next")}
             by, got = {int(r.next): r for r in res.itertuples()}, []
 
-            def along(of: int, to: int, w: np.ndarray) -> None:
-                """Adds what the points of side ``to`` pull on those of side ``of``; ``w`` has a row for each of the former."""
+            def along(of: int, to: int, inverse: np.ndarray) -> None:
+                """Adds what the places of side ``to`` pull on those of side ``of``; ``inverse`` has a row for each of the former."""
                 a, b = (np.array(pts[k]["x"].tolist(), float).reshape(len(pts[k]), dims) for k in (of, to))
-                out = np.stack([(w * d).sum(0) for d in wendland_point_slopes(b, a, hyper)], 1)
-                got.append(pd.DataFrame({"i": pts[of]["pt_id"].to_numpy(), "slope": out.tolist()}))
+                own, other = (np.frombuffer(by[k].x, float) for k in (of, to))
+                moves = list(wendland_point_slopes(b, a, hyper))
+                pull, spread = np.stack([other @ d for d in moves], 1), np.stack([(inverse * d).sum(0) for d in moves], 1)
+                got.append(pd.DataFrame({"i": pts[of]["pt_id"].to_numpy(), "alpha": own, "pull": pull.tolist(), "spread": spread.tolist()}))
 
             if 0 in by and 0 in pts:
-                a = np.frombuffer(by[0].x, float)
-                along(0, 0, np.outer(a, a) - _square(by[0].s))
+                along(0, 0, _square(by[0].s))
                 if 1 in by and 1 in pts and by[0].su:
-                    w = np.outer(a, np.frombuffer(by[1].x, float)) - _block(by[0].su, len(pts[0]), len(pts[1]))
-                    along(0, 1, w.T)
-                    along(1, 0, w)
-            return pd.concat(got) if got else pd.DataFrame({"i": [], "slope": []})
+                    cross = _block(by[0].su, len(pts[0]), len(pts[1]))
+                    along(0, 1, cross.T)
+                    along(1, 0, cross)
+            return pd.concat(got) if got else pd.DataFrame({"i": [], "alpha": [], "pull": [], "spread": []})
 
         pts, res = self._pairs()
-        got = pts.where("key >= 0").groupBy("key").cogroup(res.where("key >= 0").groupBy("key")).applyInPandas(slopes, "i long, slope array<double>")
-        return got.groupBy("i").agg(F.array(*[F.sum(F.get("slope", k)) for k in range(dims)]).alias("slope"))
+        got = pts.where("key >= 0").groupBy("key").cogroup(res.where("key >= 0").groupBy("key")).applyInPandas(slopes, "i long, alpha double, pull array<double>, spread array<double>")
+        added = lambda c: F.array(*[F.sum(F.get(c, k)) for k in range(dims)]).alias(c)
+        return self.places.slopes(got.groupBy("i").agg(F.min("alpha").alias("alpha"), added("pull"), added("spread")))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from krigora.functions import kernels as K
-from krigora.sources.points import check
+from krigora.sources.places import Places
 from krigora.sources.store import discard, in_batches, written
 
 from . import linalg as L
@@ -33,16 +33,17 @@ def _matrix(raw: bytes, rows: int, columns: int) -> np.ndarray:
 
 
 class TiledGaussianProcess:
-    """``points`` (pt_id, x, y[, noise_var]), hyper = [variance, length per dimension], constant prior mean; tiles of about ``size``."""
-
-    def __init__(self, points: DataFrame, hyper: Sequence[float], kernel: Callable = K.default_kernel, mean: float | None = None, size: int = 1000) -> None:
-        info = check(points)
-        self.spark, self.kernel, self.hyper, self.n = points.sparkSession, kernel, list(map(float, hyper)), info["rows"]
-        ends = points.agg(F.avg("y").alias("mean"), F.avg(F.abs("y")).alias("level")).first()
-        self.mean, self.follows = float(mean if mean is not None else ends["mean"] or 0.0), mean is None
-        noise = F.col("noise_var") if "noise_var" in points.columns else F.lit((ends["level"] / 100) ** 2)
-        self.blocks, self.size = max(1, -(-self.n // size)), size
-        rows = points.select(F.pmod(F.xxhash64("pt_id"), F.lit(self.blocks)).alias("block"), F.struct("pt_id", "x", (F.col("y") - self.mean).alias("r"), noise.cast("double").alias("noise")).alias("p"))
+    """``points`` (pt_id, x, y[, noise_var]), hyper = [variance, length per dimension], constant prior mean; tiles of about ``size``.
+
+    Points of equal coordinates are one place; ``points`` may be places already.
+    """
+
+    def __init__(self, points: DataFrame | Places, hyper: Sequence[float], kernel: Callable = K.default_kernel, mean: float | None = None, size: int = 1000) -> None:
+        places = Places.of(points, mean=mean)
+        self.spark, self.kernel, self.hyper, self.n = places.table.sparkSession, kernel, list(map(float, hyper)), places.n
+        self.mean, self.follows, self.spare = places.mean, mean is None, (places.logdet, places.square)
+        self.blocks, self.size = max(1, -(-places.count // size)), size
+        rows = places.table.select(F.pmod(F.xxhash64("pt_id"), F.lit(self.blocks)).alias("block"), F.struct("pt_id", "x", (F.col("y") - self.mean).alias("r"), F.col("noise_var").alias("noise")).alias("p"))
         # One row per block of about ``size`` points.
         self.rows = written(rows.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("pts")), "tile-blocks")
         self.logdet = self.quadratic = self._inverse = None
@@ -124,7 +125,7 @@ class TiledGaussianProcess:
         out = kept[0]
         for more in kept[1:]:
             out = out.unionByName(more)
-        self.logdet = logdet
+        self.logdet = logdet + self.spare[0]
         return out
 
     def log_likelihood(self) -> float:
@@ -133,7 +134,7 @@ class TiledGaussianProcess:
         return float(-0.5 * (self.quadratic + self.logdet + self.n * np.log(2 * np.pi)))
 
     def _square(self, rows: DataFrame) -> float:
-        return self._square_of(rows.where(F.col("i") == self.blocks))
+        return self._square_of(rows.where(F.col("i") == self.blocks)) + self.spare[1]
 
     @staticmethod
     def _square_of(rows: DataFrame) -> float:
@@ -165,15 +166,15 @@ class TiledGaussianProcess:
         inverse triangle and leaves what is there as it is. The default mean follows all targets."""
         if self._inverse is None:
             self._solve()
-        new = written(points.select("pt_id", "x", "y", F.col("noise_var").cast("double").alias("noise")), "tile-new")
-        more = new.count()
-        if not more:
+        if not points.limit(1).count():
             return
-        moved = self.mean
+        places, moved = Places(points), self.mean
+        more = places.n
         if self.follows:
-            self.mean = (self.mean * self.n + float(new.agg(F.sum("y")).first()[0])) / (self.n + more)
-        parts = -(-more // self.size)
-        dealt = new.select((F.pmod(F.xxhash64("pt_id"), F.lit(parts)) + self.blocks).alias("block"), F.struct("pt_id", "x", (F.col("y") - self.mean).alias("r"), "noise").alias("p"))
+            self.mean = (self.mean * self.n + float(places.table.agg(F.sum("total")).first()[0])) / (self.n + more)
+        self.logdet, self.spare = self.logdet + places.logdet, (self.spare[0] + places.logdet, self.spare[1] + places.square)
+        parts = -(-places.count // self.size)
+        dealt = places.table.select((F.pmod(F.xxhash64("pt_id"), F.lit(parts)) + self.blocks).alias("block"), F.struct("pt_id", "x", (F.col("y") - self.mean).alias("r"), F.col("noise_var").alias("noise")).alias("p"))
         old = self.rows.select("block", F.transform("pts", lambda p: F.struct(p["pt_id"], p["x"], (p["r"] + (moved - self.mean)).alias("r"), p["noise"])).alias("pts"))
         fresh = written(dealt.groupBy("block").agg(F.sort_array(F.collect_list("p")).alias("pts")), "tile-new-blocks")
         self.rows, self.n = written(old, "tile-blocks"), self.n + more
@@ -237,7 +238,7 @@ class TiledGaussianProcess:
 
         met = self._inverse.join(self.rows.select(F.col("block").alias("i"), "pts"), "i").select("k", "rows", "columns", "tile", "pts")
         z = written(_added(in_batches(met, forward, _PART, TILE_ROWS)).select(F.col("of").alias("k"), F.col("tile").alias("z")), "tile-coefficients")
-        self.quadratic = self._square_of(z.select(F.col("z").alias("tile")))
+        self.quadratic = self._square_of(z.select(F.col("z").alias("tile"))) + self.spare[1]
         self._weights(z)
 
     def predict(self, points: DataFrame, id_col: str = "pred_id") -> DataFrame:

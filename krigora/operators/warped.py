@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from krigora.functions.networks import Network
-from krigora.sources.points import check
+from krigora.sources.places import Places
 
 from .strips import compact_model
 
@@ -26,25 +26,27 @@ class WarpedProcess:
     first. Points that the network brings together beyond what a strip holds are left to cells, which predict but give no slopes.
     """
 
-    def __init__(self, points: DataFrame, network: Network, network_parameters: Sequence[float], hyper: Sequence[float], **strips) -> None:
-        dims = check(points)["dims"]
-        if dims != network.dims:
-            raise ValueError(f"a network for {network.dims} coordinates, points of {dims}")
-        self.points, self.network, self.strips, self.model = points, network, strips, None
+    def __init__(self, points: DataFrame | Places, network: Network, network_parameters: Sequence[float], hyper: Sequence[float], **strips) -> None:
+        self.places = Places.of(points, strips.pop("noise", None), strips.pop("mean", None))
+        if self.places.dims != network.dims:
+            raise ValueError(f"a network for {network.dims} coordinates, points of {self.places.dims}")
+        self._own, self.network, self.strips, self.model = self.places is not points, network, strips, None
+        self.points = self.places.table.select("pt_id", "x", "y", "noise_var")
         self.set_parameters([*hyper, *network_parameters])
 
     def set_parameters(self, parameters: Sequence[float]) -> None:
         k = 1 + self.network.out
         if self.model is not None:
-            self.discard()
+            self._drop()
         self.hyper, self.weights = [float(h) for h in parameters[:k]], np.array(parameters[k:], float)
-        self.model = compact_model(self.warped(self.points), self.hyper, **self.strips)
+        self.model = compact_model(self.warped(self.points), self.hyper, mean=self.places.mean, **self.strips)
 
     def warped(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("x", self.network.column(F.col("x"), self.weights))
 
     def log_likelihood(self) -> float:
-        return self.model.log_likelihood()
+        p = self.places  # the model's points are the places before the network moves them
+        return self.model.log_likelihood() - 0.5 * float(p.logdet + p.square + (p.n - p.count) * np.log(2 * np.pi))
 
     def log_likelihood_variance(self) -> float:
         """Of a likelihood that cells estimate; strips are exact."""
@@ -74,5 +76,10 @@ class WarpedProcess:
 
     def discard(self) -> None:
         """Deletes the model's tables."""
+        self._drop()
+        if self._own:
+            self.places.discard()
+
+    def _drop(self) -> None:
         if hasattr(self.model, "discard"):
             self.model.discard()
