@@ -12,9 +12,12 @@ from pyspark.sql import Window as W
 from krigora.functions.kernels import distance
 from krigora.operators import covariance as C
 from krigora.sources.points import coordinates
+from krigora.sources.store import written
 
 #: Most (line, range) rows that are broadcast; with more the joins shuffle.
 BROADCAST_RANGES = 100_000
+#: Points that a task projects on all lines.
+TASK_POINTS = 50_000
 
 
 def _small(side: DataFrame, rows: int) -> DataFrame:
@@ -28,11 +31,17 @@ def running_gaps(a: DataFrame, b: DataFrame, lines: int = 1) -> DataFrame:
     Each of the ``lines`` lines is cut at approximate quantiles; sums over whole ranges come first, so that no task sorts a
     line. Null and NaN values are left out.
     """
-    spark = a.sparkSession
+    ones = [d.select("line", "at", F.lit(k).alias("a"), F.lit(1 - k).alias("b")) for d, k in ((a, 1), (b, 0))]
+    return _gaps(ones[0].unionByName(ones[1]), lines)
+
+
+def _gaps(rows: DataFrame, lines: int) -> DataFrame:
+    """``running_gaps`` of values with how often each sample has them: (line, at, a, b)."""
+    spark = rows.sparkSession
     parts = min(1000, max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    both = a.select("line", "at", F.lit(1).alias("in_a")).unionByName(b.select("line", "at", F.lit(0).alias("in_a"))).where("at IS NOT NULL AND NOT isnan(at)")
+    both = rows.where("at IS NOT NULL AND NOT isnan(at)")
     cuts = both.groupBy("line").agg(F.percentile_approx("at", [k / parts for k in range(1, parts)], 10 * parts).alias("cuts"))
-    steps = both.groupBy("line", "at").agg(F.sum("in_a").alias("a"), F.sum(1 - F.col("in_a")).alias("b"))
+    steps = both.groupBy("line", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     placed = steps.join(_small(cuts, lines), "line").withColumn("part", F.size(F.filter("cuts", lambda c: c <= F.col("at")))).drop("cuts")
     sums = placed.groupBy("line", "part").agg(F.sum("a").alias("part_a"), F.sum("b").alias("part_b"), F.min("at").alias("first"))
     along, whole = W.partitionBy("line").orderBy("part"), W.partitionBy("line")
@@ -62,12 +71,14 @@ def sliced_wasserstein(a: DataFrame, b: DataFrame, along: Sequence[Sequence[floa
     """Mean over the directions ``along`` of the 1-Wasserstein distance of the projected samples (x)."""
     dims = len(along[0])
 
-    def projected(d: DataFrame) -> DataFrame:
-        x = coordinates("x", dims)
-        dots = F.array(*[sum((x[k] * float(u[k]) for k in range(1, dims)), x[0] * float(u[0])) for u in along])
-        return d.select(F.posexplode(dots).alias("line", "at"))
-
-    by_line = running_gaps(projected(a), projected(b), len(along)).groupBy("line").agg(F.coalesce(F.sum(F.abs("gap") * F.col("width")), F.lit(0.0)).alias("w1"))
+    # Equal points are counted first; what is left is dealt to tasks of bounded size before every point becomes a row per line.
+    both = a.select("x", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select("x", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    places = written(both.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "sample-places")
+    tasks = max(1, -(-places.count() // TASK_POINTS))
+    x = coordinates("x", dims)
+    dots = F.array(*[sum((x[k] * float(u[k]) for k in range(1, dims)), x[0] * float(u[0])) for u in along])
+    rows = places.repartition(tasks).select("a", "b", F.posexplode(dots).alias("line", "at"))
+    by_line = _gaps(rows, len(along)).groupBy("line").agg(F.coalesce(F.sum(F.abs("gap") * F.col("width")), F.lit(0.0)).alias("w1"))
     return by_line.agg(F.avg("w1").alias("sliced_wasserstein"))
 
 
@@ -75,8 +86,7 @@ def _pair_sums(a: DataFrame, b: DataFrame, value: Callable[[Column], Column], di
     """Sizes of both samples and the sums of ``value``(distance) over the pairs a < a', b < b' and all (a, b)."""
     one = [1.0] * dims
     kernel = lambda x, y: value(distance(x, y, one))
-    halves = [C.half_covariance(d, kernel, dims).where("i < j") for d in (a, b)]
-    sums = [d.agg(F.coalesce(F.sum("v"), F.lit(0.0))).first()[0] for d in (*halves, C.cross_covariance(a, b, kernel, dims))]
+    sums = [C.weighted_sum(*d, kernel, dims).first()[0] for d in ((a, None), (b, None), (a, b))]
     return (a.count(), b.count()), tuple(sums)
 
 

@@ -118,3 +118,35 @@ def test_a_network_over_places(spark, repeated):
 def test_noise_must_be_positive(spark, repeated):
     with pytest.raises(ValueError, match="positive"):
         Places(repeated[0].withColumn("noise_var", F.lit(0.0)))
+
+
+def test_sums_over_pairs_from_places(spark, repeated):
+    pts, x, y, noise = repeated
+    from krigora.operators import covariance as C
+    from krigora.operators import samples
+
+    kernel = lambda a, b: K.default_kernel(a, b, HYPER)
+    full = block(x, x, HYPER) + 0.25 * np.eye(70)
+    got = C.place_fingerprint(pts, kernel, 2, 0.25).first()
+    assert (got["n"], got["nnz"]) == (70, 4900) and np.isclose(got["trace"], full.trace()) and np.isclose(got["frobenius"], np.linalg.norm(full))
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    a, b = pts.where("pt_id < 30"), pts.where("pt_id >= 30")
+    assert np.isclose(samples.energy_distance_points(a, b, 2), 2 * d[:30, 30:].mean() - d[:30, :30].mean() - d[30:, 30:].mean())
+    k = np.exp(-0.5 * d * d)
+    want = (k[:30, :30].sum() - 30) / (30 * 29) + (k[30:, 30:].sum() - 40) / (40 * 39) - 2 * k[:30, 30:].mean()
+    assert np.isclose(samples.mmd_rbf(a, b, 2, 0.5), want)
+    assert C._paired(C.counted(pts), C.counted(pts), 4000).count() <= 12 * 12
+    v = pts.select(F.col("pt_id").alias("i"), F.col("y").alias("v"))
+    product = C.ball_product(pts, v, HYPER[1:], 2, HYPER[0]).orderBy("i").toPandas()["v"]
+    assert np.allclose(product, wendland_block(x, x, HYPER) @ y)
+
+
+def test_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, repeated, monkeypatch):
+    from krigora.operators import covariance as C
+
+    monkeypatch.setattr(C, "TASK_PAIRS", 500)
+    one = repeated[0].coalesce(1)
+    assert C.half_covariance(one, lambda a, b: K.default_kernel(a, b, HYPER), 2).rdd.getNumPartitions() >= 10
+    monkeypatch.setattr(C, "BROADCAST_POINTS", 10)
+    got = C.half_covariance(one, lambda a, b: K.default_kernel(a, b, HYPER), 2, block=20)
+    assert got.rdd.getNumPartitions() >= 10 and got.count() == 70 * 71 // 2
