@@ -332,12 +332,26 @@ def z_value(interval: float) -> float:
     return NormalDist().inv_cdf(0.5 + interval / 2)
 
 
+def _exact_product(k: np.ndarray, kernel: np.ndarray, noise: np.ndarray, low: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """k' (K + V)^-1 r with one refinement and sums in extended precision, so that neither the order of points nor the machine's
+    linear algebra decides a last digit."""
+    wide = L.solve(low, r.astype(float)).astype(np.longdouble)
+    rest = r - noise * wide
+    for s in range(0, len(r), 256):
+        rest[s : s + 256] -= (kernel[s : s + 256] * wide).sum(1)
+    wide = wide + L.solve(low, rest.astype(float))
+    return np.array([(c * wide).sum() for c in k.T], np.longdouble)
+
+
 def grouped_posterior(points: DataFrame, group: str, queries: DataFrame, hyper: Sequence[float]) -> DataFrame:
     """One GP per group, all groups at once: (group, pred_id, m, v). ``queries`` (group, pred_id, x) meet their group's points.
 
-    A group is factorised in one task, so a group has 8000 points at most; a larger one raises (it takes a model of its own, in tiles).
+    Points of a group with equal coordinates are one place. A group's places are factorised in one task, so they are 8000 at most;
+    a larger group raises (it takes a model of its own, in tiles).
     """
     hyper = list(hyper)
+    y = F.coalesce(F.col("y"), F.lit(float("nan")))
+    places = points.groupBy(group, "x").agg(F.count("*").alias("n"), F.sum(y).alias("total"), F.sum(F.abs(y)).alias("size"))
 
     def solve(key: tuple, pts: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(ask):
@@ -347,12 +361,16 @@ def grouped_posterior(points: DataFrame, group: str, queries: DataFrame, hyper:
             m, v = np.zeros(len(q)), np.full(len(q), hyper[0])
         else:
             if len(pts) > 8000:
-                raise ValueError(f"{len(pts)} points in one group; a model in one task takes 8000")
-            x, y = np.array(pts["x"].tolist(), float), pts["y"].to_numpy(float)
-            low = L.cholesky(block(x, x, hyper) + max((np.abs(y).mean() / 100) ** 2, 1e-9) * np.eye(len(y)))
-            k = block(x, q, hyper)
-            m, v = y.mean() + k.T @ L.solve(low, y - y.mean()), np.maximum(0.0, hyper[0] - (L.forward(low, k) ** 2).sum(0))
+                raise ValueError(f"{len(pts)} places in one group; a model in one task takes 8000")
+            x = np.array(pts["x"].tolist(), float)
+            order = np.lexsort(x.T[::-1])
+            x, n, total, size = x[order], *(pts[c].to_numpy(float)[order] for c in ("n", "total", "size"))
+            mean, noise = total.astype(np.longdouble).sum() / n.sum(), max((size.sum() / n.sum() / 100) ** 2, 1e-9) / n
+            own, k = block(x, x, hyper), block(x, q, hyper)
+            low = L.cholesky(own + np.diag(noise))
+            m = float(mean) + _exact_product(k, own, noise, low, total / n - mean).astype(float)
+            v = np.maximum(0.0, hyper[0] - (L.forward(low, k) ** 2).sum(0))
         return pd.DataFrame({group: key[0], "pred_id": ask["pred_id"].to_numpy(), "m": m, "v": v})
 
     schema = f"{points.select(group).schema[0].simpleString().replace(':', ' ')}, pred_id long, m double, v double"
-    return points.groupBy(group).cogroup(queries.groupBy(group)).applyInPandas(solve, schema)
+    return places.groupBy(group).cogroup(queries.groupBy(group)).applyInPandas(solve, schema)

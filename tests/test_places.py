@@ -150,3 +150,20 @@ def test_pairs_are_dealt_to_as_many_tasks_as_they_need(spark, repeated, monkeypa
     monkeypatch.setattr(C, "BROADCAST_POINTS", 10)
     got = C.half_covariance(one, lambda a, b: K.default_kernel(a, b, HYPER), 2, block=20)
     assert got.rdd.getNumPartitions() >= 10 and got.count() == 70 * 71 // 2
+
+
+def test_groups_of_repeated_points_and_exact_ties(spark, repeated):
+    from krigora.operators.gp import grouped_posterior
+
+    pts, x, y, _ = repeated
+    q = np.random.default_rng(4).random((5, 2)) * 3
+    ask = _ask(spark, q).withColumn("g", F.lit(0))
+    noise = (np.abs(y).mean() / 100) ** 2
+    _same(grouped_posterior(pts.drop("noise_var").withColumn("g", F.lit(0)), "g", ask, HYPER), *_truth(x, y, np.full(70, noise), q, lambda a, b: block(a, b, HYPER))[3:])
+    # Two points at one distance on both sides of the query: their mean, to the last digit and in either order.
+    rng = np.random.default_rng(5)
+    pairs = [(g, [at], float(v)) for g in range(200) for at, v in zip(rng.permutation([0.0, 1.0]).tolist(), np.round(rng.normal(size=2), 5))]
+    rows = spark.createDataFrame(pairs, "g int, x array<double>, y double")
+    one = rows.select("g").distinct().select("g", F.lit(0).cast("long").alias("pred_id"), F.array(F.lit(0.5)).alias("x"))
+    got = grouped_posterior(rows, "g", one, [1.0, 1.0]).orderBy("g").toPandas()["m"].to_numpy()
+    assert (got == [(pairs[2 * g][2] + pairs[2 * g + 1][2]) / 2 for g in range(200)]).all()
