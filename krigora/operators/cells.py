@@ -14,7 +14,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from krigora.sources.places import Places
@@ -37,7 +37,7 @@ def _raw(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a, float).tobytes()
 
 
-def _summed(parts: DataFrame) -> DataFrame:
+def _summed(parts: DataFrame, tasks: int) -> DataFrame:
     """(block, n, v) sums of the matrices of each block; a block has a row for each of its neighbours at most."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -46,7 +46,18 @@ def _summed(parts: DataFrame) -> DataFrame:
             v += np.frombuffer(raw, float)
         return pd.DataFrame({"block": [key[0]], "n": [pdf["n"].iloc[0]], "v": [v.tobytes()]})
 
-    return parts.groupBy("block").applyInPandas(run, _VECTOR)
+    return parts.repartition(tasks, "block").groupBy("block").applyInPandas(run, _VECTOR)
+
+
+def _crowded(rows: DataFrame, names: Sequence[str], most: int, name: str) -> DataFrame:
+    """(cells, parts) of the cells with over ``most`` of ``rows``."""
+    crowded = written(rows.groupBy(*names).count().where(F.col("count") > most).select(*names, F.ceil(F.col("count") / most).alias("parts")), name)
+    return F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many blocks or domains: few bytes but much work each, so they are not dealt by size."""
+    return max(1, min(-(-rows // 4), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // 64))))
 
 
 class Cells:
@@ -73,15 +84,15 @@ class Cells:
             raise ValueError("noise variances must be positive")
         self.names = [f"c{k}" for k in range(self.grid)]
         rows = points.select(*self._cell("x"), F.col("pt_id").cast("long").alias("pt_id"), "x", variance.cast("double").alias("noise"), y.cast("double").alias("y"))
-        crowded = written(rows.groupBy(*self.names).count().where(F.col("count") > most).select(*self.names, F.ceil(F.col("count") / most).alias("parts")), "crowded-cells")
-        self._crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_CELLS else crowded
+        self.most, self._crowded = most, _crowded(rows, self.names, most, "crowded-cells")
         block = self._dealt(rows).groupBy("block", *self.names).agg(F.sort_array(F.collect_list(F.struct("pt_id", "x", "noise", "y"))).alias("pts"))
         self.blocks = written(block, "cells")
+        self.tasks = _tasks(self.spark, self.blocks.count())
         near = F.explode(F.array(*[F.struct(*[(F.col(c) + s).alias(c) for c, s in zip(self.names, step, strict=True)]) for step in product((-1, 0, 1), repeat=self.grid)]))
         left = self.blocks.select(F.col("block").alias("a"), F.flatten("pts.x").alias("xa"), F.col("pts.noise").alias("noise"), near.alias("c")).select("a", "xa", "noise", "c.*")
         right = self.blocks.select(F.col("block").alias("b"), F.flatten("pts.x").alias("xb"), *self.names)
         pairs = left.join(right, self.names).select("a", "b", "xa", "xb", F.when(F.col("a") == F.col("b"), F.col("noise")).alias("noise"))
-        self.pairs = written(pairs, "cell-pairs")
+        self.pairs = written(pairs.repartition(self.tasks, "b"), "cell-pairs")
 
     def _within(self, hyper: Sequence[float] | None) -> list[float]:
         """``hyper`` or the cells' own; the cells must be as wide as its lengths."""
@@ -93,10 +104,10 @@ class Cells:
     def _cell(self, x: str) -> list:
         return [F.floor(F.get(x, k) / w).alias(f"c{k}") for k, w in enumerate(self.widths)]
 
-    def _dealt(self, rows: DataFrame) -> DataFrame:
+    def _dealt(self, rows: DataFrame, crowded: DataFrame | None = None) -> DataFrame:
         """``rows`` (cells, pt_id, ...) with their block: the cell, and in a crowded one a part by hash."""
         part = F.pmod(F.xxhash64("pt_id"), F.coalesce(F.col("parts"), F.lit(1)))
-        return rows.join(self._crowded, self.names, "left").withColumn("block", F.concat_ws(":", *self.names, part)).drop("parts")
+        return rows.join(self._crowded if crowded is None else crowded, self.names, "left").withColumn("block", F.concat_ws(":", *self.names, part)).drop("parts")
 
     # --- vectors: one row a block, a matrix of its points by the columns
 
@@ -144,8 +155,9 @@ class Cells:
                     out.append(_raw(got if r.noise is None else got + np.asarray(r.noise)[:, None] * v))
                 yield pd.DataFrame({"block": p["a"], "n": [len(x) // dims for x in p["xa"]], "v": out})
 
-        met = self.pairs.join(vector.select(F.col("block").alias("b"), "v"), "b").select("a", "xa", "xb", "noise", "v")
-        return _summed(in_batches(met, run, _VECTOR))
+        sent = vector.select(F.col("block").alias("b"), "v").repartition(self.tasks, "b")
+        met = self.pairs.repartition(self.tasks, "b").join(sent, "b").select("a", "xa", "xb", "noise", "v")
+        return _summed(in_batches(met, run, _VECTOR), self.tasks)
 
     def fingerprint(self, hyper: Sequence[float] | None = None) -> dict[str, float]:
         """Rows, trace and Frobenius norm of K + V under ``hyper``, in one pass over the pairs."""
@@ -299,12 +311,14 @@ def _orthonormal(gram: np.ndarray) -> np.ndarray:
 class Schwarz:
     """Preconditioner of local solves: each cell's domain holds its points and those within ``overlap`` lengths of it.
 
-    Points are exploded to the domains they lie in (a crowded cell's domains take the points of their part), every domain is
-    inverted in its own task, and what domains say of a shared point is added up, which keeps the preconditioner symmetric.
+    Points are exploded to the domains they lie in, and what domains say of a shared point is added up, which keeps the
+    preconditioner symmetric. A domain is a row of its points; its matrix is made anew in the task that solves with it, so that
+    none is stored or shuffled. Crowded cells' domains take the points of their part, and those of over four rows'
+    points are dealt further.
     """
 
     def __init__(self, cells: Cells, overlap: float, hyper: Sequence[float]) -> None:
-        dims, names, reach = cells.dims, cells.names, overlap
+        names, reach = cells.names, overlap
         each = cells.blocks.select("block", F.size("pts").alias("n"), F.posexplode("pts").alias("at", "p"), *names)
         if overlap > 0:
             steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(names, step, strict=True)]) for step in product((-1, 0, 1), repeat=cells.grid)]))
@@ -313,19 +327,20 @@ class Schwarz:
                 x, least = F.get("p.x", k), (F.col(c) + F.col(f"s.{c}")) * w
                 near = near.where((x >= least - reach * hyper[k + 1]) & (x < least + w + reach * hyper[k + 1]))
             near = near.select("block", "n", "at", "p", *[(F.col(c) + F.col(f"s.{c}")).alias(c) for c in names])
+            more = _crowded(near, names, 4 * cells.most, "crowded-domains").withColumnRenamed("parts", "more")
+            crowded = cells._crowded.join(more, names, "full").select(*names, F.greatest("parts", "more").alias("parts"))
         else:
-            near = each
-        dealt = cells._dealt(near.select(F.col("block").alias("home"), "n", "at", F.col("p.pt_id").alias("pt_id"), F.col("p.x").alias("x"), F.col("p.noise").alias("noise"), *names))
+            near, crowded = each, cells._crowded
+        dealt = cells._dealt(near.select(F.col("block").alias("home"), "n", "at", F.col("p.pt_id").alias("pt_id"), F.col("p.x").alias("x"), F.col("p.noise").alias("noise"), *names), crowded)
 
-        def invert(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["home", "at"])
-            x = np.array(pdf["x"].tolist(), float).reshape(len(pdf), dims)
-            inverse = L.inverse(L.cholesky(wendland_block(x, x, hyper) + np.diag(pdf["noise"])))
             homes = [(h, g["n"].iloc[0], g["at"].to_numpy(np.int32).tobytes()) for h, g in pdf.groupby("home", sort=True)]
-            return pd.DataFrame({"domain": [key[0]], "inverse": [_raw(inverse)], "homes": [[h[0] for h in homes]], "sizes": [[h[1] for h in homes]], "places": [[h[2] for h in homes]]})
+            return pd.DataFrame({"domain": [key[0]], "x": [_raw(np.array(pdf["x"].tolist(), float))], "noise": [_raw(pdf["noise"].to_numpy())], "hyper": [list(hyper)], "homes": [[h[0] for h in homes]], "sizes": [[h[1] for h in homes]], "places": [[h[2] for h in homes]]})
 
-        made = dealt.groupBy(F.col("block").alias("domain")).applyInPandas(invert, "domain string, inverse binary, homes array<string>, sizes array<int>, places array<binary>")
+        made = dealt.withColumnRenamed("block", "domain").repartition(cells.tasks, "domain").groupBy("domain").applyInPandas(gather, "domain string, x binary, noise binary, hyper array<double>, homes array<string>, sizes array<int>, places array<binary>")
         self.domains = written(made, "domains")
+        self.tasks = cells.tasks
 
     def __call__(self, vector: DataFrame) -> DataFrame:
         asked = self.domains.select("domain", F.explode(F.arrays_zip("homes", "places")).alias("h")).select("domain", F.col("h.homes").alias("block"), F.col("h.places").alias("places"))
@@ -337,8 +352,10 @@ class Schwarz:
         def local(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
             d, got = own.iloc[0], dict(zip(sent["block"], sent["v"], strict=True))
             at = [np.frombuffer(p, np.int32) for p in d["places"]]
-            inverse = np.frombuffer(d["inverse"], float).reshape(sum(map(len, at)), -1)
-            solved = inverse @ np.concatenate([_matrix(got[h], len(a)) for h, a in zip(d["homes"], at, strict=True)])
+            x, noise = _matrix(d["x"], sum(map(len, at))), np.frombuffer(d["noise"], float)
+            k = wendland_block(x, x, d["hyper"])
+            k[np.diag_indices_from(k)] += noise
+            solved = L.solve(L.cholesky(k), np.concatenate([_matrix(got[h], len(a)) for h, a in zip(d["homes"], at, strict=True)]))
             out, k = [], 0
             for a, n in zip(at, d["sizes"], strict=True):
                 v = np.zeros((n, solved.shape[1]))
@@ -348,7 +365,8 @@ class Schwarz:
             return pd.DataFrame({"block": d["homes"], "n": d["sizes"], "v": out})
 
         sent = in_batches(asked.join(vector, "block").select("domain", "block", "n", "places", "v"), pick, "domain string, block string, v binary")
-        return _summed(self.domains.groupBy("domain").cogroup(sent.groupBy("domain")).applyInPandas(local, _VECTOR))
+        own, sent = (df.repartition(self.tasks, "domain") for df in (self.domains, sent))
+        return _summed(own.groupBy("domain").cogroup(sent.groupBy("domain")).applyInPandas(local, _VECTOR), self.tasks)
 
 
 class ApproximateInverse:
@@ -388,6 +406,7 @@ class ApproximateInverse:
                 out.append((key[0], b, len(own), sizes[j], ri[m].astype(np.int32).tobytes(), (ci[m] - (ends[j] - sizes[j])).astype(np.int32).tobytes(), g[m].tobytes()))
             return pd.DataFrame([o for o in out if o[6]], columns=["a", "b", "na", "nb", "ri", "ci", "g"])
 
+        self.tasks = cells.tasks
         self.triangle = written(near.groupBy("a").applyInPandas(rows, "a string, b string, na int, nb int, ri binary, ci binary, g binary"), "inverse-rows")
 
     def _times(self, vector: DataFrame, turned: bool) -> DataFrame:
@@ -403,7 +422,7 @@ class ApproximateInverse:
                     out.append(_raw(v))
                 yield pd.DataFrame({"block": p[to], "n": p[size], "v": out})
 
-        return _summed(in_batches(self.triangle.join(vector.select(F.col("block").alias(by), "v"), by), run, _VECTOR))
+        return _summed(in_batches(self.triangle.join(vector.select(F.col("block").alias(by), "v"), by), run, _VECTOR), self.tasks)
 
     def __call__(self, vector: DataFrame) -> DataFrame:
         return self._times(self._times(vector, False), True)
@@ -446,7 +465,7 @@ class WarmSolver:
         return self.solution, steps
 
     def _layout(self) -> dict:
-        return {"n": self.cells.n, "widths": self.cells.widths}
+        return {"n": self.cells.n, "widths": self.cells.widths, "domains": "points"}
 
     def _save(self) -> None:
         spark = self.cells.spark
@@ -464,7 +483,7 @@ class WarmSolver:
             return
         self.last, self.solution = kept["last"], written(spark.read.parquet(f"{self.path}/solution"), "warm-solution")
         self.precondition = Schwarz.__new__(Schwarz)
-        self.precondition.domains = written(spark.read.parquet(f"{self.path}/domains"), "domains")
+        self.precondition.domains, self.precondition.tasks = written(spark.read.parquet(f"{self.path}/domains"), "domains"), self.cells.tasks
 
 
 class CellGaussianProcess:
@@ -541,7 +560,7 @@ class CellGaussianProcess:
                     made.append((r.block, len(b), _raw(v)))
                 yield pd.DataFrame(made, columns=["block", "n", "v"])
 
-        near = _summed(in_batches(self._near(some), side, _VECTOR))
+        near = _summed(in_batches(self._near(some), side, _VECTOR), self.cells.tasks)
         whole = self.cells.blocks.select("block", F.size("pts").alias("n")).join(near.drop("n"), "block", "left")
 
         def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

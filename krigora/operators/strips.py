@@ -30,7 +30,9 @@ def wendland_block(a: np.ndarray, b: np.ndarray, hyper: Sequence[float]) -> np.n
     if not (len(a) and len(b)):
         return np.zeros((len(a), len(b)))
     d = K.distance([a[:, k][:, None] for k in range(a.shape[1])], [b[:, k][None] for k in range(b.shape[1])], hyper[1:], K.NUMPY)
-    return hyper[0] * K.wendland(d, K.NUMPY)
+    out, near = np.zeros(d.shape), ~(d >= 1.0)  # most pairs of touching cells are out of reach
+    out[near] = hyper[0] * K.wendland(d[near], K.NUMPY)
+    return out
 
 
 def wendland_slopes(a: np.ndarray, b: np.ndarray, hyper: Sequence[float]) -> Iterator[np.ndarray]:

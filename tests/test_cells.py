@@ -103,6 +103,25 @@ def test_warm_starts(spark, made, tmp_path):
         cells.product(cells.column("y"), [2.0, 50.0, 0.4])
 
 
+def test_domains_are_rows_of_points_not_matrices(spark):
+    """A domain's row grows with its points, which are bounded, and not with their square; every point is in one at least."""
+    pts, x, y = _points(spark, 400, seed=5)
+    cells = Cells(pts, HYPER, aim=10, most=30)
+    p = cells.schwarz(0.5)
+    rows = p.domains.collect()
+    for r in rows:
+        n = len(r.noise) // 8
+        assert n <= 5 * cells.most and sum(len(v) for v in r if isinstance(v, bytearray)) + sum(map(len, r.places)) <= 40 * n
+    assert max(len(r.noise) // 8 for r in rows) > 30
+    got, _ = cells.solve(cells.column("y"), p, tol=1e-8)
+    assert np.allclose(_column(cells, got), np.linalg.solve(_dense(x), y), atol=1e-6)
+
+
+def test_work_is_dealt_by_blocks_not_bytes(made):
+    cells, _, _ = made
+    assert cells.product(cells.column("y")).rdd.getNumPartitions() > 1 and cells.schwarz(0.5)(cells.column("y")).rdd.getNumPartitions() > 1
+
+
 def test_unfinished_solve_raises(made):
     with pytest.raises(RuntimeError, match="after 2 iterations"):
         made[0].solve(made[0].column("y"), None, most=2)
