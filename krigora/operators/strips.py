@@ -23,6 +23,8 @@ from . import linalg as L
 
 _NODE = "kind string, pos long, n int, d binary, u binary, b binary, logdet double, square double"
 _RESULT = "pos long, x binary, s binary, su binary"
+#: Places of a strip, beyond which a model that is asked for weights only is made in cells.
+WEIGHTS_MOST = 600
 
 
 def wendland_block(a: np.ndarray, b: np.ndarray, hyper: Sequence[float]) -> np.ndarray:
@@ -132,11 +134,17 @@ class Crowded(ValueError):
     """A strip has more points than one task takes."""
 
 
-def compact_model(points: DataFrame | Places, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, predicts: bool = True, **strips):
-    """A model with ``weights`` and ``predict`` in strips or, where a strip would be too crowded for one task, in cells."""
+def compact_model(points: DataFrame | Places, hyper: Sequence[float], noise: float | None = None, mean: float | None = None, predicts: bool = True, weights_only: bool = False, **strips):
+    """A model with ``weights`` and ``predict`` in strips or, where a strip would be too crowded for one task, in cells.
+
+    With ``weights_only`` (no predictions, no slopes) that is over ``WEIGHTS_MOST`` places: several matrices of a strip are one
+    row of its tables, and cells have the same weights from rows of points.
+    """
     from .cells import CellGaussianProcess
 
     places = Places.of(points, noise, mean)
+    if weights_only:
+        predicts, strips = False, {"most": WEIGHTS_MOST} | strips
     try:
         return StripGaussianProcess(places, hyper, predicts=predicts, **strips)
     except Crowded:

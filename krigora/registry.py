@@ -208,8 +208,8 @@ SELECT unnest(ids) AS i, round(unnest(x), 4) + 0.0::DOUBLE AS alpha FROM (SELECT
 
 @_query(_CG)
 def sparse_solve(spark: SparkSession, d: str) -> DataFrame:
-    """(K + V) a = y - mean over all parts by strips."""
-    gp = compact_model(_parts(spark, d), [1.5, *BALL], NOISE, predicts=False)
+    """(K + V) a = y - mean over all parts, by strips or, where those are wide, by cells."""
+    gp = compact_model(_parts(spark, d), [1.5, *BALL], NOISE, weights_only=True)
     return gp.weights().select("i", _r(F.col("alpha"), 4).alias("alpha"))
 
 

@@ -97,6 +97,18 @@ def test_strips_and_cells(spark, repeated):
     _same(cells.predict(_ask(spark, q)), m, v)
 
 
+def test_weights_alone_take_cells_where_strips_are_wide(spark, repeated, monkeypatch):
+    """A strip's row grows with the square of its places, so their number is bounded for weights; predictions keep their strips."""
+    from krigora.operators import strips
+
+    pts, x, y, noise = repeated
+    monkeypatch.setattr(strips, "WEIGHTS_MOST", 5)
+    gp = strips.compact_model(pts, HYPER, weights_only=True)
+    assert isinstance(gp, CellGaussianProcess) and isinstance(strips.compact_model(pts, HYPER, predicts=False), StripGaussianProcess)
+    alpha = np.linalg.solve(wendland_block(x, x, HYPER) + np.diag(noise), y - y.mean())
+    assert np.allclose(gp.weights().orderBy("i").toPandas()["alpha"], alpha, atol=1e-6)
+
+
 def test_a_network_over_places(spark, repeated):
     pts, x, y, noise = repeated
     net = Network(2, 3)
