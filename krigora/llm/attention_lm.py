@@ -2,15 +2,18 @@
 
 The model predicts the next subword's class (a frequent id is a class of its own, the others share classes by frequency) by one
 layer of self-attention with learned weights of distances; within a class an id has its smoothed share of the corpus. Words
-and, through them, subwords are counted over all training texts; the attention is trained by rounds in which every task takes
-steps from the same weights on windows of its own and Spark averages what they have reached. Texts are scored in overlapping
-windows: each has the ids before its own as context, scores its own ids alone, and many windows go through one masked product.
+and, through them, subwords are counted over all training texts; the attention is trained on every id of them, by rounds in which
+every task takes steps from the same weights on texts of its own and Spark averages what they have reached. Texts are scored in
+overlapping windows, as they are learned: each has the ids before its own as context, scores its own ids alone, and many windows
+go through one masked product. Texts are encoded once, into a table of ids that training and scoring read.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from contextlib import suppress
 from itertools import chain, islice
 
 import numpy as np
@@ -28,10 +31,10 @@ LENGTH = CONTEXT + OWN
 #: Width of the model; classes, and how many of them hold one id; ids with a vector of their own.
 WIDTH, CLASSES, SINGLE, VECTORS = 8, 64, 48, 2048
 BEGIN, PAD, ROWS = VECTORS + CLASSES, VECTORS + CLASSES + 1, VECTORS + CLASSES + 2
-#: Of a text's chunks of so many words every so-manyth gives windows to train on.
-CHUNK_WORDS, ONE_IN = 64, 32
-#: Windows of a step; the least steps of a task in a round; passes over the windows.
-STEP_WINDOWS, LEAST_STEPS, ROUNDS = 128, 40, 3
+#: Windows of a step; windows that are put in random order together; the least steps of a task in a round.
+STEP_WINDOWS, MIXED_WINDOWS, LEAST_STEPS = 256, 1 << 13, 40
+#: Sixteenths of the training texts that each round takes: every text is in one round, and the first rounds are short.
+ROUNDS = (1, 4, 11)
 #: At most so many words, of at most so many bytes, are in the table that every task has; the others' counts are joined.
 HOT_WORDS, HOT_BYTES = 100_000, 64
 #: Words that a task remembers.
@@ -217,59 +220,114 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def _cap(z: np.ndarray) -> None:
+    """At most 60 from here on, so that no exponential overflows; that is looked up first, as it is rare."""
+    if z.size and z.max() > 60:
+        np.minimum(z, 60, out=z)
+
+
+def _exp(a: np.ndarray) -> None:
+    _cap(a)
+    np.exp(a, out=a)
+
+
+def _keep_memory() -> None:
+    """Arrays of a step are taken from memory that the process keeps, instead of asking the system for it each time."""
+    with suppress(OSError, AttributeError):
+        c = ctypes.CDLL(None)
+        c.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        c.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+
+
 def loss_and_slopes(w: dict[str, np.ndarray], rows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of the classes ``targets`` (windows, OWN; -1: none) after the inputs ``rows`` (windows, LENGTH), and its slopes."""
-    root = np.float32(WIDTH**-0.5)
-    x = w["e"][rows]
-    xq = x[:, CONTEXT:]
-    q, k, v = xq @ w["q"] * root, x @ w["k"], x @ w["v"]
-    a = q @ k.transpose(0, 2, 1) + np.where(_DISTANCE >= 0, w["d"][np.maximum(_DISTANCE, 0)], _BLOCKED) + np.where(rows == PAD, _BLOCKED, np.float32(0))[:, None]
-    a = np.exp(a - a.max(2, keepdims=True))
-    a /= a.sum(2, keepdims=True)
-    o = a @ v
-    z = xq @ w["u"] + o @ w["o"] + w["b"]
-    z -= z.max(2, keepdims=True)
-    p = np.exp(z)
-    total = p.sum(2, keepdims=True)
-    valid = targets >= 0
-    n = max(1, int(valid.sum()))
-    at = np.maximum(targets, 0)[..., None]
-    loss = float(((np.log(total) - np.take_along_axis(z, at, 2))[..., 0] * valid).sum() / n)
-    dz = p / total
-    np.put_along_axis(dz, at, np.take_along_axis(dz, at, 2) - 1, 2)
-    dz *= (valid[..., None] / np.float32(n)).astype(np.float32)
-    g, wide = {}, lambda m: m.reshape(-1, m.shape[-1])
-    g["b"], g["u"], g["o"] = wide(dz).sum(0), wide(xq).T @ wide(dz), wide(o).T @ wide(dz)
-    do, dxq = dz @ w["o"].T, dz @ w["u"].T
-    da, dv = do @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    g["d"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), (ds.sum(0) * (_DISTANCE >= 0)).ravel(), LENGTH).astype(np.float32)
-    dq, dk = ds @ k * root, ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = wide(xq).T @ wide(dq), wide(x).T @ wide(dk), wide(x).T @ wide(dv)
-    dx = dk @ w["k"].T + dv @ w["v"].T
-    dx[:, CONTEXT:] += dxq + dq @ w["q"].T
-    at, dx = rows.ravel(), wide(dx)
-    g["e"] = np.stack([np.bincount(at, dx[:, j], ROWS) for j in range(WIDTH)], 1).astype(np.float32)
+    kind, windows, ids = w["e"].dtype.type, len(rows), rows.ravel()
+    root, each = kind(WIDTH**-0.5), lambda m: m.reshape(windows, -1, m.shape[-1])
+    x = np.take(w["e"], ids, 0)
+    xq = each(x)[:, CONTEXT:].reshape(-1, WIDTH)
+    # A column more: of the keys, what blocks padding; of the values, ones, whose product is the sum of the weights.
+    q, k, v = np.ones((len(xq), WIDTH + 1), kind), np.zeros((len(x), WIDTH + 1), kind), np.ones((len(x), WIDTH + 1), kind)
+    q[:, :WIDTH], k[:, :WIDTH], v[:, :WIDTH] = xq @ (w["q"] * root), x @ w["k"], x @ w["v"]
+    k[ids == PAD, WIDTH] = _BLOCKED
+    q, k, v = each(q), each(k), each(v)
+    a = q @ k.transpose(0, 2, 1)
+    a += np.where(_DISTANCE >= 0, w["d"][np.maximum(_DISTANCE, 0)], kind(_BLOCKED))
+    _exp(a)
+    o = (a @ v).reshape(-1, WIDTH + 1)
+    total = np.maximum(o[:, WIDTH:], kind(1e-30))
+    xo, uo = np.concatenate([xq, o[:, :WIDTH] / total], 1), np.concatenate([w["u"], w["o"]])
+    z = xo @ uo
+    z += w["b"]
+    own, target = np.arange(len(z)), targets.ravel()
+    valid, target = target >= 0, np.maximum(target, 0)
+    share = valid / kind(max(1, int(valid.sum())))
+    _cap(z)
+    hit = z[own, target]
+    np.exp(z, out=z)
+    sums = np.maximum(z @ np.ones(CLASSES, kind), kind(1e-30))
+    loss = float(((np.log(sums) - hit) * share).sum())
+    z *= (share / sums).astype(kind)[:, None]  # from here on the slopes by z
+    z[own, target] -= share.astype(kind)
+    g, guo, dxo = {"b": np.ones(len(z), kind) @ z}, xo.T @ z, z @ uo.T
+    g["u"], g["o"] = guo[:WIDTH], guo[WIDTH:]
+    do = np.empty((len(z), WIDTH + 1), kind)
+    do[:, :WIDTH] = dxo[:, WIDTH:] / total
+    do[:, WIDTH] = -(do[:, :WIDTH] * xo[:, WIDTH:]).sum(1)
+    do = each(do)
+    dkv = np.empty((windows, LENGTH, 2 * WIDTH), kind)
+    dkv[..., WIDTH:] = a.transpose(0, 2, 1) @ do[..., :WIDTH]
+    ds = do @ v.transpose(0, 2, 1)
+    ds *= a
+    dkv[..., :WIDTH] = ds.transpose(0, 2, 1) @ q[..., :WIDTH]
+    dq = (ds @ k[..., :WIDTH]).reshape(-1, WIDTH) * root
+    by_distance = (np.ones(windows, kind) @ ds.reshape(windows, -1)).reshape(OWN, LENGTH) * (_DISTANCE >= 0)
+    g["d"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), by_distance.ravel(), LENGTH).astype(kind)
+    gkv = x.T @ dkv.reshape(-1, 2 * WIDTH)
+    g["q"], g["k"], g["v"] = xq.T @ dq, gkv[:, :WIDTH], gkv[:, WIDTH:]
+    dx = each(dkv.reshape(-1, 2 * WIDTH) @ np.concatenate([w["k"], w["v"]], 1).T)
+    dx[:, CONTEXT:] += each(dxo[:, :WIDTH] + dq @ w["q"].T)
+    at = (ids[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    g["e"] = np.bincount(at, dx.ravel(), ROWS * WIDTH).reshape(ROWS, WIDTH).astype(kind)
     return loss, g
 
 
-def train_steps(w: dict[str, np.ndarray], rows: np.ndarray, targets: np.ndarray, seed: Sequence[int], rate: float) -> dict[str, np.ndarray]:
-    """Adam over the windows in random order, all of them once and ``LEAST_STEPS`` steps at least."""
-    rng, m, s, t = np.random.default_rng(seed), None, None, 0
-    w = {k: x.copy() for k, x in w.items()}
-    while t < LEAST_STEPS or t * STEP_WINDOWS < len(rows):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(rows), STEP_WINDOWS):
-            pick = order[at : at + STEP_WINDOWS]
-            _, g = loss_and_slopes(w, rows[pick].astype(np.int64), targets[pick].astype(np.int64))
-            m = g if m is None else {k: 0.9 * m[k] + 0.1 * g[k] for k in g}
-            s = {k: g[k] ** 2 for k in g} if s is None else {k: 0.99 * s[k] + 0.01 * g[k] ** 2 for k in g}
-            t += 1
-            for k in w:
-                w[k] -= np.float32(rate) * m[k] / (np.sqrt(s[k]) + np.float32(1e-7))
-            if t >= LEAST_STEPS and t * STEP_WINDOWS >= len(rows):
-                break
-    return w
+def train_steps(w: dict[str, np.ndarray], parts: Iterator[tuple[np.ndarray, np.ndarray]], seed: Sequence[int], rate: float) -> tuple[dict[str, np.ndarray], int]:
+    """Adam over all windows (rows, targets) of ``parts``, each once, in random order among ``MIXED_WINDOWS`` or more, and how many
+    they were; fewer windows than ``LEAST_STEPS`` steps take are gone over again."""
+    rng, x, windows, t = np.random.default_rng(seed), flat(w), 0, 0
+    m, s = np.zeros_like(x), np.zeros_like(x)
+
+    def step(rows: np.ndarray, targets: np.ndarray) -> None:
+        nonlocal t
+        g = flat(loss_and_slopes(unflat(x), rows.astype(np.int64), targets.astype(np.int64))[1])
+        keep = np.float32(t > 0)  # the first step's slopes count in full
+        m[:] = g + keep * np.float32(0.9) * (m - g)
+        s[:] = g * g + keep * np.float32(0.99) * (s - g * g)
+        x[:] -= np.float32(rate) * m / (np.sqrt(s) + np.float32(1e-7))
+        t += 1
+
+    rows, targets, ended = np.zeros((0, LENGTH), np.int16), np.zeros((0, OWN), np.int16), False
+    while not ended:
+        got, n = [(rows, targets)], len(rows)
+        while n < MIXED_WINDOWS and not ended:
+            part = next(parts, None)
+            ended = part is None
+            if part is not None:
+                got.append(part)
+                n, windows = n + len(part[0]), windows + len(part[0])
+        rows, targets = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = rng.permutation(n)
+        rows, targets, whole = rows[order], targets[order], n if ended else n - n % STEP_WINDOWS
+        for at in range(0, whole, STEP_WINDOWS):
+            step(rows[at : at + STEP_WINDOWS], targets[at : at + STEP_WINDOWS])
+        if not ended:
+            rows, targets = rows[whole:], targets[whole:]
+    while 0 < t < LEAST_STEPS and n:
+        order = rng.permutation(n)
+        for at in range(0, n, STEP_WINDOWS):
+            if t < LEAST_STEPS:
+                step(rows[order[at : at + STEP_WINDOWS]], targets[order[at : at + STEP_WINDOWS]])
+    return unflat(x), windows
 
 
 def _padded(ids: np.ndarray, off: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -302,7 +360,7 @@ class Scorer:
         self.ones = np.ones(CLASSES, np.float32)
         self.distance = np.where(_DISTANCE >= 0, w["d"][np.maximum(_DISTANCE, 0)], _BLOCKED).astype(np.float32)
 
-    def log10(self, ids: np.ndarray, off: np.ndarray, at_once: int = 128) -> np.ndarray:
+    def log10(self, ids: np.ndarray, off: np.ndarray, at_once: int = 256) -> np.ndarray:
         """log10 probability of each text of ids."""
         vocabulary, out = self.vocabulary, np.zeros(len(off) - 1)
         target = vocabulary.classes[ids].astype(np.int64)
@@ -315,13 +373,13 @@ class Scorer:
                 rq = np.ascontiguousarray(r[:, CONTEXT:])
                 a = np.take(self.q, rq, 0, mode="clip") @ np.take(self.k, r, 0, mode="clip").transpose(0, 2, 1)
                 a += self.distance
-                np.exp(np.minimum(a, 60, out=a), out=a)
+                _exp(a)
                 o = a @ np.take(self.v, r, 0, mode="clip")
                 total = o[..., -1:]  # the last column of v is one
                 o /= total
                 z = o.reshape(-1, WIDTH + 1) @ self.o
                 z += np.take(self.u, rq.ravel(), 0, mode="clip")
-                np.minimum(z, 60, out=z)
+                _cap(z)
                 hit = z[np.arange(len(z)), classes[np.maximum(places, 0)].ravel()]
                 np.exp(z, out=z)
                 got = np.where(places.ravel() >= 0, hit - np.log(z @ self.ones), 0.0).reshape(places.shape).sum(1, dtype=float)
@@ -338,58 +396,45 @@ def _runs(off: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def training_windows(texts: DataFrame, path: tuple[str, str], vocabulary: Vocabulary) -> DataFrame:
-    """(rows, targets) of the windows to train on: of every text (doc_id, text) each ``ONE_IN``-th chunk, so they grow with the corpus."""
-    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
+def text_ids(batch: pa.RecordBatch, column: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a batch's texts, one after the other, and the texts' offsets, from a binary column of them."""
+    raw, off = text_bytes(batch.column(column))
+    kind = _id_type(size)
+    return np.frombuffer(raw.tobytes(), kind).astype(np.int64), off // np.dtype(kind).itemsize
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sub, vocabulary = Subwords(path), sent.value
-        for b in batches:
-            for part in by_bytes(b, 4 << 20):
-                chunks, head = [], []
-                for doc_id, words in zip(part.column(0).to_pylist(), _words(part.column(1)), strict=True):
-                    starts = np.arange(0, len(words) + 1, CHUNK_WORDS)
-                    for s in starts[np.random.default_rng([abs(doc_id or 0), 13]).integers(0, ONE_IN, len(starts)) == 0].tolist():
-                        chunks.append(words[s : s + CHUNK_WORDS])
-                        head.append(s == 0)
-                if not chunks:
-                    continue
-                head, short = np.array(head), np.fromiter((len(c) < CHUNK_WORDS for c in chunks), bool, len(chunks))
-                slots, off = sub.slots(chunks)
-                # The end of a text is learned where a chunk is its last one, as a chunk short of words.
-                keep = np.ones(len(slots), bool)
-                keep[off[1:][~short] - 1] = False
-                sizes = np.diff(off) - ~short
-                slots, off = slots[keep], np.concatenate([[0], np.cumsum(sizes)])
-                ends = np.cumsum(sub.length[slots])
-                ids = sub.expand(slots)
-                rows, own, text, number = _padded(ids, np.concatenate([[0], ends[off[1:] - 1]]), vocabulary)
-                use = head[text] | (number > 0)  # the first ids of a chunk inside a text are context only
-                rows, own = rows[use], own[use]
-                rows[rows == BEGIN] = np.where(head[text[use]][np.nonzero(rows == BEGIN)[0]], BEGIN, PAD)
-                targets = np.where(own >= 0, vocabulary.classes[ids[np.maximum(own, 0)]], -1)
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows.astype(np.int16)], pa.binary()), pa.array([t.tobytes() for t in targets.astype(np.int16)], pa.binary())], names=["rows", "targets"])
-
-    return in_arrow(texts, cut, "rows binary, targets binary")
-
-
-def train(windows: DataFrame, level: np.ndarray, rounds: int = ROUNDS, rate: float = 0.01) -> dict[str, np.ndarray]:
-    """Rounds of steps in every task from common weights, which are averaged by their windows."""
-    spark, w = windows.sparkSession, first_weights(level)
-    for turn in range(rounds):
-        sent = spark.sparkContext.broadcast(w)
+
+def _id_type(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def training_windows(ids: np.ndarray, off: np.ndarray, vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, targets) of all windows of texts of ids: every id is the target of one, after what the scorer sees before it."""
+    for first, end in _runs(off):
+        some = ids[off[first] : off[end]]
+        rows, own, _, _ = _padded(some, off[first : end + 1] - off[first], vocabulary)
+        yield rows.astype(np.int16), np.where(own >= 0, vocabulary.classes[some[np.maximum(own, 0)]], -1).astype(np.int16)
+
+
+def train(texts: DataFrame, vocabulary: Vocabulary, rounds: Sequence[int] = ROUNDS, rate: float = 0.01) -> dict[str, np.ndarray]:
+    """Rounds of steps in every task from common weights, which are averaged by their windows, over all of ``texts`` (row, ids).
+
+    Each round takes its share of the texts by a hash of ``row``; the rounds' shares are all texts, each once.
+    """
+    spark, w = texts.sparkSession, first_weights(vocabulary.level)
+    ends = np.cumsum(rounds).tolist()
+    size, bucket = len(vocabulary.classes), F.pmod(F.xxhash64("row"), F.lit(ends[-1]))
+    for turn, (start, end) in enumerate(zip([0, *ends], ends, strict=False)):
+        sent = spark.sparkContext.broadcast((w, vocabulary))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            rows, targets = [], []
-            for b in batches:
-                rows.append(np.frombuffer(b"".join(b.column(0).to_pylist()), np.int16).reshape(-1, LENGTH))
-                targets.append(np.frombuffer(b"".join(b.column(1).to_pylist()), np.int16).reshape(-1, OWN))
-            if not sum(map(len, rows)):
+            _keep_memory()
+            (w, vocabulary), task = sent.value, TaskContext.get().partitionId()
+            parts = chain.from_iterable(training_windows(*text_ids(part, 0, size), vocabulary) for b in batches for part in by_bytes(b, 4 << 20))
+            w, windows = train_steps(w, parts, [13, turn, task], rate / (1 + turn))
+            if not windows:
                 return
-            rows, targets = np.concatenate(rows), np.concatenate(targets)
-            task = TaskContext.get().partitionId()
-            x = flat(train_steps(sent.value, rows, targets, [13, turn, task], rate / (1 + turn))).astype(float) * len(rows)
-            parts = np.array_split(np.append(x, len(rows)), _SLICES)
+            x = flat(w).astype(float) * windows
+            parts = np.array_split(np.append(x, windows), _SLICES)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES)), pa.array(np.full(_SLICES, task % 64)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "salt", "x"])
 
         def total(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -399,7 +444,7 @@ def train(windows: DataFrame, level: np.ndarray, rounds: int = ROUNDS, rate: flo
             return pd.DataFrame({"part": [pdf["part"].iloc[0]], "salt": [0], "x": [x.tobytes()]})
 
         schema = "part long, salt long, x binary"
-        got = in_arrow(windows, run, schema).groupBy("part", "salt").applyInPandas(total, schema).groupBy("part").applyInPandas(total, schema).collect()
+        got = in_arrow(texts.where((bucket >= start) & (bucket < end)).select("ids"), run, schema).groupBy("part", "salt").applyInPandas(total, schema).groupBy("part").applyInPandas(total, schema).collect()
         if got:
             x = np.concatenate([np.frombuffer(r["x"], float) for r in sorted(got, key=lambda r: r["part"])])
             w = unflat(x[:-1] / x[-1])
@@ -433,12 +478,11 @@ def score_texts(docs: DataFrame, tokenizer: tuple[str, str], held_out: int = 2,
     is_hot = (F.length("word") == 0) | (F.lit(bound is not None) & (level >= F.lit(bound or 0)) & (F.length("word") <= HOT_BYTES))
     hot = {bytes(r["word"]): r["n"] for r in words.where(is_hot).collect()}
     vocabulary = Vocabulary(subword_counts(words, tokenizer))
-    windows = written(training_windows(learned, tokenizer, vocabulary), "lm-windows")
-    sent = spark.sparkContext.broadcast((hot, vocabulary, train(windows, vocabulary.level)))
+    sent = spark.sparkContext.broadcast(hot)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, vocabulary, weights = sent.value
-        sub, model = Subwords(tokenizer, hot), Scorer(weights, vocabulary)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sub, at = Subwords(tokenizer, sent.value), TaskContext.get().partitionId() << 33
+        kind = np.dtype(_id_type(sub.size))
         for b in batches:
             for part in by_bytes(b, 4 << 20):
                 slots, off = sub.slots(_words(part.column(1)))
@@ -448,17 +492,28 @@ def score_texts(docs: DataFrame, tokenizer: tuple[str, str], held_out: int = 2,
                 # Words that are not in the table: (row, slot) and how often, for the join.
                 far = np.flatnonzero((c < 0) & (slots > 0))
                 pairs, times = np.unique(np.searchsorted(off, far, "right") * (1 << 32) + slots[far], return_counts=True)
-                row, names = (pairs >> 32) - 1, [sub.names[k] for k in (pairs & 0xFFFFFFFF).tolist()]
-                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"]))
-                ends = np.cumsum(sub.length[slots])
-                got = model.log10(sub.expand(slots), np.concatenate([[0], ends[off[1:] - 1]]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(known), pa.array(logs), pa.array(got), rare], names=["doc_id", "n_tokens", "known", "logs", "score", "rare"])
-
-    scored = written(in_arrow(picked, score, "doc_id long, n_tokens long, known long, logs double, score double, rare array<struct<word:binary,times:long>>"), "lm-scores")
-    numbered = scored.withColumn("row", F.monotonically_increasing_id())  # the written files and their order stay
+                of, names = (pairs >> 32) - 1, [sub.names[k] for k in (pairs & 0xFFFFFFFF).tolist()]
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(part.num_rows + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(times, pa.int64())], names=["word", "times"]))
+                ends = np.concatenate([[0], np.cumsum(sub.length[slots])[off[1:] - 1]]) * kind.itemsize
+                ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(sub.expand(slots).astype(kind))]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(at + np.arange(part.num_rows)), part.column(0), pa.array(np.diff(off)), pa.array(known), pa.array(logs), rare, ids], names=["row", "doc_id", "n_tokens", "known", "logs", "rare", "ids"])
+                at += part.num_rows
+
+    numbered = written(in_arrow(picked, encode, "row long, doc_id long, n_tokens long, known long, logs double, rare array<struct<word:binary,times:long>>, ids binary"), "lm-ids")
+    model = spark.sparkContext.broadcast((vocabulary, train(numbered.where(fold("doc_id", folds) != held_out), vocabulary)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_memory()
+        vocabulary, weights = model.value
+        scorer = Scorer(weights, vocabulary)
+        for b in batches:
+            for part in by_bytes(b, 4 << 20):
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scorer.log10(*text_ids(part, part.num_columns - 1, len(vocabulary.classes))))], names=["row", "doc_id", "n_tokens", "known", "logs", "score"])
+
+    scored = written(in_arrow(numbered.select("row", "doc_id", "n_tokens", "known", "logs", "ids"), score, "row long, doc_id long, n_tokens long, known long, logs double, score double"), "lm-scores")
     each = numbered.select(F.col("row").alias("of"), F.explode("rare").alias("w")).select("of", "w.word", "w.times")
     counts = words.where(~is_hot).withColumnRenamed("word", "counted")
     more = each.join(counts, F.col("word") == F.col("counted")).groupBy("of").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    both = numbered.drop("rare").join(more, F.col("row") == F.col("of"), "left")
+    both = scored.join(more, F.col("row") == F.col("of"), "left")
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(total + distinct + 1))
     return both.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -213,6 +213,38 @@ def test_slopes_and_windows():
     assert abs((10 ** (more - got[1])).sum() - 1) < 1e-3
 
 
+def test_every_training_id_is_learned(spark, monkeypatch):
+    """Over all rounds and tasks each id of the training texts is a target once, after all that the scorer sees before it."""
+    seen = spark.sparkContext.accumulator(0)
+    steps = attention_lm.train_steps
+
+    def counted(w, parts, seed, rate):
+        def tell():
+            for rows, targets in parts:
+                seen.add(int((targets >= 0).sum()))
+                yield rows, targets
+
+        return steps(w, tell(), seed, rate)
+
+    monkeypatch.setattr(attention_lm, "train_steps", counted)
+    docs = [(k, " ".join(f"word{(k * j) % 89}" for j in range(k % 300))) for k in range(400)]
+    attention_lm.score_texts(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), byte_vocabulary()).count()
+    sub = attention_lm.Subwords(byte_vocabulary())
+    want = [len(sub.expand(sub.slots(attention_lm._words(pa.array([t])))[0])) for k, t in docs if zlib.crc32(str(k).encode()) % 7 != 2]
+    assert seen.value == sum(want)
+
+
+def test_windows_are_the_scorers():
+    rng = np.random.default_rng(8)
+    voc, ids, off = attention_lm.Vocabulary(rng.integers(0, 500, 7000)), rng.integers(0, 7000, 1000), np.array([0, 1, 1, 400, 417, 1000])
+    (got,) = attention_lm.training_windows(ids, off, voc)
+    rows, own, _, _ = attention_lm._padded(ids, off, voc)
+    assert (got[0] == rows).all() and sorted(own[own >= 0].tolist()) == list(range(1000)) and (got[1][own >= 0] == voc.classes[ids[own[own >= 0]]]).all() and (got[1][own < 0] == -1).all()
+    w, n = attention_lm.train_steps(attention_lm.first_weights(voc.level), iter([got, got]), [1], 0.01)
+    assert n == 2 * len(rows) and attention_lm.loss_and_slopes(w, rows, got[1].astype(int))[0] < attention_lm.loss_and_slopes(attention_lm.first_weights(voc.level), rows, got[1].astype(int))[0]
+    assert attention_lm.train_steps(w, iter([]), [1], 0.01)[1] == 0
+
+
 def test_words_encoded_together():
     """What a word is encoded as does not hang on the words that it is encoded with; white space of other kinds included."""
     import tiktoken
