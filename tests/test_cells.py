@@ -117,6 +117,16 @@ def test_domains_are_rows_of_points_not_matrices(spark):
     assert np.allclose(_column(cells, got), np.linalg.solve(_dense(x), y), atol=1e-6)
 
 
+def test_warm_state_is_rows_of_points(spark, tmp_path):
+    """What a warm solver keeps for its next solves, and for another session, grows with the points and not with their square."""
+    cells = Cells(_points(spark, 200, seed=5)[0], HYPER, aim=60, most=120)
+    solver = WarmSolver(cells, cells.column("y"), f"file://{tmp_path}/state", tol=0.1)
+    solver.solve()
+    for kept in (solver.precondition.domains, spark.read.parquet(f"{tmp_path}/state/domains")):
+        for r in kept.collect():
+            assert sum(len(v) for v in r if isinstance(v, (bytes, bytearray))) <= 8 * (cells.dims + 1) * sum(len(p) // 4 for p in r.places)
+
+
 def test_work_is_dealt_by_blocks_not_bytes(made):
     cells, _, _ = made
     assert cells.product(cells.column("y")).rdd.getNumPartitions() > 1 and cells.schwarz(0.5)(cells.column("y")).rdd.getNumPartitions() > 1
