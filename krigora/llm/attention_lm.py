@@ -11,13 +11,13 @@ go through one masked product. Texts are encoded once, into a table of ids that
 from __future__ import annotations
 
 import ctypes
-from collections import Counter
+import itertools
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from contextlib import suppress
 from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, fold, in_arrow, text_bytes, written
 
-#: Ids before a window's own ones, and own ids of a window.
+#: Ids before a window's own ones, and own ids of a window: as many, so that a window is two blocks of ids that follow each other.
 CONTEXT, OWN = 16, 16
 LENGTH = CONTEXT + OWN
 #: Width of the model; classes, and how many of them hold one id; ids with a vector of their own.
@@ -49,14 +49,6 @@ def _words(column: pa.Array) -> list[list[bytes]]:
     return [raw[s:e].split() for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
 
 
-class _Slots(dict):
-    """Words to numbers; a word that is new gets the next one."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = k = len(self)
-        return k
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, n) of all texts; the empty word is the end of a text."""
 
@@ -96,7 +88,7 @@ class Subwords:
         self._clear()
 
     def _clear(self) -> None:
-        self.slot = _Slots({b"": 0})
+        self.slot: dict[bytes, int] = defaultdict(itertools.count(1).__next__, {b"": 0})  # a word that is new gets the next number
         self.names = [b""]
         self.first, self.length, self.ids = np.array([0]), np.array([1]), np.array([self.end])
         self.count = np.array([self.hot.get(b"", -1)])
@@ -108,20 +100,22 @@ class Subwords:
         self._clear()
         if len(names) < MOST_WORDS // 2:
             self.names += names
-            self.slot.update(zip(names, range(1, len(names) + 1), strict=True))
+            self.slot = defaultdict(itertools.count(len(self.names)).__next__, zip(self.names, range(len(self.names)), strict=True))
             self.count = np.concatenate([self.count, count[keep[keep > 0]]])
             ids, length = (ids, length) if 0 in keep else (np.concatenate([[self.end], ids]), np.concatenate([[1], length]))
             self.ids, self.length, self.first = ids, length, np.cumsum(length) - length
 
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and how many each has."""
-        texts = [w.decode() for w in words]
-        alone = [k for k, t in enumerate(texts) if len(t.split()) != 1]
-        for k in alone:
-            texts[k] = "x"  # a stand-in, replaced below
-        ids = np.array(self.encoding.encode_ordinary(" " + " ".join(texts)), np.int64)
-        ends = np.cumsum(np.fromiter((len(w) + 1 if t != "x" else 2 for w, t in zip(words, texts, strict=True)), np.int64, len(words)))
-        of = np.searchsorted(ends, np.cumsum(self.bytes[ids]) - 1, "right")
+        text, sizes, alone = b" ".join(words).decode(), np.fromiter(map(len, words), np.int64, len(words)), []
+        if " ".join(text.split()) != text:  # other white space
+            texts = text.split(" ")
+            alone = [k for k, t in enumerate(texts) if len(t.split()) != 1]
+            for k in alone:
+                texts[k], sizes[k] = "x", 1  # a stand-in, replaced below
+            text = " ".join(texts)
+        ids = np.array(self.encoding.encode_ordinary(" " + text), np.int64)
+        of = np.searchsorted(np.cumsum(sizes + 1), np.cumsum(self.bytes[ids]) - 1, "right")
         length = np.bincount(of, minlength=len(words))
         if alone:
             parts = np.split(ids, np.cumsum(length)[:-1])
@@ -197,7 +191,10 @@ class Vocabulary:
 
 _SHAPES = {"e": (ROWS, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "u": (WIDTH, CLASSES), "o": (WIDTH, CLASSES), "b": (CLASSES,), "d": (LENGTH,)}
 _DISTANCE = CONTEXT + np.arange(OWN)[:, None] - np.arange(LENGTH)[None]
+_VISIBLE, _AHEAD = _DISTANCE >= 0, np.maximum(_DISTANCE, 0)
 _BLOCKED = np.float32(-1e9)
+#: Where an input row's slopes are among all of ``e``.
+_PLACES = np.arange(ROWS * WIDTH).reshape(ROWS, WIDTH)
 
 
 def first_weights(level: np.ndarray, seed: int = 13) -> dict[str, np.ndarray]:
@@ -213,10 +210,15 @@ def flat(w: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
+    return _views(x.astype(np.float32))
+
+
+def _views(x: np.ndarray) -> dict[str, np.ndarray]:
+    """The weights in ``x``, not copied."""
     out, at = {}, 0
     for k, s in _SHAPES.items():
         n = int(np.prod(s))
-        out[k], at = x[at : at + n].reshape(s).astype(np.float32), at + n
+        out[k], at = x[at : at + n].reshape(s), at + n
     return out
 
 
@@ -226,11 +228,6 @@ def _cap(z: np.ndarray) -> None:
         np.minimum(z, 60, out=z)
 
 
-def _exp(a: np.ndarray) -> None:
-    _cap(a)
-    np.exp(a, out=a)
-
-
 def _keep_memory() -> None:
     """Arrays of a step are taken from memory that the process keeps, instead of asking the system for it each time."""
     with suppress(OSError, AttributeError):
@@ -239,55 +236,78 @@ def _keep_memory() -> None:
         c.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
 
 
+class _Tables:
+    """What the weights make of each input row, so that a window takes rows of tables instead of products of its own.
+
+    Columns of ones and of what blocks padding spare passes over the windows: of the queries and keys, they block; of the values, their
+    product is the sum of the weights; of ``x`` (the row, one, room for what attention brings), they add ``b``.
+    """
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        kind = w["e"].dtype.type
+        self.x = np.ones((ROWS, 2 * WIDTH + 1), kind)
+        self.x[:, :WIDTH] = w["e"]
+        q, kv = np.zeros((WIDTH + 1, WIDTH + 1), kind), np.zeros((WIDTH + 1, 2 * WIDTH + 2), kind)
+        q[:WIDTH, :WIDTH], kv[:WIDTH, :WIDTH], kv[:WIDTH, WIDTH + 1 : -1] = w["q"] * kind(WIDTH**-0.5), w["k"], w["v"]
+        q[-1, -1] = kv[-1, -1] = 1
+        self.q, self.kv = self.x[:, : WIDTH + 1] @ q, self.x[:, : WIDTH + 1] @ kv
+        self.kv[PAD, WIDTH] = _BLOCKED
+        self.ubo = np.concatenate([w["u"], w["b"][None], w["o"]])
+        self.distance = np.where(_VISIBLE, w["d"][_AHEAD], kind(_BLOCKED))
+        self.ones = np.ones(CLASSES, kind)
+
+    def forward(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of windows ``rows``: queries, keys, values and weights of attention, their sums, what classes are read from, the classes' levels."""
+        own = rows[:, CONTEXT:]
+        q, kv = np.take(self.q, own, 0, mode="clip"), np.take(self.kv, rows, 0, mode="clip")
+        k, v = kv[..., : WIDTH + 1], kv[..., WIDTH + 1 :]
+        a = q @ k.transpose(0, 2, 1)
+        a += self.distance
+        _cap(a)
+        np.exp(a, out=a)
+        o = (a @ v).reshape(-1, WIDTH + 1)
+        total, xo = np.maximum(o[:, WIDTH:], a.dtype.type(1e-30)), np.take(self.x, own.ravel(), 0, mode="clip")
+        np.divide(o[:, :WIDTH], total, out=xo[:, WIDTH + 1 :])
+        z = xo @ self.ubo
+        _cap(z)
+        return q, k, v, a, total, xo, z
+
+
 def loss_and_slopes(w: dict[str, np.ndarray], rows: np.ndarray, targets: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss of the classes ``targets`` (windows, OWN; -1: none) after the inputs ``rows`` (windows, LENGTH), and its slopes."""
-    kind, windows, ids = w["e"].dtype.type, len(rows), rows.ravel()
-    root, each = kind(WIDTH**-0.5), lambda m: m.reshape(windows, -1, m.shape[-1])
-    x = np.take(w["e"], ids, 0)
-    xq = each(x)[:, CONTEXT:].reshape(-1, WIDTH)
-    # A column more: of the keys, what blocks padding; of the values, ones, whose product is the sum of the weights.
-    q, k, v = np.ones((len(xq), WIDTH + 1), kind), np.zeros((len(x), WIDTH + 1), kind), np.ones((len(x), WIDTH + 1), kind)
-    q[:, :WIDTH], k[:, :WIDTH], v[:, :WIDTH] = xq @ (w["q"] * root), x @ w["k"], x @ w["v"]
-    k[ids == PAD, WIDTH] = _BLOCKED
-    q, k, v = each(q), each(k), each(v)
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(_DISTANCE >= 0, w["d"][np.maximum(_DISTANCE, 0)], kind(_BLOCKED))
-    _exp(a)
-    o = (a @ v).reshape(-1, WIDTH + 1)
-    total = np.maximum(o[:, WIDTH:], kind(1e-30))
-    xo, uo = np.concatenate([xq, o[:, :WIDTH] / total], 1), np.concatenate([w["u"], w["o"]])
-    z = xo @ uo
-    z += w["b"]
-    own, target = np.arange(len(z)), targets.ravel()
-    valid, target = target >= 0, np.maximum(target, 0)
-    share = valid / kind(max(1, int(valid.sum())))
-    _cap(z)
-    hit = z[own, target]
+    kind, windows, rows, tables = w["e"].dtype.type, len(rows), rows.astype(np.int64), _Tables(w)
+    q, k, v, a, total, xo, z = tables.forward(rows)
+    target = targets.ravel().astype(np.int64)
+    valid, at = target >= 0, np.arange(0, z.size, CLASSES) + np.maximum(target, 0)
+    share, levels = valid / kind(max(1, int(valid.sum()))), z.ravel()
+    hit = levels[at]
     np.exp(z, out=z)
-    sums = np.maximum(z @ np.ones(CLASSES, kind), kind(1e-30))
+    sums = np.maximum(z @ tables.ones, kind(1e-30))
     loss = float(((np.log(sums) - hit) * share).sum())
-    z *= (share / sums).astype(kind)[:, None]  # from here on the slopes by z
-    z[own, target] -= share.astype(kind)
-    g, guo, dxo = {"b": np.ones(len(z), kind) @ z}, xo.T @ z, z @ uo.T
-    g["u"], g["o"] = guo[:WIDTH], guo[WIDTH:]
+    # The slopes by the levels are z times ``scale``, which is left to what they are multiplied with: that has fewer columns.
+    levels[at] -= sums
+    scale = (share / sums).astype(kind)[:, None]
+    gubo, dxo = (xo * scale).T @ z, z @ tables.ubo.T
+    dxo *= scale
+    g = {"u": gubo[:WIDTH], "b": gubo[WIDTH], "o": gubo[WIDTH + 1 :]}
     do = np.empty((len(z), WIDTH + 1), kind)
-    do[:, :WIDTH] = dxo[:, WIDTH:] / total
-    do[:, WIDTH] = -(do[:, :WIDTH] * xo[:, WIDTH:]).sum(1)
-    do = each(do)
+    np.divide(dxo[:, WIDTH + 1 :], total, out=do[:, :WIDTH])
+    np.negative(np.einsum("ij,ij->i", do[:, :WIDTH], xo[:, WIDTH + 1 :]), out=do[:, WIDTH])
+    do = do.reshape(windows, OWN, -1)
     dkv = np.empty((windows, LENGTH, 2 * WIDTH), kind)
-    dkv[..., WIDTH:] = a.transpose(0, 2, 1) @ do[..., :WIDTH]
+    np.matmul(a.transpose(0, 2, 1), do[..., :WIDTH], out=dkv[..., WIDTH:])
     ds = do @ v.transpose(0, 2, 1)
     ds *= a
-    dkv[..., :WIDTH] = ds.transpose(0, 2, 1) @ q[..., :WIDTH]
-    dq = (ds @ k[..., :WIDTH]).reshape(-1, WIDTH) * root
-    by_distance = (np.ones(windows, kind) @ ds.reshape(windows, -1)).reshape(OWN, LENGTH) * (_DISTANCE >= 0)
-    g["d"] = np.bincount(np.maximum(_DISTANCE, 0).ravel(), by_distance.ravel(), LENGTH).astype(kind)
-    gkv = x.T @ dkv.reshape(-1, 2 * WIDTH)
-    g["q"], g["k"], g["v"] = xq.T @ dq, gkv[:, :WIDTH], gkv[:, WIDTH:]
-    dx = each(dkv.reshape(-1, 2 * WIDTH) @ np.concatenate([w["k"], w["v"]], 1).T)
-    dx[:, CONTEXT:] += each(dxo[:, :WIDTH] + dq @ w["q"].T)
-    at = (ids[:, None] * WIDTH + np.arange(WIDTH)).ravel()
-    g["e"] = np.bincount(at, dx.ravel(), ROWS * WIDTH).reshape(ROWS, WIDTH).astype(kind)
+    np.matmul(ds.transpose(0, 2, 1), q[..., :WIDTH], out=dkv[..., :WIDTH])
+    dq = (ds @ k[..., :WIDTH]).reshape(-1, WIDTH) * kind(WIDTH**-0.5)
+    by_distance = (np.ones(windows, kind) @ ds.reshape(windows, -1)).reshape(OWN, LENGTH) * _VISIBLE
+    g["d"] = np.bincount(_AHEAD.ravel(), by_distance.ravel(), LENGTH).astype(kind)
+    ids, dkv = rows.ravel(), dkv.reshape(-1, 2 * WIDTH)
+    gkv = np.take(w["e"], ids, 0, mode="clip").T @ dkv
+    g["q"], g["k"], g["v"] = xo[:, :WIDTH].T @ dq, gkv[:, :WIDTH], gkv[:, WIDTH:]
+    dx = (dkv @ np.concatenate([w["k"], w["v"]], 1).T).reshape(windows, LENGTH, WIDTH)
+    dx[:, CONTEXT:] += (dxo[:, :WIDTH] + dq @ w["q"].T).reshape(windows, OWN, WIDTH)
+    g["e"] = np.bincount(np.take(_PLACES, ids, 0, mode="clip").ravel(), dx.ravel(), ROWS * WIDTH).reshape(ROWS, WIDTH).astype(kind)
     return loss, g
 
 
@@ -295,14 +315,14 @@ def train_steps(w: dict[str, np.ndarray], parts: Iterator[tuple[np.ndarray, np.n
     """Adam over all windows (rows, targets) of ``parts``, each once, in random order among ``MIXED_WINDOWS`` or more, and how many
     they were; fewer windows than ``LEAST_STEPS`` steps take are gone over again."""
     rng, x, windows, t = np.random.default_rng(seed), flat(w), 0, 0
-    m, s = np.zeros_like(x), np.zeros_like(x)
+    m, s, now = np.zeros_like(x), np.zeros_like(x), _views(x)
 
     def step(rows: np.ndarray, targets: np.ndarray) -> None:
         nonlocal t
-        g = flat(loss_and_slopes(unflat(x), rows.astype(np.int64), targets.astype(np.int64))[1])
-        keep = np.float32(t > 0)  # the first step's slopes count in full
-        m[:] = g + keep * np.float32(0.9) * (m - g)
-        s[:] = g * g + keep * np.float32(0.99) * (s - g * g)
+        g = flat(loss_and_slopes(now, rows, targets)[1])
+        new = np.float32([0.1, 0.01] if t else [1, 1])  # the first step's slopes count in full
+        m[:] += new[0] * (g - m)
+        s[:] += new[1] * (g * g - s)
         x[:] -= np.float32(rate) * m / (np.sqrt(s) + np.float32(1e-7))
         t += 1
 
@@ -337,53 +357,41 @@ def _padded(ids: np.ndarray, off: np.ndarray, vocabulary: Vocabulary) -> tuple[n
     windows = -(-n // OWN)
     text = np.repeat(np.arange(len(n)), windows)
     number = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = number[:, None] * OWN + np.arange(-CONTEXT, OWN)[None]  # in the text
-    length = n[text][:, None]
-    before = off[:-1][text][:, None] + place - 1
-    row = vocabulary.rows[ids[np.clip(before, 0, max(len(ids) - 1, 0))]].astype(np.int64)
-    row[place == 0] = BEGIN
-    row[(place < 0) | (place >= length)] = PAD
-    own = place[:, CONTEXT:]
-    return row, np.where(own < length, off[:-1][text][:, None] + own, -1), text, number
+    # Blocks of OWN places, those of a text after one of padding: a window is a block and the next.
+    blocks = windows + (n > 0)
+    start = (np.cumsum(blocks) - blocks + 1) * OWN
+    at = np.arange(len(ids)) + np.repeat(start - off[:-1], n)
+    inputs, places = np.full((int(blocks.sum()), OWN), PAD, np.int16), np.full((int(blocks.sum()), OWN), -1)
+    if len(ids):
+        inputs.ravel()[at] = vocabulary.rows[np.concatenate([ids[:1], ids[:-1]])]
+        inputs.ravel()[start[n > 0]] = BEGIN
+        places.ravel()[at] = np.arange(len(ids))
+    block = number + (start // OWN - 1)[text]
+    return np.concatenate([inputs[block], inputs[block + 1]], 1), places[block + 1], text, number
 
 
 class Scorer:
-    """The trained weights as tables by input row, so that a window costs a few look-ups and two small products."""
+    """The forward pass with trained weights, many windows at once."""
 
     def __init__(self, w: dict[str, np.ndarray], vocabulary: Vocabulary) -> None:
-        self.vocabulary = vocabulary
-        ones, blocked = np.ones((ROWS, 1), np.float32), np.zeros((ROWS, 1), np.float32)
-        blocked[PAD] = _BLOCKED
-        self.q = np.concatenate([w["e"] @ w["q"] * np.float32(WIDTH**-0.5), ones], 1)
-        self.k, self.v = np.concatenate([w["e"] @ w["k"], blocked], 1), np.concatenate([w["e"] @ w["v"], ones], 1)
-        self.u, self.o = w["e"] @ w["u"] + w["b"], np.concatenate([w["o"], np.zeros((1, CLASSES), np.float32)])
-        self.ones = np.ones(CLASSES, np.float32)
-        self.distance = np.where(_DISTANCE >= 0, w["d"][np.maximum(_DISTANCE, 0)], _BLOCKED).astype(np.float32)
+        self.vocabulary, self.tables = vocabulary, _Tables(w)
 
     def log10(self, ids: np.ndarray, off: np.ndarray, at_once: int = 256) -> np.ndarray:
         """log10 probability of each text of ids."""
         vocabulary, out = self.vocabulary, np.zeros(len(off) - 1)
-        target = vocabulary.classes[ids].astype(np.int64)
         out += np.add.reduceat(np.append(vocabulary.share[ids], 0.0), off[:-1]) * (np.diff(off) > 0) if len(out) else 0.0
         for first, end in _runs(off):
-            rows, own, text, _ = _padded(ids[off[first] : off[end]], off[first : end + 1] - off[first], vocabulary)
-            classes = target[off[first] : off[end]]
+            some = ids[off[first] : off[end]]
+            rows, own, text, _ = _padded(some, off[first : end + 1] - off[first], vocabulary)
+            classes, got = np.append(vocabulary.classes[some], 0).astype(np.int64), np.zeros(len(rows))
             for s in range(0, len(rows), at_once):
-                r, places = rows[s : s + at_once], own[s : s + at_once]
-                rq = np.ascontiguousarray(r[:, CONTEXT:])
-                a = np.take(self.q, rq, 0, mode="clip") @ np.take(self.k, r, 0, mode="clip").transpose(0, 2, 1)
-                a += self.distance
-                _exp(a)
-                o = a @ np.take(self.v, r, 0, mode="clip")
-                total = o[..., -1:]  # the last column of v is one
-                o /= total
-                z = o.reshape(-1, WIDTH + 1) @ self.o
-                z += np.take(self.u, rq.ravel(), 0, mode="clip")
-                _cap(z)
-                hit = z[np.arange(len(z)), classes[np.maximum(places, 0)].ravel()]
+                places = own[s : s + at_once]
+                z = self.tables.forward(rows[s : s + at_once].astype(np.int64))[-1]
+                hit = z.ravel()[np.arange(0, z.size, CLASSES) + classes[places.ravel()]]
                 np.exp(z, out=z)
-                got = np.where(places.ravel() >= 0, hit - np.log(z @ self.ones), 0.0).reshape(places.shape).sum(1, dtype=float)
-                out[first:end] += np.bincount(text[s : s + at_once], got, end - first)
+                hit -= np.log(z @ self.tables.ones)
+                got[s : s + at_once] = (hit.reshape(places.shape) * (places >= 0)).sum(1, dtype=float)
+            out[first:end] += np.bincount(text, got, end - first)
         return out / np.log(10)
 
 
@@ -412,7 +420,7 @@ def training_windows(ids: np.ndarray, off: np.ndarray, vocabulary: Vocabulary) -
     for first, end in _runs(off):
         some = ids[off[first] : off[end]]
         rows, own, _, _ = _padded(some, off[first : end + 1] - off[first], vocabulary)
-        yield rows.astype(np.int16), np.where(own >= 0, vocabulary.classes[some[np.maximum(own, 0)]], -1).astype(np.int16)
+        yield rows, np.append(vocabulary.classes[some], np.int16(-1))[own]  # a place of -1 is the last
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, rounds: Sequence[int] = ROUNDS, rate: float = 0.01) -> dict[str, np.ndarray]:
@@ -435,16 +443,14 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: Sequence[int] = ROUN
                 return
             x = flat(w).astype(float) * windows
             parts = np.array_split(np.append(x, windows), _SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES)), pa.array(np.full(_SLICES, task % 64)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "salt", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(_SLICES)), pa.array(np.full(_SLICES, task % 16)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "salt", "x"])
 
-        def total(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.zeros(len(pdf["x"].iloc[0]) // 8)
-            for raw in pdf["x"]:
-                x = x + np.frombuffer(raw, float)
-            return pd.DataFrame({"part": [pdf["part"].iloc[0]], "salt": [0], "x": [x.tobytes()]})
+        def total(rows: pa.Table) -> pa.Table:
+            x = sum(np.frombuffer(raw.as_buffer(), float) for raw in rows["x"])
+            return pa.table({"part": rows["part"][:1], "salt": pa.array([0]), "x": pa.array([x.tobytes()], pa.binary())})
 
         schema = "part long, salt long, x binary"
-        got = in_arrow(texts.where((bucket >= start) & (bucket < end)).select("ids"), run, schema).groupBy("part", "salt").applyInPandas(total, schema).groupBy("part").applyInPandas(total, schema).collect()
+        got = in_arrow(texts.where((bucket >= start) & (bucket < end)).select("ids"), run, schema).groupBy("part", "salt").applyInArrow(total, schema).groupBy("part").applyInArrow(total, schema).collect()
         if got:
             x = np.concatenate([np.frombuffer(r["x"], float) for r in sorted(got, key=lambda r: r["part"])])
             w = unflat(x[:-1] / x[-1])

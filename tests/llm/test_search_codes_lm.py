@@ -245,6 +245,22 @@ def test_windows_are_the_scorers():
     assert attention_lm.train_steps(w, iter([]), [1], 0.01)[1] == 0
 
 
+def test_windows_by_blocks():
+    """Windows laid out by blocks against each place's own definition; inputs have two bytes, as eight cost training its passes."""
+    rng = np.random.default_rng(9)
+    voc, off = attention_lm.Vocabulary(rng.integers(0, 500, 7000)), np.array([0, 0, 1, 17, 17, 49, 300, 300])
+    ids = rng.integers(0, 7000, 300)
+    rows, own, text, number = attention_lm._padded(ids, off, voc)
+    assert rows.dtype == np.int16 and len(rows) == sum(-(-n // attention_lm.OWN) for n in np.diff(off))
+    for w in range(len(rows)):
+        start, n = off[text[w]], off[text[w] + 1] - off[text[w]]
+        for k in range(attention_lm.LENGTH):
+            place = number[w] * attention_lm.OWN + k - attention_lm.CONTEXT
+            inside = 0 <= place < n
+            assert rows[w, k] == (attention_lm.PAD if not inside else voc.rows[ids[start + place - 1]] if place else attention_lm.BEGIN)
+            assert k < attention_lm.CONTEXT or own[w, k - attention_lm.CONTEXT] == (start + place if inside else -1)
+
+
 def test_words_encoded_together():
     """What a word is encoded as does not hang on the words that it is encoded with; white space of other kinds included."""
     import tiktoken
