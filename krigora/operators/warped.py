@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 from krigora.functions.networks import Network
 from krigora.sources.places import Places
 
-from .strips import compact_model
+from . import linalg as L
+from .strips import compact_model, wendland_block, wendland_point_slopes, wendland_slopes
+
+#: Places of a model that is asked for likelihood and slopes only, up to which one matrix on the driver gives them; as many as strips
+#: leave to one task.
+LOCAL_PLACES = 2500
 
 
 class WarpedProcess:
@@ -83,3 +88,32 @@ class WarpedProcess:
     def _drop(self) -> None:
         if hasattr(self.model, "discard"):
             self.model.discard()
+
+
+class LocalWarpedProcess:
+    """Likelihood and slopes of ``WarpedProcess`` by one matrix over few places, without a job: for searches that ask for many of them."""
+
+    def __init__(self, places: Places, network: Network, network_parameters: Sequence[float], hyper: Sequence[float]) -> None:
+        self.places, self.network, self.weights, self.hyper = places, network, np.asarray(network_parameters, float), [float(h) for h in hyper]
+        self.x, y, noise = places.arrays()
+        self.at, right = network(self.x, self.weights), y - places.mean
+        low = L.cholesky(wendland_block(self.at, self.at, self.hyper) + np.diag(noise))
+        self.inverse = L.inverse(low)
+        self.alpha = self.inverse @ right
+        self.logdet, self.quadratic = L.logdet(low) + places.logdet, float(right @ self.alpha) + places.square
+
+    def log_likelihood(self) -> float:
+        return self.places.log_likelihood(self.logdet, self.quadratic)
+
+    def likelihood_gradient(self) -> np.ndarray:
+        """Of the log likelihood by the kernel's, then the network's parameters."""
+        pull = np.outer(self.alpha, self.alpha) - self.inverse
+        outer = np.stack([(pull * d).sum(0) for d in wendland_point_slopes(self.at, self.at, self.hyper)], 1)
+        return np.array([*[0.5 * (pull * d).sum() for d in wendland_slopes(self.at, self.at, self.hyper)], *self.network.slopes(self.x, outer, self.weights)])
+
+
+def warped_likelihood(places: Places, network: Network, network_parameters: Sequence[float], hyper: Sequence[float]) -> WarpedProcess | LocalWarpedProcess:
+    """A model for likelihood and slopes: on the driver while the places are few, else over tables."""
+    if places.count <= LOCAL_PLACES:
+        return LocalWarpedProcess(places, network, network_parameters, hyper)
+    return WarpedProcess(places, network, network_parameters, hyper, predicts=False)

@@ -59,6 +59,62 @@ def quasi_newton(f: Objective, gradient: Callable[[np.ndarray], np.ndarray], sta
     return x
 
 
+def until_flat(f: Objective, gradient: Callable[[np.ndarray], np.ndarray], start: Sequence[float], bounds: np.ndarray, tol: float = 1e-8, patience: int = 20) -> np.ndarray:
+    """Minimises inside the bounds, in as many BFGS steps as it takes, also where slopes jump (rectifiers).
+
+    Parameters that their bounds hold are left out of a step, and a step ends at the first bound. It is as long as the weak Wolfe
+    conditions ask, so that curvature stays positive across kinks. The end is where no step is found from the plain gradient,
+    or where ``patience`` steps together have gained less than ``tol`` of the value.
+    """
+    low, high = bounds.T
+    x = np.clip(np.array(start, float), low, high)
+    h, fx, g, plain, seen = np.eye(len(x)), f(x), gradient(x), True, []
+    while True:
+        seen.append(fx)
+        if len(seen) > patience and seen[-1 - patience] - fx <= tol * (1 + abs(fx)):
+            return x
+        free = ~((x <= low) & (g >= 0) | (x >= high) & (g <= 0))
+        d = -(h * np.outer(free, free)) @ g
+        held = (x <= low) & (d < 0) | (x >= high) & (d > 0)
+        if held.any():
+            free &= ~held
+            d = -(h * np.outer(free, free)) @ g
+        if not d @ g < 0 or ((x <= low) & (d < 0) | (x >= high) & (d > 0)).any():
+            free = ~((x <= low) & (g >= 0) | (x >= high) & (g <= 0))
+            h, d, plain = np.eye(len(x)), np.where(free, -g, 0.0), True
+        if not d.any():
+            return x
+        with np.errstate(divide="ignore", invalid="ignore"):
+            far = float(np.min(np.where(d > 0, (high - x) / d, np.where(d < 0, (low - x) / d, np.inf))))
+        t, least, most, found = min(far, 1.0 / max(1.0, np.abs(d).max()) if plain else 1.0), 0.0, np.inf, None
+        for _ in range(60):  # halves 60 times: beyond that a step changes no digit
+            new = np.clip(x + t * d, low, high)
+            new = np.where(new - low <= 1e-9 * (high - low), low, np.where(high - new <= 1e-9 * (high - low), high, new))
+            fn = f(new)
+            if not fn <= fx + 1e-4 * t * (d @ g):
+                most = t
+            else:
+                gn = gradient(new)
+                found = new, fn, gn
+                if gn @ d >= 0.9 * (g @ d) or t >= far:
+                    break
+                least = t
+            t = (least + most) / 2 if np.isfinite(most) else min(2 * t, far)
+        if found is None or not found[1] < fx:
+            if plain:
+                return x
+            h, plain = np.eye(len(x)), True
+            continue
+        new, fn, gn = found
+        s, y = new - x, gn - g
+        if s @ y > 1e-12 * (s @ s) ** 0.5 * (y @ y) ** 0.5:
+            if plain:
+                h = np.eye(len(x)) * (s @ y) / (y @ y)
+            r = np.eye(len(x)) - np.outer(s, y) / (s @ y)
+            h, plain = r @ h @ r.T + np.outer(s, s) / (s @ y), False
+        x, fx, g = new, fn, gn
+
+
 def evaluate(spark: SparkSession, f: Objective, candidates: np.ndarray) -> np.ndarray:
     """Objective of many candidates at once, one Spark task for each handful of them."""
 
@@ -328,12 +384,12 @@ class TableObjective:
         return model.log_likelihood_variance() if hasattr(model, "log_likelihood_variance") else 0.0
 
 
-def train(objective: Objective, start: Sequence[float], bounds: np.ndarray, method: str | Callable = "local", slopes: Callable[[np.ndarray], np.ndarray] | None = None, spark: SparkSession | None = None, steps: int = 100, seed: int = 0, accept_only_if_improved: bool = True, variance: Callable[[np.ndarray], float] | None = None) -> np.ndarray:
+def train(objective: Objective, start: Sequence[float], bounds: np.ndarray, method: str | Callable = "local", slopes: Callable[[np.ndarray], np.ndarray] | None = None, spark: SparkSession | None = None, steps: int | None = 100, seed: int = 0, accept_only_if_improved: bool = True, variance: Callable[[np.ndarray], float] | None = None) -> np.ndarray:
     """Hyperparameters that minimise ``objective`` inside the bounds, from ``start``.
 
     ``method`` is ``local`` (quasi-Newton), ``adam``, ``global`` (evolution), ``searches`` (many local ones), ``mcmc`` (the median of
     chains), ``bo``, or a function of (objective, start, bounds) that returns them. The first two take ``slopes``, or
-    differences; global, searches and mcmc evaluate in Spark tasks, so their objective must do without a session. The start is
+    differences, and ``local`` with ``steps`` of None goes on until it can't get lower; global, searches and mcmc evaluate in Spark tasks, so their objective must do without a session. The start is
     kept where training has made it worse, unless ``accept_only_if_improved`` is false.
     """
     start = np.clip(np.array(start, float), bounds[:, 0], bounds[:, 1])
@@ -346,7 +402,7 @@ def train(objective: Objective, start: Sequence[float], bounds: np.ndarray, meth
     if callable(method):
         new = np.asarray(method(objective, start, bounds), float)
     elif method == "local":
-        new = quasi_newton(objective, slopes, start, bounds, steps)
+        new = until_flat(objective, slopes, start, bounds) if steps is None else quasi_newton(objective, slopes, start, bounds, steps)
     elif method == "adam":
         new = adam(slopes, start, bounds, steps=steps)
     elif method == "global":
