@@ -145,14 +145,10 @@ k AS (SELECT i, j, 1.5 * (1 - d) ** 8 * (32 * d ** 3 + 25 * d * d + 8 * d + 1) A
 """
 
 
-def _ball(spark: SparkSession, d: str) -> DataFrame:
-    return C.ball_join(_parts(spark, d), BALL, 2, 1.5)
-
-
 @_query(_BALL + "SELECT i, j, round(v, 6) AS v FROM k")
 def covariance_ball_join(spark: SparkSession, d: str) -> DataFrame:
     """Compactly supported covariance of all parts through the grid join."""
-    return _ball(spark, d).select("i", "j", _r(F.col("v")).alias("v"))
+    return C.ball_join(_parts(spark, d), BALL, 2, 1.5, shown=_r)
 
 
 @_query(_BALL + ", f AS (SELECT i, j, v FROM k UNION ALL SELECT j, i, v FROM k WHERE i < j) SELECT f.i, round(sum(f.v * p.p_size), 4) AS v FROM f JOIN part p ON p.p_partkey = f.j GROUP BY f.i")
