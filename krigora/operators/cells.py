@@ -27,6 +27,8 @@ from .strips import wendland_block, wendland_point_slopes
 _VECTOR = "block string, n int, v binary"
 #: Crowded cells whose list is broadcast; a longer one is joined.
 BROADCAST_CELLS = 100_000
+#: Numbers of a vector (points by columns) up to which the driver holds those of an iteration, which then writes no tables.
+HELD_NUMBERS = 500_000
 
 
 def _matrix(raw: bytes, rows: int) -> np.ndarray:
@@ -37,6 +39,26 @@ def _raw(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a, float).tobytes()
 
 
+def _added(rows: DataFrame, each: Callable, v: np.ndarray, at: dict[str, slice]) -> np.ndarray:
+    """The sum of what ``each(row, v of a block)`` gives for the rows, pairs (block, matrix); tasks add up their own and bring those home."""
+    sent = rows.sparkSession.sparkContext.broadcast((v, at))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (v, at), sums = sent.value, {}
+        for p in parts:
+            for r in p.itertuples():
+                for block, m in each(r, lambda b: v[at[b]]):
+                    sums[block] = sums[block] + m if block in sums else m
+        if sums:
+            yield pd.DataFrame({"block": list(sums), "v": [_raw(m) for m in sums.values()]})
+
+    out = np.zeros_like(v)
+    for r in in_batches(rows, run, "block string, v binary").collect():
+        out[at[r["block"]]] += np.frombuffer(r["v"], float).reshape(-1, v.shape[1])
+    sent.unpersist()
+    return out
+
+
 def _summed(parts: DataFrame, tasks: int) -> DataFrame:
     """(block, n, v) sums of the matrices of each block; a block has a row for each of its neighbours at most."""
 
@@ -199,6 +221,8 @@ class Cells:
         """
         norm = np.sqrt(np.diag(_gram(right, [("v", "v")])[0]))
         scale = np.where(norm > 0, norm, 1.0)
+        if self.n * len(norm) <= HELD_NUMBERS and (precondition is None or hasattr(precondition, "held")):
+            return self._solve_held(right, scale, precondition, start, tol, most, self._within(hyper))
         state = _mapped(right, {"r": lambda m: m["v"] / scale, "x": lambda m: 0.0 * m["v"]})
         if start is not None:
             moved = _with(_with(state.drop("x"), start, "x"), self.product(start, hyper), "q")
@@ -229,6 +253,47 @@ class Cells:
             basis = _orthonormal(zz + pz.T @ turn + turn.T @ pz + turn.T @ pp @ turn)
         return _mapped(state if held is None else held, {"v": lambda m: m["x"] * scale}), k
 
+    def _solve_held(self, right: DataFrame, scale: np.ndarray, precondition: Schwarz | ApproximateInverse | None, start: DataFrame | None, tol: float, most: int, hyper: list[float]) -> tuple[DataFrame, int]:
+        """``solve`` with its vectors on the driver: the same steps, in one job for a product and one or two for the preconditioner."""
+        sizes = self.blocks.select("block", F.size("pts").alias("n")).orderBy("block").collect()
+        ends = np.cumsum([0, *[r["n"] for r in sizes]]).tolist()
+        at, dims = {r["block"]: slice(a, b) for r, a, b in zip(sizes, ends[:-1], ends[1:], strict=True)}, self.dims
+
+        def gathered(vector: DataFrame) -> np.ndarray:
+            out = np.zeros((ends[-1], len(scale)))
+            for r in vector.select("block", "v").collect():
+                out[at[r["block"]]] = np.frombuffer(r["v"], float).reshape(-1, len(scale))
+            return out
+
+        def transposed(r, of: Callable) -> list:  # of a pair of blocks (a, b) the rows of b, whose pairs lie together
+            a, b = (np.asarray(x, float).reshape(-1, dims) for x in (r.xa, r.xb))
+            got = wendland_block(b, a, hyper) @ of(r.a)
+            return [(r.b, got if r.noise is None else got + np.asarray(r.noise)[:, None] * of(r.a))]
+
+        product = lambda v: _added(self.pairs, transposed, v, at)
+        conditioned = (lambda v: precondition.held(v, at)) if precondition is not None else (lambda v: v)
+        r, x = gathered(right) / scale, np.zeros((ends[-1], len(scale)))
+        if start is not None:
+            x = gathered(start) / scale
+            r = r - product(x)
+        k, p, q, bend = 0, None, None, None
+        while not ((left := np.sqrt((r * r).sum(0))) <= tol).all():
+            if k == most:
+                raise RuntimeError(f"block conjugate gradients are at {left.max():.3g} of the right sides after {most} iterations, not at {tol:g}")
+            k += 1
+            z = conditioned(r)
+            if p is not None:
+                z = z + p @ -np.linalg.solve(bend, q.T @ z)
+            p = z @ _orthonormal(z.T @ z)
+            q = product(p)
+            bend = p.T @ q
+            if np.linalg.eigvalsh((bend + bend.T) / 2).min() <= 0:
+                raise L.NotPositiveDefinite("P'KP is not positive definite in block conjugate gradients")
+            step = np.linalg.solve(bend, p.T @ r)
+            x, r = x + p @ step, r - q @ step
+        x = x * scale
+        return self.spark.createDataFrame([(b, s.stop - s.start, bytearray(_raw(x[s]))) for b, s in at.items()], _VECTOR), k
+
     def _conditioned(self, state: DataFrame, precondition: Callable[[DataFrame], DataFrame] | None) -> DataFrame:
         """``state`` with z, the preconditioner times r, written."""
         if precondition is None:
@@ -369,6 +434,25 @@ class Schwarz:
         return _summed(own.groupBy("domain").cogroup(sent.groupBy("domain")).applyInPandas(local, _VECTOR), self.tasks)
 
 
+    def held(self, vector: np.ndarray, at: dict[str, slice]) -> np.ndarray:
+        """Of a vector on the driver, whose blocks lie ``at``."""
+
+        def local(d, of: Callable) -> list:
+            places = [np.frombuffer(p, np.int32) for p in d.places]
+            x, noise = _matrix(d.x, sum(map(len, places))), np.frombuffer(d.noise, float)
+            k = wendland_block(x, x, d.hyper)
+            k[np.diag_indices_from(k)] += noise
+            solved, out, start = L.solve(L.cholesky(k), np.concatenate([of(h)[a] for h, a in zip(d.homes, places, strict=True)])), [], 0
+            for h, a in zip(d.homes, places, strict=True):
+                v = np.zeros_like(of(h))
+                v[a] = solved[start : start + len(a)]
+                start += len(a)
+                out.append((h, v))
+            return out
+
+        return _added(self.domains, local, vector, at)
+
+
 class ApproximateInverse:
     """Preconditioner G'G with a sparse triangle G: each row is one small solve over the point's ``nearest`` earlier neighbours.
 
@@ -427,6 +511,22 @@ class ApproximateInverse:
     def __call__(self, vector: DataFrame) -> DataFrame:
         return self._times(self._times(vector, False), True)
 
+    def held(self, vector: np.ndarray, at: dict[str, slice]) -> np.ndarray:
+        """Of a vector on the driver, whose blocks lie ``at``."""
+
+        def times(turned: bool) -> Callable:
+            to, by, rows, columns, size = ("b", "a", "ci", "ri", "nb") if turned else ("a", "b", "ri", "ci", "na")
+
+            def each(r, of: Callable) -> list:
+                got = np.frombuffer(r.g, float)[:, None] * of(getattr(r, by))[np.frombuffer(getattr(r, columns), np.int32)]
+                v = np.zeros((getattr(r, size), got.shape[1]))
+                np.add.at(v, np.frombuffer(getattr(r, rows), np.int32), got)
+                return [(getattr(r, to), v)]
+
+            return each
+
+        return _added(self.triangle, times(True), _added(self.triangle, times(False), vector, at), at)
+
 
 class WarmSolver:
     """Solves for one right side under hyperparameters that change little by little, as training asks for.
